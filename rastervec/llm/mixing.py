@@ -31,6 +31,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(letters, r"[\x20\x09-\x0D]++", "")), F.lit(0)).cast("long")
 
 
+def place_of(doc_id: Column) -> Column:
+    """Where a document stands in its source's stream: the first 60 bits of its id's MD5."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _slot(rank: Column, values: tuple) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(rank - 1, F.lit(len(values))) + 1).cast("int"))
 
@@ -69,9 +74,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     keep = [doc_id] if keep is None else keep
     kept = F.struct(*(ident(c) for c in keep)).alias("_kept")
     rows = docs.select(
-        kept, word_count(ident(text)).alias("size"), ident(source).isNull().alias("_null"), F.coalesce(ident(source), F.lit("")).alias("_source"), F.xxhash64(ident(doc_id).cast("string")).alias("_hash"), ident(doc_id).alias("_id")
+        kept, word_count(ident(text)).alias("size"), ident(source).isNull().alias("_null"), F.coalesce(ident(source), F.lit("")).alias("_source"), place_of(ident(doc_id)).alias("_hash"), ident(doc_id).alias("_id")
     )
-    rows = rows.withColumn("_bucket", F.shiftright("_hash", 48) + 32768).withColumn("_bucket", F.expr(f"int(_bucket div {65536 // BUCKETS})"))
+    rows = rows.withColumn("_bucket", F.expr(f"int(_hash div {(1 << 60) // BUCKETS})"))
     keys = ["_null", "_source", "_bucket"]
     ranges = rows.groupBy(*keys).agg(F.sum("size").alias("_words"))
     sources = targets(ranges.groupBy("_null", "_source").agg(F.sum("_words").alias("size")), weights=weights, schedule=schedule, most=most)

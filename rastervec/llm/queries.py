@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastervec.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_rules, suffix_dedup, token_count
+from rastervec.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_rules, suffix_dedup, token_count, token_output, toxicity
 from rastervec.llm.common import crc_of_id, stored, table
 
 
@@ -40,14 +40,81 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(stored(chat_format.format_chats(turns), "chats"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), F.pmod(crc_of_id("doc_id"), F.lit(3)) == 1
+    rows = stored(toxicity.labelled(docs.where(~held), table(spark, sf_dir, "labels"), doc_id="doc_id", text="text", label="toxic"), "labelled")
+    return toxicity.score(docs, toxicity.fit(rows), keep=["doc_id", held.alias("held_out")])
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_token_count, op4_simhash_dedup, op5_decontaminate, op6_chat_format, op8_mixing, op9_quality_rules)}
-
-ORACLES: dict[str, str] = {}
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = stored(token_output.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "token-blocks")
+    return token_output.read_back(blocks)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_token_count, op4_simhash_dedup, op5_decontaminate, op6_chat_format, op7_toxicity, op8_mixing, op9_quality_rules, op10_token_output)}
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_DECONTAMINATE = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_PLAIN} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_PLAIN} AS w FROM benchmark),
+phrases AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM phrases),
+windows AS (SELECT k, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
+found AS (SELECT k, i, n, item FROM windows JOIN phrases USING (n, s)),
+hits AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM found) GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM found) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (k) LEFT JOIN items USING (k)"""
+
+_CHATS = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+turns AS (SELECT *, length('<|im_start|>') + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1 AS chars,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM said),
+sums AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto, max(k) OVER (PARTITION BY conv_id) AS last FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(upto) FILTER (role = 'assistant' OR k = last)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR k = last)::BIGINT AS n_examples
+FROM sums GROUP BY conv_id"""
+
+_MIXING = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+sources AS (SELECT source IS NULL AS none, coalesce(source, '') AS name, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
+ranked AS (SELECT *, 3 * source_size::DOUBLE AS cap, row_number() OVER (ORDER BY none, name) AS r FROM sources),
+weighed AS (SELECT *, ((r - 1) % 3 + 1)::DOUBLE AS weight FROM ranked),
+levels AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+goals AS (SELECT none, name, source_size, least(cap, weight * max(level) OVER ()) AS target FROM levels),
+placed AS (SELECT doc_id, size, source_size, target, least(floor(target + 0.5)::BIGINT, 3 * source_size) AS demand,
+  coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN goals ON (source IS NULL) = none AND coalesce(source, '') = name)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE demand // source_size * size + greatest(0, least(size, demand % source_size - start)) END::BIGINT AS taken FROM placed"""
+
+_QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+windows AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+often AS (SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY k, s) > 1),
+covered AS (SELECT k, count(DISTINCT p) AS n_repeat FROM (SELECT k, unnest(range(i, i + 8)) AS p FROM often) GROUP BY k),
+lines AS (SELECT k, sum(n - 1) AS n_dup FROM (SELECT k, l, count(*) AS n FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY k, l) GROUP BY k),
+base AS (SELECT k, doc_id, t, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN covered USING (k) LEFT JOIN lines USING (k)),
+counted AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, length(t) AS n, length(t) - length(replace(t, '!', '')) AS marks, length(t) - length(replace(t, chr(10), '')) AS breaks,
+  length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper, length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS small, length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digits FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 20 * n_symbols > n OR 25 * marks > n OR (upper >= 25 AND upper > small) OR (4 * digits > n AND n > 0) OR word_chars > 25 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * (breaks + 1))) AS kept
+FROM counted"""
+
+#: The other operators hash with XXH64, hold tokenizers or are trained; tests/llm holds them against plain versions.
+ORACLES: dict[str, str] = {"op5_decontaminate": _DECONTAMINATE, "op6_chat_format": _CHATS, "op8_mixing": _MIXING, "op9_quality_rules": _QUALITY}
