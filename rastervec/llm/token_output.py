@@ -12,10 +12,13 @@ Blocks are rows of a table that Spark writes: a task that is lost leaves nothing
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ BLOCK_IDS = 1 << 20
 #: Rounds of a block, pairs replaced in a round, and how often a pair must occur.
 ROUNDS, BATCH, LEAST = 6, 1024, 24
 #: Characters of a text that are split at a time, and words kept with their ids.
-PIECE, MOST_MEMO = 1 << 20, 500_000
+PIECE, MOST_MEMO = 1 << 20, 900_000
 MAGIC, HEADER = b"RPG1", "<4s4I2Q"
 BLOCKS = "part int, block int, doc_ids array<long>, n_tokens array<long>, n_ids long, payload binary"
 
@@ -43,42 +46,56 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.model = Tokenizer.from_file(model_file)
         self.memo: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
 
     def _learn(self, chunks: list[str]) -> None:
-        """A full stop or comma after letters is a piece of its own, and case is folded; so rarer chunks share what is encoded."""
+        """A full stop or comma after letters is a piece of its own, and case is folded (up to U+00FF, where all agree on it); so rarer chunks share what is encoded."""
         parts = []
         for c in chunks:
-            core, tail = (c[:-1], c[-1]) if c[-1] in ".," and c[:-1].isalpha() else (c, "")
-            parts.append((core.lower() if core.isascii() and core.isalpha() else core, tail))
-        new = list({p for pair in parts for p in pair if p and p not in self.cores})
-        for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-            self.cores[p] = np.array(e.ids, "<u4").tobytes()
-        for c, (core, tail) in zip(chunks, parts):
-            self.memo[c] = self.cores[core] + (self.cores[tail] if tail else b"")
+            core, tail = (c[:-1], c[-1]) if c[-1] in ".," else (c, "")
+            if core.isalpha():
+                parts.append((core.lower() if core.isascii() or max(core) < "\u0100" else core, tail))
+            else:
+                parts.append((c, ""))
+        cores, tails = zip(*parts)
+        if new := list({*cores, *tails}.difference(self.cores)):
+            found = self.model.encode_batch_fast(new, add_special_tokens=False)
+            self.cores.update(zip(new, [array("I", e.ids).tobytes() for e in found]))
+        get = self.cores.__getitem__
+        self.memo.update(zip(chunks, map(add, map(get, cores), map(get, tails))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MOST_MEMO:
             self.memo = {"": b""}
         if len(self.cores) > MOST_MEMO:
-            self.cores = {}
-        out = []
-        for text in texts:
-            own, at = [], 0
-            while at < len(text):
-                end = at + PIECE
-                if end < len(text):  # a piece ends at a blank; without one it grows
-                    cut = text.rfind(" ", at, end)
-                    end = cut if cut > at else next((i for i in (text.find(" ", end),) if i > 0), len(text))
-                words = text[at:end].replace("\n", " ").split(" ")
-                todo = [w for w in set(words) if w not in self.memo]
-                if todo:
-                    self._learn(todo)
-                own.append(b"".join(map(self.memo.__getitem__, words)))
-                at = end
-            out.append(b"".join(own))
-        return out
+            self.cores = {"": b""}
+        gc.disable()  # millions of strings come and go, none of them in a cycle
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").split(" ") for text in texts if len(text) <= PIECE]
+        if todo := set().union(*split).difference(self.memo):
+            self._learn(list(todo))
+        get, short = self.memo.__getitem__, iter(split)
+        return [b"".join(map(get, next(short))) if len(text) <= PIECE else self._encode_long(text) for text in texts]
+
+    def _encode_long(self, text: str) -> bytes:
+        own, at = [], 0
+        while at < len(text):
+            end = at + PIECE
+            if end < len(text):  # a piece ends at a blank; without one it grows
+                cut = text.rfind(" ", at, end)
+                end = cut if cut > at else next((i for i in (text.find(" ", end),) if i > 0), len(text))
+            words = text[at:end].replace("\n", " ").split(" ")
+            if todo := set(words).difference(self.memo):
+                self._learn(list(todo))
+            own.append(b"".join(map(self.memo.__getitem__, words)))
+            at = end
+        return b"".join(own)
 
 
 _encoders: dict[str, Encoder] = {}
