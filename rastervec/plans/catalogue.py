@@ -1,10 +1,493 @@
-"""Named queries over the test tables, each with SQL that gives the same rows."""
+"""Named queries over the test tables, each with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rastervec.functions import geometry as G
+from rastervec.functions import spectral
+from rastervec.functions.numeric import to_fixed
+from rastervec.functions.simplify import simplified
+from rastervec.operators import components as C
+from rastervec.operators import export as X
+from rastervec.operators import features as O
+from rastervec.operators import pixels as P
+from rastervec.schema import LAYERS, layers
+from rastervec.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, and SQL with the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- views in SQL ----
+
+_PX = """WITH px0 AS (SELECT (event_id % 100)::INT AS x, (event_id // 100)::INT AS y, (((floor(value * 7)::BIGINT % 256) + 256) % 256)::INT AS r, ((event_id * 37 + user_id * 11) % 256)::INT AS g, ((event_id * 101 + user_id * 29) % 256)::INT AS b FROM events),
+px AS (SELECT *, r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE AS lum, CASE WHEN greatest(r, g, b) = 0 THEN 0::DOUBLE ELSE (greatest(r, g, b) - least(r, g, b))::DOUBLE / greatest(r, g, b) END AS sat FROM px0),
+gp AS (SELECT x, y, floor(lum + 0.5::DOUBLE)::INT AS gray FROM px)"""
+_PG = f"""WITH pg AS (SELECT vec_id AS id, {list(A.LAYER_OF_LABEL)!r}[label % 10 + 1] AS layer, list_transform(range(0, 32), lambda i: {{'x': embedding[2 * i + 1]::DOUBLE * 1000, 'y': embedding[2 * i + 2]::DOUBLE * 1000}}) AS p FROM embeddings)"""
+_FT = """WITH pl AS (SELECT l_orderkey AS id, list({'x': l_quantity::DOUBLE, 'y': l_extendedprice::DOUBLE / 1000} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS p FROM lineitem GROUP BY l_orderkey),
+ft AS (SELECT id, id AS seq, CASE o_orderpriority WHEN '1-URGENT' THEN 'BUILDINGS' WHEN '2-HIGH' THEN 'PARCELS' WHEN '3-MEDIUM' THEN 'ROADS' WHEN '4-NOT SPECIFIED' THEN 'WATER' WHEN '5-LOW' THEN 'SURVEY' ELSE 'OTHER' END AS layer, o_orderstatus = 'F' AS closed,
+  CASE len(p) WHEN 1 THEN 'POINT' WHEN 2 THEN 'LINE' ELSE 'LWPOLYLINE' END AS kind, 80::DOUBLE + id % 20 AS confidence, p FROM orders JOIN pl ON o_orderkey = id),
+edges AS (SELECT id, i, p[i] AS a, p[i + 1] AS b FROM (SELECT id, p, unnest(range(1, len(p))) AS i FROM ft)),
+ly(name, color, aci, lineweight, linetype) AS (VALUES """ + ", ".join(f"('{n}', '{c}', {a}, {w}::DOUBLE, '{t}')" for n, c, a, w, t in LAYERS) + ")"
+_AREA = "coalesce(abs(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].x * p[i % len(p) + 1].y - p[i % len(p) + 1].x * p[i].y))) / 2, 0)"
+_CLASS = """CASE WHEN {w} AND NOT dim AND b > r + 15 AND b > g - 12 AND lum < 140 THEN 4 WHEN {t} AND NOT dim AND (2 * g - r - b > 12 OR (g > r + 12 AND g > b + 12 AND sat > 0.15::DOUBLE)) THEN 3 WHEN NOT dim AND sat < 0.12::DOUBLE AND lum > 42 AND lum < 160 THEN 2
+ WHEN (r > 115 AND r > g + 22 AND r > b + 22) OR (lum > 165 AND sat < 0.25::DOUBLE) OR (lum > 25 AND lum < 48 AND sat < 0.18::DOUBLE AND NOT dim) OR (sat < 0.15::DOUBLE AND lum > 80 AND lum < 155 AND abs(r - b) < 12) THEN 1 WHEN g > b AND g > r AND sat > 0.08::DOUBLE THEN 5 ELSE 0 END"""
+_FIX = "CASE WHEN {v} * 8 = floor({v} * 8) THEN printf('%.2f', {v} + sign({v}) * 0.001::DOUBLE) ELSE printf('%.2f', {v}) END"
+
+
+# ---- pixels ----
+
+
+@query(f"{_PX} SELECT (floor(lum / 16))::BIGINT AS bin, count(*)::BIGINT AS n FROM px GROUP BY 1")
+def luminance_hist(spark, sf):
+    return A.pixels(spark, sf).groupBy(F.floor(spectral.luminance() / 16).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_PX} SELECT y, round(avg(sat), 6) AS mean_saturation, round(max(sat), 6) AS max_saturation FROM px GROUP BY y")
+def saturation_stats(spark, sf):
+    return A.pixels(spark, sf).groupBy("y").agg(F.round(F.avg(spectral.saturation()), 6).alias("mean_saturation"), F.round(F.max(spectral.saturation()), 6).alias("max_saturation"))
+
+
+@query(f"{_PX} SELECT y, sum(2 * g - r - b)::BIGINT AS excess FROM px GROUP BY y")
+def excess_green(spark, sf):
+    return A.pixels(spark, sf).groupBy("y").agg(F.sum(spectral.excess_green()).alias("excess"))
+
+
+@query(f"{_PX} SELECT x, y FROM px WHERE lum < 45 AND b > r + 8")
+def shadow_mask(spark, sf):
+    return A.pixels(spark, sf).where(spectral.shadow()).select("x", "y")
+
+
+@query(f"{_PX} SELECT x, y, floor(lum + 0.5::DOUBLE)::INT AS gray, floor(255 - lum + 0.5::DOUBLE)::INT AS inverted FROM px")
+def gray_plane(spark, sf):
+    return A.pixels(spark, sf).select("x", "y", spectral.gray().alias("gray"), spectral.gray(True).alias("inverted"))
+
+
+def _classes(**gates):
+    w, t = str(gates.get("water", True)).upper(), str(gates.get("trees", True)).upper()
+    return f"{_PX} SELECT x, y, {_CLASS.format(w=w, t=t)} AS class FROM (SELECT *, lum < 45 AND b > r + 8 AS dim FROM px)"
+
+
+@query(_classes())
+def classify_pixels(spark, sf):
+    return A.pixels(spark, sf).select("x", "y", spectral.surface().alias("class"))
+
+
+@query(_classes(water=False))
+def classify_no_water(spark, sf):
+    return A.pixels(spark, sf).select("x", "y", spectral.surface(water=False).alias("class"))
+
+
+@query(_classes(trees=False))
+def classify_no_tree(spark, sf):
+    return A.pixels(spark, sf).select("x", "y", spectral.surface(trees=False).alias("class"))
+
+
+_EDGES = """here AS (SELECT a.x, a.y, (b.r + b.g + b.b) / 3::DOUBLE - (a.r + a.g + a.b) / 3::DOUBLE AS gx, (c.r + c.g + c.b) / 3::DOUBLE - (a.r + a.g + a.b) / 3::DOUBLE AS gy FROM px a JOIN px b ON b.x = a.x + 1 AND b.y = a.y JOIN px c ON c.x = a.x AND c.y = a.y + 1 WHERE a.x % 4 = 1 AND a.y % 4 = 1),
+es AS (SELECT count(*) FILTER (abs(gx) + abs(gy) > 35)::BIGINT AS edges, count(*) FILTER (abs(gx) + abs(gy) > 35 AND (abs(gx) < 6 OR abs(gy) < 6))::BIGINT AS upright, (SELECT count(*) FROM px) AS n FROM here),
+ed AS (SELECT edges, least(1, edges * 16 / (n * 0.4::DOUBLE)) AS density, CASE WHEN edges > 0 THEN upright / edges ELSE 0 END AS orthogonal FROM es)"""
+
+
+@query(f"{_PX}, {_EDGES} SELECT edges, round(density, 6) AS density, round(orthogonal, 6) AS orthogonal FROM ed")
+def edge_orientation(spark, sf):
+    return P.edge_statistics(A.pixels(spark, sf)).select("edges", F.round("density", 6).alias("density"), F.round("orthogonal", 6).alias("orthogonal"))
+
+
+@query(f"""{_PX}, {_EDGES}, s AS (SELECT count(*) AS n_pixels, avg(sat) AS mean_saturation, avg((b > 100 AND b > r + 30 AND b > g + 20 AND lum < 140)::INT) AS blueprint, avg(((lum < 40 OR lum > 220) AND sat < 0.15::DOUBLE)::INT) AS bw,
+ avg((g > r + 15 AND g > b + 15 AND sat > 0.2::DOUBLE)::INT) AS veg, avg((sat < 0.12::DOUBLE AND lum > 40 AND lum < 160)::INT) AS asphalt, avg((r > 130 AND r > g + 25 AND r > b + 25)::INT) AS roof FROM px),
+k AS (SELECT *, CASE WHEN blueprint > 0.35 THEN 'CAD_SCAN_BLUEPRINT' WHEN bw > 0.65 AND mean_saturation < 0.08 THEN CASE WHEN orthogonal > 0.45 THEN 'ARCHITECTURAL_DRAWING' ELSE 'BLACK_WHITE_LINE' END WHEN veg > 0.08 OR roof > 0.03 OR asphalt > 0.15 THEN CASE WHEN density > 0.35 AND (roof > 0.02 OR asphalt > 0.1) THEN 'AERIAL_DRONE' ELSE 'SATELLITE' END WHEN mean_saturation > 0.25 AND orthogonal > 0.3 THEN 'URBAN_CADASTRAL' ELSE 'GENERAL_IMAGE' END AS kind FROM s, ed)
+SELECT n_pixels, round(mean_saturation, 6) AS mean_saturation, round(blueprint, 6) AS blueprint, round(bw, 6) AS black_white, round(veg, 6) AS vegetation, round(asphalt, 6) AS asphalt, round(roof, 6) AS roof, kind FROM k""")
+def image_analysis(spark, sf):
+    return P.image_analysis(A.pixels(spark, sf)).select("n_pixels", *(F.round(c, 6).alias(c) for c in ("mean_saturation", "blueprint", "black_white", "vegetation", "asphalt", "roof")), "kind")
+
+
+@query(f"{_PX}, steps AS (SELECT x, lum, abs(lum - lag(lum) OVER (ORDER BY y, x)) AS step FROM px) SELECT round(avg(lum), 6) AS mean_luma, round(least(1, sum(step) / (count(*) * 255)), 6) AS edge, max(x) + 1 AS width, count(*) / 1e6::DOUBLE AS megapixels FROM steps")
+def native_luma_stats(spark, sf):
+    return P.luma_stats(A.pixels(spark, sf)).select(F.round("mean_luma", 6).alias("mean_luma"), F.round("edge", 6).alias("edge"), "width", "megapixels")
+
+
+def _gray(spark, sf):
+    return A.pixels(spark, sf).select("image_id", "x", "y", spectral.gray().alias("gray"))
+
+
+@query(f"{_PX}, rows AS (SELECT x, y, sum(gray) OVER w AS s, sum(gray * gray) OVER w AS q FROM gp WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT x, y, (sum(s) OVER w)::BIGINT AS total, (sum(q) OVER w)::BIGINT AS total_squares FROM rows WINDOW w AS (PARTITION BY x ORDER BY y)")
+def integral_image(spark, sf):
+    return P.integral_image(_gray(spark, sf), "gray").select("x", "y", "total", "total_squares")
+
+
+def _box(r):
+    return f"boxes0 AS (SELECT x, y, gray, count(*) OVER w AS n, sum(gray) OVER w AS s, sum(gray * gray) OVER w AS q FROM gp WINDOW w AS (PARTITION BY y ORDER BY x ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING)), boxes AS (SELECT x, y, gray, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM boxes0 WINDOW w AS (PARTITION BY x ORDER BY y ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING))"
+
+
+@query(f"{_PX}, {_box(2)} SELECT x, y, n::BIGINT AS n, s::BIGINT AS total, q::BIGINT AS total_squares FROM boxes")
+def box_sum_5x5(spark, sf):
+    return P.box_sums(_gray(spark, sf), "gray", 2).select("x", "y", "n", "total", "total_squares")
+
+
+@query(f"{_PX}, {_box(14)} SELECT x, y, (gray < m * (1 + 0.22::DOUBLE * (sqrt(greatest(0, q::DOUBLE / n::DOUBLE - m * m)) / 128 - 1)))::INT AS bit FROM (SELECT *, s::DOUBLE / n::DOUBLE AS m FROM boxes)")
+def sauvola(spark, sf):
+    return P.sauvola(_gray(spark, sf), radius=14, k=0.22).select("x", "y", "bit")
+
+
+_MASK = "mask AS (SELECT x, y, (gray >= 128)::INT AS bit FROM gp)"
+
+
+def _cross(name, source, f):
+    return f"{name} AS (SELECT x, y, coalesce({f}(bit + 0 * (l + r + u + d), l, r, u, d), 0) * (CASE WHEN l IS NULL OR r IS NULL OR u IS NULL OR d IS NULL THEN 0 ELSE 1 END) AS bit FROM (SELECT *, lag(bit) OVER h AS l, lead(bit) OVER h AS r, lag(bit) OVER v AS u, lead(bit) OVER v AS d FROM {source} WINDOW h AS (PARTITION BY y ORDER BY x), v AS (PARTITION BY x ORDER BY y)))"
+
+
+def _mask(spark, sf):
+    return _gray(spark, sf).select("image_id", "x", "y", (F.col("gray") >= 128).cast("int").alias("bit"))
+
+
+@query(f"{_PX}, {_MASK}, {_cross('m1', 'mask', 'greatest')} SELECT x, y, bit FROM m1")
+def dilate(spark, sf):
+    return P.dilated(_mask(spark, sf)).select("x", "y", "bit")
+
+
+@query(f"{_PX}, {_MASK}, {_cross('m1', 'mask', 'least')} SELECT x, y, bit FROM m1")
+def erode(spark, sf):
+    return P.eroded(_mask(spark, sf)).select("x", "y", "bit")
+
+
+@query(f"{_PX}, {_MASK}, {_cross('m1', 'mask', 'greatest')}, {_cross('m2', 'm1', 'least')} SELECT x, y, bit FROM m2")
+def morph_close(spark, sf):
+    return P.closed(_mask(spark, sf)).select("x", "y", "bit")
+
+
+@query(f"""{_PX}, s0 AS (SELECT x, y, lum, lag(lum) OVER h AS l, lead(lum) OVER h AS r FROM px WINDOW h AS (PARTITION BY y ORDER BY x)),
+s1 AS (SELECT x, y, (lead(r) OVER v + lag(r) OVER v + 2 * r) - (lag(l) OVER v + 2 * l + lead(l) OVER v) AS gx, (lead(l) OVER v + 2 * lead(lum) OVER v + lead(r) OVER v) - (lag(l) OVER v + 2 * lag(lum) OVER v + lag(r) OVER v) AS gy FROM s0 WINDOW v AS (PARTITION BY x ORDER BY y))
+SELECT x, y, round(coalesce(sqrt(gx * gx + gy * gy), 0)::FLOAT::DOUBLE, 2) AS gradient FROM s1""")
+def sobel(spark, sf):
+    return P.sobel(A.pixels(spark, sf)).select("x", "y", F.round(F.col("gradient").cast("double"), 2).alias("gradient"))
+
+
+@query(f"""{_PX}, h AS (SELECT *, max(gray) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m0 FROM gp), v AS (SELECT *, max(m0) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m FROM h), z AS (SELECT max(gray) AS top, max(x) AS w, max(y) AS h FROM gp)
+SELECT x, y, gray FROM v, z WHERE x >= 4 AND y >= 4 AND x % 2 = 0 AND y % 2 = 0 AND x <= w - 4 AND y <= z.h - 4 AND gray >= greatest(3, top * 0.35::DOUBLE) AND m <= gray""")
+def peak_pixels(spark, sf):
+    return P.peaks(_gray(spark, sf), "gray").select("x", "y", "gray")
+
+
+@query()
+def bilateral_smooth(spark, sf):
+    return P.bilateral(A.pixels(spark, sf), radius=2, sigma=22.0).select("x", "y", "r", "g", "b")
+
+
+# ---- iterative operators on masks: rows only, tests hold them against plain versions ----
+
+
+def _green(spark, sf):
+    return A.pixels(spark, sf).where(spectral.surface() == 3).select("image_id", "x", "y")
+
+
+@query()
+def component_bbox(spark, sf):
+    return C.summarised(C.components(_green(spark, sf)))
+
+
+@query()
+def component_filter(spark, sf):
+    return C.summarised(C.components(_green(spark, sf)), least=15, most=400)
+
+
+@query()
+def distance_transform(spark, sf):
+    return C.chamfer(_green(spark, sf)).select("x", "y", F.round(F.col("d").cast("double"), 3).alias("d"))
+
+
+@query()
+def thinning(spark, sf):
+    rows = A.pixels(spark, sf).agg(F.max("y")).first()
+    return C.thinned(_green(spark, sf), width=A.WIDTH, height=rows[0] + 1).select("x", "y")
+
+
+# ---- geometry ----
+
+
+@query(f"{_PG} SELECT id, round({_AREA}, 4) AS area FROM pg")
+def polygon_area(spark, sf):
+    return A.polygons(spark, sf).select("id", F.round(G.area(F.col("points")), 4).alias("area"))
+
+
+@query(f"{_PG} SELECT id, round(list_sum(list_transform(range(1, len(p) + 1), lambda i: sqrt((p[i].x - p[i % len(p) + 1].x) ** 2 + (p[i].y - p[i % len(p) + 1].y) ** 2))), 4) AS perimeter FROM pg")
+def polygon_perimeter(spark, sf):
+    return A.polygons(spark, sf).select("id", F.round(G.length(F.col("points"), True), 4).alias("perimeter"))
+
+
+@query(f"{_PG} SELECT id, list_min(list_transform(p, lambda q: q.x)) AS min_x, list_min(list_transform(p, lambda q: q.y)) AS min_y, list_max(list_transform(p, lambda q: q.x)) AS max_x, list_max(list_transform(p, lambda q: q.y)) AS max_y FROM pg")
+def polygon_bbox(spark, sf):
+    return A.polygons(spark, sf).select("id", G.bounds(F.col("points")).alias("b")).select("id", "b.*")
+
+
+@query(f"""{_PG}, e AS (SELECT id, unnest(list_transform(range(1, len(p) + 1), lambda i: {{'dx': p[i % len(p) + 1].x - p[i].x, 'dy': p[i % len(p) + 1].y - p[i].y}})) AS d FROM pg), w AS (SELECT id, sqrt(d.dx * d.dx + d.dy * d.dy) AS n, 4 * atan2(d.dy, d.dx) AS t FROM e),
+s AS (SELECT id, coalesce(sum(n * sin(t)) FILTER (n >= 1), 0) AS s, coalesce(sum(n * cos(t)) FILTER (n >= 1), 0) AS c FROM w GROUP BY id), a AS (SELECT id, atan2(s, c) / 4 AS a FROM s) SELECT id, round(CASE WHEN a < 0 THEN a + pi() / 2 ELSE a END, 6) AS angle FROM a""")
+def orientation(spark, sf):
+    return A.polygons(spark, sf).select("id", F.round(G.orientation(F.col("points")), 6).alias("angle"))
+
+
+@query(f"{_PG}, t AS (SELECT id, p, list_sum(list_transform(range(1, len(p)), lambda i: p[i].x * p[i + 1].y - p[i + 1].x * p[i].y)) AS s FROM pg) SELECT id, s > 0 AS turned, round(CASE WHEN s > 0 THEN p[len(p)].x ELSE p[1].x END, 4) AS first_x FROM t")
+def ring_orientation(spark, sf):
+    ring = G.clockwise(F.col("points"))
+    return A.polygons(spark, sf).select("id", (ring != F.col("points")).alias("turned"), F.round(F.get(ring, F.lit(0))["x"], 4).alias("first_x"))
+
+
+@query(f"""{_PG}, q AS (SELECT id, unnest(p).x AS x, unnest(p).y AS y FROM pg), m AS (SELECT id, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM q GROUP BY id), u AS (SELECT q.id, x, y, n, mx, my, x - mx AS u, y - my AS v FROM q JOIN m USING (id)),
+s AS (SELECT id, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*u*u) AS uuu, sum(v*v*v) AS vvv, sum(u*v*v) AS uvv, sum(v*u*u) AS vuu FROM u GROUP BY id),
+c AS (SELECT *, (0.5*(uuu+uvv)*vv - 0.5*(vvv+vuu)*uv) / (uu*vv-uv*uv) AS uc, (0.5*(vvv+vuu)*uu - 0.5*(uuu+uvv)*uv) / (uu*vv-uv*uv) AS vc FROM s)
+SELECT id, round(uc + mx, 2) AS cx, round(vc + my, 2) AS cy, round(sqrt(uc*uc + vc*vc + (uu+vv)/n), 2) AS radius FROM c WHERE abs(uu*vv-uv*uv) >= 1e-7""")
+def circle_fit(spark, sf):
+    points = A.polygons(spark, sf).select("id", F.explode("points").alias("p")).select("id", "p.x", "p.y")
+    return O.circle_fit(points).select("id", *(F.round(c, 2).alias(c) for c in ("cx", "cy", "radius")))
+
+
+_GC = "WITH gc AS (SELECT s_suppkey AS id, s_suppkey::DOUBLE AS x, (s_nationkey * s_nationkey % 97)::DOUBLE AS y, s_acctbal::DOUBLE / 100000 AS e FROM supplier), wc AS (SELECT id, x, y, x * 0.5::DOUBLE + y * 0.25::DOUBLE + 100 + e AS u, x * -0.25::DOUBLE + y * 0.75::DOUBLE + 50 - e AS v FROM gc), cm AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, u) AS xu, covar_pop(y, u) AS yu, covar_pop(x, v) AS xv, covar_pop(y, v) AS yv FROM wc), lm AS (SELECT *, (xu*yy - yu*xy)/(xx*yy-xy*xy) AS a, (yu*xx - xu*xy)/(xx*yy-xy*xy) AS b, (xv*yy - yv*xy)/(xx*yy-xy*xy) AS d, (yv*xx - xv*xy)/(xx*yy-xy*xy) AS e FROM cm), af AS (SELECT n, a, b, mu - a*mx - b*my AS c, d, e, mv - d*mx - e*my AS f FROM lm)"
+
+
+@query(f"{_GC} SELECT round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c, round(d, 4) AS d, round(e, 4) AS e, round(f, 4) AS f, (SELECT round(sqrt(avg((a*x+b*y+c-u)**2 + (d*x+e*y+f-v)**2)), 4) FROM wc) AS rmse FROM af")
+def affine_fit(spark, sf):
+    return O.affine_fit(A.control_points(spark, sf)).select(*(F.round(c, 4).alias(c) for c in (*"abcdef", "rmse")))
+
+
+@query(f"{_GC} SELECT id, round(x * 0.5::DOUBLE + y * 0.25::DOUBLE + 100, 6) AS x, round(x * -0.25::DOUBLE + y * 0.75::DOUBLE + 50, 6) AS y FROM gc")
+def affine_apply(spark, sf):
+    at = G.affine(G.point(F.col("pixel_x"), F.col("pixel_y")), [0.5, 0.25, 100.0, -0.25, 0.75, 50.0])
+    return A.control_points(spark, sf).select("id", at.alias("p")).select("id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+_SEGD = "CASE WHEN ({b}.x-{a}.x)**2 + ({b}.y-{a}.y)**2 = 0 THEN sqrt(({p}.x-{a}.x)**2 + ({p}.y-{a}.y)**2) ELSE sqrt(({p}.x - ({a}.x + {t} * ({b}.x-{a}.x)))**2 + ({p}.y - ({a}.y + {t} * ({b}.y-{a}.y)))**2) END"
+
+
+def _segd(p, a, b):
+    t = f"greatest(0, least(1, (({p}.x-{a}.x)*({b}.x-{a}.x) + ({p}.y-{a}.y)*({b}.y-{a}.y)) / nullif(({b}.x-{a}.x)**2 + ({b}.y-{a}.y)**2, 0)))"
+    return _SEGD.format(p=p, a=a, b=b, t=t)
+
+
+@query(f"{_FT} SELECT id, (i - 1)::INT AS i, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2), 4) AS length FROM edges")
+def segments(spark, sf):
+    e = A.features(spark, sf).select("id", F.posexplode(G.edges(F.col("points"), False)).alias("i", "e"))
+    return e.select("id", "i", F.round(G.distance(F.col("e.a"), F.col("e.b")), 4).alias("length"))
+
+
+@query(f"{_PG} SELECT id, round({_segd('p[2]', 'p[1]', 'p[3]')}, 4) AS distance FROM pg")
+def segment_distance(spark, sf):
+    p = [F.get("points", F.lit(i)) for i in range(3)]
+    return A.polygons(spark, sf).select("id", F.round(G.segment_distance(p[1], p[0], p[2]), 4).alias("distance"))
+
+
+@query(f"{_PG}, t AS (SELECT id, p, (p[1].x-p[2].x)*(p[3].y-p[4].y) - (p[1].y-p[2].y)*(p[3].x-p[4].x) AS d FROM pg), u AS (SELECT id, p, ((p[1].x-p[3].x)*(p[3].y-p[4].y) - (p[1].y-p[3].y)*(p[3].x-p[4].x)) / d AS t FROM t WHERE abs(d) >= 1) SELECT id, round(p[1].x + t*(p[2].x-p[1].x), 2) AS x, round(p[1].y + t*(p[2].y-p[1].y), 2) AS y FROM u")
+def line_intersection(spark, sf):
+    p = [F.get("points", F.lit(i)) for i in range(4)]
+    det = (p[0]["x"] - p[1]["x"]) * (p[2]["y"] - p[3]["y"]) - (p[0]["y"] - p[1]["y"]) * (p[2]["x"] - p[3]["x"])
+    rows = A.polygons(spark, sf).where(F.abs(det) >= 1).select("id", G.intersection(*p).alias("q"))
+    return rows.select("id", F.round("q.x", 2).alias("x"), F.round("q.y", 2).alias("y"))
+
+
+@query()
+def rdp_simplify(spark, sf):
+    return A.polygons(spark, sf).select("id", F.size(simplified(F.col("points"), 40.0)).alias("n"))
+
+
+@query(f"{_FT} SELECT id, len(list_reduce(list_transform(p, lambda q: [q]), lambda k, q: CASE WHEN sqrt((q[1].x - k[-1].x)**2 + (q[1].y - k[-1].y)**2) >= 1 THEN list_concat(k, q) ELSE k END))::INT AS n FROM ft")
+def dedup_vertices(spark, sf):
+    return A.features(spark, sf).select("id", F.size(G.deduplicated(F.col("points"))).alias("n"))
+
+
+@query()
+def merge_collinear(spark, sf):
+    return A.features(spark, sf).select("id", F.size(G.without_collinear(F.col("points"))).alias("n"))
+
+
+_INSIDE = "len(list_filter(range(1, len(p) + 1), lambda i: (p[i].y > {y}) != (p[i % len(p) + 1].y > {y}) AND {x} < (p[i % len(p) + 1].x - p[i].x) * ({y} - p[i].y) / (p[i % len(p) + 1].y - p[i].y) + p[i].x)) % 2 = 1"
+
+
+@query(f"{_PG} SELECT id, {_INSIDE.format(x='0', y='0')} AS inside FROM pg")
+def point_in_polygon(spark, sf):
+    return A.polygons(spark, sf).select("id", G.contains(F.col("points"), G.point(F.lit(0.0), F.lit(0.0))).alias("inside"))
+
+
+_PICKS = "picks AS (SELECT c_custkey AS pick, (c_custkey % 50)::DOUBLE + 0.5::DOUBLE AS x, (c_custkey // 50 % 100)::DOUBLE + 0.25::DOUBLE AS y FROM customer WHERE c_custkey % 100 = 0)"
+
+
+def _picks(spark, sf):
+    c = A.table(spark, sf, "customer").where("c_custkey % 100 = 0")
+    return c.select(F.col("c_custkey").alias("pick"), ((F.col("c_custkey") % 50).cast("double") + 0.5).alias("x"), (F.expr("c_custkey div 50") % 100).cast("double").alias("y")).withColumn("y", F.col("y") + 0.25)
+
+
+@query(f"{_FT}, {_PICKS}, hits AS (SELECT pick, id, seq FROM ft, picks WHERE closed AND len(p) >= 3 AND {_INSIDE.format(x='picks.x', y='picks.y')} UNION ALL SELECT pick, id, id FROM edges, picks WHERE {_segd('picks', 'a', 'b')} <= 0.5::DOUBLE) SELECT pick, max_by(id, seq) AS id FROM hits GROUP BY pick")
+def spatial_pick(spark, sf):
+    return O.picked(A.features(spark, sf), _picks(spark, sf), tolerance=0.5, cell=25.0)
+
+
+@query(f"{_FT}, {_PICKS} SELECT pick, max(id) AS id FROM edges, picks WHERE {_segd('picks', 'a', 'b')} <= 1.5::DOUBLE GROUP BY pick")
+def hover_pick(spark, sf):
+    return O.picked(A.features(spark, sf), _picks(spark, sf), tolerance=1.5, cell=25.0, interior=False)
+
+
+@query("SELECT s_suppkey AS id, round(sqrt((s_suppkey + 3)::DOUBLE ** 2 + 16), 1) AS pixel_distance, round(10 * 0.3048::DOUBLE / sqrt((s_suppkey + 3)::DOUBLE ** 2 + 16), 4) AS metres_per_pixel FROM supplier")
+def calibrate(spark, sf):
+    s = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("s_suppkey") + 3).cast("double").alias("x2"), F.lit(4.0).alias("y2"), F.lit(10.0).alias("known"), F.lit("ft").alias("unit"))
+    return O.calibrated(s)
+
+
+# ---- features ----
+
+
+@query(f"{_FT}, a AS (SELECT layer, {_AREA} AS area FROM ft), s AS (SELECT layer, count(*) AS features, sum(area) AS area FROM a GROUP BY layer) SELECT name, coalesce(features, 0)::BIGINT AS features, round(coalesce(area, 0), 2) AS area FROM ly LEFT JOIN s ON layer = name WHERE features > 0 OR name IN ('BUILDINGS', 'ROADS', 'PARCELS')")
+def layer_rollup(spark, sf):
+    return O.layer_rollup(A.features(spark, sf), layers(spark)).select("name", "features", F.round("area", 2).alias("area"))
+
+
+@query(f"{_FT} SELECT id, layer, color FROM ft LEFT JOIN ly ON layer = name")
+def layer_outer_join(spark, sf):
+    return O.styled(A.features(spark, sf), layers(spark)).select("id", "layer", "color")
+
+
+@query(f"{_FT} SELECT id, layer, color FROM ft JOIN ly ON layer = name")
+def layer_inner_join(spark, sf):
+    return O.styled(A.features(spark, sf), layers(spark), how="inner").select("id", "layer", "color")
+
+
+@query(f"{_FT} SELECT id FROM ft WHERE layer <> 'WATER'")
+def visible_features(spark, sf):
+    return O.visible(A.features(spark, sf), layers(spark).withColumn("visible", F.col("name") != "WATER")).select("id")
+
+
+_ISSUES = """near AS (SELECT id, min(i) - 1 AS pos FROM edges WHERE sqrt((a.x-b.x)**2 + (a.y-b.y)**2) < 0.7::DOUBLE GROUP BY id), len AS (SELECT ft.id, sum(sqrt((a.x-b.x)**2 + (a.y-b.y)**2)) + any_value(CASE WHEN closed AND len(p) > 2 THEN sqrt((p[1].x-p[-1].x)**2 + (p[1].y-p[-1].y)**2) ELSE 0 END) AS n FROM ft JOIN edges USING (id) GROUP BY ft.id),
+issues AS (SELECT id, layer, 'UNCLOSED_POLYGON' AS kind, 'ERROR' AS severity, 0 AS at FROM ft WHERE layer IN ('BUILDINGS', 'PARCELS') AND NOT closed UNION ALL SELECT id, layer, 'DUPLICATE_VERTICES', 'WARNING', pos::INT FROM ft JOIN near USING (id) UNION ALL SELECT id, layer, 'ZERO_LENGTH', 'ERROR', 0 FROM ft JOIN len USING (id) WHERE n < 1)"""
+
+
+@query(f"{_FT}, {_ISSUES} SELECT * FROM issues")
+def topology_issues(spark, sf):
+    return O.topology_issues(A.features(spark, sf))
+
+
+@query(f"{_FT}, {_ISSUES} SELECT kind, severity, count(*)::BIGINT AS n FROM issues GROUP BY ALL")
+def issue_summary(spark, sf):
+    return O.topology_issues(A.features(spark, sf)).groupBy("kind", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"{_FT}, {_ISSUES} SELECT id, layer FROM ft WHERE id IN (SELECT id FROM issues)")
+def features_with_issues(spark, sf):
+    f = A.features(spark, sf)
+    return f.join(O.topology_issues(f).select("id"), "id", "left_semi").select("id", "layer")
+
+
+@query(f"{_FT}, {_ISSUES} SELECT id, layer FROM ft WHERE id NOT IN (SELECT id FROM issues)")
+def features_clean(spark, sf):
+    f = A.features(spark, sf)
+    return f.join(O.topology_issues(f).select("id"), "id", "left_anti").select("id", "layer")
+
+
+@query()
+def topology_autofix(spark, sf):
+    return O.topology_repaired(A.features(spark, sf)).select("id", "is_closed", "modified", F.size("points").alias("n"), "area", "length")
+
+
+@query(f"{_FT}, every AS (SELECT name, aci, lineweight, linetype, 0 AS k FROM ly UNION ALL SELECT DISTINCT layer, 7, 0.25::DOUBLE, 'CONTINUOUS', 1 FROM ft UNION ALL SELECT '0', 7, 0.25::DOUBLE, 'CONTINUOUS', 2) SELECT name AS safe, name, aci, lineweight, linetype FROM every QUALIFY row_number() OVER (PARTITION BY name ORDER BY k) = 1")
+def layer_registry(spark, sf):
+    return O.layer_registry(A.features(spark, sf), layers(spark))
+
+
+@query(r"""SELECT DISTINCT event_type AS name, CASE WHEN trim(s) = '' THEN '0' ELSE trim(s) END AS safe FROM (SELECT event_type, regexp_replace(event_type || '/a:b*' || props, '[<>/\\":;?*|=,]', '_', 'g') AS s FROM (SELECT DISTINCT event_type, props[1:10] AS props FROM events))""")
+def safe_layer_name(spark, sf):
+    e = A.table(spark, sf, "events").select("event_type", F.substring("props", 1, 10).alias("props")).distinct()
+    return e.select(F.col("event_type").alias("name"), O.safe_layer_name(F.concat("event_type", F.lit("/a:b*"), "props")).alias("safe")).distinct()
+
+
+@query(f"{_FT} SELECT shape, count(*)::BIGINT AS n FROM (SELECT CASE WHEN closed AND len(p) >= 3 THEN 'polygons' WHEN NOT closed AND len(p) >= 2 THEN 'lines' WHEN kind IN ('POINT', 'CIRCLE') THEN 'points' END AS shape FROM ft) GROUP BY shape")
+def export_sets(spark, sf):
+    return X.export_set(A.features(spark, sf)).groupBy("shape").agg(F.count("*").alias("n"))
+
+
+_WKT = f"list_transform(q, lambda z: ({_FIX.format(v='z.x')}) || ' ' || ({_FIX.format(v='z.y')}))"
+
+
+@query(f"""{_FT}, g AS (SELECT *, CASE WHEN kind = 'POINT' THEN 'POINT(' WHEN closed AND len(p) >= 3 THEN 'POLYGON((' ELSE 'LINESTRING(' END AS head, CASE WHEN closed AND len(p) >= 3 THEN list_append(p, p[1]) ELSE p END AS q FROM ft)
+SELECT seq, id || ',' || layer || ',,' || kind || ',' || printf('%.2f', confidence) || ',0.00,0.00,' || len(p) || ',"' || head || array_to_string({_WKT}, ', ') || CASE WHEN head LIKE 'POLY%' THEN '))' ELSE ')' END || '"' AS line FROM g""")
+def export_csv(spark, sf):
+    return X.csv_lines(A.features(spark, sf))
+
+
+@query()
+def export_geojson(spark, sf):
+    return X.geojson_parts(A.features(spark, sf))
+
+
+@query()
+def export_kml(spark, sf):
+    return X.kml_parts(A.features(spark, sf))
+
+
+@query()
+def export_svg(spark, sf):
+    return X.svg_parts(A.features(spark, sf), layers(spark))
+
+
+@query()
+def export_dxf_entities(spark, sf):
+    return X.dxf_entities(A.features(spark, sf))
+
+
+@query(f"{_FT} SELECT min(list_min(list_transform(p, lambda q: q.x))) AS min_x, min(list_min(list_transform(p, lambda q: q.y))) AS min_y, max(list_max(list_transform(p, lambda q: q.x))) AS max_x, max(list_max(list_transform(p, lambda q: q.y))) AS max_y FROM ft")
+def dxf_extents(spark, sf):
+    return X.extents(A.features(spark, sf))
+
+
+@query(f"{_FT} SELECT seq, ' ' || rpad(id::VARCHAR, 16, ' ') || rpad(layer, 20, ' ') || repeat(' ', 24) || lpad(printf('%.2f', confidence), 6, ' ') || lpad('0.00', 12, ' ') || lpad('0.00', 12, ' ') AS record FROM ft")
+def dbf_rows(spark, sf):
+    return X.dbf_records(A.features(spark, sf))
+
+
+_LOG = "lg AS (SELECT event_id % 7 AS version, user_id AS id, max_by(event_type, event_id) AS layer, bool_or(event_id % 11 = 0) AS deleted FROM events GROUP BY 1, 2)"
+
+
+def _log(spark, sf):
+    e = A.table(spark, sf, "events")
+    return e.groupBy((F.col("event_id") % 7).alias("version"), F.col("user_id").alias("id")).agg(F.max_by("event_type", "event_id").alias("layer"), F.bool_or(F.col("event_id") % 11 == 0).alias("deleted"))
+
+
+@query(f"WITH {_LOG}, last AS (SELECT * FROM lg WHERE version <= 4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1) SELECT id, version, layer FROM last WHERE NOT deleted")
+def edit_log_undo(spark, sf):
+    return O.at_version(_log(spark, sf), 4).select("id", "version", "layer")
+
+
+@query(f"{_FT} SELECT id, layer FROM ft WHERE id % 10 <> 0")
+def delete_feature(spark, sf):
+    gone = A.table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"))
+    return A.features(spark, sf).join(gone, "id", "left_anti").select("id", "layer")
+
+
+@query(f"{_FT} SELECT id, CASE WHEN layer = 'SURVEY' THEN 'OTHER' ELSE layer END AS layer FROM ft")
+def reassign_layer(spark, sf):
+    return A.features(spark, sf).select("id", F.when(F.col("layer") == "SURVEY", "OTHER").otherwise(F.col("layer")).alias("layer"))
+
+
+@query(f"{_FT} SELECT id, closed OR len(p) >= 3 AS is_closed FROM ft")
+def close_polygon(spark, sf):
+    return A.features(spark, sf).select("id", (F.col("is_closed") | (F.size("points") >= 3)).alias("is_closed"))
+
+
+@query(f"{_FT} SELECT id, round({_AREA} * 0.0025::DOUBLE, 1) AS square_metres, (floor(confidence + 0.5::DOUBLE))::BIGINT AS confidence FROM ft")
+def display_metrics(spark, sf):
+    return A.features(spark, sf).select("id", F.round(G.area(F.col("points")) * 0.0025, 1).alias("square_metres"), F.floor(F.col("confidence") + 0.5).alias("confidence"))
+
+
+@query(f"{_FT} SELECT id, {_FIX.format(v='p[1].y')} AS y FROM ft")
+def fixed_digits(spark, sf):
+    return A.features(spark, sf).select("id", to_fixed(F.get("points", F.lit(0))["y"], 2).alias("y"))
