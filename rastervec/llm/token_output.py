@@ -18,6 +18,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import suppress
 from operator import add
 
 import numpy as np
@@ -34,7 +35,7 @@ BLOCK_IDS = 1 << 20
 #: Rounds of a block, pairs replaced in a round, and how often a pair must occur.
 ROUNDS, BATCH, LEAST = 6, 1024, 24
 #: Characters of a text that are split at a time, and words kept with their ids.
-PIECE, MOST_MEMO = 1 << 20, 900_000
+PIECE, MOST_MEMO = 1 << 20, 600_000
 MAGIC, HEADER = b"RPG1", "<4s4I2Q"
 BLOCKS = "part int, block int, doc_ids array<long>, n_tokens array<long>, n_ids long, payload binary"
 
@@ -77,11 +78,27 @@ class Encoder:
             gc.enable()
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts if len(text) <= PIECE]
-        if todo := set().union(*split).difference(self.memo):
+        get, rows, todo = self.memo.get, [], set()
+        for text in texts:
+            if len(text) > PIECE:
+                rows.append((text, None, ()))
+                continue
+            words = text.replace("\n", " ").split(" ")
+            found, gaps, at = list(map(get, words)), [], -1
+            with suppress(ValueError):  # index() finds no more
+                while True:
+                    at = found.index(None, at + 1)
+                    gaps.append(at)
+                    todo.add(words[at])
+            rows.append((words, found, gaps))
+        if todo:
             self._learn(list(todo))
-        get, short = self.memo.__getitem__, iter(split)
-        return [b"".join(map(get, next(short))) if len(text) <= PIECE else self._encode_long(text) for text in texts]
+        out = []
+        for words, found, gaps in rows:
+            for i in gaps:
+                found[i] = self.memo[words[i]]
+            out.append(b"".join(found) if found is not None else self._encode_long(words))
+        return out
 
     def _encode_long(self, text: str) -> bytes:
         own, at = [], 0
@@ -129,11 +146,12 @@ def compress(ids: np.ndarray, first: int, *, rounds: int = ROUNDS, batch: int =
         often = often[np.argsort(-n[often], kind="stable")[:room]][::-1]
         chosen = ordered[edge[often]]
         # a table by hash; of pairs with one slot the more frequent is replaced in this round
-        table, number = np.zeros(1 << 16, kind), np.full(1 << 16, -1)
+        table, number = np.zeros(1 << 16, kind), np.zeros(1 << 16, np.int64)
+        table[0] = 1  # an empty slot holds a key of another slot: 0 belongs to slot 0, 1 doesn't
         slots = slot_of(chosen)
         table[slots], number[slots] = chosen, np.arange(len(chosen))
         slot = slot_of(keys)
-        at = np.flatnonzero((table[slot] == keys) & (number[slot] >= 0))
+        at = np.flatnonzero(table[slot] == keys)
         new = np.append(True, np.diff(at) > 1)
         begin = at[new][np.cumsum(new) - 1]
         at = at[(at - begin) % 2 == 0]  # of overlapping pairs every other one, from the left
