@@ -32,8 +32,6 @@ from rastervec.llm.common import bytes_of, ident, slices, stored, texts_of
 LEAST = 400
 #: Bytes that are hashed at a time, bytes of a block of suffix buckets, runs of a bucket.
 PIECE, BLOCK_BYTES, HEAVY = 1 << 20, 2 << 20, 2048
-#: Rows up to which a table is sent to all executors instead of shuffling the texts: at most 64 bytes each.
-MOST_SENT = 400_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -258,16 +256,11 @@ def counted_windows(shipped: DataFrame, least: int) -> DataFrame:
     return rows.join(often, ["w1", "w2"], "left_semi").select("id", "h", "lo", (F.col("lo") + least).alias("hi"))
 
 
-def _sent(rows: DataFrame, most: int = MOST_SENT) -> DataFrame:
-    """The table, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(rows) if rows.count() <= most else rows
-
-
 def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """SPAN rows (not united) of (id, h, text)."""
     every = stored(run_table(docs, least), "runs")
     several = stored(every.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
-    live = stored(every.join(_sent(several), "bucket", "left_semi"), "live")
+    live = stored(every.join(several, "bucket", "left_semi"), "live")
     kinds = stored(live.groupBy("bucket", "run").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "first", "n")).alias("one")), "kinds")
     whole = live.join(kinds.where("times > 1").select("bucket", "run"), ["bucket", "run"], "left_semi")
     spans = whole.select("id", "h", F.col("first").alias("lo"), (F.col("first") + F.col("n") + least - 1).alias("hi"))
@@ -285,10 +278,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     out = [{"bucket": r["bucket"], "id": id_, "h": h, "first": r["first"], "n": r["n"], "data": data[r["first"] : r["first"] + r["n"] + least - 1], "heavy": r["heavy"]} for r in asked[k : k + 4096]]
                     yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("heavy", pa.bool_())]))
 
-    few = wanted.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= MOST_SENT
-    asked = F.broadcast(wanted) if few else wanted
     same = [docs["id"].eqNullSafe(wanted["id"]), docs["h"] == wanted["h"]]
-    shipped = stored(docs.join(asked, same).select(docs["id"], docs["h"], "text", "runs").mapInArrow(cut, "bucket long, id long, h long, first long, n int, data binary, heavy boolean").dropDuplicates(["bucket", "id", "h", "first"]), "shipped")
+    shipped = stored(docs.join(wanted, same).select(docs["id"], docs["h"], "text", "runs").mapInArrow(cut, "bucket long, id long, h long, first long, n int, data binary, heavy boolean").dropDuplicates(["bucket", "id", "h", "first"]), "shipped")
     return spans.union(sorted_blocks(shipped.where("not heavy").drop("heavy"), least)).union(counted_windows(shipped.where("heavy").drop("heavy"), least))
 
 
@@ -305,8 +296,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     """
     rows = _rows(docs, doc_id, text)
     spans = stored(repeated_spans(rows, least).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
-    asked = F.broadcast(spans) if spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= MOST_SENT else spans
-    joined = rows.join(asked, [rows["id"].eqNullSafe(spans["id"]), rows["h"] == spans["h"]], "left").select(rows["id"], "text", "spans")
+    joined = rows.join(spans, [rows["id"].eqNullSafe(spans["id"]), rows["h"] == spans["h"]], "left").select(rows["id"], "text", "spans")
     kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
