@@ -10,8 +10,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def _folded(items: Column, step) -> Column:
     return F.aggregate(items, F.lit(0.0), step)
@@ -88,7 +86,7 @@ def segment_distance(p: Column, a: Column, b: Column) -> Column:
     """Of a point to a segment."""
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     norm = dx * dx + dy * dy
-    t = F.greatest(ZERO, F.least(F.lit(1.0), ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / norm))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / norm))
     return F.when(norm == 0, distance(p, a)).otherwise(distance(p, point(a["x"] + t * dx, a["y"] + t * dy)))
 
 

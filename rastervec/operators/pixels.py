@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 from rastervec.functions import spectral
 
-ALONG_X = Window.partitionBy("image_id", "y").orderBy("x")
-ALONG_Y = Window.partitionBy("image_id", "x").orderBy("y")
+
+def along_x():
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def along_y():
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def _ratio(test: Column) -> Column:
@@ -68,7 +73,7 @@ def luma_stats(pixels: DataFrame) -> DataFrame:
 
     The step into a row's first pixel comes from the end of the row before: that pair is joined, so no window spans an image."""
     p = pixels.select("image_id", "x", "y", spectral.luminance().alias("lum"))
-    within = p.withColumn("step", F.abs(F.col("lum") - F.lag("lum").over(ALONG_X)))
+    within = p.withColumn("step", F.abs(F.col("lum") - F.lag("lum").over(along_x())))
     sums = within.groupBy("image_id").agg(F.count("*").alias("n"), F.avg("lum").alias("mean_luma"), F.sum("step").alias("inner"), (F.max("x") + 1).alias("width"))
     ends = p.groupBy("image_id", "y").agg(F.min_by("lum", "x").alias("first"), F.max_by("lum", "x").alias("last"))
     before = ends.select("image_id", (F.col("y") + 1).alias("y"), F.col("last").alias("prior"))
@@ -82,14 +87,14 @@ def integral_image(plane: DataFrame, value: str) -> DataFrame:
     """Adds total and total_squares over all pixels up and left of each, itself included."""
     v = F.col(value).cast("long")
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = plane.withColumns({"_s": F.sum(v).over(upto(ALONG_X)), "_q": F.sum(v * v).over(upto(ALONG_X))})
-    return rows.withColumns({"total": F.sum("_s").over(upto(ALONG_Y)), "total_squares": F.sum("_q").over(upto(ALONG_Y))}).drop("_s", "_q")
+    rows = plane.withColumns({"_s": F.sum(v).over(upto(along_x())), "_q": F.sum(v * v).over(upto(along_x()))})
+    return rows.withColumns({"total": F.sum("_s").over(upto(along_y())), "total_squares": F.sum("_q").over(upto(along_y()))}).drop("_s", "_q")
 
 
 def box_sums(plane: DataFrame, value: str, radius: int) -> DataFrame:
     """Adds n, total and total_squares of the square around each pixel, cut at the borders."""
     v = F.col(value).cast("long")
-    x, y = ALONG_X.rowsBetween(-radius, radius), ALONG_Y.rowsBetween(-radius, radius)
+    x, y = along_x().rowsBetween(-radius, radius), along_y().rowsBetween(-radius, radius)
     rows = plane.withColumns({"_n": F.count("*").over(x), "_s": F.sum(v).over(x), "_q": F.sum(v * v).over(x)})
     return rows.withColumns({"n": F.sum("_n").over(y), "total": F.sum("_s").over(y), "total_squares": F.sum("_q").over(y)}).drop("_n", "_s", "_q")
 
@@ -105,7 +110,7 @@ def sauvola(plane: DataFrame, value: str = "gray", *, radius: int = 12, k: float
 
 def _cross(mask: DataFrame, fold) -> DataFrame:
     """fold() over a pixel and its four neighbours; where one is missing, 0."""
-    sides = {"_l": F.lag("bit").over(ALONG_X), "_r": F.lead("bit").over(ALONG_X), "_u": F.lag("bit").over(ALONG_Y), "_d": F.lead("bit").over(ALONG_Y)}
+    sides = {"_l": F.lag("bit").over(along_x()), "_r": F.lead("bit").over(along_x()), "_u": F.lag("bit").over(along_y()), "_d": F.lead("bit").over(along_y())}
     rows = mask.withColumns(sides)
     inner = F.col("_l").isNotNull() & F.col("_r").isNotNull() & F.col("_u").isNotNull() & F.col("_d").isNotNull()
     return rows.withColumn("bit", F.when(inner, fold("bit", *sides)).otherwise(0)).drop(*sides)
@@ -127,8 +132,8 @@ def closed(mask: DataFrame) -> DataFrame:
 def sobel(pixels: DataFrame) -> DataFrame:
     """(image_id, x, y, gradient): magnitude on luminance as 32-bit float, 0 at the border."""
     p = pixels.select("image_id", "x", "y", spectral.luminance().alias("v"))
-    p = p.withColumns({"_l": F.lag("v").over(ALONG_X), "_r": F.lead("v").over(ALONG_X)})
-    near = {f"{c}{d}": f("v" if c == "c" else f"_{c}").over(ALONG_Y) for c in "lcr" for d, f in (("u", F.lag), ("d", F.lead))}
+    p = p.withColumns({"_l": F.lag("v").over(along_x()), "_r": F.lead("v").over(along_x())})
+    near = {f"{c}{d}": f("v" if c == "c" else f"_{c}").over(along_y()) for c in "lcr" for d, f in (("u", F.lag), ("d", F.lead))}
     p = p.withColumns(near)
     c = F.col
     gx = (c("ru") + 2 * c("_r") + c("rd")) - (c("lu") + 2 * c("_l") + c("ld"))
@@ -138,8 +143,8 @@ def sobel(pixels: DataFrame) -> DataFrame:
 
 def peaks(plane: DataFrame, value: str, *, ratio: float = 0.35, least: float = 3.0, radius: int = 4) -> DataFrame:
     """Pixels of the stride-2 grid, a radius off the border, that reach the threshold and no value of their square exceeds."""
-    rows = plane.withColumn("_m", F.max(value).over(ALONG_X.rowsBetween(-radius, radius)))
-    rows = rows.withColumn("_m", F.max("_m").over(ALONG_Y.rowsBetween(-radius, radius)))
+    rows = plane.withColumn("_m", F.max(value).over(along_x().rowsBetween(-radius, radius)))
+    rows = rows.withColumn("_m", F.max("_m").over(along_y().rowsBetween(-radius, radius)))
     size = plane.groupBy("image_id").agg(F.max(value).alias("_max"), F.max("x").alias("_w"), F.max("y").alias("_h"))
     grid = F.expr(f"x >= {radius} and y >= {radius} and x % 2 = {radius % 2} and y % 2 = {radius % 2} and x <= _w - {radius} and y <= _h - {radius}")
     return rows.join(size, "image_id").where(grid & (F.col(value) >= F.greatest(F.lit(least), F.col("_max") * ratio)) & (F.col("_m") <= F.col(value))).drop("_m", "_max", "_w", "_h")
@@ -151,9 +156,9 @@ def bilateral(pixels: DataFrame, *, radius: int = 2, sigma: float = 25.0) -> Dat
     Rows of pixels become arrays along x, those become arrays along y; the weighted mean is a fold over at most (2 radius + 1)^2 entries."""
     n = 2 * radius + 1
     own = pixels.withColumn("_p", F.struct("r", "g", "b", spectral.luminance().alias("lum")))
-    strip = F.array(*(F.lag("_p", -d).over(ALONG_X) if d else F.col("_p") for d in range(-radius, radius + 1)))
+    strip = F.array(*(F.lag("_p", -d).over(along_x()) if d else F.col("_p") for d in range(-radius, radius + 1)))
     own = own.withColumn("_strip", strip)
-    block = F.array(*(F.lag("_strip", -d).over(ALONG_Y) if d else F.col("_strip") for d in range(-radius, radius + 1)))
+    block = F.array(*(F.lag("_strip", -d).over(along_y()) if d else F.col("_strip") for d in range(-radius, radius + 1)))
     own = own.withColumn("_near", F.flatten(F.transform(block, lambda s: F.coalesce(s, F.array(*([F.lit(None).cast("struct<r:int,g:int,b:int,lum:double>")] * n))))))
     import math
 
