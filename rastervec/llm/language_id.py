@@ -58,10 +58,12 @@ def train_rows(docs: DataFrame, *, text: str, lang: str, by: str, most_docs: int
     """About most_docs documents and most_bytes bytes at most for each language, by a hash of ``by``: a share that
     depends on the language's totals, so no language's rows are gathered or sorted. Every single text stays whole."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(by)).alias("_h")).where("lang is not null and text is not null and text <> ''")
-    totals = rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes"))
-    share = F.least(F.lit(1.0), most_docs / F.col("docs"), most_bytes / F.col("bytes")).alias("share")
-    shares = totals.select("lang", share)
-    return rows.join(shares, "lang").where(F.pmod("_h", F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", "text")
+    totals = rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row for each language of the model
+    if not totals:
+        return rows.select("lang", "text")
+    shares = {r["lang"]: min(1.0, most_docs / r["docs"], most_bytes / r["bytes"]) for r in totals}
+    share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
+    return rows.where(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
 
 
 def fit(rows: DataFrame) -> Model:

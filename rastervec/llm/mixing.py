@@ -91,8 +91,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     taken = (F.col("_full") * F.col("size") + F.col("_last")).cast("long")
     position = F.when((F.col("size") > 0) & (F.col("_start") < F.col("_demand")), at_time(F.col("_start") / F.col("_demand"), F.col("_w0"), F.col("_w1")))
     copies = F.when(F.col("size") > 0, F.col("_full") + ((F.col("_last") > 0) & (2 * F.col("_last") >= F.col("size"))).cast("long")).otherwise(F.lit(0)).cast("int")
-    out = out.select(*(F.col("_kept").getField(c).alias(c) for c in keep), "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), position.alias("position"))
-    return out.repartitionByRange("position").sortWithinPartitions("position")
+    out = out.select(*(F.col("_kept").getField(c).alias(c) for c in keep), "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), position.alias("position"), F.col("_hash").alias("_tie"))
+    return out.repartitionByRange("position", "_tie").sortWithinPartitions("position", "_tie").drop("_tie")  # rows without a position are many: the hash spreads them
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
