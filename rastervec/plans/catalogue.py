@@ -278,10 +278,10 @@ def _segd(p, a, b):
     return _SEGD.format(p=p, a=a, b=b, t=t)
 
 
-@query(f"{_FT} SELECT id, (i - 1)::INT AS i, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2), 4) AS length FROM edges")
+@query(f"{_FT} SELECT id, (i - 1)::INT AS i, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2), 6) AS length FROM edges")
 def segments(spark, sf):
     e = A.features(spark, sf).select("id", F.posexplode(G.edges(F.col("points"), False)).alias("i", "e"))
-    return e.select("id", "i", F.round(G.distance(F.col("e.a"), F.col("e.b")), 4).alias("length"))
+    return e.select("id", "i", F.round(G.distance(F.col("e.a"), F.col("e.b")), 6).alias("length"))
 
 
 @query(f"{_PG} SELECT id, round({_segd('p[2]', 'p[1]', 'p[3]')}, 4) AS distance FROM pg")
