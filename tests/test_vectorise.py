@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from rastervec.functions import regularise as R
 from rastervec.operators import components as C
 from rastervec.operators import outlines as L
+from rastervec.operators import vectorise as V
 from rastervec.operators import watershed as W
+from rastervec.schema import Parameters
 
 CLOCKWISE = L.CLOCKWISE
 
@@ -92,3 +94,34 @@ def test_regularisation(spark):
         for a, b, c in zip(ring, ring[1:] + ring[:1], ring[2:] + ring[:2]):
             u, v = (b["x"] - a["x"], b["y"] - a["y"]), (c["x"] - b["x"], c["y"] - b["y"])
             assert abs(u[0] * v[0] + u[1] * v[1]) <= 0.02 * (abs(u[0]) + abs(u[1])) * (abs(v[0]) + abs(v[1]))
+
+
+def test_aerial_features(spark):
+    def colour(x, y):
+        if 6 <= x < 30 and 6 <= y < 24:
+            return (184, 74, 57)  # a roof
+        if 40 <= y < 52:
+            return (142, 154, 157)  # a road
+        if 60 <= y < 74 and 10 <= x < 24:
+            return (101, 150, 76)  # a tree
+        if 60 <= y < 76 and 40 <= x < 60:
+            return (29, 97, 189)  # water
+        return (0, 0, 0)
+
+    rows = [(0, x, y, *colour(x, y)) for y in range(84) for x in range(70)]
+    found = V.aerial(spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int"), Parameters()).orderBy("seq").collect()
+    layers = [r["layer"] for r in found]
+    assert layers == ["BUILDINGS", "ROAD_BOUNDARIES", "ROAD_CENTERLINES", "TREES", "WATER"] and [r["seq"] for r in found] == [1, 2, 3, 4, 5]
+    roof, _, centre, tree, _ = found
+    assert len(roof["points"]) == 4 and abs(roof["area"] - 23 * 17) <= 40 and roof["is_closed"]
+    assert (tree["center"]["x"], tree["center"]["y"], tree["radius"]) == (16.5, 66.5, 6.5)
+    assert not centre["is_closed"] and centre["length"] >= 50
+
+
+def test_drawing_features(spark):
+    ink = lambda x, y: abs(((x - 30) ** 2 + (y - 30) ** 2) ** 0.5 - 15) < 1.2 or (60 <= x < 63 and 10 <= y < 60)
+    rows = [(0, x, y, *([10] * 3 if ink(x, y) else [245] * 3)) for y in range(70) for x in range(80)]
+    found = V.drawing(spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int")).orderBy("seq").collect()
+    assert [r["geometry_type"] for r in found] == ["LWPOLYLINE", "CIRCLE"] or [r["geometry_type"] for r in found] == ["CIRCLE", "LWPOLYLINE"]
+    ring = next(r for r in found if r["geometry_type"] == "CIRCLE")
+    assert abs(ring["center"]["x"] - 30) <= 1 and abs(ring["center"]["y"] - 30) <= 1 and abs(ring["radius"] - 16) <= 1
