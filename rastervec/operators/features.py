@@ -86,7 +86,7 @@ def picked(features: DataFrame, points: DataFrame, *, tolerance: float, cell: fl
 
 
 def circle_fit(points: DataFrame) -> DataFrame:
-    """(id, cx, cy, radius, error) by Kasa's method over rows (id, x, y); null where the points lie on a line. error: mean distance from the circle."""
+    """(id, cx, cy, radius, error) by Kasa's method over rows (id, x, y); no row where the points lie on a line. radius: mean distance from the centre; error: mean difference from it."""
     m = points.groupBy("id").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     u = points.join(m, "id").withColumns({"u": F.col("x") - F.col("mx"), "v": F.col("y") - F.col("my")})
     s = u.groupBy("id").agg(
@@ -94,9 +94,10 @@ def circle_fit(points: DataFrame) -> DataFrame:
     )
     s = s.withColumn("det", F.expr("uu*vv - uv*uv")).where("abs(det) >= 1e-7 and n >= 3")
     s = s.withColumns({"a": F.expr("0.5*(uuu+uvv)"), "b": F.expr("0.5*(vvv+vuu)")}).withColumns({"uc": F.expr("(a*vv - b*uv)/det"), "vc": F.expr("(b*uu - a*uv)/det")})
-    s = s.select("id", F.expr("uc+mx").alias("cx"), F.expr("vc+my").alias("cy"), F.expr("sqrt(uc*uc+vc*vc+(uu+vv)/n)").alias("radius"))
-    off = points.join(s, "id").groupBy("id").agg(F.avg(F.abs(F.expr("sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) - radius"))).alias("error"))
-    return s.join(off, "id")
+    s = s.select("id", F.expr("uc+mx").alias("cx"), F.expr("vc+my").alias("cy"))
+    far = points.join(s, "id").withColumn("d", F.expr("sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy))"))
+    far = far.withColumn("radius", F.avg("d").over(Window.partitionBy("id")))
+    return far.groupBy("id", "cx", "cy", "radius").agg(F.avg(F.abs(F.col("d") - F.col("radius"))).alias("error"))
 
 
 def affine_fit(points: DataFrame) -> DataFrame:

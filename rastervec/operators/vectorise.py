@@ -141,7 +141,7 @@ def drawing(pixels: DataFrame, params: Parameters = Parameters(), *, inv: float
     lines = settled(lines.where(F.size("points") >= 3).withColumn("points", _scaled(F.col("points"), inv)))
     place = F.struct("image_id", "label").alias("id")
     fit = O.circle_fit(lines.select(place, F.explode("points").alias("p")).select("id", "p.x", "p.y"))
-    fit = fit.select("id.image_id", "id.label", G.point(_one_digit(F.col("cx")), _one_digit(F.col("cy"))).alias("center"), _one_digit(F.col("radius")).alias("radius"), _one_digit(F.col("error")).alias("error"))
+    fit = fit.select("id.image_id", "id.label", G.point(_one_digit(F.col("cx")), _one_digit(F.col("cy"))).alias("center"), _one_digit(F.col("radius")).alias("radius"), "error")
     rings = settled(fit.where((F.col("error") < 1.6) & (F.col("radius") > 5 * inv) & (F.col("radius") < 85 * inv)))
     round_ = lines.drop("points").join(rings, ["image_id", "label"]).withColumn("points", F.array("center"))
     walls = lines.join(rings, ["image_id", "label"], "left_anti").withColumn("points", simplified(F.col("points"), params.rdp_tolerance * inv))

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastervec.functions import geometry as G
+from rastervec.functions import regularise as R
 from rastervec.functions import spectral
 from rastervec.functions.numeric import to_fixed
 from rastervec.functions.simplify import simplified
 from rastervec.operators import components as C
 from rastervec.operators import export as X
 from rastervec.operators import features as O
+from rastervec.operators import outlines as L
 from rastervec.operators import pixels as P
+from rastervec.operators import watershed as W
 from rastervec.schema import LAYERS, layers
 from rastervec.sources import adapters as A
 
@@ -217,9 +220,43 @@ def thinning(spark, sf):
     return C.thinned(_green(spark, sf), width=A.WIDTH, height=rows[0] + 1).select("x", "y")
 
 
+@query()
+def outlines(spark, sf):
+    return L.outlines(C.components(_green(spark, sf))).select("label", F.size("points").alias("n"), F.to_json("points").alias("points"))
+
+
+@query()
+def centrelines(spark, sf):
+    rows = A.pixels(spark, sf).agg(F.max("y")).first()
+    labelled = C.components(_green(spark, sf))
+    thin = C.thinned(labelled, width=A.WIDTH, height=rows[0] + 1).join(labelled, ["image_id", "x", "y"])
+    return L.centrelines(thin).select("label", F.size("points").alias("n"), F.to_json("points").alias("points"))
+
+
+@query()
+def watershed_instances(spark, sf):
+    px = A.pixels(spark, sf)
+    mask = px.select("image_id", "x", "y", (spectral.surface() == 3).cast("int").alias("bit"))
+    return C.summarised(W.instances(mask, px), least=25)
+
+
 # ---- geometry ----
 
 
+@query("""WITH q AS (SELECT c_custkey AS id, 500 + c_custkey % 7 AS x, 20 + c_custkey % 30 AS w, 10 + c_custkey % 17 AS h, radians(5 + c_custkey % 80) AS t FROM customer)
+SELECT id, x::DOUBLE AS x1, 300::DOUBLE AS y1, round(x + w * cos(t) - h * sin(t), 2) AS x3, round(300 + w * sin(t) + h * cos(t), 2) AS y3 FROM q""")
+def oriented_box(spark, sf):
+    box = R.oriented_box(F.col("points"))
+    rows = A.plots(spark, sf).select("id", box.alias("b"))
+    at = lambda i, c: F.get("b", F.lit(i))[c].alias(f"{c}{i + 1}")
+    return rows.select("id", at(0, "x"), at(0, "y"), at(2, "x"), at(2, "y"))
+
+
+@query()
+def orthogonal_outline(spark, sf):
+    return A.polygons(spark, sf).select("id", R.orthogonalised(F.col("points"), degrees=12, snap=5).alias("p")).select("id", F.size("p").alias("n"), F.round(G.area(F.col("p")), 2).alias("area"))
+
+
 @query(f"{_PG} SELECT id, round({_AREA}, 4) AS area FROM pg")
 def polygon_area(spark, sf):
     return A.polygons(spark, sf).select("id", F.round(G.area(F.col("points")), 4).alias("area"))
@@ -250,7 +287,7 @@ def ring_orientation(spark, sf):
 @query(f"""{_PG}, q AS (SELECT id, unnest(p).x AS x, unnest(p).y AS y FROM pg), m AS (SELECT id, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM q GROUP BY id), u AS (SELECT q.id, x, y, n, mx, my, x - mx AS u, y - my AS v FROM q JOIN m USING (id)),
 s AS (SELECT id, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*u*u) AS uuu, sum(v*v*v) AS vvv, sum(u*v*v) AS uvv, sum(v*u*u) AS vuu FROM u GROUP BY id),
 c AS (SELECT *, (0.5*(uuu+uvv)*vv - 0.5*(vvv+vuu)*uv) / (uu*vv-uv*uv) AS uc, (0.5*(vvv+vuu)*uu - 0.5*(uuu+uvv)*uv) / (uu*vv-uv*uv) AS vc FROM s)
-SELECT id, round(uc + mx, 2) AS cx, round(vc + my, 2) AS cy, round(sqrt(uc*uc + vc*vc + (uu+vv)/n), 2) AS radius FROM c WHERE abs(uu*vv-uv*uv) >= 1e-7""")
+SELECT id, round(any_value(uc + c.mx), 2) AS cx, round(any_value(vc + c.my), 2) AS cy, round(avg(sqrt((u.u - uc)*(u.u - uc) + (u.v - vc)*(u.v - vc))), 2) AS radius FROM c JOIN u USING (id) WHERE abs(uu*vv-uv*uv) >= 1e-7 GROUP BY id""")
 def circle_fit(spark, sf):
     points = A.polygons(spark, sf).select("id", F.explode("points").alias("p")).select("id", "p.x", "p.y")
     return O.circle_fit(points).select("id", *(F.round(c, 2).alias(c) for c in ("cx", "cy", "radius")))

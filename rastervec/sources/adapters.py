@@ -40,6 +40,14 @@ def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("l_orderkey").alias("id")).agg(points.alias("points"))
 
 
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, points): a turned rectangle for each customer."""
+    key = F.col("c_custkey")
+    x, w, h, t = 500 + key % 7, 20 + key % 30, 10 + key % 17, F.radians(5 + key % 80)
+    corner = lambda u, v: F.struct((x + u * F.cos(t) - v * F.sin(t)).cast("double").alias("x"), (F.lit(300) + u * F.sin(t) + v * F.cos(t)).cast("double").alias("y"))
+    return table(spark, sf_dir, "customer").select(key.alias("id"), F.array(corner(F.lit(0), F.lit(0)), corner(w, F.lit(0)), corner(w, h), corner(F.lit(0), h)).alias("points"))
+
+
 LAYER_OF_PRIORITY = {"1-URGENT": "BUILDINGS", "2-HIGH": "PARCELS", "3-MEDIUM": "ROADS", "4-NOT SPECIFIED": "WATER", "5-LOW": "SURVEY"}
 
 
