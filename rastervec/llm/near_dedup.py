@@ -12,17 +12,20 @@ loses no link and adds none between components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from rastervec.llm.common import ident, slices, stored, texts_of
 
 SHINGLE, DISTANCE, HEAVY = 3, 2, 64
+#: Of one_of_each(): words of a run, beyond how many sets a hash comes last, and sets of a block.
+RUN, COMMON, BLOCK = 5, 64, 512
 _CUT = 1 << 16
 
 
@@ -116,11 +119,147 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def resemblance_set(text: str) -> np.ndarray:
+    """The different runs of ``RUN`` words of a text as sorted 64-bit hashes; a shorter text is one run, one without words has none."""
+    words = text.encode().lower().split()
+    n = len(words) - RUN + 1
+    if n < 1:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))][: len(words)], "<u8").view("<i8")
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        out = (out ^ h[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+
+
+def _with_sets(rows: DataFrame, *, prefix: bool) -> DataFrame:
+    """``rows`` with ``_text`` replaced by node (a hash of the whole set), n (its size) and set; with ``prefix`` only its least n // 5 + 1 hashes."""
+    schema = rows.drop("_text").schema.add("node", "long").add("n", "long").add("set", ArrayType(LongType()))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 4 << 20):
+            sets = [resemblance_set(t) for t in texts_of(batch, "_text").to_pylist()]
+            nodes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64))
+            some = [s[: len(s) // 5 + 1] for s in sets] if prefix else sets
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, nodes, pa.array([len(s) for s in sets], pa.int64()), _lists(some)], names=schema.names)
+
+    return rows.mapInArrow(described, schema)
+
+
+def _resembling(pairs: DataFrame, entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The different pairs (a, b) whose sets resemble. First by their prefixes: up to the lesser of both ends the sets are known, and may not differ by more than all of them may."""
+    own = lambda side, rows: rows.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("set").alias(f"set_{side}"))
+    known = pairs.select("a", "b").distinct().join(own("a", entries), "a").join(own("b", entries), "b")
+    least = "least(element_at(set_a, -1), element_at(set_b, -1))"
+    differ = f"size(filter(set_a, x -> x <= {least})) + size(filter(set_b, x -> x <= {least})) - 2 * size(array_intersect(set_a, set_b))"
+    likely = stored(known.where(f"9 * ({differ}) <= n_a + n_b").select("a", "b"), "likely")
+    named = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(sets_of(named), "sets")
+    both = likely.join(own("a", sets), "a").join(own("b", sets), "b")
+    return stored(both.where("9 * size(array_intersect(set_a, set_b)) >= 4 * (n_a + n_b)").select("a", "b"), "resembling")
+
+
+def _forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links by place that join the components of resembling sets, from all pairs."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    by_column = np.argsort(column, kind="stable")
+    owner, column = owner[by_column], column[by_column]
+    meet = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1, 4096):
+        i, j = np.searchsorted(column, (lo, lo + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[i:j], column[i:j] - lo] = 1
+        meet += part @ part.T
+    near = 9 * meet.astype(np.int64) >= 4 * (sizes[:, None] + sizes[None, :])
+    links, new = [], np.ones(len(sets), bool)
+    for k in range(len(sets)):
+        if new[k]:
+            new[k], edge = False, np.array([k])
+            while len(edge):
+                edge = np.flatnonzero(near[edge].any(0) & new)
+                new[edge] = False
+                links += [(k, int(x)) for x in edge]
+    return links
+
+
+def _in_families(posts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], block: int) -> DataFrame:
+    """(a, b): links within the families of ``posts`` (node, hash), which are joined by common hashes; all pairs of blocks of a family meet in a task."""
+    ties = posts.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("hash")).alias("b")).distinct()
+    kin = components(ties).select("node", F.col("root").alias("family"))
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("family")) / block)
+    named = stored(kin.select("node", "family", blocks.alias("_k"), F.pmod(F.xxhash64("node"), blocks).alias("_b")), "families")
+    others = F.when(F.col("_k") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1), lambda x: x != F.col("_b")))
+    cells = named.join(sets_of(named.select("node")), "node").select("node", "set", "family", "_b", F.explode(others).alias("_o"))
+    cells = cells.select("node", "set", "family", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"))
+
+    def joined(cell: pa.Table) -> pa.Table:
+        nodes, sets = cell["node"].to_numpy(), [x.values.to_numpy(zero_copy_only=False) for x in cell["set"]]
+        found = np.array(_forest(sets), np.int64).reshape(-1, 2)
+        return pa.table({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
+
+    return stored(cells.groupBy("family", "i", "j").applyInArrow(joined, "a long, b long"), "kin")
+
+
+def resemblances(entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, common: int = COMMON, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between different sets of a resemblance of 0.8 at least, enough for the components of all such pairs.
+
+    entries: node, n, set (the prefix) of each set; sets_of: the same with whole sets for a table of nodes. Two sets of that resemblance share a hash of both prefixes, in whatever
+    order all sets are sorted. Neighbours in a list of the sets with a hash are compared first, so that groups of near copies are components, and
+    only pairs between components are compared then. Where over ``common`` sets of several components share a hash, the hashes that many of these
+    sets hold come last in the order: prefixes are taken anew. What still crowds then are texts made of such hashes, whole families; they are compared block by block.
+    """
+    listed = entries.where("n > 0").select("node", "n", F.explode("set").alias("hash"))
+    shared = lambda rows: stored(rows.withColumn("_of", F.count("*").over(Window.partitionBy("hash"))).where("_of > 1"), "shared")
+    close = "5 * n_a >= 4 * n_b AND 5 * n_b >= 4 * n_a"
+    posts = shared(listed)
+    order = Window.partitionBy("hash").orderBy("n", "node")
+    beside = posts.select(F.lag("node").over(order).alias("a"), F.col("node").alias("b"), F.lag("n").over(order).alias("n_a"), F.col("n").alias("n_b"))
+    found = _resembling(beside.where(f"a IS NOT NULL AND {close}"), entries, sets_of)
+    roots = stored(components(found), "roots")
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        """Of hashes shared by several components."""
+        rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return stored(rows.join(rows.groupBy("hash").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where("_r < _s").select("hash"), "hash", "left_semi"), "rooted")
+
+    met = rooted(posts)
+    crowd = met.where(F.col("_of") > common).select("node").distinct()
+    if not crowd.isEmpty():
+        every = lambda nodes: sets_of(nodes).select("node", "n", F.explode("set").alias("hash"))
+        late = stored(every(crowd).groupBy("hash").count().where(F.col("count") > common).select("hash", F.lit(1).alias("_late")), "late")
+        anew = stored(listed.join(late, "hash", "left_semi").select("node").distinct(), "anew")
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("_late", F.lit(0)), "hash"))
+        again = every(anew).join(late, "hash", "left").withColumn("_place", place).where("_place <= n div 5 + 1").select("node", "n", "hash")
+        met = rooted(shared(listed.join(anew, "node", "left_anti").unionByName(again)))
+        found = found.union(_in_families(met.where(F.col("_of") > common), sets_of, block))
+    side = lambda s: met.where(F.col("_of") <= common).select("hash", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}"))
+    across = side("a").join(side("b"), "hash").where(f"a < b AND root_a <> root_b AND {close}")
+    return found.union(_resembling(across, entries, sets_of))
+
+
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with their own columns only, one of each component: the row with the least id, of rows with the same id any one."""
+    """The documents with their own columns only, one of each component of documents whose sets of runs of five words have a Jaccard index of 0.8 at least.
+
+    It is the row with the least id, of rows with the same id any one. Texts without words are copies of each other; case is folded as for fingerprints.
+    """
     names = docs.columns
-    rows = docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*(ident(c) for c in names)).alias("_row"), ident(doc_id).alias("_id"), ident(text).alias("text"))
-    rows = stored(fingerprints(rows, keep=["_at", "_id", "_row"]), "rows")
-    slim = rows.select("_at", "_id", "fp")
-    first = slim.join(classes(slim, doc_id="_id"), "fp").groupBy("root").agg(F.min_by("_at", F.struct(F.col("_id").isNull(), "_id", "_at")).alias("_at")).select("_at")
-    return rows.join(first, "_at").select("_row.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*(ident(c) for c in names)).alias("_row"), ident(doc_id).alias("_id"), ident(text).alias("_text"))
+    rows = stored(_with_sets(rows, prefix=True), "rows")
+    best = rows.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_at")).alias("_best"))
+    slim = stored(best, "best")
+    entries = stored(rows.select("_at", "node", "n", "set").join(slim.select(F.col("_best._at").alias("_at")), "_at", "left_semi").drop("_at"), "entries")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        at = slim.join(nodes, "node", "left_semi").select(F.col("_best._at").alias("_at"))
+        return _with_sets(rows.select("_at", F.col("_row").getField(text).alias("_text")).join(at, "_at", "left_semi").select("_text"), prefix=False)
+
+    roots = components(resemblances(entries, sets_of))
+    first = slim.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("_best").alias("_best")).select("_best._at")
+    return rows.join(first, "_at", "left_semi").select("_row.*")

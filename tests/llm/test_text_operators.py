@@ -117,6 +117,49 @@ def test_near_duplicates_on_texts(docs, none):
     assert one.count() == len({c if c is not None else f"n{f}" for _, f, c in want})
 
 
+def plain_sets(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4) if words else 0)}
+
+
+def plain_resembling(rows):
+    """The least id of each component of sets of five words with a Jaccard index of 0.8, from all pairs."""
+    sets, root = [plain_sets(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [rows[i][0] for i in range(len(rows)) if find(i) == i]
+
+
+@pytest.mark.parametrize("common", [0, 3, 64])
+def test_one_of_each_equals_all_pairs(spark, monkeypatch, common):
+    """Near copies of a few words changed, passages that many share, families; ids in the order of places."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 30, n)]
+    passage, texts = fresh(30), ["", " ", "a b", "A  b"]
+    for _ in range(12):
+        base = fresh(int(rng.integers(20, 200)))
+        for _ in range(6):
+            words = list(base)
+            for k in rng.integers(0, len(words), int(rng.integers(0, 2 + len(words) // 30))):
+                words[k] = fresh(1)[0]
+            texts.append(" ".join(words))
+        texts.append(" ".join(base[:15] + passage))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = plain_resembling(rows)
+    assert len({frozenset(plain_sets(t)) for t in texts}) > len(want) + 10
+    monkeypatch.setattr(near_dedup.resemblances, "__kwdefaults__", {"common": common, "block": 4})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in near_dedup.one_of_each(docs).collect()) == want
+
+
 @pytest.mark.parametrize("heavy", [0, 2, 64])
 def test_links_lose_nothing_in_light_and_heavy_buckets(spark, heavy):
     rng = np.random.default_rng(7)
