@@ -233,7 +233,8 @@ def _several(items: DataFrame, how: dict) -> bool:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without a hit word, with their own columns only. Ids are expected to name documents: of rows with one id all go if one is hit."""
-    hit = contamination(docs, items, doc_id=doc_id, text=text).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    rows = docs.select(F.struct(*(ident(c) for c in docs.columns)).alias("_row"), ident(doc_id).cast("long").alias("_id"))
-    return rows.join(hit, F.col("_id").eqNullSafe(F.col("_hit")), "left_anti").select("_row.*")
+    """The documents without a hit word, with their own columns only. Rows are told apart by a 64-bit hash of the text, which alone decides; ids are not read."""
+    key = F.xxhash64(ident(text))
+    hit = contamination(docs.select(key.alias("key"), ident(text).alias("text")), items, doc_id="key").where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    rows = docs.select(F.struct(*(ident(c) for c in docs.columns)).alias("_row"), key.alias("_key"))
+    return rows.join(hit, F.col("_key") == F.col("_hit"), "left_anti").select("_row.*")

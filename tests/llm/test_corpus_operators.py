@@ -168,6 +168,13 @@ def test_contamination_equals_plain_search(spark, most):
     assert {r["n_hit"] for r in decontaminate.contamination(frame, bench.where("false")).collect()} == {0}
 
 
+def test_clean_rows_stay_whatever_their_ids(spark):
+    bad, rows = "one two three four", [(1, "zz one two three four"), (1, "clean of one"), (None, "one two three four"), (None, "clean of none"), (2, None), (3, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.clean_documents(docs, spark.createDataFrame([(1, bad)], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if bad not in (r[1] or "")), key=str)
+
+
 def test_proximity_matches(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y y y y y y gamma"), (2, "alpha beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "gamma beta alpha")], "item_id long, text string")
