@@ -10,6 +10,7 @@ only on the node of its context, and whole texts are scored by table look-ups.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,14 +57,20 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train_rows(docs: DataFrame, *, text: str, lang: str, by: str, most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
     """About most_docs documents and most_bytes bytes at most for each language, by a hash of ``by``: a share that
-    depends on the language's totals, so no language's rows are gathered or sorted. Every single text stays whole."""
+    depends on the language's totals, so no language's rows are gathered or sorted. Every single text stays whole.
+    A language whose share takes no document, being few long texts, has one of those with its smallest hash."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(by)).alias("_h")).where("lang is not null and text is not null and text <> ''")
-    totals = rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row for each language of the model
+    totals = rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes"), F.min(F.pmod("_h", F.lit(1_000_000))).alias("least")).collect()  # a row for each language of the model
     if not totals:
         return rows.select("lang", "text")
     shares = {r["lang"]: min(1.0, most_docs / r["docs"], most_bytes / r["bytes"]) for r in totals}
     share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
-    return rows.where(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    taken = rows.where(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    bare = [(F.col("lang") == r["lang"]) & (F.pmod("_h", F.lit(1_000_000)) == r["least"]) for r in totals if r["least"] >= shares[r["lang"]] * 1_000_000]
+    if not bare:
+        return taken
+    first = rows.where(reduce(Column.__or__, bare)).groupBy("lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return taken.unionByName(first)
 
 
 def fit(rows: DataFrame) -> Model:

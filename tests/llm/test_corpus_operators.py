@@ -168,6 +168,13 @@ def test_contamination_equals_plain_search(spark, most):
     assert {r["n_hit"] for r in decontaminate.contamination(frame, bench.where("false")).collect()} == {0}
 
 
+def test_each_language_has_a_training_document(spark):
+    rows = [(i, "few", f"long text {i} " * 500) for i in range(12)] + [(100 + i, "many", f"t{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    taken = language_id.train_rows(docs, text="text", lang="lang", by="doc_id", most_bytes=300).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in taken}["few"] == 1 and {r["lang"] for r in taken} == {"few", "many"}
+
+
 def test_clean_rows_stay_whatever_their_ids(spark):
     bad, rows = "one two three four", [(1, "zz one two three four"), (1, "clean of one"), (None, "one two three four"), (None, "clean of none"), (2, None), (3, "clean")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
