@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,21 +20,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark removes the shuffle files of a query at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder; only a session without one gets a local folder (tests)."""
+    """A new path in the shared checkpoint folder. A session on one machine (tests) without such a setting gets a local folder; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again: later stages start from files, not from lineage."""
+    """Writes a table into the shared folder and reads it again: later stages start from files, not from lineage, and the shuffle files go at once."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() when all that is made of them is stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written_order() -> list[Column]:
+    """Columns of a table that was read from Parquet files of one Spark write, to sort by: the writing task, then the place in its file."""
+    return [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int"), F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+
+
+def sized(table: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A stored table of a few numbers a row, for the small side of a join: broadcast if it has at most ``most`` rows, else joined by a shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def ident(col: str) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastervec.llm.common import bytes_of, slices, texts_of
+from rastervec.llm.common import bytes_of, ident, slices, texts_of
 
 ORDER = 3
 #: Bounds of what a model is fitted on, for each language; the documents with the smallest hashes are taken.
@@ -59,7 +59,7 @@ def train_rows(docs: DataFrame, *, text: str, lang: str, by: str, most_docs: int
     """About most_docs documents and most_bytes bytes at most for each language, by a hash of ``by``: a share that
     depends on the language's totals, so no language's rows are gathered or sorted. Every single text stays whole.
     A language whose share takes no document, being few long texts, has one of those with its smallest hash."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(by)).alias("_h")).where("lang is not null and text is not null and text <> ''")
+    rows = docs.select(ident(text).alias("text"), ident(lang).alias("lang"), F.xxhash64(ident(by)).alias("_h")).where("lang is not null and text is not null and text <> ''")
     totals = rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes"), F.min(F.pmod("_h", F.lit(1_000_000))).alias("least")).collect()  # a row for each language of the model
     if not totals:
         return rows.select("lang", "text")
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.languages, model.symbols, model.nodes, model.cost))
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = docs.select(*keep, ident(text).alias("_text"))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,11 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
 
 
 def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: Column | None = None) -> DataFrame:
-    """Learns from the rows with a language that ``held_out`` leaves and predicts every row."""
+    """Learns from the rows with a language that ``held_out`` leaves and predicts every row: doc_id, held_out, lang_pred, score.
+
+    Rows with a null language or without text teach nothing; null texts and texts without a letter are ``und`` with score 0. Whole texts are
+    scored, however long. Repeated rows and ids are predicted one by one. An empty table gives no rows; other columns are not read.
+    """
     held = F.lit(False) if held_out is None else held_out
     model = fit(train_rows(docs.where(~held), text=text, lang=lang, by=doc_id))
-    return predict(docs, model, text=text, keep=[F.col(doc_id).alias("doc_id"), held.alias("held_out")])
+    return predict(docs, model, text=text, keep=[ident(doc_id).alias("doc_id"), held.alias("held_out")])
