@@ -8,6 +8,9 @@ A table bucket with more than ``HEAVY`` entries (near copies that share half of
 Those entries, and all that probe such a bucket, meet otherwise: each names the 65 words within one bit of itself. Two
 fingerprints are at most two bits apart exactly if they name a common word, so linking each to the least of a word's namers
 loses no link and adds none between components.
+
+one_of_each() asks for a similarity of texts, 0.8 of their runs of five words. Such fingerprints are up to twenty bits apart, and balls of that size
+hold most of a segment's table: there candidates come from shared rare runs instead, fingerprints of 128 bits thin them out, and whole sets decide.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from rastervec.llm.common import ident, slices, stored, texts_of
+from rastervec.llm.common import discard, ident, sized, slices, stored, texts_of
 
 SHINGLE, DISTANCE, HEAVY = 3, 2, 64
-#: Of one_of_each(): words of a run, beyond how many sets a hash comes last, and sets of a block.
-RUN, COMMON, BLOCK = 5, 64, 512
+#: Of one_of_each(): words of a run, beyond how many sets a hash comes last, sets of a block, and how many common hashes are told apart at most.
+RUN, COMMON, BLOCK, MOST_LATE = 5, 64, 512, 1 << 20
+#: Bits that fingerprints (64 and 128 of them) of sets with a resemblance of 0.8 may differ in; they do in 10 and 19 (deviation 3 and 4). Smaller sets than SMALL aren't judged by theirs.
+NEAR_64, NEAR_128, SMALL = 24, 42, 64
 _CUT = 1 << 16
 
 
@@ -133,35 +138,58 @@ def resemblance_set(text: str) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def set_fingerprints(runs: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit SimHashes of a set of hashes, signed."""
+    h = runs.view(np.uint64)
+    mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    both = (np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for x in (h, mixed ^ (mixed >> np.uint64(29))))
+    return tuple(int(np.packbits(2 * ones > len(runs), bitorder="little").view("<i8")[0]) for ones in both)
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
 
 
-def _with_sets(rows: DataFrame, *, prefix: bool) -> DataFrame:
-    """``rows`` with ``_text`` replaced by node (a hash of the whole set), n (its size) and set; with ``prefix`` only its least n // 5 + 1 hashes."""
-    schema = rows.drop("_text").schema.add("node", "long").add("n", "long").add("set", ArrayType(LongType()))
+def _prefix(runs: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 hashes of a set in an order in which ``late`` ones (sorted) come last."""
+    last = np.isin(runs, late) if len(late) else np.zeros(len(runs), bool)
+    return (np.concatenate([runs[~last], runs[last]]) if last.any() else runs)[: len(runs) // 5 + 1]
+
+
+def _with_sets(rows: DataFrame, *, prefix: bool, late: np.ndarray | None = None) -> DataFrame:
+    """``rows`` with ``_text`` replaced by node (a hash of the whole set), n (its size), set (with ``prefix`` only what _prefix() takes of it), fp and fq (its fingerprints)."""
+    schema = rows.drop("_text").schema.add("node", "long").add("n", "long").add("set", ArrayType(LongType())).add("fp", "long").add("fq", "long")
+    shared = rows.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if late is None else late)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 4 << 20):
             sets = [resemblance_set(t) for t in texts_of(batch, "_text").to_pylist()]
             nodes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64))
-            some = [s[: len(s) // 5 + 1] for s in sets] if prefix else sets
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, nodes, pa.array([len(s) for s in sets], pa.int64()), _lists(some)], names=schema.names)
+            some = [_prefix(s, shared.value) for s in sets] if prefix else sets
+            prints = [set_fingerprints(s) for s in sets]
+            own = [nodes, pa.array([len(s) for s in sets], pa.int64()), _lists(some), *(pa.array([x[k] for x in prints], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, *own], names=schema.names)
 
     return rows.mapInArrow(described, schema)
 
 
+#: What pairs of sets must have to be compared further: like sizes, and fingerprints that are not far apart.
+_CLOSE = "5 * n_a >= 4 * n_b AND 5 * n_b >= 4 * n_a"
+_ALIKE = f"(least(n_a, n_b) < {SMALL} OR bit_count(fp_a ^ fp_b) <= {NEAR_64})"
+
+
 def _resembling(pairs: DataFrame, entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The different pairs (a, b) whose sets resemble. First by their prefixes: up to the lesser of both ends the sets are known, and may not differ by more than all of them may."""
-    own = lambda side, rows: rows.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("set").alias(f"set_{side}"))
-    known = pairs.select("a", "b").distinct().join(own("a", entries), "a").join(own("b", entries), "b")
-    least = "least(element_at(set_a, -1), element_at(set_b, -1))"
-    differ = f"size(filter(set_a, x -> x <= {least})) + size(filter(set_b, x -> x <= {least})) - 2 * size(array_intersect(set_a, set_b))"
-    likely = stored(known.where(f"9 * ({differ}) <= n_a + n_b").select("a", "b"), "likely")
-    named = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """The different pairs (a, b) whose sets resemble: first by complete distances of their fingerprints, then by whole sets."""
+    own = lambda side, rows, *more: rows.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *more)))
+    known = stored(pairs.select("a", "b").distinct(), "pairs")
+    near = f"least(n_a, n_b) < {SMALL} OR bit_count(fp_a ^ fp_b) + bit_count(fq_a ^ fq_b) <= {NEAR_128}"
+    likely = stored(known.join(own("a", entries, "fp", "fq"), "a").join(own("b", entries, "fp", "fq"), "b").where(near).select("a", "b"), "likely")
+    named = stored(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
     sets = stored(sets_of(named), "sets")
-    both = likely.join(own("a", sets), "a").join(own("b", sets), "b")
-    return stored(both.where("9 * size(array_intersect(set_a, set_b)) >= 4 * (n_a + n_b)").select("a", "b"), "resembling")
+    both = likely.join(own("a", sets, "set"), "a").join(own("b", sets, "set"), "b")
+    out = stored(both.where("9 * size(array_intersect(set_a, set_b)) >= 4 * (n_a + n_b)").select("a", "b"), "resembling")
+    discard(known, likely, named, sets)
+    return out
 
 
 def _forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -207,59 +235,66 @@ def _in_families(posts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bl
     return stored(cells.groupBy("family", "i", "j").applyInArrow(joined, "a long, b long"), "kin")
 
 
-def resemblances(entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, common: int = COMMON, block: int = BLOCK) -> DataFrame:
+def resemblances(entries: DataFrame, sets_of: Callable[..., DataFrame], *, common: int = COMMON, block: int = BLOCK, most_late: int = MOST_LATE) -> DataFrame:
     """(a, b): links between different sets of a resemblance of 0.8 at least, enough for the components of all such pairs.
 
-    entries: node, n, set (the prefix) of each set; sets_of: the same with whole sets for a table of nodes. Two sets of that resemblance share a hash of both prefixes, in whatever
-    order all sets are sorted. Neighbours in a list of the sets with a hash are compared first, so that groups of near copies are components, and
-    only pairs between components are compared then. Where over ``common`` sets of several components share a hash, the hashes that many of these
-    sets hold come last in the order: prefixes are taken anew. What still crowds then are texts made of such hashes, whole families; they are compared block by block.
+    entries: node, n, set (the prefix), fp and fq of each set; sets_of: the same with whole sets for a stored table of nodes. Two sets of that resemblance share a hash of both
+    prefixes, in whatever order all sets are sorted. Neighbours in a list of the sets with a hash are compared first, so that groups of near copies are
+    components, and only pairs between components are compared then. Where over ``common`` sets of several components share a hash, the hashes that many of
+    these sets hold come last in the order (the ``most_late`` most common ones): prefixes are taken anew. What still crowds then are texts made of such hashes, whole families; they
+    are compared block by block.
     """
-    listed = entries.where("n > 0").select("node", "n", F.explode("set").alias("hash"))
+    listed = entries.where("n > 0").select("node", "n", "fp", F.explode("set").alias("hash"))
     shared = lambda rows: stored(rows.withColumn("_of", F.count("*").over(Window.partitionBy("hash"))).where("_of > 1"), "shared")
-    close = "5 * n_a >= 4 * n_b AND 5 * n_b >= 4 * n_a"
     posts = shared(listed)
     order = Window.partitionBy("hash").orderBy("n", "node")
-    beside = posts.select(F.lag("node").over(order).alias("a"), F.col("node").alias("b"), F.lag("n").over(order).alias("n_a"), F.col("n").alias("n_b"))
-    found = _resembling(beside.where(f"a IS NOT NULL AND {close}"), entries, sets_of)
+    beside = posts.select(*(F.lag(c).over(order).alias(a) for c, a in (("node", "a"), ("n", "n_a"), ("fp", "fp_a"))), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("fp").alias("fp_b"))
+    found = _resembling(beside.where(f"a IS NOT NULL AND {_CLOSE} AND {_ALIKE}"), entries, sets_of)
     roots = stored(components(found), "roots")
 
     def rooted(rows: DataFrame) -> DataFrame:
         """Of hashes shared by several components."""
-        rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return stored(rows.join(rows.groupBy("hash").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where("_r < _s").select("hash"), "hash", "left_semi"), "rooted")
+        rows = stored(rows.join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), "posts")
+        several = stored(rows.groupBy("hash").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where("_r < _s").select("hash"), "several")
+        out = stored(rows.join(sized(several), "hash", "left_semi"), "rooted")
+        discard(rows, several)
+        return out
 
     met = rooted(posts)
-    crowd = met.where(F.col("_of") > common).select("node").distinct()
+    discard(posts)
+    crowd = stored(met.where(F.col("_of") > common).select("node").distinct(), "crowd")
     if not crowd.isEmpty():
-        every = lambda nodes: sets_of(nodes).select("node", "n", F.explode("set").alias("hash"))
-        late = stored(every(crowd).groupBy("hash").count().where(F.col("count") > common).select("hash", F.lit(1).alias("_late")), "late")
-        anew = stored(listed.join(late, "hash", "left_semi").select("node").distinct(), "anew")
-        place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("_late", F.lit(0)), "hash"))
-        again = every(anew).join(late, "hash", "left").withColumn("_place", place).where("_place <= n div 5 + 1").select("node", "n", "hash")
-        met = rooted(shared(listed.join(anew, "node", "left_anti").unionByName(again)))
+        held = sets_of(crowd).select(F.explode("set").alias("hash")).groupBy("hash").count().where(F.col("count") > common)
+        late = stored(held.orderBy(F.desc("count"), "hash").limit(most_late).select("hash"), "late")  # a bounded number; any order of the hashes gives the same links
+        anew = stored(listed.join(sized(late), "hash", "left_semi").select("node").distinct(), "anew")
+        again = sets_of(anew, late=np.sort(late.toPandas()["hash"].to_numpy(np.int64))).select("node", "n", "fp", F.explode("set").alias("hash"))
+        discard(met)
+        met = rooted(shared(listed.join(sized(anew), "node", "left_anti").unionByName(again)))
         found = found.union(_in_families(met.where(F.col("_of") > common), sets_of, block))
-    side = lambda s: met.where(F.col("_of") <= common).select("hash", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}"))
-    across = side("a").join(side("b"), "hash").where(f"a < b AND root_a <> root_b AND {close}")
+    side = lambda s: met.where(F.col("_of") <= common).select("hash", *(F.col(c).alias(a) for c, a in (("node", s), ("n", f"n_{s}"), ("root", f"root_{s}"), ("fp", f"fp_{s}"))))
+    across = side("a").join(side("b"), "hash").where(f"a < b AND root_a <> root_b AND {_CLOSE} AND {_ALIKE}")
     return found.union(_resembling(across, entries, sets_of))
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their own columns only, one of each component of documents whose sets of runs of five words have a Jaccard index of 0.8 at least.
 
-    It is the row with the least id, of rows with the same id any one. Texts without words are copies of each other; case is folded as for fingerprints.
+    It is the row with the least id, of rows with the same id any one; a null id comes last. Texts without words (null, empty) are copies of each other; a text of fewer than five words is
+    one run; case is folded as for fingerprints. Repeated rows leave one. An empty table gives no rows. Extra columns are carried along, whatever their names.
     """
     names = docs.columns
-    rows = docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*(ident(c) for c in names)).alias("_row"), ident(doc_id).alias("_id"), ident(text).alias("_text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*(ident(c).alias(f"c{i}") for i, c in enumerate(names))).alias("_row"), ident(doc_id).alias("_id"), ident(text).alias("_text"))
     rows = stored(_with_sets(rows, prefix=True), "rows")
-    best = rows.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_at")).alias("_best"))
-    slim = stored(best, "best")
-    entries = stored(rows.select("_at", "node", "n", "set").join(slim.select(F.col("_best._at").alias("_at")), "_at", "left_semi").drop("_at"), "entries")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        at = slim.join(nodes, "node", "left_semi").select(F.col("_best._at").alias("_at"))
-        return _with_sets(rows.select("_at", F.col("_row").getField(text).alias("_text")).join(at, "_at", "left_semi").select("_text"), prefix=False)
-
-    roots = components(resemblances(entries, sets_of))
-    first = slim.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("_best").alias("_best")).select("_best._at")
-    return rows.join(first, "_at", "left_semi").select("_row.*")
+    slim = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_at")).alias("_best")), "best")
+    first_of = stored(slim.select(F.col("_best._at").alias("_at")), "first-of")
+    entries = stored(rows.select("_at", "node", "n", "set", "fp", "fq").join(sized(first_of), "_at", "left_semi").drop("_at"), "entries")
+    place = names.index(text)
+
+    def sets_of(nodes: DataFrame, late: np.ndarray | None = None) -> DataFrame:
+        at = stored(slim.join(sized(nodes), "node", "left_semi").select(F.col("_best._at").alias("_at")), "at")
+        return _with_sets(rows.select("_at", F.col(f"_row.c{place}").alias("_text")).join(sized(at), "_at", "left_semi").select("_text"), prefix=late is not None, late=late)
+
+    roots = stored(components(resemblances(entries, sets_of)), "roots")
+    discard(entries)
+    first = stored(slim.join(sized(roots), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("_best").alias("_best")).select("_best._at"), "first")
+    return rows.join(sized(first), "_at", "left_semi").select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)))

@@ -155,7 +155,7 @@ def test_one_of_each_equals_all_pairs(spark, monkeypatch, common):
     rows = [(i, t) for i, t in enumerate(texts)]
     want = plain_resembling(rows)
     assert len({frozenset(plain_sets(t)) for t in texts}) > len(want) + 10
-    monkeypatch.setattr(near_dedup.resemblances, "__kwdefaults__", {"common": common, "block": 4})
+    monkeypatch.setattr(near_dedup.resemblances, "__kwdefaults__", {"common": common, "block": 4, "most_late": 1 << 20 if common else 7})
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in near_dedup.one_of_each(docs).collect()) == want
 
