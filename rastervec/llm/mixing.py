@@ -3,8 +3,8 @@
 Every source has a target in words and a weight that changes linearly over training time 0..1. The
 integral of that weight up to time t, scaled to the target, is the source's cumulative demand D(t).
 Its documents, in an order by hash and repeated as often as the target asks, form a stream of words; an
-occurrence that begins after u words is trained at the time t with D(t) = u. Documents are then
-range-sorted by that position.
+occurrence that begins after u words is trained at the time t with D(t) = u, so a document's repeats lie apart. Occurrences
+are then range-sorted by that position.
 
 Running totals never gather a source: each source is cut into ``BUCKETS`` ranges of a hash, ranges are
 summed first, and a window runs within one range only.
@@ -63,18 +63,10 @@ def at_time(share: Column, w0: Column, w1: Column) -> Column:
     return share * (w0 + w1) / (w0 + F.sqrt(w0 * w0 + (w1 * w1 - w0 * w0) * share))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, weights: tuple = WEIGHTS, schedule: tuple = SCHEDULE, most: int = MOST_PASSES) -> DataFrame:
-    """The columns ``keep`` (doc_id alone unless given) with size, source_size, target, taken, copies and position, range-sorted by position.
-
-    Sources are ordered by code point, null last, for their weights. taken: words of the document in the mix; the
-    stream stops in the middle of a document where the target does. copies: occurrences of which at least half is taken.
-    position: time of the first occurrence, null if there is none. Null and empty texts have size 0 and are never
-    taken; repeated rows are documents of their own, and equal rows may change places. An empty table gives no rows.
-    """
-    keep = [doc_id] if keep is None else keep
-    kept = F.struct(*(ident(c) for c in keep)).alias("_kept")
+def _placed(docs: DataFrame, *, doc_id: str, text: str, source: str, keep: list[str], weights: tuple, schedule: tuple, most: int) -> DataFrame:
+    """_kept (a struct of ``keep``), size, source_size, target, taken, copies, _hash, and what position_of() needs."""
     rows = docs.select(
-        kept, word_count(ident(text)).alias("size"), ident(source).isNull().alias("_null"), F.coalesce(ident(source), F.lit("")).alias("_source"), place_of(ident(doc_id)).alias("_hash"), ident(doc_id).alias("_id")
+        F.struct(*(ident(c) for c in keep)).alias("_kept"), word_count(ident(text)).alias("size"), ident(source).isNull().alias("_null"), F.coalesce(ident(source), F.lit("")).alias("_source"), place_of(ident(doc_id)).alias("_hash"), ident(doc_id).alias("_id")
     )
     rows = rows.withColumn("_bucket", F.expr(f"int(_hash div {(1 << 60) // BUCKETS})"))
     keys = ["_null", "_source", "_bucket"]
@@ -88,15 +80,38 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     full = F.when(F.col("source_size") > 0, F.expr("_demand div source_size")).otherwise(F.lit(0))
     out = out.withColumn("_demand", demand).withColumn("_full", full)
     out = out.withColumn("_last", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_demand") - F.col("_full") * F.col("source_size") - F.col("_start"))))
-    taken = (F.col("_full") * F.col("size") + F.col("_last")).cast("long")
-    position = F.when((F.col("size") > 0) & (F.col("_start") < F.col("_demand")), at_time(F.col("_start") / F.col("_demand"), F.col("_w0"), F.col("_w1")))
     copies = F.when(F.col("size") > 0, F.col("_full") + ((F.col("_last") > 0) & (2 * F.col("_last") >= F.col("size"))).cast("long")).otherwise(F.lit(0)).cast("int")
-    out = out.select(*(F.col("_kept").getField(c).alias(c) for c in keep), "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), position.alias("position"), F.col("_hash").alias("_tie"))
+    return out.withColumn("taken", (F.col("_full") * F.col("size") + F.col("_last")).cast("long")).withColumn("copies", copies)
+
+
+def position_of(repeat: Column) -> Column:
+    """The time of an occurrence, 0 being the first: it begins after all words of its source that stand before it, and ``repeat`` times the whole source."""
+    start = F.col("_start") + repeat * F.col("source_size")
+    return F.when((F.col("size") > 0) & (start < F.col("_demand")), at_time(start / F.col("_demand"), F.col("_w0"), F.col("_w1")))
+
+
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, weights: tuple = WEIGHTS, schedule: tuple = SCHEDULE, most: int = MOST_PASSES) -> DataFrame:
+    """The columns ``keep`` (doc_id alone unless given) with size, source_size, target, taken, copies and position, range-sorted by position.
+
+    Sources are ordered by code point, null last, for their weights. taken: words of the document in the mix; the
+    stream stops in the middle of a document where the target does. copies: occurrences of which at least half is taken.
+    position: time of the first occurrence, null if there is none. Null and empty texts have size 0 and are never
+    taken; repeated rows are documents of their own, and equal rows may change places. An empty table gives no rows.
+    """
+    keep = [doc_id] if keep is None else keep
+    out = _placed(docs, doc_id=doc_id, text=text, source=source, keep=keep, weights=weights, schedule=schedule, most=most)
+    out = out.select(*(F.col("_kept").getField(c).alias(c) for c in keep), "size", "source_size", "target", "taken", "copies", position_of(F.lit(0)).alias("position"), F.col("_hash").alias("_tie"))
     return out.repartitionByRange("position", "_tie").sortWithinPartitions("position", "_tie").drop("_tie")  # rows without a position are many: the hash spreads them
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents in training order with their own columns only: each as often as the mix takes it, none that it doesn't."""
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, schedule: tuple = SCHEDULE, most: int = MOST_PASSES) -> DataFrame:
+    """The documents in training order with their own columns only: each as often as the mix takes it, none that it doesn't, and every occurrence at its own time.
+
+    Nulls, empty texts, repeated rows and empty tables are as for mix(); extra columns are carried along, whatever their names.
+    """
     names = docs.columns
-    rows = mix(docs.select(F.struct(*(ident(c) for c in names)).alias("_row"), *(ident(how.pop(k, k)).alias(k) for k in ("doc_id", "text", "source"))), keep=["_row"], **how)
-    return rows.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    whole = docs.select(F.struct(*(ident(c).alias(f"c{i}") for i, c in enumerate(names))).alias("_row"), *(ident(c).alias(a) for c, a in ((doc_id, "_doc"), (text, "_text"), (source, "_from"))))
+    rows = _placed(whole, doc_id="_doc", text="_text", source="_from", keep=["_row"], weights=weights, schedule=schedule, most=most).where("copies > 0")
+    rows = rows.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("_kept", position_of(F.col("_repeat")).alias("_position"), F.col("_hash").alias("_tie"))
+    rows = rows.repartitionByRange("_position", "_tie").sortWithinPartitions("_position", "_tie")
+    return rows.select(*(F.col(f"_kept._row.c{i}").alias(c) for i, c in enumerate(names)))

@@ -24,7 +24,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -223,15 +223,17 @@ class Packed:
         return out[skip : skip + hi - lo]
 
 
-def encoded(docs: DataFrame, model_file: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """BLOCKS rows; in the order of (part, block), and within a block, documents stand in ascending order of id.
+def encoded(docs: DataFrame, model_file: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS, order: list[Column] | None = None) -> DataFrame:
+    """BLOCKS rows; in the order of (part, block), and within a block, documents stand in ascending order of id, or of the columns ``order``.
 
     A null text is empty: its only id is the end. Null ids come first; rows with one id stand in the order of a hash of their text, and repeated
     rows are documents of their own. An empty table gives no block; a text longer than a block has a block alone.
     """
     body = F.coalesce(ident(text), F.lit(""))
-    rows = docs.select(ident(doc_id).cast("long").alias("_id"), F.xxhash64(body).alias("_h"), body.alias("_text"))
-    rows = rows.repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h").select("_id", "_text")
+    by = [ident(doc_id).cast("long"), F.xxhash64(body)] if order is None else order
+    rows = docs.select(ident(doc_id).cast("long").alias("_id"), *(c.alias(f"_by{i}") for i, c in enumerate(by)), body.alias("_text"))
+    keys = [f"_by{i}" for i in range(len(by))]
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_id", "_text")
     tail = np.array([end_id], "<u4").tobytes()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
