@@ -1,15 +1,55 @@
-"""The pipeline's stages, each against a plain version on its own input."""
+"""The pipeline's stages, each against a plain version on its own input, and on odd tables."""
+
+import hashlib
+import zlib
 
 import corpus_pipeline
-from test_text_operators import plain_components, plain_fingerprint
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from test_corpus_operators import plain_words
+from test_text_operators import plain_resembling
+from tokenizers import Tokenizer
 
-from rastervec.llm import quality_rules
-from rastervec.llm.common import stored, table
+from rastervec.llm import mixing, quality_rules
+from rastervec.llm.common import stored, table, written_order
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_mix(rows):
+    """Ids in training order from (doc_id, text, source): every occurrence at the time when its source's cumulative demand reaches it."""
+    words = lambda t: len((t or "").encode().split())
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(words(t) for _, t, own in rows if own == s) for s in names}
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    target, left = {}, set(names)
+    while True:  # reshare until no source is above three times its size
+        level = (sum(size.values()) - sum(target.values())) / max(1, sum(weight[s] for s in left))
+        above = {s for s in left if weight[s] * level > 3 * size[s]}
+        target |= {s: 3 * size[s] for s in above}
+        left -= above
+        if not above:
+            break
+    target |= {s: weight[s] * level for s in left}
+    placed = []
+    for i, s in enumerate(names):
+        w0, w1 = mixing.SCHEDULE[i % 3]
+        demand = min(int(target[s] + 0.5), 3 * size[s])
+        place = lambda d: int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16)
+        start = 0
+        for d, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: (place(r[0]), r[0])):
+            n = words(t)
+            for k in range(3):
+                u = start + k * size[s]
+                if n and u < demand and 2 * min(n, demand - u) >= n:
+                    share = u / demand
+                    placed.append((share * (w0 + w1) / (w0 + (w0 * w0 + (w1 * w1 - w0 * w0) * share) ** 0.5), place(d), d))
+            start += n
+    return [d for _, _, d in sorted(placed)]
+
+
 def test_stages(spark):
     docs = table(spark, SF, "documents")
     columns, seen = docs.columns, [docs]
@@ -19,13 +59,12 @@ def test_stages(spark):
     assert all(d.columns == columns for d in seen[:-1])
     rows = [d.collect() for d in seen]
     ids = [sorted(r["doc_id"] for r in part) for part in rows]
+    text = {r["doc_id"]: r["text"] for r in rows[0]}
 
     good = [r["doc_id"] for r in rows[0] if not quality_rules.base_failed(*(quality_rules.measures(r["text"] or "")[k] for k in (0, 4))) and not any(rule(r["text"] or "") for rule in quality_rules.RULES.values())]
     assert ids[1] == sorted(good) and len(good) < len(rows[0])
 
-    own = sorted(r["doc_id"] for r in rows[1])
-    text = {r["doc_id"]: r["text"] for r in rows[1]}
-    assert ids[2] == sorted(set(plain_components(own, [plain_fingerprint(text[i]) for i in own])))
+    assert ids[2] == plain_resembling([(i, text[i]) for i in ids[1]]) and len(ids[2]) < len(ids[1])
 
     windows = set()
     for item in table(spark, SF, "benchmark").collect():
@@ -35,10 +74,45 @@ def test_stages(spark):
     hit = lambda t: any(tuple(w[i : i + n]) in windows for w in (plain_words(t),) for n in sizes for i in range(len(w) - n + 1))
     assert ids[3] == [i for i in ids[2] if not hit(text[i])]
 
-    assert set(ids[4]) <= set(ids[3]) and max(map(ids[4].count, ids[4])) <= 3
-    assert ids[5] == ids[4]
-    tokens = sorted(rows[5], key=lambda r: r["start"])
-    assert [r["doc_id"] for r in tokens] == ids[4]
+    trained = [r["doc_id"] for r in seen[4].orderBy(*written_order()).select("doc_id").collect()]
+    assert trained == plain_mix([(r["doc_id"], r["text"], r["source"]) for r in rows[3]])
+    repeats = {i for i in trained if trained.count(i) > 1}
+    assert repeats and not any(a == b for a, b in zip(trained, trained[1:]))  # occurrences have times of their own
+
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, start = [], 0
+    for i in trained:
+        own = [*model.encode(text[i], add_special_tokens=False).ids, 2]
+        want.append((i, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+        start += len(own)
+    assert [tuple(r) for r in sorted(rows[5], key=lambda r: r["start"])] == want
+
+
+LONG = " ".join("".join("abcdefghij"[int(c)] for c in str(i)) for i in range(60_000))
+GOOD = " ".join(f"plain{i}" for i in range(40))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, and columns with names that stages use themselves."""
+    rows = [(1, None, "en", "a", 0), (2, "", None, None, None), (None, GOOD, "en", None, 5), (3, GOOD, None, "a", 5), (3, GOOD, None, "a", 5), (4, LONG, "de", "b", 1), (5, "x " * 30, None, None, 1), (6, " ".join(reversed(GOOD.split())), "en", "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({c: F.lit("z") for c in ("_row", "_at", "_text", "node", "fp", "_kept", "size", "position", "a.b", "c0")})
+
+
+def test_stages_on_odd_tables(spark, odd):
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        seen[name] = stored(stage(spark, stored(odd, "odd"), SF), name)
+        empty = stage(spark, stored(odd.where("false"), "odd"), SF)
+        assert empty.count() == 0 and seen[name].columns == empty.columns == (odd.columns if name != "tokens" else ["doc_id", "start", "n_tokens", "ids_crc32"])
+    ids = {k: sorted((r["doc_id"] for r in v.collect()), key=str) for k, v in seen.items()}
+    assert ids["quality"] == [3, 3, 4, 6, None]
+    assert ids["near_duplicates"] == [1, 3, 4, 5, 6]  # null and empty texts are copies, and so are the rows with GOOD
+    assert ids["decontaminated"] == sorted((r["doc_id"] for r in odd.collect()), key=str)
+    assert set(ids["mixed"]) <= {3, 4, 5, 6, None} and 4 in ids["mixed"]
+    assert ids["tokens"] == ids["decontaminated"]
+    assert {r["n_tokens"] for r in seen["tokens"].where("doc_id in (1, 2)").collect()} == {1}
 
 
 def test_run_gives_the_last_stage(spark):
