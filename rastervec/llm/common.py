@@ -62,7 +62,7 @@ def written_order() -> list[Column]:
     return [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int"), F.col("_metadata.file_name"), F.col("_metadata.row_index")]
 
 
-def sized(table: DataFrame, most: int = 1 << 20) -> DataFrame:
+def sized(table: DataFrame, most: int = 1 << 19) -> DataFrame:
     """A stored table of a few numbers a row, for the small side of a join: broadcast if it has at most ``most`` rows, else joined by a shuffle."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 

@@ -27,8 +27,9 @@ from pyspark.sql.types import ArrayType, LongType
 from rastervec.llm.common import discard, ident, sized, slices, stored, texts_of
 
 SHINGLE, DISTANCE, HEAVY = 3, 2, 64
-#: Of one_of_each(): words of a run, beyond how many sets a hash comes last, sets of a block, and how many common hashes are told apart at most.
-RUN, COMMON, BLOCK, MOST_LATE = 5, 64, 512, 1 << 20
+#: Of one_of_each(): words of a run, beyond how many sets a hash comes last, sets of a block, how many common hashes are told apart at most, and the share of
+#: sets (one in so many) that tells which hashes are common. The last two change the order of hashes only, not what is found.
+RUN, COMMON, BLOCK, MOST_LATE, TELLING = 5, 64, 512, 1 << 20, 4
 #: Bits that fingerprints (64 and 128 of them) of sets with a resemblance of 0.8 may differ in; they do in 10 and 19 (deviation 3 and 4). Smaller sets than SMALL aren't judged by theirs.
 NEAR_64, NEAR_128, SMALL = 24, 42, 64
 _CUT = 1 << 16
@@ -235,13 +236,13 @@ def _in_families(posts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bl
     return stored(cells.groupBy("family", "i", "j").applyInArrow(joined, "a long, b long"), "kin")
 
 
-def resemblances(entries: DataFrame, sets_of: Callable[..., DataFrame], *, common: int = COMMON, block: int = BLOCK, most_late: int = MOST_LATE) -> DataFrame:
+def resemblances(entries: DataFrame, sets_of: Callable[..., DataFrame], *, common: int = COMMON, block: int = BLOCK, most_late: int = MOST_LATE, telling: int = TELLING) -> DataFrame:
     """(a, b): links between different sets of a resemblance of 0.8 at least, enough for the components of all such pairs.
 
     entries: node, n, set (the prefix), fp and fq of each set; sets_of: the same with whole sets for a stored table of nodes. Two sets of that resemblance share a hash of both
     prefixes, in whatever order all sets are sorted. Neighbours in a list of the sets with a hash are compared first, so that groups of near copies are
     components, and only pairs between components are compared then. Where over ``common`` sets of several components share a hash, the hashes that many of
-    these sets hold come last in the order (the ``most_late`` most common ones): prefixes are taken anew. What still crowds then are texts made of such hashes, whole families; they
+    these sets hold come last in the order (the ``most_late`` most common ones, as one in ``telling`` of the sets shows): prefixes are taken anew. What still crowds then are texts made of such hashes, whole families; they
     are compared block by block.
     """
     listed = entries.where("n > 0").select("node", "n", "fp", F.explode("set").alias("hash"))
@@ -264,7 +265,8 @@ def resemblances(entries: DataFrame, sets_of: Callable[..., DataFrame], *, commo
     discard(posts)
     crowd = stored(met.where(F.col("_of") > common).select("node").distinct(), "crowd")
     if not crowd.isEmpty():
-        held = sets_of(crowd).select(F.explode("set").alias("hash")).groupBy("hash").count().where(F.col("count") > common)
+        some = stored(crowd.where(F.pmod(F.xxhash64("node"), F.lit(telling)) == 0), "some")
+        held = sets_of(some).select(F.explode("set").alias("hash")).groupBy("hash").count().where(F.col("count") > common / telling / 3)  # few that over ``common`` sets hold are missed
         late = stored(held.orderBy(F.desc("count"), "hash").limit(most_late).select("hash"), "late")  # a bounded number; any order of the hashes gives the same links
         anew = stored(listed.join(sized(late), "hash", "left_semi").select("node").distinct(), "anew")
         again = sets_of(anew, late=np.sort(late.toPandas()["hash"].to_numpy(np.int64))).select("node", "n", "fp", F.explode("set").alias("hash"))

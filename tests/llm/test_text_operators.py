@@ -44,7 +44,7 @@ def test_quality_measures_and_verdicts(docs, none):
         covered = {i + k for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for k in range(8)}
         lines = Counter(x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
         failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
-        kept = not failed and not any(rule(t) for rule in quality_rules.RULES.values())
+        kept = not failed and not any(rule(quality_rules.Text(t)) for rule in quality_rules.RULES.values())
         return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), sum(n - 1 for n in lines.values()), len(covered), failed, kept
 
     got = by_id(quality_rules.judge(docs))
@@ -64,6 +64,15 @@ def test_cascade_order_changes_no_verdict(docs):
     assert list(estimates.set_index("rule").loc[by_gain, "gain"]) == sorted(estimates["gain"], reverse=True)
 
 
+def test_the_sample_of_rules_is_bounded_when_texts_repeat(spark):
+    same = spark.range(1000).select(F.lit("one text a thousand times " * 5).alias("text"))
+    seen = []
+    rules = {"count": lambda t: seen.append(1) or True}
+    estimates = quality_rules.estimate(same, rules=rules, sample=100)
+    assert estimates["selectivity"][0] == 1 and estimates["cost"][0] > 0
+    assert 50 <= same.sample(0.1, seed=9).count() <= 150
+
+
 def test_token_counts_equal_the_library(docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -79,6 +88,17 @@ def test_overlaps_are_widened_until_chunks_align():
             assert own.count_long(text, chunk, overlap) == len(own.model.encode(text))
 
 
+def test_texts_without_boundaries_take_linear_time():
+    own = token_count.encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    sizes = []
+    whole, own.starts = own.starts, lambda t: sizes.append(len(t)) or whole(t)
+    try:
+        assert own.count_long("a" * 400_000) == len(own.model.encode("a" * 400_000))
+    finally:
+        del own.starts
+    assert sum(sizes) <= 3 * 400_000
+
+
 def plain_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     if not words:
@@ -155,7 +175,7 @@ def test_one_of_each_equals_all_pairs(spark, monkeypatch, common):
     rows = [(i, t) for i, t in enumerate(texts)]
     want = plain_resembling(rows)
     assert len({frozenset(plain_sets(t)) for t in texts}) > len(want) + 10
-    monkeypatch.setattr(near_dedup.resemblances, "__kwdefaults__", {"common": common, "block": 4, "most_late": 1 << 20 if common else 7})
+    monkeypatch.setattr(near_dedup.resemblances, "__kwdefaults__", {"common": common, "block": 4, "most_late": 1 << 20 if common else 7, "telling": 1 + common % 2})
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in near_dedup.one_of_each(docs).collect()) == want
 
