@@ -61,7 +61,7 @@ def test_stages(spark):
     ids = [sorted(r["doc_id"] for r in part) for part in rows]
     text = {r["doc_id"]: r["text"] for r in rows[0]}
 
-    good = [r["doc_id"] for r in rows[0] if not quality_rules.base_failed(*(quality_rules.measures(r["text"] or "")[k] for k in (0, 4))) and not any(rule(r["text"] or "") for rule in quality_rules.RULES.values())]
+    good = [r["doc_id"] for r in rows[0] for t in (quality_rules.Text(r["text"] or ""),) if not t.base_failed() and not any(rule(t) for rule in quality_rules.RULES.values())]
     assert ids[1] == sorted(good) and len(good) < len(rows[0])
 
     assert ids[2] == plain_resembling([(i, text[i]) for i in ids[1]]) and len(ids[2]) < len(ids[1])
