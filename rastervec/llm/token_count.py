@@ -3,7 +3,7 @@
 A huge text is encoded in overlapping chunks. Two chunks are spliced at a place where both have a token boundary
 and that is proven stable: no piece of the vocabulary holds the two characters at its sides next to each
 other, so no merge can ever cross it and the tokens at either side don't depend on the other side. If an overlap has no
-such place it is widened, at last to the splice before. Counts therefore equal those of the whole text.
+such place it is widened, to the last such place, at last to the splice before. Counts therefore equal those of the whole text.
 
 Texts of one chunk are cut at the same kind of place (before a space after another character), and each cut part is
 encoded once a batch.
@@ -38,11 +38,16 @@ class Encoder:
         #: characters that a token adds; the later bytes of a character add none
         self.adds = np.array([len(p) if not b else int(int(p[3:5], 16) & 0xC0 != 0x80) for p, b in zip(pieces, byte)], np.int64)
         self.joined = {(a, b) for p in plain for a, b in zip(p, p[1:])}
+        self.joined_codes = np.sort(np.array([ord(a) << 32 | ord(b) for a, b in self.joined] or [0], np.uint64))
         self.words_stand_alone = not any(b == "▁" != a for a, b in self.joined)
         self.memo: dict[str, int] = {}
 
-    def stable(self, text: str, at: int) -> bool:
-        return (text[at - 1].replace(" ", "▁"), text[at].replace(" ", "▁")) not in self.joined
+    def stable_places(self, text: str) -> np.ndarray:
+        """The places between two characters that no piece holds next to each other."""
+        codes = np.frombuffer(text.replace(" ", "▁").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        pairs = codes[:-1] << np.uint64(32) | codes[1:]
+        at = np.minimum(np.searchsorted(self.joined_codes, pairs), len(self.joined_codes) - 1)
+        return np.flatnonzero(self.joined_codes[at] != pairs) + 1
 
     def starts(self, text: str) -> np.ndarray | None:
         """The character at which each token starts (-1: at the space that the model puts before); None if they don't add up."""
@@ -51,31 +56,33 @@ class Encoder:
         ends = np.cumsum(adds)
         return ends - np.maximum(adds, 1) - 1 if len(ids) and ends[-1] == len(text) + 1 else None
 
-    def splice(self, a: np.ndarray, b: np.ndarray, text: str, low: int, high: int) -> int | None:
-        """The last proven boundary that both have after low and before high."""
-        common = np.intersect1d(a[(a > low) & (a < high)], b)
-        return next((int(i) for i in common[::-1] if self.stable(text, int(i))), None)
-
     def count_long(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-        """done: everything before it is counted, and it is 0 or a proven boundary."""
+        """done: everything before it is counted, and it is 0 or a proven boundary.
+
+        An overlap reaches back over the last stable place before the chunk's end; without one it is widened back over ``done``, and the next chunk is twice as
+        long: a text without stable places is encoded about twice, not once for each chunk."""
         n, done, total, end = len(text), 0, 0, min(chunk, len(text))
+        places = self.stable_places(text)
         a = self.starts(text[:end])
         while end < n and a is not None:
-            width, to = overlap, min(n, end + chunk)
-            while True:
-                since = max(0, end - width)
-                b = self.starts(text[since:to])
+            to = min(n, end + chunk)
+            last = np.searchsorted(places, end) - 1
+            since = max(0, int(places[last] if last >= 0 and places[last] > done else done) - overlap)
+            b = self.starts(text[since:to])
+            if b is None:
+                return len(self.model.encode(text, num_threads=1))
+            b = b + since
+            common = np.intersect1d(np.intersect1d(a[(a > max(since, done)) & (a < end)], b), places)
+            if len(common):
+                total += int(((a >= done) & (a < common[-1])).sum() if done else (a < common[-1]).sum())
+                done = int(common[-1])
+            elif since > max(0, done - overlap):  # not aligned after all: again from ``done`` on
+                b = self.starts(text[max(0, done - overlap) : to])
                 if b is None:
                     return len(self.model.encode(text, num_threads=1))
-                b = b + since
-                at = self.splice(a, b, text, max(since, done), end)
-                if at is not None:
-                    total += int(((a >= done) & (a < at)).sum() if done else (a < at).sum())
-                    done = at
-                    break
-                if since == 0 or since < done:
-                    break  # b holds everything from done on by itself
-                width *= 2
+                b = b + max(0, done - overlap)
+            if not len(common):
+                chunk *= 2
             a, end = b, to
         if a is None:
             return len(self.model.encode(text, num_threads=1))
