@@ -1,6 +1,7 @@
 """Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
 
-A window is a string of ``least`` (400) bytes. A byte goes if a window over it also starts anywhere else.
+A byte goes if a string of ``least`` (400) bytes over it also starts anywhere else. Shorter strings, of ``short`` (256) bytes, are judged in the same sort: they
+remove nothing, but name the passages of over fifty words that repeat. A window is such a shorter string, by its first byte.
 
 1. Suffix buckets. The bucket of a window is set by its anchor, the least of the hashes of short strings in its first
    ``2^k`` bytes: equal windows have equal anchors, so they share a bucket. Neighbouring windows with one anchor make
@@ -9,11 +10,11 @@ A window is a string of ``least`` (400) bytes. A byte goes if a window over it a
    sent to their bucket's task, and the task sorts the suffixes of one block of buckets at a time:
    a difference cover D modulo v holds, for any two places, a shift d < v that takes both into D. Cover places are ranked once by a
    fixed length of their suffix; suffixes are sorted by their first v bytes only, and longer ties are resolved by comparing ranks d places
-   on. So ties of any length cost a look-up, and memory is bounded by the block.
-3. The found windows are united for each document, and the remaining bytes are hashed.
+   on. So ties of any length cost a look-up, and memory is bounded by the block. Equal windows are told apart further by the ``least`` bytes.
+3. The found strings are united for each document, and the remaining bytes are hashed.
 
-A bucket with more than ``HEAVY`` different runs (a passage between ever new neighbours) is never gathered: its windows are counted one by one
-by their 128-bit hash instead.
+A bucket with more than ``HEAVY`` different runs (a passage between ever new neighbours) is never gathered: its strings are counted one by one
+by their 128-bit hashes instead.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastervec.llm.common import bytes_of, ident, slices, stored, texts_of
+from rastervec.llm.common import bytes_of, discard, ident, sized, slices, stored, texts_of
 
-LEAST = 400
+LEAST, SHORT = 400, 256
+#: A passage is a maximal repeated run of more whole words than this.
+PASSAGE_WORDS = 50
 #: Bytes that are hashed at a time, bytes of a block of suffix buckets, runs of a bucket.
 PIECE, BLOCK_BYTES, HEAVY = 1 << 20, 2 << 20, 2048
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -80,24 +83,26 @@ def runs(raw: np.ndarray, at: np.ndarray, least: int, piece: int = PIECE) -> Ite
             yield doc[new], start[new], np.diff(np.append(new, len(start))), anchor[new]
 
 
-RUN = "id long, h long, bucket long, run long, first long, n int"
+RUN = "id long, h long, bucket long, run long, first long, n int, m int"
 
 
-def run_table(docs: DataFrame, least: int) -> DataFrame:
-    """Runs of all documents of (id, h, text): hash of the bucket, hash of the run's bytes, place of its first window, number of windows."""
-    shared = shape(least)[2]
+def run_table(docs: DataFrame, least: int, short: int) -> DataFrame:
+    """Runs of all documents of (id, h, text): hash of the bucket, hash of the run's bytes, place of its first window, number of windows, and bytes up
+    to where strings of ``least`` bytes from these windows end, or the document does."""
+    shared = shape(short)[2]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             raw, at = bytes_of(texts_of(batch, "text"))
             view = memoryview(raw)
-            for doc, first, n, anchor in runs(raw, at, least):
+            for doc, first, n, anchor in runs(raw, at, short):
+                m = np.minimum(n + least - 1, at[doc + 1] - first)
                 bucket = b"".join([xxhash.xxh3_64_digest(view[a : a + shared]) for a in anchor.tolist()])
-                run = b"".join([xxhash.xxh3_64_digest(view[a : a + k + least - 1], seed=1) for a, k in zip(first.tolist(), n.tolist())])
+                run = b"".join([xxhash.xxh3_64_digest(view[a : a + k], seed=c) for a, k, c in zip(first.tolist(), m.tolist(), n.tolist())])
                 which = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(which), batch.column(1).take(which), pa.array(np.frombuffer(bucket, "<i8")), pa.array(np.frombuffer(run, "<i8")), pa.array(first - at[doc]), pa.array(n.astype(np.int32))],
-                    names=["id", "h", "bucket", "run", "first", "n"],
+                    [batch.column(0).take(which), batch.column(1).take(which), pa.array(np.frombuffer(bucket, "<i8")), pa.array(np.frombuffer(run, "<i8")), pa.array(first - at[doc]), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int32))],
+                    names=["id", "h", "bucket", "run", "first", "n", "m"],
                 )
 
     return docs.mapInArrow(found, RUN)
@@ -166,25 +171,44 @@ class Block:
         return out
 
 
-def repeated(texts: list[bytes], counts: list[int], buckets: list[int], least: int) -> list[np.ndarray]:
-    """For each text, which of its first ``counts`` windows equal another window of the same bucket."""
+def repeated(texts: list[bytes], counts: list[int], buckets: list[int], least: int, short: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text, which of its first ``counts`` windows equal another window of the same bucket, and which also over ``least`` bytes."""
     data = np.frombuffer(b"".join(texts), np.uint8)
-    begin = np.cumsum([0, *map(len, texts)])[:-1]
-    block = Block(data, least)
+    begin = np.cumsum([0, *map(len, texts)])
+    block = Block(data, short)
     own = np.concatenate([b + np.arange(n) for b, n in zip(begin, counts)])
+    whole = np.concatenate([np.arange(n) + least <= e - b for b, e, n in zip(begin, begin[1:], counts)])
     group = np.repeat(np.unique(buckets, return_inverse=True)[1], counts)
-    found = np.zeros(len(data) + 1, bool)
+    longer, shorter = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    longer[own[whole]] = True  # those that have ``least`` bytes, for now
     for k in range(0, block.v, 8):
         own, group = _split(own, group, block.word[own + k])
+    same = np.full(len(data) + 1, -1)
+    _pivoted(block, own, group, 0, same)
+    shorter[np.flatnonzero(same >= 0)] = True
+    own = np.flatnonzero(shorter & longer)
+    longer[:] = False
+    if least > short:
+        own, group = _split(own, same[own], np.zeros(len(own), np.uint64))
+        again = np.full(len(data) + 1, -1)
+        _pivoted(block, own, group, least - short, again)  # equal windows: the last ``short`` of the ``least`` bytes decide
+        same = again
+        longer[np.flatnonzero(same >= 0)] = True
+    else:
+        longer[own] = True
+    return [(shorter[b : b + n], longer[b : b + n]) for b, n in zip(begin, counts)]
+
+
+def _pivoted(block: Block, own: np.ndarray, group: np.ndarray, on: int, same: np.ndarray) -> None:
+    """Sorts groups of places by what stands ``on`` bytes on; of equal places, ``same`` gets one's number."""
     while len(own):
         new = np.append(True, group[1:] != group[:-1])
         pivot = own[new][np.cumsum(new) - 1]
-        c = block.compared(own, pivot)
+        c = block.compared(own + on, pivot + on)
         hit = (c == 0) & ~new
-        found[own[hit]] = found[pivot[hit]] = True
+        same[own[hit]] = same[pivot[hit]] = pivot[hit]
         left = c != 0
         own, group = _split(own[left], group[left], (c[left] > 0).astype(np.uint64))
-    return [found[b : b + n] for b, n in zip(begin, counts)]
 
 
 def _split(own: np.ndarray, group: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,22 +221,25 @@ def _split(own: np.ndarray, group: np.ndarray, by: np.ndarray) -> tuple[np.ndarr
     return own[several], group[several]
 
 
-SPAN = "id long, h long, lo long, hi long"
+#: Bytes from lo under repeated windows, and (null: none) under repeated strings of the full length.
+SPAN = "id long, h long, lo long, short_hi long, hi long"
 
 
-def _spans(id_: pa.Array, h: pa.Array, first: list[int], flags: list[np.ndarray], least: int) -> pa.RecordBatch:
-    """Bytes under the flagged windows of each run."""
-    which, lo, hi = [], [], []
-    for i, (start, f) in enumerate(zip(first, flags)):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-        which += [i] * (len(edge) // 2)
-        lo += (start + edge[::2]).tolist()
-        hi += (start + edge[1::2] + least - 1).tolist()
+def _spans(id_: pa.Array, h: pa.Array, first: list[int], flags: list[tuple[np.ndarray, np.ndarray]], least: int, short: int) -> pa.RecordBatch:
+    """Bytes under the flagged windows of each run, a row for each length."""
+    which, lo, ends = [], [], ([], [])
+    for i, (start, both) in enumerate(zip(first, flags)):
+        for k, (f, size) in enumerate(zip(both, (short, least))):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
+            which += [i] * (len(edge) // 2)
+            lo += (start + edge[::2]).tolist()
+            ends[k].extend((start + edge[1::2] + size - 1).tolist())
+            ends[1 - k].extend([None] * (len(edge) // 2))
     at = pa.array(which, pa.int64())
-    return pa.RecordBatch.from_arrays([id_.take(at), h.take(at), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["id", "h", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([id_.take(at), h.take(at), pa.array(lo, pa.int64()), *(pa.array(e, pa.int64()) for e in ends)], names=[c.split()[0] for c in SPAN.split(", ")])
 
 
-def sorted_blocks(shipped: DataFrame, least: int) -> DataFrame:
+def sorted_blocks(shipped: DataFrame, least: int, short: int) -> DataFrame:
     """SPAN rows for (bucket, id, h, first, n, data): whole buckets stand in one task, in order, and are sorted a block at a time."""
     rows = shipped.repartition("bucket").sortWithinPartitions("bucket")
 
@@ -221,7 +248,7 @@ def sorted_blocks(shipped: DataFrame, least: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             bucket, id_, h, first, n, data = zip(*held)
-            return _spans(pa.array(id_, pa.int64()), pa.array(h, pa.int64()), list(first), repeated(list(data), list(n), list(bucket), least), least)
+            return _spans(pa.array(id_, pa.int64()), pa.array(h, pa.int64()), list(first), repeated(list(data), list(n), list(bucket), least, short), least, short)
 
         size = 0
         for batch in batches:
@@ -237,37 +264,45 @@ def sorted_blocks(shipped: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(sort, SPAN)
 
 
-def counted_windows(shipped: DataFrame, least: int) -> DataFrame:
-    """SPAN rows for the same input, of buckets of any size: each window is counted by its 128-bit hash."""
+def counted_windows(shipped: DataFrame, least: int, short: int) -> DataFrame:
+    """SPAN rows for the same input, of buckets of any size: each string of either length is counted by its 128-bit hash."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                first, n = part.column(3).to_pylist(), part.column(4).to_pylist()
-                digests = b"".join([xxhash.xxh3_128_digest(d[k : k + least]) for d, c in zip(part.column(5).to_pylist(), n) for k in range(c)])
-                words = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                which = pa.array(np.repeat(np.arange(len(n)), n))
-                lo = np.concatenate([f + np.arange(c) for f, c in zip(first, n)]) if n else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(1).take(which), part.column(2).take(which), pa.array(lo), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["id", "h", "lo", "w1", "w2"])
-
-    rows = stored(shipped.mapInArrow(hashed, "id long, h long, lo long, w1 long, w2 long"), "windows")
-    often = rows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    return rows.join(often, ["w1", "w2"], "left_semi").select("id", "h", "lo", (F.col("lo") + least).alias("hi"))
-
-
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
+                first, n, data = (part.column(k).to_pylist() for k in (3, 4, 5))
+                for size in {short, least}:
+                    counts = [max(0, min(c, len(d) - size + 1)) for c, d in zip(n, data)]
+                    digests = b"".join([xxhash.xxh3_128_digest(d[k : k + size], seed=size) for d, c in zip(data, counts) for k in range(c)])
+                    words = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                    which = pa.array(np.repeat(np.arange(len(n)), counts))
+                    lo = np.concatenate([f + np.arange(c) for f, c in zip(first, counts)]) if n else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column(1).take(which), part.column(2).take(which), pa.array(lo.astype(np.int64)), pa.array([size] * len(lo), pa.int32()), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["id", "h", "lo", "size", "w1", "w2"])
+
+    rows = stored(shipped.mapInArrow(hashed, "id long, h long, lo long, size int, w1 long, w2 long"), "windows")
+    often = stored(rows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "often")
+    end = F.col("lo") + F.col("size")
+    found = rows.join(sized(often), ["w1", "w2"], "left_semi")
+    return found.select("id", "h", "lo", F.when(F.col("size") == short, end).alias("short_hi"), F.when(F.col("size") == least, end).alias("hi"))
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, short: int = SHORT) -> DataFrame:
     """SPAN rows (not united) of (id, h, text)."""
-    every = stored(run_table(docs, least), "runs")
+    every = stored(run_table(docs, least, short), "runs")
     several = stored(every.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
-    live = stored(every.join(several, "bucket", "left_semi"), "live")
-    kinds = stored(live.groupBy("bucket", "run").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "first", "n")).alias("one")), "kinds")
-    whole = live.join(kinds.where("times > 1").select("bucket", "run"), ["bucket", "run"], "left_semi")
-    spans = whole.select("id", "h", F.col("first").alias("lo"), (F.col("first") + F.col("n") + least - 1).alias("hi"))
+    live = stored(every.join(sized(several), "bucket", "left_semi"), "live")
+    discard(every, several)
+    kinds = stored(live.groupBy("bucket", "run").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "first", "n", "m")).alias("one")), "kinds")
+    whole = live.join(sized(stored(kinds.where("times > 1").select("bucket", "run"), "equal")), ["bucket", "run"], "left_semi")
+    end = F.col("first") + F.col("n")
+    spans = stored(whole.select("id", "h", F.col("first").alias("lo"), (end + short - 1).alias("short_hi"), F.when(F.col("m") >= least, F.least(end + least - 1, F.col("first") + F.col("m"))).alias("hi")), "whole")
+    discard(live)
     # buckets with different runs, of which one at least occurs once
-    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("times").alias("_t")).where("kinds > 1 and _t = 1").select("bucket", (F.col("kinds") > HEAVY).alias("heavy"))
-    wanted = kinds.join(mixed, "bucket").select("bucket", "heavy", "one.*")
-    wanted = stored(wanted.groupBy("id", "h").agg(F.collect_list(F.struct("bucket", "heavy", "first", "n")).alias("runs")), "wanted")
+    mixed = stored(kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("times").alias("_t")).where("kinds > 1 and _t = 1").select("bucket", (F.col("kinds") > HEAVY).alias("heavy")), "mixed")
+    wanted = kinds.join(sized(mixed), "bucket").select("bucket", "heavy", "one.*")
+    wanted = stored(wanted.groupBy("id", "h").agg(F.collect_list(F.struct("bucket", "heavy", "first", "n", "m")).alias("runs")), "wanted")
+    discard(kinds, mixed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,12 +310,21 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 id_, h, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode()
                 asked = batch.column(3)[i].as_py()
                 for k in range(0, len(asked), 4096):
-                    out = [{"bucket": r["bucket"], "id": id_, "h": h, "first": r["first"], "n": r["n"], "data": data[r["first"] : r["first"] + r["n"] + least - 1], "heavy": r["heavy"]} for r in asked[k : k + 4096]]
+                    out = [{"bucket": r["bucket"], "id": id_, "h": h, "first": r["first"], "n": r["n"], "data": data[r["first"] : r["first"] + r["m"]], "heavy": r["heavy"]} for r in asked[k : k + 4096]]
                     yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("heavy", pa.bool_())]))
 
     same = [docs["id"].eqNullSafe(wanted["id"]), docs["h"] == wanted["h"]]
     shipped = stored(docs.join(wanted, same).select(docs["id"], docs["h"], "text", "runs").mapInArrow(cut, "bucket long, id long, h long, first long, n int, data binary, heavy boolean").dropDuplicates(["bucket", "id", "h", "first"]), "shipped")
-    return spans.union(sorted_blocks(shipped.where("not heavy").drop("heavy"), least)).union(counted_windows(shipped.where("heavy").drop("heavy"), least))
+    discard(wanted)
+    return spans.union(sorted_blocks(shipped.where("not heavy").drop("heavy"), least, short)).union(counted_windows(shipped.where("heavy").drop("heavy"), least, short))
+
+
+def whole_words(data: memoryview, lo: int, hi: int) -> int:
+    """Words that stand whole in data[lo:hi]."""
+    part = bytes(data[lo:hi])
+    blank = lambda at: bytes(data[at : at + 1]).isspace()
+    cut = (lo > 0 and not blank(lo - 1) and not blank(lo)) + (hi < len(data) and not blank(hi - 1) and not blank(hi))
+    return max(0, len(part.split()) - cut)
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -288,37 +332,45 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(ident(doc_id).cast("long").alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
 
 
-def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every document; with ``texts`` also kept, the remaining bytes.
+def _united(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of the bytes under spans, which come in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in zip(lo.tolist(), hi.tolist()):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, short: int | None = None, more_words: int = PASSAGE_WORDS, texts: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and n_passages of every document; with ``texts`` also kept, the remaining bytes.
 
+    n_passages: maximal runs of bytes under strings of ``short`` bytes (SHORT, or ``least`` if that is less) that also start anywhere else, where such a run holds more than ``more_words`` whole words.
     A null text is empty. Documents may share an id: rows are told apart by id and text, and a row that is there twice is a repetition of
-    itself, so both lose what is longer than a window. Ids may be null. An empty table gives no rows; extra columns are not read.
+    itself, so both lose what is longer than a string. Ids may be null. An empty table gives no rows; extra columns are not read.
     """
+    short = min(SHORT, least) if short is None else short
     rows = _rows(docs, doc_id, text)
-    spans = stored(repeated_spans(rows, least).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
-    joined = rows.join(spans, [rows["id"].eqNullSafe(spans["id"]), rows["h"] == spans["h"]], "left").select(rows["id"], "text", "spans")
-    kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    ordered = lambda hi: F.sort_array(F.collect_list(F.when(F.col(hi).isNotNull(), F.struct("lo", F.col(hi).alias("hi")))))
+    spans = stored(repeated_spans(rows, least, short).groupBy("id", "h").agg(ordered("hi").alias("spans"), ordered("short_hi").alias("passages")), "spans")
+    joined = rows.join(spans, [rows["id"].eqNullSafe(spans["id"]), rows["h"] == spans["h"]], "left").select(rows["id"], "text", "spans", "passages")
+    kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", kept binary" * texts
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             raw, at = bytes_of(texts_of(batch, "text"))
             view, out = memoryview(raw), []
-            for i, spans in enumerate(batch.column(2)):
-                pieces, gone, n, last, end = [], 0, 0, int(at[i]), -1
-                lo, hi = (spans.values.field(k).to_numpy() for k in (0, 1)) if spans.is_valid else ((), ())
-                for a, b in zip(lo, hi):
-                    if a > end:  # a new removed run
-                        pieces.append(view[last : int(at[i] + a)])
-                        n, gone, end = n + 1, gone + int(b - a), int(b)
-                    elif b > end:
-                        gone, end = gone + int(b - end), int(b)
-                    last = int(at[i]) + end
-                pieces.append(view[last : int(at[i + 1])])
+            for i, both in enumerate(zip(batch.column(2), batch.column(3))):
+                own = view[int(at[i]) : int(at[i + 1])]
+                gone, passages = (_united(*(x.values.field(k).to_numpy() for k in (0, 1))) if x.is_valid else [] for x in both)
+                edges = [0, *(x for span in gone for x in span), len(own)]
+                pieces = [own[a:b] for a, b in zip(edges[::2], edges[1::2])]
                 sha = hashlib.sha256()
                 for p in pieces:
                     sha.update(p)
-                out.append((int(at[i + 1] - at[i]), gone, n, sha.hexdigest(), *([b"".join(pieces)] if texts else [])))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                out.append((len(own), sum(b - a for a, b in gone), len(gone), sha.hexdigest(), sum(whole_words(own, a, b) > more_words for a, b in passages), *([b"".join(pieces)] if texts else [])))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=[c.split()[0] for c in kept.split(", ")])
 
     return joined.mapInArrow(removed, kept)

@@ -95,7 +95,8 @@ def test_toxicity_without_anything_to_learn(spark):
     assert len(got) == 3 and all(r["score"] == 0 and r["predicted"] == 0 for r in got)
 
 
-def plain_removal(texts, least):
+def plain_repeats(texts, least):
+    """For each text, a byte array that is 1 under strings of ``least`` bytes that start anywhere else, too."""
     count: dict[bytes, int] = {}
     for t in texts:
         for i in range(len(t) - least + 1):
@@ -106,13 +107,22 @@ def plain_removal(texts, least):
         for i in range(len(t) - least + 1):
             if count[t[i : i + least]] > 1:
                 gone[i : i + least] = b"\1" * least
+        out.append(bytes(gone))
+    return out
+
+
+def plain_removal(texts, least, short, more_words):
+    out = []
+    for t, gone, some in zip(texts, plain_repeats(texts, least), plain_repeats(texts, short)):
         kept = bytes(b for b, g in zip(t, gone) if not g)
-        out.append((len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        passages = [sum(r.start() <= a and b <= r.end() for a, b in words) for r in re.finditer(b"\1+", some)]
+        out.append((len(t), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest(), sum(n > more_words for n in passages)))
     return out
 
 
-@pytest.mark.parametrize("least,heavy", [(400, 2048), (40, 2048), (40, 1)])
-def test_suffix_dedup_equals_a_table_of_all_windows(spark, monkeypatch, least, heavy):
+@pytest.mark.parametrize("least,short,heavy", [(400, 256, 2048), (40, 40, 2048), (60, 40, 2048), (60, 40, 1), (400, 256, 1)])
+def test_suffix_dedup_equals_a_table_of_all_windows(spark, monkeypatch, least, short, heavy):
     monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
@@ -128,9 +138,10 @@ def test_suffix_dedup_equals_a_table_of_all_windows(spark, monkeypatch, least, h
         texts.append(rng.choice(["", " "]).join(parts))
     rows = [(i if i != 9 else None, t) for i, t in enumerate(texts)] + [(20, texts[20])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit("x"), "id": F.lit(2), "spans": F.lit(0)}).repartition(4)
-    got = sorted(map(tuple, suffix_dedup.dedup_substrings(docs, least=least).collect()), key=str)
-    want = [(i, *w) for (i, _), w in zip(rows, plain_removal([(t or "").encode() for _, t in rows], least))]
-    assert got == sorted(want, key=str) and sum(w[2] for w in want) > 1000
+    more = 50 if short > 100 else 9
+    got = sorted(map(tuple, suffix_dedup.dedup_substrings(docs, least=least, short=short, more_words=more).collect()), key=str)
+    want = [(i, *w) for (i, _), w in zip(rows, plain_removal([(t or "").encode() for _, t in rows], least, short, more))]
+    assert got == sorted(want, key=str) and sum(w[2] for w in want) > 1000 and 10 < sum(w[5] > 0 for w in want) < 60
     assert suffix_dedup.dedup_substrings(docs.where("false"), least=least).count() == 0
 
 
