@@ -4,8 +4,9 @@ A lexical transducer turns words into symbols: insult (with a weight), threat, t
 Insults are learned: words and beginnings of words that labelled toxic texts have and others don't, as few as explain the toxic texts, weighted
 by their log odds. Four small machines - negation with a scope of three words, reported speech and quotes, targets, threats - run
 over the symbols; their composition is one table from (state, symbol) to (state, output). The output says how
-an insult or threat stands in its clause: plain, aimed at someone, denied, reported, or as a threat against someone. Weights of these outputs are fitted
-by logistic regression on the labelled texts, and a text's score is the probability that follows from its clauses.
+an insult or threat stands in its clause: plain, aimed at someone, denied, reported, or as a threat against someone. Each output has a fixed weight, so a
+threat or an aimed insult always counts for more than a plain one, and a reported or denied one for less; labels can't turn that round. What all clauses weigh together, and what the heaviest weighs,
+are made a probability by logistic regression on the labelled texts, with weights that are not negative.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastervec.llm.common import ident, slices, texts_of
+from rastervec.llm.common import ident, mapped, slices, texts_of
 
-#: Labelled documents that a model is fitted on, about; by a hash of the id. What is learned by heart: candidates and their least number of texts.
-LABELLED_DOCS, MOST_CANDIDATES, LEAST_TEXTS = 20_000, 4000, 3
+#: Labelled documents that a model is fitted on, about; by a hash of the id. Least number of toxic texts that a candidate is in.
+LABELLED_DOCS, LEAST_TEXTS = 20_000, 3
 #: Least log odds of a candidate, and distinct insults that explain a toxic text.
 LEAST_WEIGHT, EXPLAINED = 2.5, 4
 PREFIXES = range(3, 10)
@@ -42,6 +43,8 @@ WORDS = {
 }
 MARKS = {c: END for c in ".!?;:\n"} | {c: QUOTE for c in "\"“”«»„"}
 PLAIN, AIMED, DENIED, REPORTED, THREATENED = range(5)
+#: What an insult's or threat's weight is multiplied by.
+OUTPUT_WEIGHT = {DENIED: 0.5, REPORTED: 0.7, PLAIN: 1.0, AIMED: 1.25, THREATENED: 1.5}
 
 
 def negation(state: int, symbol: int) -> int:
@@ -103,28 +106,32 @@ class Lexicon(dict):
         return entry
 
 
-N_FEATURES = 8
+N_FEATURES = 2
 AFTER, OUTPUT = compose()
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    """log(1 + weight) of each output in the whole text, of the heaviest clause, of the matched clauses, and whether there is any."""
+def clauses(text: str, lexicon: Lexicon) -> list[list[tuple[int, float]]]:
+    """The matches (output, weight) of each clause of a whole text that has any."""
     entries = list(map(lexicon.__getitem__, TOKENS.findall(text.lower())))
-    sums, clause, best, clauses = [0.0] * 5, 0.0, 0.0, 0
-    if any(s in (INSULT, THREAT) for s, _ in set(entries)):
-        state = 0
-        for symbol, weight in entries:
-            kind = OUTPUT[state][symbol]
-            if kind >= 0:
-                sums[kind] += weight
-                clause += weight
-            elif symbol == END:
-                clauses += clause > 0
-                best, clause = max(best, clause), 0.0
-            state = AFTER[state][symbol]
-        clauses += clause > 0
-        best = max(best, clause)
-    return [*map(math.log1p, sums), math.log1p(best), math.log1p(clauses), float(best > 0)]
+    if not any(s in (INSULT, THREAT) for s, _ in set(entries)):
+        return []
+    out: list[list[tuple[int, float]]] = []
+    state, clause = 0, []
+    for symbol, weight in entries:
+        kind = OUTPUT[state][symbol]
+        if kind >= 0:
+            clause.append((kind, weight * OUTPUT_WEIGHT[kind]))
+        elif symbol == END and clause:
+            out.append(clause)
+            clause = []
+        state = AFTER[state][symbol]
+    return [*out, clause] if clause else out
+
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
+    """log(1 + weight) of all clauses together and of the heaviest one."""
+    weights = [sum(w for _, w in clause) for clause in clauses(text, lexicon)]
+    return [math.log1p(sum(weights)), math.log1p(max(weights, default=0.0))]
 
 
 def _words(text: str) -> set[str]:
@@ -177,10 +184,10 @@ def learn_insults(rows: DataFrame) -> dict[str, float]:
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return {}
-    counts = rows.mapInArrow(_counted, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = mapped(rows, _counted, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     weight = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     best = counts.where(F.col("pos") >= LEAST_TEXTS).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-    candidates = {r["feature"]: r["weight"] for r in best.orderBy(F.desc(F.col("weight") * F.col("pos")), "feature").limit(MOST_CANDIDATES).collect()}
+    candidates = {r["feature"]: r["weight"] for r in best.select("feature", "weight").collect()}  # as many as the bounded labelled texts have
     names = sorted(candidates, key=lambda f: (-len(f.rstrip("*")), f.endswith("*"), f))
     number = {f: i for i, f in enumerate(names)}
 
@@ -189,7 +196,7 @@ def learn_insults(rows: DataFrame) -> dict[str, float]:
             words = [[own for w in sorted(_words(t)) if (own := sorted(number[f] for f in _named(w) if f in number))] for t in texts_of(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.list_(pa.int32())))], names=["found"])
 
-    texts = [[list(w) for w in t] for t in rows.where("toxic = 1").select("toxic", "text").mapInArrow(held, "found array<array<int>>").toPandas()["found"]]
+    texts = [[list(w) for w in t] for t in mapped(rows.where("toxic = 1").select("toxic", "text"), held, "found array<array<int>>").toPandas()["found"]]
     left = [EXPLAINED] * len(texts)
     open_words = [set(range(len(t))) for t in texts]
     having: dict[int, list[tuple[int, int]]] = {}
@@ -229,20 +236,25 @@ class Model:
 
 
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-3
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        move = np.linalg.solve(hessian, gradient)
-        w -= move
-        if np.abs(move).max() < 1e-6:
-            break
-    return w
+    """Weights of a logistic regression by Newton's method, the last of 1; a column whose weight would be negative gets none."""
+    used = list(range(x.shape[1]))
+    while True:
+        own = np.column_stack([x[:, used], np.ones(len(x))])
+        w, penalty = np.zeros(len(used) + 1), np.array([ridge] * len(used) + [1e-3])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            gradient = own.T @ (p - y) + penalty * w
+            hessian = (own * (p * (1 - p))[:, None]).T @ own + np.diag(penalty)
+            move = np.linalg.solve(hessian, gradient)
+            w -= move
+            if np.abs(move).max() < 1e-6:
+                break
+        worst = int(np.argmin(w[:-1])) if used else 0
+        if not used or w[worst] >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[*used, -1]] = w
+            return out
+        del used[worst]
 
 
 def _matched(rows: DataFrame, insults: dict[str, float]) -> DataFrame:
@@ -256,7 +268,7 @@ def _matched(rows: DataFrame, insults: dict[str, float]) -> DataFrame:
             found = [features(t, lexicon) for t in texts_of(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(found, pa.list_(pa.float64()))], names=schema.names)
 
-    return rows.mapInArrow(match, schema)
+    return mapped(rows, match, schema)
 
 
 def fit(rows: DataFrame) -> Model:
