@@ -2,10 +2,10 @@
 
 Documents are range-sorted by id and encoded; the ids of consecutive documents fill blocks of about ``BLOCK_IDS`` ids, the
 shards of the format. In each block, frequent pairs of neighbouring symbols are replaced by nonterminals, again and again: a
-round counts all pairs exactly and replaces up to ``BATCH`` of the most frequent ones, overlaps from the left.
+round counts all pairs exactly and replaces up to ``BATCH`` of the most frequent ones, overlaps from the left, until none saves room.
 
-A payload holds a header, the rules, the length of what each rule expands to, and the remaining symbols, all little-endian. From the lengths
-follows where each symbol's ids begin, so any range of ids is decoded without the ids before it.
+A payload holds a header, the length of what each rule expands to, the rules, and the remaining symbols, all little-endian; symbols have as many bits as
+they need. From the lengths follows where each symbol's ids begin, so any range of ids is decoded without the ids before it.
 
 Blocks are rows of a table that Spark writes: a task that is lost leaves nothing behind and is run again.
 """
@@ -13,13 +13,14 @@ Blocks are rows of a table that Spark writes: a task that is lost leaves nothing
 from __future__ import annotations
 
 import gc
+import json
 import os
+import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from contextlib import suppress
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,49 +29,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rastervec.llm.common import ident, slices, texts_of
+from rastervec.llm.common import ident, mapped, slices, texts_of
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-#: Rounds of a block, pairs replaced in a round, and how often a pair must occur.
-ROUNDS, BATCH, LEAST = 6, 1024, 24
-#: Characters of a text that are split at a time, and words kept with their ids.
+#: Pairs replaced in a round, how often a pair must occur (a rule takes about as much room as four symbols, and others take some of a pair's places), and bits of the table of pairs.
+BATCH, LEAST, SLOTS = 4096, 8, 17
+#: Characters of a text that are split at a time, and words that are kept with their ids.
 PIECE, MOST_MEMO = 1 << 20, 600_000
-MAGIC, HEADER = b"RPG1", "<4s4I2Q"
+#: New words that are encoded as one text.
+JOINED_WORDS = 200
+MAGIC, HEADER = b"RPG2", "<4s4I2Q"
 BLOCKS = "part int, block int, doc_ids array<long>, n_tokens array<long>, n_ids long, payload binary"
 
 
+#: The normaliser and the pre-tokenizer that let a text be taken apart at blanks, and full stops and commas off letters and digits.
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: A full stop or comma that may belong to a longer piece with the mark before it.
+_JOINED = re.compile("[^a-z0-9ß-öø-ÿ ][.,] ")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def takes_apart(spec: dict) -> bool:
+    """Whether a tokenizer's file says that blanks part pieces, letters and marks are pieces of their own, and case is folded first."""
+    parts = [(spec.get(k) or {}).get(name) for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    return parts == [NORMALISER, SPLITTER] and not spec.get("truncation") and not spec.get("padding") and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", []))
+
+
 class Encoder:
-    """A tokenizers file whose pre-tokenizer splits at white space; what stands between blanks is encoded once."""
+    """A tokenizers file. If it takes texts apart at blanks, what stands between them is encoded once; else texts are encoded whole."""
 
     def __init__(self, model_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.model = Tokenizer.from_file(model_file)
+        spec = json.loads(self.model.to_str())
+        self.parts = takes_apart(spec)
+        self.special = [t["content"].lower() for t in spec.get("added_tokens", [])]
+        suffix, vocabulary = spec["model"].get("end_of_word_suffix"), spec["model"]["vocab"]
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
-
-    def _learn(self, chunks: list[str]) -> None:
-        """A full stop or comma after letters is a piece of its own, and case is folded (up to U+00FF, where all agree on it); so rarer chunks share what is encoded."""
-        parts = []
-        for c in chunks:
-            core, tail = (c[:-1], c[-1]) if c[-1] in ".," else (c, "")
-            if core.isalpha():
-                parts.append((core.lower() if core.isascii() or max(core) < "\u0100" else core, tail))
-            else:
-                parts.append((c, ""))
-        cores, tails = zip(*parts)
-        if new := list({*cores, *tails}.difference(self.cores)):
-            found = self.model.encode_batch_fast(new, add_special_tokens=False)
-            self.cores.update(zip(new, [array("I", e.ids).tobytes() for e in found]))
-        get = self.cores.__getitem__
-        self.memo.update(zip(chunks, map(add, map(get, cores), map(get, tails))))
+
+    def _words(self, text: str) -> list[str]:
+        """What stands between blanks. Where all agree on case (up to U+00FF, and no special string is about) it is folded before, and full stops and commas
+        at the ends of words stand by themselves; so there are fewer different words."""
+        low = text.lower().replace("\n", " ") + " "
+        try:
+            low.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        if _JOINED.search(low) or any(t in low for t in self.special):
+            return text.replace("\n", " ").split(" ")
+        return low.replace(". ", " . ").replace(", ", " , ").split(" ")
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters alone, which are one piece each, are encoded many in a text: a piece ends with an id that says so."""
+        single = list(filter(_LETTERS.fullmatch, words)) if self.ends is not None else []
+        parts = [single[at : at + JOINED_WORDS] for at in range(0, len(single), JOINED_WORDS)]
+        for part, e in zip(parts, self.model.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts, raw = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+            self.memo.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts)], strict=True))
+        if rest := [w for w in words if w not in self.memo]:
+            self.memo.update(zip(rest, [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(rest, add_special_tokens=False)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.parts:
+            return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.memo) > MOST_MEMO:
             self.memo = {"": b""}
-        if len(self.cores) > MOST_MEMO:
-            self.cores = {"": b""}
         gc.disable()  # millions of strings come and go, none of them in a cycle
         try:
             return self._encoded(texts)
@@ -83,7 +117,7 @@ class Encoder:
             if len(text) > PIECE:
                 rows.append((text, None, ()))
                 continue
-            words = text.replace("\n", " ").split(" ")
+            words = self._words(text)
             found, gaps, at = list(map(get, words)), [], -1
             with suppress(ValueError):  # index() finds no more
                 while True:
@@ -107,7 +141,7 @@ class Encoder:
             if end < len(text):  # a piece ends at a blank; without one it grows
                 cut = text.rfind(" ", at, end)
                 end = cut if cut > at else next((i for i in (text.find(" ", end),) if i > 0), len(text))
-            words = text[at:end].replace("\n", " ").split(" ")
+            words = self._words(text[at:end])
             if todo := set(words).difference(self.memo):
                 self._learn(list(todo))
             own.append(b"".join(map(self.memo.__getitem__, words)))
@@ -125,28 +159,26 @@ def encoder(model_file: str) -> Encoder:
     return _encoders[model_file]
 
 
-def compress(ids: np.ndarray, first: int, *, rounds: int = ROUNDS, batch: int = BATCH, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rule i is the pair of symbols that nonterminal first + i stands for. All ids are below ``first``."""
-    narrow = first <= 1 << 15 or first + rounds * batch <= 1 << 16
-    kind, shift, bits = (np.uint32, np.uint32(16), 32) if narrow else (np.uint64, np.uint64(32), 64)
-    odd = kind(2654435761 if narrow else 0x9E3779B97F4A7C15)
-    seq, rules = ids.astype(kind), np.zeros((0, 2), kind)
-    slot_of = lambda keys: ((keys * odd) >> kind(bits - 16)).astype(np.int64)
-    for _ in range(rounds):
-        room = min(batch, (1 << (16 if narrow else 32)) - first - len(rules))
-        if len(seq) < 2 or room <= 0:
-            break
-        keys = (seq[:-1] << shift) | seq[1:]
+def compress(ids: np.ndarray, first: int, *, batch: int = BATCH, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols): rule i is the pair of symbols that nonterminal first + i stands for. All ids are below ``first``.
+
+    Rounds go on until no pair occurs ``least`` times, or a round takes less than a thousandth off."""
+    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
+    while len(seq) > 1 and first + len(rules) + batch < 1 << 32:
+        # pairs of 16-bit symbols are sorted twice as fast
+        kind, half, odd, bits = (np.uint32, np.uint32(16), np.uint32(2654435761), 32) if first + len(rules) + batch <= 1 << 16 else (np.uint64, np.uint64(32), np.uint64(0x9E3779B97F4A7C15), 64)
+        slot_of = lambda keys, odd=odd, room=kind(bits - SLOTS): ((keys * odd) >> room).astype(np.int64)
+        keys = (seq[:-1].astype(kind) << half) | seq[1:]
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         n = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(n >= least)
         if not len(often):
             break
-        often = often[np.argsort(-n[often], kind="stable")[:room]][::-1]
+        often = often[np.argsort(-n[often], kind="stable")[:batch]][::-1]
         chosen = ordered[edge[often]]
         # a table by hash; of pairs with one slot the more frequent is replaced in this round
-        table, number = np.zeros(1 << 16, kind), np.zeros(1 << 16, np.int64)
+        table, number = np.zeros(1 << SLOTS, kind), np.zeros(1 << SLOTS, np.int64)
         table[0] = 1  # an empty slot holds a key of another slot: 0 belongs to slot 0, 1 doesn't
         slots = slot_of(chosen)
         table[slots], number[slots] = chosen, np.arange(len(chosen))
@@ -155,31 +187,69 @@ def compress(ids: np.ndarray, first: int, *, rounds: int = ROUNDS, batch: int =
         new = np.append(True, np.diff(at) > 1)
         begin = at[new][np.cumsum(new) - 1]
         at = at[(at - begin) % 2 == 0]  # of overlapping pairs every other one, from the left
-        used, which = np.unique(number[slot[at]], return_inverse=True)
-        seq[at] = (first + len(rules) + which).astype(kind)
+        used, which, times = np.unique(number[slot[at]], return_inverse=True, return_counts=True)
+        worth = times >= least // 2  # others took some of its places; it comes again if they are many
+        if not worth.any():
+            break
+        at, which = at[worth[which]], (np.cumsum(worth) - 1)[which[worth[which]]]
+        seq[at] = (first + len(rules) + which).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        pairs = chosen[used]
-        rules = np.concatenate([rules, np.stack([pairs >> shift, pairs & kind((1 << int(shift)) - 1)], 1)])
+        pairs = chosen[used[worth]]
+        rules = np.concatenate([rules, np.stack([pairs >> half, pairs & kind((1 << int(half)) - 1)], 1).astype(np.uint32)])
+        if 1000 * len(at) < len(seq):
+            break
     return rules, seq
 
 
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """What all rules expand to, one after another, and the length of each."""
-    found: list[np.ndarray] = []
-    part = lambda s: found[s - first] if s >= first else np.array([s], np.uint32)
-    for a, b in rules.tolist():
-        found.append(np.concatenate([part(a), part(b)]))
-    return np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(x) for x in found], np.int64)
+    lengths: list[int] = []
+    for a, b in rules.tolist():  # a rule's parts are ids or earlier rules
+        lengths.append((lengths[a - first] if a >= first else 1) + (lengths[b - first] if b >= first else 1))
+    size = np.array(lengths, np.int64)
+    begin = np.cumsum(size) - size
+    rule = np.repeat(np.arange(len(size)), size)
+    offset = np.arange(len(rule)) - begin[rule]
+    left, right = (rules[:, k].astype(np.int64) for k in (0, 1)) if len(size) else (np.zeros(0, np.int64),) * 2
+    half = np.where(left >= first, size[np.maximum(left - first, 0)], 1) if len(size) else left
+    out, open_ = np.zeros(len(rule), np.uint32), np.arange(len(rule))
+    while len(open_):  # each place goes down to the part it stands in, until that is an id
+        r, o = rule[open_], offset[open_]
+        first_part = o < half[r]
+        symbol, o = np.where(first_part, left[r], right[r]), np.where(first_part, o, o - half[r])
+        done = symbol < first
+        out[open_[done]] = symbol[done]
+        open_ = open_[~done]
+        rule[open_], offset[open_] = symbol[~done] - first, o[~done]
+    return out, size
+
+
+def to_bits(values: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bits (32 at most), the lowest bit first."""
+    start = np.arange(len(values), dtype=np.int64) * width
+    out = np.zeros((len(values) * width + 7) // 8 + 8, np.uint8)
+    shifted = values.astype(np.uint64) << (start & 7).astype(np.uint64)
+    for k in range((width + 14) // 8):  # bits of a number lie in so many bytes; two numbers meet in a byte in different bits
+        np.add.at(out, (start >> 3) + k, ((shifted >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8))
+    return out[: (len(values) * width + 7) // 8].tobytes()
+
+
+def from_bits(data: bytes, width: int, n: int) -> np.ndarray:
+    start = np.arange(n, dtype=np.int64) * width
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[: len(data)] = np.frombuffer(data, np.uint8)
+    word = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))[start >> 3]
+    return ((word >> (start & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
 def pack(ids: np.ndarray, first: int) -> bytes:
     rules, seq = compress(ids, first)
     lengths = expansions(rules, first)[1]
-    width = 2 if first + len(rules) <= 1 << 16 else 4
+    width = max(1, (first + len(rules) - 1).bit_length())
     head = struct.pack(HEADER, MAGIC, width, first, len(rules), 0, len(seq), len(ids))
-    return head + rules.astype(f"<u{width}").tobytes() + lengths.astype("<u4").tobytes() + seq.astype(f"<u{width}").tobytes()
+    return head + lengths.astype("<u4").tobytes() + to_bits(np.concatenate([rules.ravel(), seq]), width)
 
 
 class Packed:
@@ -190,10 +260,9 @@ class Packed:
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
         at = struct.calcsize(HEADER)
-        rules = np.frombuffer(payload, f"<u{width}", 2 * n_rules, at).reshape(-1, 2)
-        at += 2 * n_rules * width
         self.lengths = np.frombuffer(payload, "<u4", n_rules, at).astype(np.int64)
-        self.seq = np.frombuffer(payload, f"<u{width}", n_symbols, at + 4 * n_rules).astype(np.int64)
+        symbols = from_bits(payload[at + 4 * n_rules :], width, 2 * n_rules + n_symbols)
+        rules, self.seq = symbols[: 2 * n_rules].reshape(-1, 2), symbols[2 * n_rules :]
         self.flat, _ = expansions(rules, self.first)
         self.begin = np.cumsum(self.lengths) - self.lengths
         self.ends = np.cumsum(self._length(self.seq))
@@ -257,7 +326,7 @@ def encoded(docs: DataFrame, model_file: str, *, doc_id: str = "doc_id", text: s
         if held:
             yield done()
 
-    return rows.mapInArrow(blocks, BLOCKS)
+    return mapped(rows, blocks, BLOCKS)
 
 
 def read_back(blocks: DataFrame) -> DataFrame:
@@ -278,5 +347,5 @@ def read_back(blocks: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(own[a:b].tobytes()) for a, b in zip(ends - n, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(n), pa.int32()), pa.array([block.as_py()] * len(n), pa.int32()), ids.values, pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["part", "block", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = blocks.select("part", "block", "doc_ids", "n_tokens", "payload").mapInArrow(decoded, "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = mapped(blocks.select("part", "block", "doc_ids", "n_tokens", "payload"), decoded, "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(offsets, ["part", "block"]).select("doc_id", (F.col("_offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
