@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastervec.llm.common import bytes_of, discard, ident, sized, slices, stored, texts_of
+from rastervec.llm.common import bytes_of, discard, ident, mapped, sized, slices, stored, texts_of
 
 LEAST, SHORT = 400, 256
 #: A passage is a maximal repeated run of more whole words than this.
 PASSAGE_WORDS = 50
 #: Bytes that are hashed at a time, bytes of a block of suffix buckets, runs of a bucket.
-PIECE, BLOCK_BYTES, HEAVY = 1 << 20, 2 << 20, 2048
+PIECE, BLOCK_BYTES, HEAVY = 1 << 20, 2 << 20, 8192
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -105,7 +105,7 @@ def run_table(docs: DataFrame, least: int, short: int) -> DataFrame:
                     names=["id", "h", "bucket", "run", "first", "n", "m"],
                 )
 
-    return docs.mapInArrow(found, RUN)
+    return mapped(docs, found, RUN)
 
 
 def difference_cover(v: int) -> list[int]:
@@ -261,7 +261,7 @@ def sorted_blocks(shipped: DataFrame, least: int, short: int) -> DataFrame:
         if held:
             yield done()
 
-    return rows.mapInArrow(sort, SPAN)
+    return mapped(rows, sort, SPAN)
 
 
 def counted_windows(shipped: DataFrame, least: int, short: int) -> DataFrame:
@@ -272,35 +272,38 @@ def counted_windows(shipped: DataFrame, least: int, short: int) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 first, n, data = (part.column(k).to_pylist() for k in (3, 4, 5))
-                for size in {short, least}:
-                    counts = [max(0, min(c, len(d) - size + 1)) for c, d in zip(n, data)]
-                    digests = b"".join([xxhash.xxh3_128_digest(d[k : k + size], seed=size) for d, c in zip(data, counts) for k in range(c)])
-                    words = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                    which = pa.array(np.repeat(np.arange(len(n)), counts))
-                    lo = np.concatenate([f + np.arange(c) for f, c in zip(first, counts)]) if n else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column(1).take(which), part.column(2).take(which), pa.array(lo.astype(np.int64)), pa.array([size] * len(lo), pa.int32()), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["id", "h", "lo", "size", "w1", "w2"])
+                which, lo = pa.array(np.repeat(np.arange(len(n)), n)), np.concatenate([f + np.arange(c) for f, c in zip(first, n)])
+                words = [np.frombuffer(b"".join([xxhash.xxh3_128_digest(d[k : k + size]) for d, c in zip(data, n) for k in range(c)]), "<i8").reshape(-1, 2) for size in (short, least)]
+                none = np.concatenate([np.arange(c) + least > len(d) for d, c in zip(data, n)])  # not so long
+                hashes = [pa.array(w[:, k].copy(), mask=none if j else None) for j, w in enumerate(words) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(1).take(which), part.column(2).take(which), pa.array(lo), *hashes], names=["id", "h", "lo", "s1", "s2", "w1", "w2"])
 
-    rows = stored(shipped.mapInArrow(hashed, "id long, h long, lo long, size int, w1 long, w2 long"), "windows")
-    often = stored(rows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "often")
-    end = F.col("lo") + F.col("size")
-    found = rows.join(sized(often), ["w1", "w2"], "left_semi")
-    return found.select("id", "h", "lo", F.when(F.col("size") == short, end).alias("short_hi"), F.when(F.col("size") == least, end).alias("hi"))
+    rows = stored(mapped(shipped, hashed, "id long, h long, lo long, s1 long, s2 long, w1 long, w2 long"), "windows")
+
+    def repeated_by(a: str, b: str) -> DataFrame:
+        own = rows.where(F.col(a).isNotNull())
+        often = stored(own.groupBy(a, b).count().where("count > 1").select(a, b), "often")
+        return own.join(sized(often), [a, b], "left_semi")
+
+    none = F.lit(None).cast("long")
+    shorter = repeated_by("s1", "s2").select("id", "h", "lo", (F.col("lo") + short).alias("short_hi"), none.alias("hi"))
+    return shorter.union(repeated_by("w1", "w2").select("id", "h", "lo", none.alias("short_hi"), (F.col("lo") + least).alias("hi")))
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, short: int = SHORT) -> DataFrame:
     """SPAN rows (not united) of (id, h, text)."""
     every = stored(run_table(docs, least, short), "runs")
     several = stored(every.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
-    live = stored(every.join(sized(several), "bucket", "left_semi"), "live")
+    live = stored(every.join(several, "bucket", "left_semi"), "live")
     discard(every, several)
     kinds = stored(live.groupBy("bucket", "run").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "first", "n", "m")).alias("one")), "kinds")
-    whole = live.join(sized(stored(kinds.where("times > 1").select("bucket", "run"), "equal")), ["bucket", "run"], "left_semi")
+    whole = live.join(kinds.where("times > 1").select("bucket", "run"), ["bucket", "run"], "left_semi")
     end = F.col("first") + F.col("n")
     spans = stored(whole.select("id", "h", F.col("first").alias("lo"), (end + short - 1).alias("short_hi"), F.when(F.col("m") >= least, F.least(end + least - 1, F.col("first") + F.col("m"))).alias("hi")), "whole")
     discard(live)
     # buckets with different runs, of which one at least occurs once
     mixed = stored(kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("times").alias("_t")).where("kinds > 1 and _t = 1").select("bucket", (F.col("kinds") > HEAVY).alias("heavy")), "mixed")
-    wanted = kinds.join(sized(mixed), "bucket").select("bucket", "heavy", "one.*")
+    wanted = kinds.join(mixed, "bucket").select("bucket", "heavy", "one.*")
     wanted = stored(wanted.groupBy("id", "h").agg(F.collect_list(F.struct("bucket", "heavy", "first", "n", "m")).alias("runs")), "wanted")
     discard(kinds, mixed)
 
@@ -314,7 +317,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, short: int = SHORT) -> D
                     yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("heavy", pa.bool_())]))
 
     same = [docs["id"].eqNullSafe(wanted["id"]), docs["h"] == wanted["h"]]
-    shipped = stored(docs.join(wanted, same).select(docs["id"], docs["h"], "text", "runs").mapInArrow(cut, "bucket long, id long, h long, first long, n int, data binary, heavy boolean").dropDuplicates(["bucket", "id", "h", "first"]), "shipped")
+    shipped = stored(mapped(docs.join(wanted, same).select(docs["id"], docs["h"], "text", "runs"), cut, "bucket long, id long, h long, first long, n int, data binary, heavy boolean").dropDuplicates(["bucket", "id", "h", "first"]), "shipped")
     discard(wanted)
     return spans.union(sorted_blocks(shipped.where("not heavy").drop("heavy"), least, short)).union(counted_windows(shipped.where("heavy").drop("heavy"), least, short))
 
@@ -373,4 +376,4 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=[c.split()[0] for c in kept.split(", ")])
 
-    return joined.mapInArrow(removed, kept)
+    return mapped(joined, removed, kept)

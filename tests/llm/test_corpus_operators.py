@@ -72,19 +72,71 @@ def test_toxicity_of_held_out_documents(spark, truth):
     held = [(r["score"], r["predicted"], truth[r["doc_id"]]["toxic"]) for r in rows if r["held_out"] and truth[r["doc_id"]]["toxic"] is not None]
     pos, neg = [h for h in held if h[2]], [h for h in held if not h[2]]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
-    assert sum(h[1] for h in pos) >= 0.7 * len(pos) and sum(h[1] for h in neg) <= 0.02 * len(neg)
+    assert sum(h[1] for h in pos) >= 0.8 * len(pos) and sum(h[1] for h in neg) <= 0.01 * len(neg)
 
 
 def test_grammar_tells_how_an_insult_stands():
     lexicon = toxicity.Lexicon({"idiot": 4.0, "mor*": 2.0})
-    shares = lambda t: [i for i, x in enumerate(toxicity.features(t, lexicon)[:5]) if x > 0]
-    assert shares("an idiot came") == [toxicity.PLAIN]
-    assert shares("you are an idiot") == [toxicity.AIMED]
-    assert shares("you are not an idiot") == [toxicity.DENIED]
-    assert shares("he said idiot. moronic") == [toxicity.PLAIN, toxicity.REPORTED]
-    assert shares("I will kill you idiot") == [toxicity.THREATENED]
-    assert shares("not now. idiot") == [toxicity.PLAIN]
-    assert shares("kill the lights") == shares("") == []
+    outputs = lambda t: [k for clause in toxicity.clauses(t, lexicon) for k, _ in clause]
+    assert outputs("an idiot came") == [toxicity.PLAIN]
+    assert outputs("you are an idiot") == [toxicity.AIMED]
+    assert outputs("you are not an idiot") == [toxicity.DENIED]
+    assert outputs("he said idiot. moronic") == [toxicity.REPORTED, toxicity.PLAIN]
+    assert outputs("I will kill you idiot") == [toxicity.THREATENED]
+    assert outputs("you he will kill") == [toxicity.THREATENED]
+    assert outputs("not now. idiot") == [toxicity.PLAIN]
+    assert outputs("kill the lights") == outputs("") == []
+
+
+def plain_outputs(symbols):
+    """What the grammar says of each insult and threat, looked up in its clause anew."""
+    out, begin = [], 0
+    for i, x in enumerate(symbols):
+        if x == toxicity.END:
+            begin = i + 1
+        if x not in (toxicity.INSULT, toxicity.THREAT):
+            out.append(-1)
+            continue
+        clause = symbols[begin:i]
+        words = [s for s in clause if s != toxicity.QUOTE]
+        quotes = [k for k, s in enumerate(clause) if s == toxicity.QUOTE]
+        since = quotes[-1] + 1 if quotes else 0
+        said = len(quotes) % 2 == 1 or toxicity.REPORT in clause[since:]
+        aimed, threat = toxicity.TARGET in clause, toxicity.THREAT in clause
+        if toxicity.NEGATION in words[-3:]:
+            out.append(toxicity.DENIED)
+        elif said:
+            out.append(toxicity.REPORTED)
+        elif x == toxicity.THREAT:
+            out.append(toxicity.THREATENED if aimed else -1)
+        else:
+            out.append(toxicity.THREATENED if aimed and threat else toxicity.AIMED if aimed else toxicity.PLAIN)
+    return out
+
+
+def test_composed_machines_equal_a_plain_reading():
+    rng, seen = random.Random(2), set()
+    for _ in range(400):
+        symbols = rng.choices(range(8), weights=(4, 3, 2, 2, 2, 2, 2, 1), k=40)
+        state, got = 0, []
+        for s in symbols:
+            got.append(toxicity.OUTPUT[state][s])
+            state = toxicity.AFTER[state][s]
+        assert got == plain_outputs(symbols)
+        seen.update(got)
+    assert seen == {-1, *toxicity.OUTPUT_WEIGHT}
+
+
+def test_each_output_moves_the_score(spark):
+    words = random.Random(4)
+    fill = lambda n: " ".join("".join(words.choices("aeioumnrst", k=6)) for _ in range(n))
+    rows = spark.createDataFrame([(int(i % 3 == 0), f"{fill(20)} {'idiot' if i % 3 == 0 and i % 30 else ''} {fill(9)}") for i in range(300)], "toxic int, text string")
+    model = toxicity.fit(rows)
+    assert "idiot" in model.insults
+    texts = ["an idiot came", "you are an idiot", "kill you idiot", "he said an idiot came", "she is not an idiot", "nothing here", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain, aimed, threat, reported, denied, none, null, empty = (r["score"] for r in toxicity.score(docs, model).orderBy("doc_id").collect())
+    assert threat > aimed > plain > reported > denied > none == null == empty and plain >= 0.7 > none
 
 
 def test_toxicity_without_anything_to_learn(spark):
