@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastervec.llm.common import ident
+from rastervec.llm.common import ident, mapped
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 EXAMPLE = "conv_id long, example long, is_last boolean, formatted string, loss_start long, loss_end long"
@@ -110,7 +110,7 @@ def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
             prefix += piece
         yield from closing()
 
-    return rows.mapInArrow(lambda batches: _batches(expanded(batches), schema, lambda r: len(r[3])), EXAMPLE)
+    return mapped(rows, lambda batches: _batches(expanded(batches), schema, lambda r: len(r[3])), EXAMPLE)
 
 
 def read_back(examples: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def read_back(examples: DataFrame) -> DataFrame:
             yield conv, example, len(turns), digest, unescape(formatted[start:end]), len(formatted)
 
     schema_names = ("conv_id", "example", "is_last", "formatted", "loss_start", "loss_end")
-    rows = examples.mapInArrow(lambda b: _batches(parsed(b), each, lambda r: len(r[4])), "conv_id long, example long, n_turns long, turns_sha256 string, loss string, formatted_chars long")
+    rows = mapped(examples, lambda b: _batches(parsed(b), each, lambda r: len(r[4])), "conv_id long, example long, n_turns long, turns_sha256 string, loss string, formatted_chars long")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "example")
     out = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])
 
@@ -150,4 +150,4 @@ def read_back(examples: DataFrame) -> DataFrame:
         if held:
             yield (now, held[0], held[1], held[2], held[3].hexdigest(), held[4], held[5])
 
-    return rows.mapInArrow(lambda b: _batches(digests(b), out, lambda r: 1), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+    return mapped(rows, lambda b: _batches(digests(b), out, lambda r: 1), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")

@@ -57,6 +57,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a batch of rows on its way to Python and back.
+BATCH_BYTES = 8 << 20
+
+
+def mapped(rows: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow() with batches of bounded bytes: ten thousand rows, Spark's own bound, of long texts or of blocks may be more than a worker should hold. The session keeps this setting."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(function, schema)
+
+
 def written_order() -> list[Column]:
     """Columns of a table that was read from Parquet files of one Spark write, to sort by: the writing task, then the place in its file."""
     return [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int"), F.col("_metadata.file_name"), F.col("_metadata.row_index")]
@@ -101,6 +111,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int, most_r
             total += n
         if at < batch.num_rows:
             yield batch.slice(at)
+        pa.default_memory_pool().release_unused()
 
 
 def crc_of_id(col: Column | str) -> Column:

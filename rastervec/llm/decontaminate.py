@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastervec.llm.common import bytes_of, ident, slices, stored, texts_of
+from rastervec.llm.common import bytes_of, ident, mapped, slices, stored, texts_of
 
 WINDOW = 10
 GROUP_WORDS = 2_000_000
@@ -81,7 +81,7 @@ def build_index(docs: DataFrame, terms: list[str], *, doc_id: str = "doc_id", te
             kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.list_(k)) for x, k in zip(lists, kinds))], names=[c.split()[0] for c in INDEX.split(", ")])
 
-    return docs.select(ident(doc_id).cast("long").alias("_id"), ident(text).alias("_text")).mapInArrow(indexed, INDEX)
+    return mapped(docs.select(ident(doc_id).cast("long").alias("_id"), ident(text).alias("_text")), indexed, INDEX)
 
 
 class Block:
@@ -182,7 +182,7 @@ def look_up(index: DataFrame, n_terms: int, table: np.ndarray, owners: list[list
                     names=["part", "block", "place", "doc_id", "n_words", "from_word", "to_word", "items"],
                 )
 
-    return index.mapInArrow(found, schema)
+    return mapped(index, found, schema)
 
 
 def test_items(items: DataFrame, *, item_id: str = "item_id", text: str = "text", most: int = GROUP_WORDS) -> Iterator[list[tuple]]:

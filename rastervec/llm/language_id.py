@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastervec.llm.common import bytes_of, ident, slices, texts_of
+from rastervec.llm.common import bytes_of, ident, mapped, slices, texts_of
 
 ORDER = 3
 #: Bounds of what a model is fitted on, for each language; the documents with the smallest hashes are taken.
@@ -75,7 +74,7 @@ def train_rows(docs: DataFrame, *, text: str, lang: str, by: str, most_docs: int
 
 def fit(rows: DataFrame) -> Model:
     """Fits a model on (lang, text). The driver gets counts of four-byte strings: bounded by the bounded rows, and by bytes to the power 4."""
-    counts = rows.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = mapped(rows, _gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     seen = np.unique(np.concatenate([np.array([10], np.int64), *(counts["gram"].to_numpy() >> s & 255 for s in (0, 8, 16, 24))])).astype(int)
     symbols = np.zeros(256, np.uint8 if len(seen) < 255 else np.int32)
@@ -187,7 +186,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
             kept = batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(names, pa.string()), pa.array(np.where(known, p, 0.0))], names=[*kept.schema.names, "lang_pred", "score"])
 
-    return rows.mapInArrow(score, schema)
+    return mapped(rows, score, schema)
 
 
 def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_out: Column | None = None) -> DataFrame:

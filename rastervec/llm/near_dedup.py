@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from rastervec.llm.common import discard, ident, sized, slices, stored, texts_of
+from rastervec.llm.common import discard, ident, mapped, sized, slices, stored, texts_of
 
 SHINGLE, DISTANCE, HEAVY = 3, 2, 64
 #: Of one_of_each(): words of a run, beyond how many sets a hash comes last, sets of a block, how many common hashes are told apart at most, and the share of
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str | Column
             fps = pa.array([fingerprint(t) for t in texts_of(batch, "_text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, fps], names=schema.names)
 
-    return rows.mapInArrow(hashed, schema)
+    return mapped(rows, hashed, schema)
 
 
 def _flips(value: str, bits: range) -> str:
@@ -171,7 +171,7 @@ def _with_sets(rows: DataFrame, *, prefix: bool, late: np.ndarray | None = None)
             own = [nodes, pa.array([len(s) for s in sets], pa.int64()), _lists(some), *(pa.array([x[k] for x in prints], pa.int64()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, *own], names=schema.names)
 
-    return rows.mapInArrow(described, schema)
+    return mapped(rows, described, schema)
 
 
 #: What pairs of sets must have to be compared further: like sizes, and fingerprints that are not far apart.

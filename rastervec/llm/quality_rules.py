@@ -12,14 +12,17 @@ import string
 import time
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastervec.llm.common import ident, slices, texts_of
+if TYPE_CHECKING:
+    import pandas as pd  # not in the workers
+
+from rastervec.llm.common import ident, mapped, slices, texts_of
 
 SAMPLE_DOCS = 2000
 WINDOW = 8
@@ -123,8 +126,8 @@ def estimate(docs: DataFrame, *, text: str = "text", rules: dict | None = None,
                 rejected = sum(rule(Text(t)) for t in texts)
                 yield pa.RecordBatch.from_pylist([{"rule": name, "n": len(texts), "rejected": rejected, "s": time.perf_counter() - began}])
 
-    sums = rows.mapInArrow(tried, "rule string, n long, rejected long, s double").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("n", "rejected", "s"))).toPandas()
-    out = pd.DataFrame({"rule": list(rules)}).merge(sums, "left", "rule").fillna({"n": 0, "rejected": 0, "s": 0.0})
+    sums = mapped(rows, tried, "rule string, n long, rejected long, s double").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("n", "rejected", "s"))).toPandas()
+    out = sums.set_index("rule").reindex(list(rules), fill_value=0).reset_index()
     out["cost"] = out["s"] / out["n"].clip(lower=1)
     out["selectivity"] = out["rejected"] / out["n"].clip(lower=1)
     out["gain"] = out["selectivity"] / out["cost"].clip(lower=1e-9)
@@ -161,7 +164,7 @@ def judge(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
             own = [pa.array(c, pa.int64()) for _, c in zip(range(5), columns)] + [pa.array(c, pa.bool_()) for c in columns]
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, *own], names=schema.names)
 
-    return rows.mapInArrow(judged, schema)
+    return mapped(rows, judged, schema)
 
 
 def good_documents(docs: DataFrame, *, text: str = "text", rules: dict | None = None, sequence: list[str] | None = None) -> DataFrame:
@@ -177,4 +180,4 @@ def good_documents(docs: DataFrame, *, text: str = "text", rules: dict | None =
             kept = [t.n_words >= 20 and not any(rule(t) for rule in cascade) and not t.base_failed() for t in map(Text, texts_of(batch, "_text").to_pylist())]
             yield batch.drop_columns(["_text"]).filter(pa.array(kept, pa.bool_()))
 
-    return rows.mapInArrow(passed, schema).select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)))
+    return mapped(rows, passed, schema).select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from rastervec.llm.common import ident, slices, texts_of
+from rastervec.llm.common import ident, mapped, slices, texts_of
 
 #: Characters of a chunk and of an overlap.
 CHUNK, OVERLAP = 16384, 256
@@ -138,4 +138,4 @@ def count_tokens(docs: DataFrame, model_file: str, *, text: str = "text", keep:
             size = pa.array([len(t.encode()) for t in col.to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, size, pa.array(n), pa.array(n > limit)], names=schema.names)
 
-    return rows.mapInArrow(counted, schema)
+    return mapped(rows, counted, schema)
