@@ -153,7 +153,7 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 def _prefix(runs: np.ndarray, late: np.ndarray) -> np.ndarray:
     """The first n // 5 + 1 hashes of a set in an order in which ``late`` ones (sorted) come last."""
-    last = np.isin(runs, late) if len(late) else np.zeros(len(runs), bool)
+    last = late[np.minimum(np.searchsorted(late, runs), len(late) - 1)] == runs if len(late) else np.zeros(len(runs), bool)
     return (np.concatenate([runs[~last], runs[last]]) if last.any() else runs)[: len(runs) // 5 + 1]
 
 
