@@ -63,26 +63,51 @@ def topology_repaired(features: DataFrame) -> DataFrame:
     shut = F.col("layer").isin(*CLOSED_LAYERS) & ~F.col("is_closed")
     rows = rows.withColumn("modified", (F.size("_m") != F.size("points")) | shut).withColumn("is_closed", F.col("is_closed") | shut).withColumn("points", F.col("_m")).drop("_d", "_m")
     area = F.when(F.col("is_closed") & (F.size("points") >= 3), F.floor(G.area(F.col("points")) + 0.5))
+    area = area.otherwise(F.col("area")) if "area" in features.columns else area
     return rows.withColumns({"area": area, "length": F.floor(G.length(F.col("points"), F.col("is_closed")) + 0.5)})
 
 
+def topology_fixes(features: DataFrame) -> DataFrame:
+    """(fixed): how many features topology_repaired() changes or drops."""
+    kept = topology_repaired(features).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("modified").cast("long")), F.lit(0)).alias("m"))
+    every = features.agg(F.count("*").alias("every"))
+    return every.join(F.broadcast(kept)).select((F.col("every") - F.col("n") + F.col("m")).alias("fixed"))  # one row on either side
+
+
+def _is_circle(features: DataFrame) -> Column:
+    """Whether a row is a circle with a centre; tables without such columns hold none."""
+    return (F.col("geometry_type") == "CIRCLE") & F.col("center").isNotNull() & F.col("radius").isNotNull() if {"geometry_type", "center", "radius"} <= {*features.columns} else F.lit(False)
+
+
 def boxed(features: DataFrame) -> DataFrame:
-    return features.withColumn("_box", G.bounds(F.col("points")))
+    box = G.bounds(F.col("points"))
+    if {"center", "radius"} <= {*features.columns}:
+        c, r = F.col("center"), F.col("radius")
+        box = F.when(_is_circle(features), F.struct((c["x"] - r).alias("min_x"), (c["y"] - r).alias("min_y"), (c["x"] + r).alias("max_x"), (c["y"] + r).alias("max_y"))).otherwise(box)
+    return features.withColumn("_box", box)
+
+
+#: Picks that are broadcast at most; more are joined by a shuffle on the cells.
+MOST_PICKS = 100_000
 
 
 def picked(features: DataFrame, points: DataFrame, *, tolerance: float, cell: float, interior: bool = True) -> DataFrame:
     """(pick, id): for each of (pick, x, y) the feature with the greatest seq that holds it or has a segment within the tolerance.
 
-    Features and points meet on a grid: a feature is sent to the cells that its bounds, widened by the tolerance, touch. No pairs of all with all."""
+    A circle holds what is not farther from its centre than its radius and the tolerance; without ``interior`` circles are not picked. Features and points meet on a grid:
+    a feature is sent to the cells that its bounds, widened by the tolerance, touch, and must then have the point within these bounds before its vertices are looked at."""
     at = lambda c, d=0.0: F.floor((c + d) / cell)
     f = boxed(features)
     cells = lambda lo, hi: F.explode(F.sequence(at(F.col(f"_box.{lo}"), -tolerance), at(F.col(f"_box.{hi}"), tolerance)))
-    f = f.withColumn("_cx", cells("min_x", "max_x")).withColumn("_cy", cells("min_y", "max_y"))
+    f = f.withColumn("_cx", cells("min_x", "max_x")).withColumn("_cy", cells("min_y", "max_y")).withColumnsRenamed({"_cx": "_fx", "_cy": "_fy"})
     q = points.withColumns({"_cx": at(F.col("x")), "_cy": at(F.col("y"))})
-    here = G.point(F.col("x"), F.col("y"))
+    q = F.broadcast(q) if q.limit(MOST_PICKS + 1).count() <= MOST_PICKS else q
+    here, circle = G.point(F.col("x"), F.col("y")), _is_circle(features)
+    within = F.col("x").between(F.col("_box.min_x") - tolerance, F.col("_box.max_x") + tolerance) & F.col("y").between(F.col("_box.min_y") - tolerance, F.col("_box.max_y") + tolerance)
     inside = F.col("is_closed") & (F.size("points") >= 3) & G.contains(F.col("points"), here) if interior else F.lit(False)
-    hit = f.join(q, ["_cx", "_cy"]).where(inside | G.near(F.col("points"), here, tolerance))
-    return hit.groupBy("pick").agg(F.max_by("id", "seq").alias("id"))
+    round_ = G.distance(here, F.col("center")) <= F.col("radius") + tolerance if interior and {"center", "radius"} <= {*features.columns} else F.lit(False)
+    hit = f.join(q, (F.col("_fx") == F.col("_cx")) & (F.col("_fy") == F.col("_cy")) & within)
+    return hit.where(F.when(circle, round_).otherwise(inside | G.near(F.col("points"), here, tolerance))).groupBy("pick").agg(F.max_by("id", "seq").alias("id"))
 
 
 def circle_fit(points: DataFrame) -> DataFrame:
