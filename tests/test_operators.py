@@ -169,7 +169,7 @@ def test_text_exports(drawing, spark):
     parts = {r["seq"]: r["geojson"] for r in X.geojson_parts(drawing, height=10).collect()}
     assert sorted(parts) == [1, 3, 4] and '"coordinates":[[[0.0,10.0],' in parts[1]
     assert {r["seq"] for r in X.svg_parts(drawing, layers(spark)).collect()} == {1, 3, 4}
-    assert X.extents(drawing).first() == (0.0, 0.0, 10.0, 5.0) and X.extents(drawing.where("false")).first() == (0.0, 0.0, 100.0, 100.0)
+    assert X.extents(drawing).first() == (-6.0, -6.0, 14.0, 14.0) and X.extents(drawing.where("false")).first() == (0.0, 0.0, 100.0, 100.0)
     assert all(len(r["record"]) == 91 for r in X.dbf_records(drawing).collect())
     assert {r["seq"]: r["kml"].count("<coordinates>") for r in X.kml_parts(drawing).collect()} == {1: 1, 3: 1, 4: 1}
 
