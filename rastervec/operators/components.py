@@ -5,19 +5,23 @@ Every round is written to the checkpoint folder, so a lost executor costs one ro
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AROUND = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; a session without a folder gets a temporary one (tests)."""
+    """A reliable checkpoint. A session on one machine (tests) without a folder gets a temporary one; on a cluster that is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -60,12 +64,26 @@ def stars(links: DataFrame) -> DataFrame:
         state = settled(pairs.select("image_id", "e.*").where("u <> v").distinct())
 
 
-def summarised(labelled: DataFrame, *, least: int = 1, most: int | None = None) -> DataFrame:
-    """Per component: n pixels and bounds; of at least ``least`` pixels, and the first ``most`` of an image in raster order of their first pixel."""
+def image_sizes(pixels: DataFrame) -> DataFrame:
+    """(image_id, _w, _h): the last column and row of each image."""
+    return pixels.groupBy("image_id").agg(F.max("x").alias("_w"), F.max("y").alias("_h"))
+
+
+def summarised(labelled: DataFrame, *, least: Column | int = 1, most: int | None = None, sizes: DataFrame | None = None, number: bool = False) -> DataFrame:
+    """Per component: n pixels and bounds; of at least ``least`` pixels, and the first ``most`` of an image in raster order of their first pixel; with ``number`` also k, from 1 on.
+
+    With the ``sizes`` of the images, components are found from inner pixels: one on the border alone is none, and the first inner pixel sets the order."""
     from pyspark.sql import Window
 
-    out = labelled.groupBy("image_id", "label").agg(F.count("*").alias("n"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y")).where(F.col("n") >= least)
-    return out if most is None else out.withColumn("_k", F.row_number().over(Window.partitionBy("image_id").orderBy("label"))).where(F.col("_k") <= most).drop("_k")
+    rows, inner = labelled, F.lit(True)
+    if sizes is not None:
+        rows, inner = labelled.join(sizes, "image_id"), (F.col("x") > 0) & (F.col("y") > 0) & (F.col("x") < F.col("_w")) & (F.col("y") < F.col("_h"))
+    first = F.min(F.when(inner, F.struct("y", "x")))
+    out = rows.groupBy("image_id", "label").agg(F.count("*").alias("n"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), first.alias("_first")).where((F.col("n") >= least) & F.col("_first").isNotNull())
+    if most is not None or number:
+        out = out.withColumn("k", F.row_number().over(Window.partitionBy("image_id").orderBy("_first")))
+    out = out if most is None else out.where(F.col("k") <= most)
+    return out.drop("_first") if number else out.drop("_first", "k")
 
 
 def chamfer(mask: DataFrame, *, straight: float = 1.0, diagonal: float = 1.414) -> DataFrame:

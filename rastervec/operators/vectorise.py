@@ -62,12 +62,6 @@ def _named(rows: DataFrame, prefix: str, group: int, *, kind: str = "LWPOLYLINE"
     return out.select(*COLUMNS)
 
 
-def _kept(labelled: DataFrame, least: Column) -> DataFrame:
-    """Component sizes and bounds with k, the number among those kept of an image and class (at most 400) in raster order of first pixels."""
-    sums = labelled.groupBy("image_id", "label").agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("_first"), *(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max)))).where(F.col("n") >= least)
-    return sums.withColumn("k", F.row_number().over(Window.partitionBy("image_id").orderBy("_first"))).where(F.col("k") <= MOST_COMPONENTS).drop("_first")
-
-
 def _ordered(features: DataFrame) -> DataFrame:
     """seq instead of group, k and sub; an image has at most a few thousand features, as its components are limited."""
     place = F.row_number().over(Window.partitionBy("image_id").orderBy("group", "k", "sub"))
@@ -91,16 +85,18 @@ def aerial(pixels: DataFrame, params: Parameters = Parameters(), *, inv: float =
     least_building = max(25, math.floor(params.min_feature_size / inv**2 + 0.5))
     least = {ROAD: max(100, math.floor(2 * params.min_feature_size / inv**2 + 0.5)), PLANT: 15, WATER: 80}
     key = F.concat_ws("/", "class", F.col("image_id").cast("string"))
+    classes = F.explode(F.array(*map(F.lit, (BUILDING, ROAD, PLANT, WATER)))).alias("class")
+    sizes = settled(C.image_sizes(surface).select("*", classes).select(key.alias("image_id"), "_w", "_h"))
     parts = settled(C.components(surface.where(F.col("class").isin(BUILDING, ROAD, PLANT, WATER)).select(key.alias("image_id"), "x", "y")))
     kind = F.substring("image_id", 1, 1).cast("int")
     # buildings: components large enough are painted again and cut into instances
-    large = parts.where(kind == BUILDING).join(C.summarised(parts.where(kind == BUILDING), least=max(8, least_building)).select("image_id", "label"), ["image_id", "label"], "left_semi")
+    large = parts.where(kind == BUILDING).join(C.summarised(parts.where(kind == BUILDING), least=max(8, least_building), most=MOST_COMPONENTS, sizes=sizes).select("image_id", "label"), ["image_id", "label"], "left_semi")
     painted = surface.select(F.concat_ws("/", F.lit(BUILDING), F.col("image_id").cast("string")).alias("image_id"), "x", "y", "r", "g", "b")
     mask = painted.join(large.select("image_id", "x", "y", F.lit(1).alias("_in")), ["image_id", "x", "y"], "left").withColumn("bit", F.coalesce("_in", F.lit(0)))
     cut = W.instances(mask.select("image_id", "x", "y", "bit"), painted)
     every = settled(cut.unionByName(parts.where(kind != BUILDING)))
     gate = F.when(kind == BUILDING, least_building).when(kind == ROAD, least[ROAD]).when(kind == PLANT, least[PLANT]).otherwise(least[WATER])
-    kept = settled(_kept(every, gate))
+    kept = settled(C.summarised(every, least=gate, most=MOST_COMPONENTS, sizes=sizes, number=True))
     drawn = every.join(kept.where((kind != PLANT) | (F.col("n") >= TREE_BELOW)).select("image_id", "label"), ["image_id", "label"], "left_semi")
     lines = L.outlines(drawn).join(kept.select("image_id", "label", "k"), ["image_id", "label"])
     lines = settled(lines.withColumns({"class": kind, "_n": F.size("points"), "points": _scaled(F.col("points"), inv)}).withColumn("image_id", F.expr("substring(image_id, 3)").cast(image)))
@@ -136,7 +132,7 @@ def drawing(pixels: DataFrame, params: Parameters = Parameters(), *, inv: float
     """Features of drawings: ink by a local threshold; outlines that fit a circle, and walls. Images without ink give no row."""
     ink = P.sauvola(pixels.withColumn("gray", spectral.gray(inverted)), radius=14, k=0.22).where("bit = 1").select("image_id", "x", "y")
     labelled = settled(C.components(ink))
-    kept = settled(_kept(labelled, F.lit(20)))
+    kept = settled(C.summarised(labelled, least=20, most=MOST_COMPONENTS, sizes=C.image_sizes(pixels), number=True))
     lines = L.outlines(labelled.join(kept.select("image_id", "label"), ["image_id", "label"], "left_semi")).join(kept.select("image_id", "label", "k"), ["image_id", "label"])
     lines = settled(lines.where(F.size("points") >= 3).withColumn("points", _scaled(F.col("points"), inv)))
     place = F.struct("image_id", "label").alias("id")
