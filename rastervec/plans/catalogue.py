@@ -13,13 +13,17 @@ from rastervec.functions import spectral
 from rastervec.functions.numeric import to_fixed
 from rastervec.functions.simplify import simplified
 from rastervec.operators import components as C
+from rastervec.operators import documents as D
+from rastervec.operators import editing as E
 from rastervec.operators import export as X
 from rastervec.operators import features as O
 from rastervec.operators import outlines as L
 from rastervec.operators import pixels as P
 from rastervec.operators import watershed as W
+from rastervec.operators import workflow as K
 from rastervec.schema import LAYERS, layers
 from rastervec.sources import adapters as A
+from rastervec.sources import scenes as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +58,12 @@ _CLASS = """CASE WHEN {w} AND NOT dim AND b > r + 15 AND b > g - 12 AND lum < 14
 _FIX = "CASE WHEN {v} * 8 = floor({v} * 8) THEN printf('%.2f', {v} + sign({v}) * 0.001::DOUBLE) ELSE printf('%.2f', {v}) END"
 
 
+def _fix(v: str, digits: int) -> str:
+    """Text with so many digits, ties away from zero: a nudge takes exact ties over."""
+    tie = 2 ** (digits + 1)
+    return f"CASE WHEN ({v}) * {tie} = floor(({v}) * {tie}) THEN printf('%.{digits}f', ({v}) + sign({v}) * {10.0 ** -(digits + 1):.{digits + 1}f}::DOUBLE) ELSE printf('%.{digits}f', {v}) END"
+
+
 # ---- pixels ----
 
 
@@ -187,7 +197,9 @@ def peak_pixels(spark, sf):
     return P.peaks(_gray(spark, sf), "gray").select("x", "y", "gray")
 
 
-@query()
+@query(f"""{_PX}, w AS (SELECT a.x, a.y, b.r, b.g, b.b, exp(-((b.x - a.x) ** 2 + (b.y - a.y) ** 2) / 8::DOUBLE) * exp(-((b.lum - a.lum) ** 2) / 968::DOUBLE) AS w
+  FROM px a JOIN (SELECT *, unnest(range(-2, 3)) AS dy FROM px) b ON b.y = a.y + b.dy AND b.x BETWEEN a.x - 2 AND a.x + 2)
+SELECT x, y, floor(sum(w * r) / sum(w) + 0.5::DOUBLE)::INT AS r, floor(sum(w * g) / sum(w) + 0.5::DOUBLE)::INT AS g, floor(sum(w * b) / sum(w) + 0.5::DOUBLE)::INT AS b FROM w GROUP BY x, y""")
 def bilateral_smooth(spark, sf):
     return P.bilateral(A.pixels(spark, sf), radius=2, sigma=22.0).select("x", "y", "r", "g", "b")
 
@@ -199,22 +211,44 @@ def _green(spark, sf):
     return A.pixels(spark, sf).where(spectral.surface() == 3).select("image_id", "x", "y")
 
 
-@query()
+_PARTS = f"""{_PX.replace('WITH px0', 'WITH RECURSIVE px0')}, fore AS (SELECT y::BIGINT * 4294967296 + x AS pos, x, y FROM (SELECT *, lum < 45 AND b > r + 8 AS dim FROM px) WHERE {_CLASS.format(w='true', t='true')} = 3),
+near AS (SELECT a.pos, b.pos AS other FROM fore a JOIN fore b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.pos <> a.pos),
+named(pos, label) USING KEY (pos) AS (SELECT pos, pos AS label FROM fore
+  UNION (SELECT n.pos, min(r.label) AS label FROM named r JOIN near n ON n.other = r.pos JOIN recurring.named o ON o.pos = n.pos WHERE r.label < o.label GROUP BY n.pos)),
+sizes AS (SELECT max(x) AS mx, max(y) AS my FROM px),
+parts AS (SELECT 0 AS image_id, label, count(*)::BIGINT AS n, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, min(pos) FILTER (x > 0 AND y > 0 AND x < mx AND y < my) AS first FROM named JOIN fore USING (pos), sizes GROUP BY label HAVING first IS NOT NULL)"""
+
+
+@query(f"{_PARTS} SELECT * EXCLUDE (first) FROM parts")
 def component_bbox(spark, sf):
-    return C.summarised(C.components(_green(spark, sf)))
+    return C.summarised(C.components(_green(spark, sf)), sizes=C.image_sizes(A.pixels(spark, sf)))
 
 
-@query()
+@query(f"{_PARTS} SELECT * EXCLUDE (first) FROM parts WHERE n >= 15 ORDER BY first LIMIT 400")
 def component_filter(spark, sf):
-    return C.summarised(C.components(_green(spark, sf)), least=15, most=400)
+    return C.summarised(C.components(_green(spark, sf)), least=15, most=400, sizes=C.image_sizes(A.pixels(spark, sf)))
 
 
-@query()
+_FORE = f"""{_PX.replace('WITH px0', 'WITH RECURSIVE px0')}, fore AS (SELECT y::BIGINT * 4294967296 + x AS pos, x, y FROM (SELECT *, lum < 45 AND b > r + 8 AS dim FROM px) WHERE {_CLASS.format(w='true', t='true')} = 3),
+steps(k, dx, dy) AS (VALUES (0, 0, -1), (1, 1, -1), (2, 1, 0), (3, 1, 1), (4, 0, 1), (5, -1, 1), (6, -1, 0), (7, -1, -1))"""
+
+
+@query(f"""{_FORE}, around AS (SELECT f.pos, g.pos AS other, CASE WHEN dx <> 0 AND dy <> 0 THEN 1.414::DOUBLE ELSE 1 END AS c FROM fore f CROSS JOIN steps LEFT JOIN fore g ON g.x = f.x + dx AND g.y = f.y + dy),
+near AS (SELECT pos, other, c FROM around WHERE other IS NOT NULL),
+dist(pos, d) USING KEY (pos) AS (SELECT pos, min(c) AS d FROM around WHERE other IS NULL GROUP BY pos
+  UNION (SELECT n.pos, min(r.d + n.c) AS d FROM dist r JOIN near n ON n.other = r.pos LEFT JOIN recurring.dist o ON o.pos = n.pos WHERE o.d IS NULL OR r.d + n.c < o.d - 1e-9::DOUBLE GROUP BY n.pos))
+SELECT x, y, round(d, 3) AS d FROM dist JOIN fore USING (pos)""")
 def distance_transform(spark, sf):
     return C.chamfer(_green(spark, sf)).select("x", "y", F.round(F.col("d").cast("double"), 3).alias("d"))
 
 
-@query()
+@query(f"""{_FORE}, sizes AS (SELECT max(x) AS mx, max(y) AS my FROM px),
+thin(round, x, y) AS (SELECT 0, x, y FROM fore UNION ALL
+  SELECT round + 1, x, y FROM (SELECT t.round, t.x, t.y, coalesce(list(s.k) FILTER (u.x IS NOT NULL), []) AS b FROM thin t CROSS JOIN steps s LEFT JOIN thin u ON u.x = t.x + s.dx AND u.y = t.y + s.dy GROUP BY t.round, t.x, t.y), sizes
+  WHERE round < 120 AND NOT (x > 0 AND y > 0 AND x < mx AND y < my AND len(b) BETWEEN 2 AND 6 AND len(list_filter(b, lambda k: NOT list_contains(b, (k + 7) % 8))) = 1
+    AND NOT CASE WHEN round % 2 = 0 THEN (list_contains(b, 0) AND list_contains(b, 2) AND list_contains(b, 4)) OR (list_contains(b, 2) AND list_contains(b, 4) AND list_contains(b, 6))
+      ELSE (list_contains(b, 0) AND list_contains(b, 2) AND list_contains(b, 6)) OR (list_contains(b, 0) AND list_contains(b, 4) AND list_contains(b, 6)) END))
+SELECT x, y FROM thin WHERE round = 120""")
 def thinning(spark, sf):
     rows = A.pixels(spark, sf).agg(F.max("y")).first()
     return C.thinned(_green(spark, sf), width=A.WIDTH, height=rows[0] + 1).select("x", "y")
@@ -321,21 +355,26 @@ def segments(spark, sf):
     return e.select("id", "i", F.round(G.distance(F.col("e.a"), F.col("e.b")), 6).alias("length"))
 
 
-@query(f"{_PG} SELECT id, round({_segd('p[2]', 'p[1]', 'p[3]')}, 4) AS distance FROM pg")
+@query(f"{_PG} SELECT id, i::INT AS i, round({_segd('p[i + 1]', 'p[i]', 'p[i + 2]')}, 4) AS distance FROM (SELECT id, p, unnest(range(1, 31)) AS i FROM pg)")
 def segment_distance(spark, sf):
-    p = [F.get("points", F.lit(i)) for i in range(3)]
-    return A.polygons(spark, sf).select("id", F.round(G.segment_distance(p[1], p[0], p[2]), 4).alias("distance"))
+    p = [F.get("points", F.col("i") + k) for k in (-1, 0, 1)]
+    rows = A.polygons(spark, sf).select("id", "points", F.explode(F.sequence(F.lit(1), F.size("points") - 2)).alias("i"))
+    return rows.select("id", "i", F.round(G.segment_distance(p[1], p[0], p[2]), 4).alias("distance"))
 
 
-@query(f"{_PG}, t AS (SELECT id, p, (p[1].x-p[2].x)*(p[3].y-p[4].y) - (p[1].y-p[2].y)*(p[3].x-p[4].x) AS d FROM pg), u AS (SELECT id, p, ((p[1].x-p[3].x)*(p[3].y-p[4].y) - (p[1].y-p[3].y)*(p[3].x-p[4].x)) / d AS t FROM t WHERE abs(d) >= 1) SELECT id, round(p[1].x + t*(p[2].x-p[1].x), 2) AS x, round(p[1].y + t*(p[2].y-p[1].y), 2) AS y FROM u")
+@query(f"{_PG}, q AS (SELECT id, i::INT AS i, p[i] AS a, p[i + 1] AS b, p[i + 2] AS c, p[i + 3] AS e FROM (SELECT id, p, unnest(range(1, 30)) AS i FROM pg)), t AS (SELECT *, (a.x-b.x)*(c.y-e.y) - (a.y-b.y)*(c.x-e.x) AS d FROM q), u AS (SELECT *, ((a.x-c.x)*(c.y-e.y) - (a.y-c.y)*(c.x-e.x)) / d AS t FROM t WHERE abs(d) >= 100) SELECT id, i, round(a.x + t*(b.x-a.x), 2) AS x, round(a.y + t*(b.y-a.y), 2) AS y FROM u")
 def line_intersection(spark, sf):
-    p = [F.get("points", F.lit(i)) for i in range(4)]
+    p = [F.get("points", F.col("i") + k) for k in range(-1, 3)]
     det = (p[0]["x"] - p[1]["x"]) * (p[2]["y"] - p[3]["y"]) - (p[0]["y"] - p[1]["y"]) * (p[2]["x"] - p[3]["x"])
-    rows = A.polygons(spark, sf).where(F.abs(det) >= 1).select("id", G.intersection(*p).alias("q"))
-    return rows.select("id", F.round("q.x", 2).alias("x"), F.round("q.y", 2).alias("y"))
+    rows = A.polygons(spark, sf).select("id", "points", F.explode(F.sequence(F.lit(1), F.size("points") - 3)).alias("i"))
+    rows = rows.where(F.abs(det) >= 100).select("id", "i", G.intersection(*p).alias("q"))
+    return rows.select("id", "i", F.round("q.x", 2).alias("x"), F.round("q.y", 2).alias("y"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PG.removeprefix('WITH ')}, cuts AS (SELECT id, p, 1::BIGINT AS lo, len(p)::BIGINT AS hi FROM pg
+  UNION ALL SELECT id, p, unnest([lo, mid]) AS lo, unnest([mid, hi]) AS hi FROM (SELECT id, p, lo, hi, lo + list_position(d, list_max(d)) AS mid, list_max(d) AS most
+    FROM (SELECT id, p, lo, hi, list_transform(range(lo + 1, hi), lambda i: {_segd('p[i]', 'p[lo]', 'p[hi]')}) AS d FROM cuts WHERE hi > lo + 1)) WHERE most > 40)
+SELECT id, (count(*) + 1)::INT AS n FROM (SELECT id, lo FROM cuts GROUP BY id, lo) GROUP BY id""")
 def rdp_simplify(spark, sf):
     return A.polygons(spark, sf).select("id", F.size(simplified(F.col("points"), 40.0)).alias("n"))
 
@@ -345,7 +384,11 @@ def dedup_vertices(spark, sf):
     return A.features(spark, sf).select("id", F.size(G.deduplicated(F.col("points"))).alias("n"))
 
 
-@query()
+_SLIM = "CASE WHEN len({p}) <= 2 THEN {p} ELSE list_append(list_reduce(list_prepend([{p}[1]], list_transform(range(2, len({p})), lambda i: [{p}[i], {p}[i + 1]])), lambda k, e: CASE WHEN " + _segd("e[1]", "k[-1]", "e[2]") + " > 1.2::DOUBLE THEN list_append(k, e[1]) ELSE k END), {p}[-1]) END"
+_THIN = "list_reduce(list_transform(p, lambda q: [q]), lambda k, q: CASE WHEN sqrt((q[1].x - k[-1].x)**2 + (q[1].y - k[-1].y)**2) >= 1 THEN list_concat(k, q) ELSE k END)"
+
+
+@query(f"{_FT} SELECT id, len({_SLIM.format(p='p')})::INT AS n FROM ft")
 def merge_collinear(spark, sf):
     return A.features(spark, sf).select("id", F.size(G.without_collinear(F.col("points"))).alias("n"))
 
@@ -431,9 +474,12 @@ def features_clean(spark, sf):
     return f.join(O.topology_issues(f).select("id"), "id", "left_anti").select("id", "layer")
 
 
-@query()
+@query(f"""{_FT}, thin AS (SELECT id, layer, closed, len(p) AS before, {_THIN} AS d FROM ft WHERE len(p) >= 2 OR kind IN ('POINT', 'CIRCLE')),
+slim AS (SELECT id, before, closed OR layer IN ('BUILDINGS', 'PARCELS') AS shut, layer IN ('BUILDINGS', 'PARCELS') AND NOT closed AS forced, CASE WHEN len(d) >= 3 THEN {_SLIM.format(p='d')} ELSE d END AS p FROM thin)
+SELECT id, shut AS is_closed, len(p) <> before OR forced AS modified, len(p)::INT AS n, CASE WHEN shut AND len(p) >= 3 THEN floor({_AREA} + 0.5::DOUBLE)::BIGINT ELSE 0 END AS area,
+  floor(coalesce(list_sum(list_transform(range(1, len(p)), lambda i: sqrt((p[i].x - p[i + 1].x)**2 + (p[i].y - p[i + 1].y)**2))), 0) + CASE WHEN shut AND len(p) > 2 THEN sqrt((p[1].x - p[-1].x)**2 + (p[1].y - p[-1].y)**2) ELSE 0 END + 0.5::DOUBLE)::BIGINT AS length FROM slim""")
 def topology_autofix(spark, sf):
-    return O.topology_repaired(A.features(spark, sf)).select("id", "is_closed", "modified", F.size("points").alias("n"), "area", "length")
+    return O.topology_repaired(A.features(spark, sf)).select("id", "is_closed", "modified", F.size("points").alias("n"), F.coalesce("area", F.lit(0)).alias("area"), "length")
 
 
 @query(f"{_FT}, every AS (SELECT name, aci, lineweight, linetype, 0 AS k FROM ly UNION ALL SELECT DISTINCT layer, 7, 0.25::DOUBLE, 'CONTINUOUS', 1 FROM ft UNION ALL SELECT '0', 7, 0.25::DOUBLE, 'CONTINUOUS', 2) SELECT name AS safe, name, aci, lineweight, linetype FROM every QUALIFY row_number() OVER (PARTITION BY name ORDER BY k) = 1")
@@ -441,9 +487,9 @@ def layer_registry(spark, sf):
     return O.layer_registry(A.features(spark, sf), layers(spark))
 
 
-@query(r"""SELECT DISTINCT event_type AS name, CASE WHEN trim(s) = '' THEN '0' ELSE trim(s) END AS safe FROM (SELECT event_type, regexp_replace(event_type || '/a:b*' || props, '[<>/\\":;?*|=,]', '_', 'g') AS s FROM (SELECT DISTINCT event_type, props[1:10] AS props FROM events))""")
+@query(r"""SELECT DISTINCT name, CASE WHEN trim(s) = '' THEN '0' ELSE trim(s) END AS safe FROM (SELECT event_type AS name, trim(regexp_replace(event_type || '/a:b*' || props, '[<>/\\":;?*|=,]', '_', 'g'))[1:255] AS s FROM events)""")
 def safe_layer_name(spark, sf):
-    e = A.table(spark, sf, "events").select("event_type", F.substring("props", 1, 10).alias("props")).distinct()
+    e = A.table(spark, sf, "events")
     return e.select(F.col("event_type").alias("name"), O.safe_layer_name(F.concat("event_type", F.lit("/a:b*"), "props")).alias("safe")).distinct()
 
 
@@ -461,22 +507,49 @@ def export_csv(spark, sf):
     return X.csv_lines(A.features(spark, sf))
 
 
-@query()
+_XY = "array_to_string(list_transform(q, lambda z: {x} || ',' || {y}), {sep})"
+
+
+@query(f"""{_FT}, c AS (SELECT *, list_transform(p, lambda z: '[' || ({_fix('z.x', 3)})::DOUBLE || ',' || ({_fix('1000 - z.y', 3)})::DOUBLE || ']') AS c FROM ft)
+SELECT seq, '{{"type":"Feature","id":' || id || ',"properties":{{"id":' || id || ',"layer":"' || layer || '","confidence":' || confidence || ',"geometryType":"' || kind || '","area":0.0,"length":0.0}},"geometry":{{"type":"' ||
+  CASE WHEN kind = 'POINT' THEN 'Point","coordinates":' || c[1] WHEN closed AND len(p) >= 3 THEN 'Polygon","coordinates":[[' || array_to_string(CASE WHEN c[1] <> c[-1] THEN list_append(c, c[1]) ELSE c END, ',') || ']]' ELSE 'LineString","coordinates":[' || array_to_string(c, ',') || ']' END || '}}}}' AS geojson FROM c""")
 def export_geojson(spark, sf):
     return X.geojson_parts(A.features(spark, sf))
 
 
-@query()
+@query(f"""{_FT}, c AS (SELECT *, CASE WHEN kind <> 'POINT' AND closed AND len(p) >= 3 THEN list_append(p, p[1]) ELSE p END AS q FROM ft),
+t AS (SELECT *, '<coordinates>' || array_to_string(list_transform(q, lambda z: ({_fix('31.2357::DOUBLE + z.x / 111320', 6)}) || ',' || ({_fix('30.0444::DOUBLE + (1000 - z.y) / 110540', 6)}) || ',0'), ' ') || '</coordinates>' AS body FROM c)
+SELECT seq, '<Placemark><name>' || id || '</name><styleUrl>#style_' || layer || '</styleUrl><ExtendedData><Data name="Layer"><value>' || layer || '</value></Data><Data name="Class"><value></value></Data><Data name="Confidence"><value>' || confidence || '</value></Data><Data name="Area"><value>0.0</value></Data><Data name="Length"><value>0.0</value></Data></ExtendedData>' ||
+  CASE WHEN kind = 'POINT' THEN '<Point>' || body || '</Point>' WHEN closed AND len(p) >= 3 THEN '<Polygon><outerBoundaryIs><LinearRing>' || body || '</LinearRing></outerBoundaryIs></Polygon>' ELSE '<LineString>' || body || '</LineString>' END || '</Placemark>' AS kml FROM t""")
 def export_kml(spark, sf):
     return X.kml_parts(A.features(spark, sf))
 
 
-@query()
+@query(f"""{_FT}, t AS (SELECT ft.*, color, greatest(1, floor(lineweight * 4 + 0.5::DOUBLE))::INT AS width, CASE linetype WHEN 'DASHED' THEN ' stroke-dasharray="6,4"' WHEN 'CENTER' THEN ' stroke-dasharray="14,4,4,4"' ELSE '' END AS dash,
+  array_to_string(list_transform(p, lambda z: ({_fix('z.x', 1)}) || ',' || ({_fix('z.y', 1)})), ' ') AS body FROM ft JOIN ly ON layer = name WHERE len(p) >= 2)
+SELECT layer, seq, CASE WHEN closed AND len(p) >= 3 THEN '<polygon id="' || id || '" points="' || body || '" fill="' || color || '" fill-opacity="0.2"' ELSE '<polyline id="' || id || '" points="' || body || '" fill="none"' END || ' stroke="' || color || '" stroke-width="' || width || '"' || dash || '/>' AS svg FROM t""")
 def export_svg(spark, sf):
     return X.svg_parts(A.features(spark, sf), layers(spark))
 
 
-@query()
+_LF = "chr(13) || chr(10)"
+
+
+def _codes(*pairs: tuple[int, str]) -> str:
+    return " || ".join(f"'{k}' || {_LF} || {v} || {_LF}" for k, v in pairs)
+
+
+def _at(i: int, a: int, b: int) -> str:
+    return _codes((a, f"x[{i}]"), (b, f"y[{i}]"))
+
+
+_ENTITY = lambda name, marker: _codes((0, f"'{name}'"), (5, "printf('%X', 39 + k)"), (330, "'22'"), (100, "'AcDbEntity'"), (8, "layer"), (100, f"'{marker}'"))
+
+
+@query(f"""{_FT}, o AS (SELECT *, row_number() OVER (ORDER BY seq) AS k, CASE WHEN closed AND len(p) > 2 AND sqrt((p[1].x - p[-1].x)**2 + (p[1].y - p[-1].y)**2) < 1e-4::DOUBLE THEN p[1:-2] ELSE p END AS q FROM ft),
+t AS (SELECT *, list_transform(q, lambda z: {_fix('z.x', 4)}) AS x, list_transform(q, lambda z: {_fix('1000 - z.y', 4)}) AS y FROM o)
+SELECT seq, CASE WHEN kind = 'POINT' THEN {_ENTITY('POINT', 'AcDbPoint')} || {_at(1, 10, 20)} || {_codes((30, "'0'"))} WHEN kind = 'LINE' THEN {_ENTITY('LINE', 'AcDbLine')} || {_at(1, 10, 20)} || {_codes((30, "'0'"))} || {_at(2, 11, 21)} || {_codes((31, "'0'"))}
+  ELSE {_ENTITY('LWPOLYLINE', 'AcDbPolyline')} || {_codes((90, 'len(q)'), (70, "closed::INT"), (43, "'0'"))} || array_to_string(list_transform(range(1, len(q) + 1), lambda i: {_codes((10, 'x[i]'), (20, 'y[i]'))}), '') END AS entity FROM t""")
 def export_dxf_entities(spark, sf):
     return X.dxf_entities(A.features(spark, sf))
 
@@ -525,6 +598,144 @@ def display_metrics(spark, sf):
     return A.features(spark, sf).select("id", F.round(G.area(F.col("points")) * 0.0025, 1).alias("square_metres"), F.floor(F.col("confidence") + 0.5).alias("confidence"))
 
 
-@query(f"{_FT} SELECT id, {_FIX.format(v='p[1].y')} AS y FROM ft")
+@query(f"{_FT}, v AS (SELECT id, i::INT AS i, p[i].y AS y FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM ft)) SELECT id, i, {_FIX.format(v='y')} AS y FROM v")
 def fixed_digits(spark, sf):
-    return A.features(spark, sf).select("id", to_fixed(F.get("points", F.lit(0))["y"], 2).alias("y"))
+    rows = A.features(spark, sf).select("id", F.posexplode("points").alias("i", "p"))
+    return rows.select("id", (F.col("i") + 1).alias("i"), to_fixed(F.col("p.y"), 2).alias("y"))
+
+
+@query(f"""{_FT}, thin AS (SELECT id, layer, closed, len(p) AS before, {_THIN} AS d FROM ft WHERE len(p) >= 2 OR kind IN ('POINT', 'CIRCLE')),
+slim AS (SELECT before, layer IN ('BUILDINGS', 'PARCELS') AND NOT closed AS forced, len(CASE WHEN len(d) >= 3 THEN {_SLIM.format(p='d')} ELSE d END) AS n FROM thin)
+SELECT ((SELECT count(*) FROM ft) - count(*) + count(*) FILTER (n <> before OR forced))::BIGINT AS fixed FROM slim""")
+def topology_fixes(spark, sf):
+    return O.topology_fixes(A.features(spark, sf))
+
+
+def _moves(spark, sf):
+    return A.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).cast("double").alias("dx"), F.lit(-2.5).alias("dy"))
+
+
+@query(f"{_FT}, s AS (SELECT id, p, CASE WHEN id % 3 = 0 THEN (o_custkey % 10)::DOUBLE ELSE 0 END AS dx, CASE WHEN id % 3 = 0 THEN -2.5::DOUBLE ELSE 0 END AS dy FROM ft JOIN orders ON o_orderkey = id) SELECT id, round(list_sum(list_transform(p, lambda q: q.x + dx)), 6) AS x, round(list_sum(list_transform(p, lambda q: q.y + dy)), 6) AS y FROM s")
+def move_feature(spark, sf):
+    total = lambda c: F.round(F.aggregate(F.transform("points", lambda p: p[c]), F.lit(0.0), lambda a, v: a + v), 6).alias(c)
+    return E.moved(A.features(spark, sf), _moves(spark, sf)).select("id", total("x"), total("y"))
+
+
+@query(f"{_FT} SELECT id, round(CASE WHEN id % 3 = 0 AND len(p) >= 2 THEN floor((o_custkey % 97 / 7) * 10 + 0.5::DOUBLE) / 10 ELSE p[2].x END, 4) AS x FROM ft JOIN orders ON o_orderkey = id WHERE len(p) >= 2")
+def drag_vertex(spark, sf):
+    drags = A.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("vertex"), (F.col("o_custkey") % 97 / 7).alias("x"), F.lit(1.0).alias("y"))
+    return E.dragged(A.features(spark, sf).where(F.size("points") >= 2), drags).select("id", F.round(F.get("points", F.lit(1))["x"], 4).alias("x"))
+
+
+@query(f"{_FT} SELECT id, {_fix('sqrt((p[1].x - p[-1].x)**2 + (p[1].y - p[-1].y)**2)', 1)} || ' px' AS pixels, {_fix('sqrt((p[1].x - p[-1].x)**2 + (p[1].y - p[-1].y)**2) * 0.05::DOUBLE', 2)} || ' m' AS metres FROM ft")
+def measure(spark, sf):
+    a, b = F.get("points", F.lit(0)), F.element_at("points", -1)
+    return A.features(spark, sf).select("id", E.measured(a, b).alias("pixels"), E.measured(a, b, F.lit(0.05)).alias("metres"))
+
+
+@query("SELECT s_suppkey AS id, round((least((s_suppkey + 400 - 32) / 1000, (600 - 32) / 800, 2.5)), 6) AS zoom, round(((120 + s_suppkey) - 30) / 1.25::DOUBLE, 4) AS x, round((s_nationkey + 15) / 1.25::DOUBLE, 4) AS y FROM supplier")
+def screen_to_world(spark, sf):
+    s = A.table(spark, sf, "supplier")
+    fit = E.fitted((F.col("s_suppkey") + 400).cast("double"), F.lit(600.0), F.lit(1000.0), F.lit(800.0))
+    at = E.to_world(G.point((F.col("s_suppkey") + 120).cast("double"), F.col("s_nationkey").cast("double")), G.point(F.lit(30.0), F.lit(-15.0)), F.lit(1.25))
+    return s.select(F.col("s_suppkey").alias("id"), F.round(fit["zoom"], 6).alias("zoom"), F.round(at["x"], 4).alias("x"), F.round(at["y"], 4).alias("y"))
+
+
+@query(f"{_FT} SELECT id, layer FROM ft WHERE id % 5 <> 0 UNION ALL SELECT id, 'OTHER' FROM ft WHERE id % 5 = 0 UNION ALL SELECT -id, 'NEW' FROM ft WHERE id % 7 = 0")
+def upsert_features(spark, sf):
+    f = A.features(spark, sf)
+    updates = f.where("id % 5 = 0").withColumn("layer", F.lit("OTHER")).unionByName(f.where("id % 7 = 0").withColumns({"id": -F.col("id"), "layer": F.lit("NEW")}))
+    return E.upserted(f, updates).select("id", "layer")
+
+
+@query(f"WITH {_LOG}, cut AS (SELECT version, id, layer, deleted FROM lg WHERE version <= 4 UNION ALL SELECT 5, id, 'EDITED', false FROM lg WHERE version = 6 AND id % 2 = 0), last AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1) SELECT id, version, layer FROM last WHERE NOT deleted")
+def edit_log_push(spark, sf):
+    log = _log(spark, sf)
+    changes = log.where("version = 6 and id % 2 = 0").withColumns({"layer": F.lit("EDITED"), "deleted": F.lit(False)})
+    return O.at_version(E.pushed(log, changes, at=4), 9).select("id", "version", "layer")
+
+
+@query(f"{_FT} SELECT name, CASE name WHEN 'ROADS' THEN '#000000' ELSE color END AS color, name <> 'WATER' AS visible, name = 'TREES' AS locked FROM ly UNION ALL SELECT 'MY_LAYER', '#3B82F6', true, false")
+def layer_edits(spark, sf):
+    edited = E.with_layers_changed(E.with_layers_changed(E.with_layer(layers(spark), "  my  layer "), ["WATER"], toggle="visible"), ["TREES"], toggle="locked")
+    return E.with_layers_changed(edited, ["ROADS"], color="#000000").select("name", "color", "visible", "locked")
+
+
+# ---- scenes ----
+
+
+def _rect(x, y, w, h):
+    return f"x + 0.5 >= {x} AND x + 0.5 < {x + w} AND y + 0.5 >= {y} AND y + 0.5 < {y + h}"
+
+
+_PLAN = [(118, 98, 764, 604), (122, 102, 756, 596)]
+_INK = [(120, 338.5, 320, 3), (438.5, 100, 3, 240), (558.5, 100, 3, 320), (560, 418.5, 320, 3), (120, 518.5, 380, 3), (498.5, 520, 3, 180), *((x - 7, y - 7, 14, 14) for x, y in ((120, 100), (440, 100), (560, 100), (880, 100), (120, 340), (440, 340), (560, 420), (880, 420), (120, 700), (500, 700), (880, 700)))]
+_DIMENSIONS = [(119.5, 70, 1, 20), (879.5, 70, 1, 20), (120, 79.5, 760, 1)]
+
+
+@query(f"SELECT c AS colour, count(*)::BIGINT AS n FROM (SELECT CASE WHEN {' OR '.join(f'({_rect(*r)})' for r in _DIMENSIONS)} THEN '666666' WHEN ({_rect(*_PLAN[0])} AND NOT ({_rect(*_PLAN[1])})) OR {' OR '.join(f'({_rect(*r)})' for r in _INK)} THEN '1A1A1A' ELSE 'F5F5F0' END AS c FROM (SELECT i % 1000 AS x, i // 1000 AS y FROM range(800000) t(i))) GROUP BY c")
+def scene_floor_plan(spark, sf):
+    rows = S.scene(spark, "sample_arch_floorplan")
+    return rows.select(F.upper(F.concat(*(F.lpad(F.hex(c), 2, "0") for c in "rgb"))).alias("colour")).groupBy("colour").agg(F.count("*").alias("n"))
+
+
+@query()
+def scene_analysis(spark, sf):
+    report = P.image_analysis(K.sampled(S.scenes(spark)))
+    return report.select("image_id", "kind", "confidence", "metres_per_pixel", F.round("mean_saturation", 6).alias("mean_saturation"), F.round("density", 6).alias("density"))
+
+
+@query(f"{_PX} SELECT x, y, r, g, b FROM px")
+def analysis_sample(spark, sf):
+    return K.sampled(A.pixels(spark, sf)).select("x", "y", "r", "g", "b")
+
+
+# ---- whole documents ----
+
+
+@query(f"{_FT} SELECT 1000.0::DOUBLE - max(y) AS min_y, 1000 - min(y) AS max_y, min(x) AS min_x, max(x) AS max_x FROM (SELECT unnest(p).x AS x, unnest(p).y AS y FROM ft)")
+def drawing_extents(spark, sf):
+    return X.extents(A.features(spark, sf), height=1000.0, invert_y=True)
+
+
+@query(f"{_FT} SELECT count(DISTINCT layer)::BIGINT + (SELECT count(*) FROM ly WHERE name NOT IN (SELECT layer FROM ft)) AS n FROM ft")
+def drawing_layers(spark, sf):
+    return D.layer_records(A.features(spark, sf), layers(spark), owner="24", first_handle=0x32).select("n")
+
+
+@query()
+def document_dxf(spark, sf):
+    return D.dxf_document(A.features(spark, sf), layers(spark), unit="m")
+
+
+@query(f"""SELECT 0 AS part, 0::BIGINT AS seq, '{{"type":"FeatureCollection","name":"plan","features":[' AS text UNION ALL SELECT 2, 0, ']}}' UNION ALL
+SELECT 1, seq, CASE WHEN seq > min(seq) OVER () THEN ',' ELSE '' END || geojson FROM ({ORACLES['export_geojson']})""")
+def document_geojson(spark, sf):
+    return D.geojson_document(A.features(spark, sf))
+
+
+_LAYERS = f"(VALUES {', '.join(f"('{n}', '{c}', {w}::DOUBLE)" for n, c, _, w, _ in LAYERS)}) ly(name, color, lineweight)"
+
+
+@query(f"""SELECT 0 AS part, 0::BIGINT AS seq, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<kml xmlns="http://www.opengis.net/kml/2.2">' || chr(10) || '<Document><name>plan</name>' || chr(10) || string_agg(style, chr(10) ORDER BY style) AS text
+  FROM (SELECT '<Style id="style_' || name || '"><LineStyle><color>ff' || bgr || '</color><width>' || greatest(1, floor(lineweight * 5 + 0.5::DOUBLE)::INT) || '</width></LineStyle><PolyStyle><color>66' || bgr || '</color></PolyStyle></Style>' AS style FROM (SELECT *, color[6:7] || color[4:5] || color[2:3] AS bgr FROM {_LAYERS}))
+UNION ALL SELECT 2, 0, '</Document>' || chr(10) || '</kml>' UNION ALL SELECT 1, seq, kml FROM ({ORACLES['export_kml']})""")
+def document_kml(spark, sf):
+    return D.kml_document(A.features(spark, sf), layers(spark))
+
+
+@query(f"""WITH parts AS ({ORACLES['export_svg']}), ranks AS (SELECT name AS layer, dense_rank() OVER (ORDER BY name) AS r FROM {_LAYERS}), used AS (SELECT DISTINCT layer, r FROM parts JOIN ranks USING (layer))
+SELECT 0 AS part, 0::BIGINT AS seq, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<svg xmlns="http://www.w3.org/2000/svg" version="1.1" width="1000" height="800" viewBox="0 0 1000 800">' || chr(10) || '<rect width="100%" height="100%" fill="#0F172A"/>' AS text
+UNION ALL SELECT (3 * r + 1)::INT, 0, '<g id="layer_' || layer || '">' FROM used UNION ALL SELECT (3 * r + 2)::INT, seq, svg FROM parts JOIN ranks USING (layer) UNION ALL SELECT (3 * r + 3)::INT, 0, '</g>' FROM used UNION ALL SELECT 2147483647, 0, '</svg>'""")
+def document_svg(spark, sf):
+    return D.svg_document(A.features(spark, sf), layers(spark), width=1000, height=800)
+
+
+@query(f"SELECT 0 AS part, 0::BIGINT AS seq, 'Feature_ID,Layer,Classification,Geometry_Type,Confidence,Length_px,Area_px2,Vertex_Count,WKT_Geometry' AS text UNION ALL SELECT 1, seq, line FROM ({ORACLES['export_csv']})")
+def document_csv(spark, sf):
+    return D.csv_document(A.features(spark, sf))
+
+
+@query()
+def document_shapefiles(spark, sf):
+    return D.shapefiles(A.features(spark, sf)).select("file", "part", "seq", F.length("bytes").alias("n"), F.md5("bytes").alias("digest"))
