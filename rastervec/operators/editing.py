@@ -73,7 +73,7 @@ def upserted(features: DataFrame, updates: DataFrame, *, insert: bool = True) ->
 
 def layer_name(typed: Column) -> Column:
     """The name of a new layer: trimmed, in capitals, white space as underscores; null for none."""
-    clean = F.regexp_replace(F.upper(F.trim(typed)), r"\s+", "_")
+    clean = F.regexp_replace(F.upper(F.regexp_replace(typed, r"^\s+|\s+$", "")), r"\s+", "_")
     return F.when(clean != "", clean)
 
 

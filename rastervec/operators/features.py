@@ -26,7 +26,7 @@ def visible(features: DataFrame, layers: DataFrame) -> DataFrame:
 
 def safe_layer_name(name: Column) -> Column:
     """Characters that a drawing's names can't have become underscores; at most 255 characters, empty: 0."""
-    clean = F.substring(F.trim(F.regexp_replace(name, r'[<>/\\":;?*|=,]', "_")), 1, 255)
+    clean = F.substring(F.regexp_replace(F.regexp_replace(name, r'[<>/\\":;?*|=,]', "_"), r"^\s+|\s+$", ""), 1, 255)
     return F.when(F.coalesce(clean, F.lit("")) == "", "0").otherwise(clean)
 
 
