@@ -299,4 +299,6 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     roots = stored(components(resemblances(entries, sets_of)), "roots")
     discard(entries)
     first = stored(slim.join(sized(roots), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("_best").alias("_best")).select("_best._at"), "first")
-    return rows.join(sized(first), "_at", "left_semi").select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)))
+    kept = stored(rows.join(sized(first), "_at", "left_semi").select(F.col("_row")), "kept")
+    discard(rows, slim, first_of, roots, first)
+    return kept.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)))
