@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 20
 #: Pairs replaced in a round, how often a pair must occur (a rule takes about as much room as four symbols, and others take some of a pair's places), and bits of the table of pairs.
 BATCH, LEAST, SLOTS = 4096, 8, 17
 #: Characters of a text that are split at a time, and words that are kept with their ids.
-PIECE, MOST_MEMO = 1 << 20, 600_000
+PIECE, MOST_MEMO = 1 << 20, 1_200_000
 #: New words that are encoded as one text.
 JOINED_WORDS = 200
 MAGIC, HEADER = b"RPG2", "<4s4I2Q"
