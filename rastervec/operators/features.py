@@ -106,8 +106,8 @@ def picked(features: DataFrame, points: DataFrame, *, tolerance: float, cell: fl
     within = F.col("x").between(F.col("_box.min_x") - tolerance, F.col("_box.max_x") + tolerance) & F.col("y").between(F.col("_box.min_y") - tolerance, F.col("_box.max_y") + tolerance)
     inside = F.col("is_closed") & (F.size("points") >= 3) & G.contains(F.col("points"), here) if interior else F.lit(False)
     round_ = G.distance(here, F.col("center")) <= F.col("radius") + tolerance if interior and {"center", "radius"} <= {*features.columns} else F.lit(False)
-    hit = f.join(q, (F.col("_fx") == F.col("_cx")) & (F.col("_fy") == F.col("_cy")) & within)
-    return hit.where(F.when(circle, round_).otherwise(inside | G.near(F.col("points"), here, tolerance))).groupBy("pick").agg(F.max_by("id", "seq").alias("id"))
+    hit = f.join(q, (F.col("_fx") == F.col("_cx")) & (F.col("_fy") == F.col("_cy")))
+    return hit.where(F.when(~within, False).when(circle, round_).otherwise(inside | G.near(F.col("points"), here, tolerance))).groupBy("pick").agg(F.max_by("id", "seq").alias("id"))
 
 
 def circle_fit(points: DataFrame) -> DataFrame:
