@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastervec.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_rules, suffix_dedup, token_count, token_output, toxicity
+from rastervec.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_rules, spelling, suffix_dedup, token_count, token_output, toxicity, url_filters
 from rastervec.llm.common import crc_of_id, stored, table
 
 
@@ -59,7 +59,20 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_back(blocks)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_token_count, op4_simhash_dedup, op5_decontaminate, op6_chat_format, op7_toxicity, op8_mixing, op9_quality_rules, op10_token_output)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = stored(spelling.word_counts(table(spark, sf_dir, "documents"), misspell_every=97), "words")
+    return spelling.variant_groups(words)
+
+
+#: Sites that the task lists.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"), RULES, url_filters.junk(F.col("html")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_token_count, op4_simhash_dedup, op5_decontaminate, op6_chat_format, op7_toxicity, op8_mixing, op9_quality_rules, op10_token_output, op11_spelling, op13_url_filter)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -116,5 +129,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 20 * n_symbols > n OR 25 * marks > n OR (upper >= 25 AND upper > small) OR (4 * digits > n AND n > 0) OR word_chars > 25 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * (breaks + 1))) AS kept
 FROM counted"""
 
+_SPELLING = r"""
+WITH RECURSIVE crcs AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))),
+runs AS (SELECT k, coalesce(doc_id::VARCHAR, '') AS id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS c
+  FROM (SELECT row_number() OVER () AS k, doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) WHERE length(r) >= 5 GROUP BY ALL),
+hashed AS (SELECT r, c, hex(encode(id || ':' || r)) AS x FROM runs),
+crc AS (SELECT r, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM hashed, crcs),
+words AS (SELECT w AS word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w FROM crc) WHERE length(w) >= 5 GROUP BY w HAVING sum(c) >= 3),
+cut AS (SELECT DISTINCT word, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT DISTINCT a, b FROM (SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y USING (i, s) WHERE x.word <> y.word
+  UNION ALL SELECT s, word FROM cut SEMI JOIN (SELECT word AS s FROM words) USING (s) UNION ALL SELECT word, s FROM cut SEMI JOIN (SELECT word AS s FROM words) USING (s))),
+near AS (SELECT a AS word, count(*)::BIGINT AS n_near, first(b ORDER BY n DESC, encode(b)) AS best, max(n) AS best_n FROM pairs JOIN words ON b = word GROUP BY a),
+forms AS (SELECT word, n, CASE WHEN best_n >= 2 * n THEN best END AS form, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM words LEFT JOIN near USING (word)),
+steps AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN forms f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, n, form, root, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, k) AS root FROM steps GROUP BY word) USING (word)"""
+
+_URLS = r"""
+WITH rest AS (SELECT page_id, html, strpos(url, '://') > 0 AS has, substr(url, strpos(url, '://') + 3) AS r FROM pages),
+p AS (SELECT page_id, html, row_number() OVER () AS i, coalesce(CASE WHEN has THEN translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END, '') AS host,
+  coalesce(CASE WHEN has THEN regexp_extract(r, '^[^/?#]*([^?#]*)', 1) END, '') AS path FROM rest),
+rules AS (SELECT * FROM (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')) v(verdict, rule)),
+ruled AS (SELECT i, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN rules
+  ON ends_with('.' || host, '.' || regexp_extract(rule, '^[^/]*')) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY i),
+texts AS (SELECT host, regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'), '&[A-Za-z0-9#]+;', '&', 'g') AS t FROM p),
+judged AS (SELECT host, (len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) < 20 OR 20 * (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g'))) > length(t))::INT AS y FROM texts),
+hosts AS (SELECT *, array_to_string(l[greatest(1, len(l) - 1):], '.') AS domain, l[-1] AS suffix FROM (SELECT host, count(y)::DOUBLE AS n, coalesce(sum(y), 0)::DOUBLE AS k, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM judged GROUP BY host)),
+root AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS m FROM hosts),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM hosts, root GROUP BY suffix),
+s1 AS (SELECT 1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m))) / nullif(sum(n * m * (1 - m) * (n - 1)), 0), 1 / 1001), 1 / 1001), 1 / 2) - 1 AS s FROM s0 WHERE n > 0),
+s2 AS (SELECT suffix, (k + s * m) / (n + s) AS m FROM s0, s1),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM hosts JOIN s2 USING (suffix) GROUP BY ALL),
+d1 AS (SELECT 1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m))) / nullif(sum(n * m * (1 - m) * (n - 1)), 0), 1 / 1001), 1 / 1001), 1 / 2) - 1 AS s FROM d0 WHERE n > 0),
+d2 AS (SELECT domain, suffix, (k + s * m) / (n + s) AS m FROM d0, d1),
+h0 AS (SELECT host, n, k, m FROM hosts JOIN d2 USING (domain, suffix)),
+h1 AS (SELECT 1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m))) / nullif(sum(n * m * (1 - m) * (n - 1)), 0), 1 / 1001), 1 / 1001), 1 / 2) - 1 AS s FROM h0 WHERE n > 0),
+h2 AS (SELECT host, n, s, (k + s * m) / (n + s) AS mean FROM h0, h1),
+low AS (SELECT host, round(mean - 1.645 * sqrt(mean * (1 - mean) / (n + s + 1)), 9) AS low FROM h2)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN low > 0.2 THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN ruled USING (i) JOIN low USING (host)"""
+
 #: The other operators hash with XXH64, hold tokenizers or are trained; tests/llm holds them against plain versions.
-ORACLES: dict[str, str] = {"op5_decontaminate": _DECONTAMINATE, "op6_chat_format": _CHATS, "op8_mixing": _MIXING, "op9_quality_rules": _QUALITY}
+ORACLES: dict[str, str] = {"op5_decontaminate": _DECONTAMINATE, "op6_chat_format": _CHATS, "op8_mixing": _MIXING, "op9_quality_rules": _QUALITY, "op11_spelling": _SPELLING, "op13_url_filter": _URLS}
