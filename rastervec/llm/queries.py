@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastervec.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_rules, spelling, suffix_dedup, token_count, token_output, toxicity, url_filters
+from rastervec.llm import chat_format, decontaminate, language_id, mixing, near_dedup, phrases, quality_rules, spelling, suffix_dedup, token_count, token_output, toxicity, url_filters
 from rastervec.llm.common import crc_of_id, stored, table
 
 
@@ -64,6 +64,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(words)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 #: Sites that the task lists.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -72,7 +76,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), RULES, url_filters.junk(F.col("html")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_token_count, op4_simhash_dedup, op5_decontaminate, op6_chat_format, op7_toxicity, op8_mixing, op9_quality_rules, op10_token_output, op11_spelling, op13_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_token_count, op4_simhash_dedup, op5_decontaminate, op6_chat_format, op7_toxicity, op8_mixing, op9_quality_rules, op10_token_output, op11_spelling, op12_collocations, op13_url_filter)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -144,6 +148,22 @@ forms AS (SELECT word, n, CASE WHEN best_n >= 2 * n THEN best END AS form, coale
 steps AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN forms f ON s.root = f.word WHERE f.form IS NOT NULL)
 SELECT word, n, form, root, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, k) AS root FROM steps GROUP BY word) USING (word)"""
 
+_COLLOCATIONS = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT k, lang, generate_subscripts(p, 1) AS j, unnest(p) AS piece FROM (SELECT k, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') AS p FROM d)),
+words AS (SELECT k, lang, j, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM (SELECT k, lang, j, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces)),
+runs AS (SELECT lang, a, lead(a) OVER p AS b, lead(a, 2) OVER p AS c FROM words WINDOW p AS (PARTITION BY k, j ORDER BY i)),
+f AS (SELECT lang, a AS phrase, 1 AS m, count(*)::HUGEINT AS n FROM runs GROUP BY ALL UNION ALL SELECT lang, a || ' ' || b, 2, count(*)::HUGEINT FROM runs WHERE b IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, a || ' ' || b || ' ' || c, 3, count(*)::HUGEINT FROM runs WHERE c IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+found AS (SELECT lang, phrase, m, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND n >= 10),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS h, array_to_string(w[k + 1:], ' ') AS t FROM (SELECT *, unnest(range(1, m)) AS k FROM found)),
+scores AS (SELECT c.lang, c.phrase, a, k, x.n AS l, y.n AS r, 1000000 * a * a // (x.n * y.n) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = h JOIN f y ON y.lang = c.lang AND y.phrase = t),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM found WHERE m = 3 UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM found WHERE m = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM best LEFT JOIN longer USING (lang, phrase) JOIN totals USING (lang) WHERE coalesce(100 * longer < 50 * a, true) QUALIFY rank <= 2000"""
+
 _URLS = r"""
 WITH rest AS (SELECT page_id, html, strpos(url, '://') > 0 AS has, substr(url, strpos(url, '://') + 3) AS r FROM pages),
 p AS (SELECT page_id, html, row_number() OVER () AS i, coalesce(CASE WHEN has THEN translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END, '') AS host,
@@ -168,4 +188,4 @@ low AS (SELECT host, round(mean - 1.645 * sqrt(mean * (1 - mean) / (n + s + 1)),
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN low > 0.2 THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN ruled USING (i) JOIN low USING (host)"""
 
 #: The other operators hash with XXH64, hold tokenizers or are trained; tests/llm holds them against plain versions.
-ORACLES: dict[str, str] = {"op5_decontaminate": _DECONTAMINATE, "op6_chat_format": _CHATS, "op8_mixing": _MIXING, "op9_quality_rules": _QUALITY, "op11_spelling": _SPELLING, "op13_url_filter": _URLS}
+ORACLES: dict[str, str] = {"op5_decontaminate": _DECONTAMINATE, "op6_chat_format": _CHATS, "op8_mixing": _MIXING, "op9_quality_rules": _QUALITY, "op11_spelling": _SPELLING, "op12_collocations": _COLLOCATIONS, "op13_url_filter": _URLS}
