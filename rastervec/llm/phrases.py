@@ -112,29 +112,29 @@ def _hashes(langs: list[str], words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(f"{lang}\t{word}".encode()) for lang, word in zip(langs, words)), np.uint64, len(words))
 
 
-def _places(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bits of the filter for each pair of word hashes."""
     h = (first * np.uint64(0x9E3779B97F4A7C15) ^ (first >> np.uint64(29))) + second
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(38)).astype(np.int64) % FILTER_BITS, (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % FILTER_BITS
+    return (h >> np.uint64(38)).astype(np.int64) % bits, (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % bits
 
 
-def _filter(pairs: DataFrame) -> np.ndarray:
-    """The bits that pairs (lang, phrase) set, packed: parts are made where their bits meet, FILTER_BITS in all come to the driver."""
+def _filter(pairs: DataFrame, bits: int) -> np.ndarray:
+    """The bits that pairs (lang, phrase) set, packed: parts are made where their bits meet, ``bits`` in all come to the driver."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, two = batch.column(0).to_pylist(), [p.split(" ") for p in batch.column(1).to_pylist()]
-            at = np.unique(np.concatenate(_places(_hashes(langs, [a for a, _ in two]), _hashes(langs, [b for _, b in two]))))
+            at = np.unique(np.concatenate(_places(_hashes(langs, [a for a, _ in two]), _hashes(langs, [b for _, b in two]), bits)))
             yield pa.RecordBatch.from_arrays([pa.array(at // FILTER_PART), pa.array(at % FILTER_PART)], names=["part", "bit"])
 
     def packed(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(FILTER_PART, bool)
-        bits[rows["bit"].to_numpy()] = True
-        return pa.table({"part": rows["part"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        own = np.zeros(FILTER_PART, bool)
+        own[rows["bit"].to_numpy()] = True
+        return pa.table({"part": rows["part"][:1], "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
 
     parts = mapped(pairs.select("lang", "phrase"), places, "part long, bit long").distinct().groupBy("part").applyInArrow(packed, "part long, bits binary")
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for part in parts.toLocalIterator():
         out[part["part"] * FILTER_PART // 8 : (part["part"] + 1) * FILTER_PART // 8] = np.frombuffer(part["bits"], np.uint8)
     return out
@@ -150,7 +150,7 @@ def _counted(docs: DataFrame, emit: Callable[[Shard], Iterator[pa.RecordBatch]])
     return mapped(docs, rows, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", most_words: int = 3, least: int = 10) -> DataFrame:
+def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", most_words: int = 3, least: int = 10, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(lang, phrase, n): words and phrases of up to ``most_words`` words with ``least`` occurrences within pieces at least, and under the empty phrase how many words a language has.
 
     Words and pairs are counted first. Longer phrases can only be frequent where all their pairs are, so shards extend bitmaps depth first through pairs that a filter of fixed size lets pass (all frequent ones, and some
@@ -170,14 +170,14 @@ def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", mo
     out = stored(_counted(docs, short).where((F.col("n") >= least) | (F.col("phrase") == "")), "short-phrases")
     if most_words < 3:
         return out
-    passing = docs.sparkSession.sparkContext.broadcast(_filter(out.where(F.contains("phrase", F.lit(" ")))))
+    passing = docs.sparkSession.sparkContext.broadcast(_filter(out.where(F.contains("phrase", F.lit(" "))), filter_bits))
 
     def long(shard: Shard) -> Iterator[pa.RecordBatch]:
         bits, hashes = passing.value, shard.hashes()
 
         def keep(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             good = np.ones(len(a), bool)
-            for at in _places(hashes[a], hashes[b]):
+            for at in _places(hashes[a], hashes[b], filter_bits):
                 good &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             return good
 

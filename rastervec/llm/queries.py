@@ -174,7 +174,7 @@ ruled AS (SELECT i, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length
 texts AS (SELECT host, regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'), '&[A-Za-z0-9#]+;', '&', 'g') AS t FROM p),
 judged AS (SELECT host, (len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) < 20 OR 20 * (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g'))) > length(t))::INT AS y FROM texts),
 hosts AS (SELECT *, array_to_string(l[greatest(1, len(l) - 1):], '.') AS domain, l[-1] AS suffix FROM (SELECT host, count(y)::DOUBLE AS n, coalesce(sum(y), 0)::DOUBLE AS k, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM judged GROUP BY host)),
-root AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS m FROM hosts),
+root AS (SELECT (sum(k) + 0.05) / (sum(n) + 1) AS m FROM hosts),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM hosts, root GROUP BY suffix),
 s1 AS (SELECT 1 / least(greatest(coalesce((sum(pow(k - n * m, 2)) - sum(n * m * (1 - m))) / nullif(sum(n * m * (1 - m) * (n - 1)), 0), 1 / 1001), 1 / 1001), 1 / 2) - 1 AS s FROM s0 WHERE n > 0),
 s2 AS (SELECT suffix, (k + s * m) / (n + s) AS m FROM s0, s1),

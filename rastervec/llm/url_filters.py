@@ -9,6 +9,8 @@ from rastervec.llm.common import ident
 
 #: Prior observations that a level's spread of rates may stand for.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
+#: Bad rate that one observation before all others stands for.
+FIRST_RATE = 0.05
 
 
 def host_of(url: Column) -> Column:
@@ -55,7 +57,7 @@ def _strength(children: DataFrame) -> DataFrame:
 def reputation(pages: DataFrame, outcome: Column, *, url: str = "url", z: float = 1.645) -> DataFrame:
     """(host, domain, suffix, n, k, mean, low, high): pages with an outcome, bad ones (1), the posterior mean of a host's bad rate and its bounds.
 
-    The root's rate is that of all pages. A suffix's prior is a beta distribution about the root's mean, a domain's about its suffix's posterior mean, a host's about its domain's; how many observations a prior
+    The root's rate is that of all pages and of one more, of FIRST_RATE. A suffix's prior is a beta distribution about the root's mean, a domain's about its suffix's posterior mean, a host's about its domain's; how many observations a prior
     counts as follows from the spread on its level. The bounds are ``z`` standard deviations of the beta posterior. Hosts without outcomes (null) have their prior.
     A domain is the last two labels without a port, the suffix the last. Pages are summed by host before anything else, so a host with a third of all pages is a row a task. An empty table gives none."""
     hosts = pages.select(host_of(ident(url)).alias("host"), outcome.cast("long").alias("y")).groupBy("host").agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("k"))
@@ -65,7 +67,7 @@ def reputation(pages: DataFrame, outcome: Column, *, url: str = "url", z: float
     sums = (F.sum("n").alias("n"), F.sum("k").alias("k"))
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
-    root = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("m"))
+    root = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + FIRST_RATE) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("m"))
 
     def shrunk(children: DataFrame) -> DataFrame:
         """Adds a and b, the posterior, to children with their parent's mean ``m``; one row is broadcast."""
