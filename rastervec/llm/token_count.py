@@ -72,7 +72,8 @@ class Encoder:
             if b is None:
                 return len(self.model.encode(text, num_threads=1))
             b = b + since
-            common = np.intersect1d(np.intersect1d(a[(a > max(since, done)) & (a < end)], b), places)
+            here = places[np.searchsorted(places, max(since, done), "right") : np.searchsorted(places, end)]
+            common = np.intersect1d(np.intersect1d(a[(a > max(since, done)) & (a < end)], b), here)
             if len(common):
                 total += int(((a >= done) & (a < common[-1])).sum() if done else (a < common[-1]).sum())
                 done = int(common[-1])

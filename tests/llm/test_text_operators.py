@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -99,6 +100,20 @@ def test_texts_without_boundaries_take_linear_time():
     assert sum(sizes) <= 3 * 400_000
 
 
+@pytest.mark.parametrize("text", ["the quick brown fox jumps over lazy dogs and runs away again, ", "\u65e5", "a"])
+def test_long_texts_take_about_the_time_of_the_library(text):
+    own = token_count.encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    whole = (text * 4_000_000)[:4_000_000]
+
+    def timed(count):
+        began = time.process_time()
+        return count(whole), time.process_time() - began
+
+    own.count_long(whole[:100_000])
+    (got, took), (want, library) = timed(own.count_long), timed(lambda t: len(own.model.encode(t)))
+    assert got == want and took <= 3 * library
+
+
 def plain_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     if not words:
