@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastervec.llm.common import ident
+from rastervec.llm.common import ident, stored
 
 #: Prior observations that a level's spread of rates may stand for.
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
@@ -63,7 +63,7 @@ def reputation(pages: DataFrame, outcome: Column, *, url: str = "url", z: float
     hosts = pages.select(host_of(ident(url)).alias("host"), outcome.cast("long").alias("y")).groupBy("host").agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("k"))
     labels = F.split(F.regexp_replace("host", ":[0-9]*$", ""), r"\.")
     domain = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), ".")
-    hosts = hosts.select("host", domain.alias("domain"), F.element_at(labels, -1).alias("suffix"), "n", "k")
+    hosts = stored(hosts.select("host", domain.alias("domain"), F.element_at(labels, -1).alias("suffix"), "n", "k"), "hosts")
     sums = (F.sum("n").alias("n"), F.sum("k").alias("k"))
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
