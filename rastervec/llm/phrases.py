@@ -20,7 +20,7 @@ _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 #: Bytes of the texts of a shard (a longer text is one alone), positions of a block of a bitmap, and ANDs that are done at once.
-SHARD_BYTES, BLOCK, AT_ONCE = 8 << 20, 16, 1 << 20
+SHARD_BYTES, BLOCK, AT_ONCE = 3 << 20, 16, 1 << 18
 #: Bits of the filter of frequent pairs (8 MB at every size of input): it lets all of them pass, and of the others fewer as long as it is not full.
 FILTER_BITS, FILTER_PART = 1 << 26, 1 << 15
 
