@@ -5,12 +5,11 @@ Features give a row each, in parallel; what stands before and after them are row
 
 from __future__ import annotations
 
-import io
 import struct
-import zipfile
 from collections.abc import Iterator
-from datetime import date
+from datetime import UTC, date, datetime
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +18,8 @@ from pyspark.sql import functions as F
 from rastervec.functions import geometry as G
 from rastervec.functions.numeric import to_fixed
 from rastervec.operators import export as X
-from rastervec.operators.features import layer_registry
+from rastervec.operators.archive import archive
+from rastervec.operators.features import layer_registry, safe_layer_name
 
 HEAD, BODY, TAIL = 0, 1, 2
 
@@ -49,6 +49,11 @@ def geojson_document(features: DataFrame, *, name: str = "plan", **how) -> DataF
     return _document(parts, "geojson", _row(spark, HEAD, head), _row(spark, TAIL, F.lit("]}")))
 
 
+def _place(layers: DataFrame) -> Column:
+    """A layer's place: its column order, or none."""
+    return F.coalesce(F.col("order") if "order" in layers.columns else F.lit(None).cast("int"), F.lit((1 << 31) - 1))
+
+
 def kml_styles(layers: DataFrame) -> Column:
     """A layer's style: colours are alpha, blue, green, red."""
     hexes = F.rpad(F.regexp_replace("color", "#", ""), 6, "0")
@@ -58,17 +63,17 @@ def kml_styles(layers: DataFrame) -> Column:
 
 
 def kml_document(features: DataFrame, layers: DataFrame, *, name: str = "plan", **how) -> DataFrame:
-    """Styles of all layers, then a placemark for each feature."""
+    """Styles of all layers in their order, then a placemark for each feature."""
     spark = features.sparkSession
-    styles = layers.agg(F.array_join(F.array_sort(F.collect_list(kml_styles(layers))), "\n").alias("s"))  # the layer dimension is small
+    styles = layers.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(_place(layers).alias("k"), "name", kml_styles(layers).alias("s")))), lambda r: r["s"]), "\n").alias("s"))  # the layer dimension is small
     head = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n<Document><name>{name}</name>\n'), "s")
     return _document(X.kml_parts(features, **how), "kml", _row(spark, HEAD, head, styles), _row(spark, TAIL, F.lit("</Document>\n</kml>")))
 
 
 def svg_document(features: DataFrame, layers: DataFrame, *, width: int, height: int) -> DataFrame:
-    """A group for each declared layer that has elements, in the order of the layers. ``layers`` may have a column order; else they stand by name."""
+    """A group for each declared layer that has elements, in the order of the layers (column order, then the name)."""
     spark = features.sparkSession
-    order = layers.select(F.col("name").alias("layer"), F.col("order") if "order" in layers.columns else F.dense_rank().over(X.Window.orderBy("name")).alias("order"))  # the layer dimension is small
+    order = layers.select(F.col("name").alias("layer"), F.dense_rank().over(X.Window.orderBy(_place(layers), "name")).alias("order"))  # the layer dimension is small
     parts = X.svg_parts(features, layers).join(F.broadcast(order), "layer")
     used = parts.select("layer", "order").distinct()
     place = lambda k: (F.col("order") * 3 + k).cast("int").alias("part")
@@ -170,10 +175,12 @@ def _head(extent: DataFrame, code: int, own: dict[str, str], registry: DataFrame
 
 
 def layer_records(features: DataFrame, layers: DataFrame, *, owner: str, first_handle: int) -> DataFrame:
-    """(n, _layers): the records of all layers but 0, declared ones first; a row, for a drawing's layers are few."""
-    known = layers.select(F.col("name"), *(F.col(c) if c in layers.columns else F.lit(d).alias(c) for c, d in (("visible", True), ("locked", False)))).dropDuplicates(["name"])
-    rows = layer_registry(features, layers).where("safe <> '0'").join(known.withColumn("_declared", F.lit(0)), "name", "left")
-    rows = rows.withColumn("_k", F.row_number().over(X.Window.orderBy(F.coalesce("_declared", F.lit(1)), "safe")))
+    """(n, _layers): the records of all layers but 0, declared ones first and in their order, others as features name them first; a row, for a drawing's layers are few."""
+    known = layers.select(F.col("name"), *(F.col(c) if c in layers.columns else F.lit(d).alias(c) for c, d in (("visible", True), ("locked", False))), _place(layers).alias("_place")).dropDuplicates(["name"])
+    met = features.groupBy(safe_layer_name(F.col("layer")).alias("safe")).agg(F.min("seq").alias("_met"))
+    rows = layer_registry(features, layers).where("safe <> '0'").join(known.withColumn("_declared", F.lit(0)), "name", "left").join(met, "safe", "left")
+    order = F.when(F.col("_declared") == 0, F.struct(F.lit(0).alias("k"), F.col("_place").cast("long").alias("at"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("_met").cast("long").alias("at")))
+    rows = rows.withColumn("_k", F.row_number().over(X.Window.orderBy(order, "safe")))
     colour = F.when(F.coalesce("visible", F.lit(True)), F.col("aci")).otherwise(-F.col("aci"))
     weight = F.floor(F.when(F.coalesce("lineweight", F.lit(0.0)) == 0, 0.25).otherwise(F.col("lineweight")) * 100 + 0.5)
     record = F.concat(
@@ -206,8 +213,6 @@ WGS84 = 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,
 LOCAL = f'PROJCS["Local_Metric_Grid",{WGS84},PROJECTION["Transverse_Mercator"],UNIT["Meter",1.0]]'
 #: Fields of the attribute table with type, width and decimals.
 FIELDS = [("FEAT_ID", "C", 16, 0), ("LAYER", "C", 20, 0), ("CLASS", "C", 24, 0), ("CONF", "N", 6, 2), ("AREA", "N", 12, 2), ("LENGTH", "N", 12, 2)]
-#: Bytes of all files of an archive; more are written as files, not as one row.
-MOST_ARCHIVE = 256 << 20
 
 
 def _shape_header(shape: int, size: int, box: tuple) -> bytes:
@@ -220,14 +225,15 @@ def _table_header(n: int, today: date) -> bytes:
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seq, body): what follows a record's header, from (seq, shape number, points)."""
+    """(seq, body): what follows a record's header, from (seq, shape number, points); coordinates are cut from the batch's own buffer."""
     for batch in batches:
-        out = []
-        for shape, points in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            xs, ys = [p["x"] for p in points], [p["y"] for p in points]
-            flat = [v for xy in zip(xs, ys) for v in xy]
-            box = () if shape == 1 else (min(xs), min(ys), max(xs), max(ys))
-            out.append(struct.pack(f"<i{len(box)}d", shape, *box) + (b"" if shape == 1 else struct.pack("<3i", 1, len(xs), 0)) + struct.pack(f"<{len(flat)}d", *flat))
+        out, points = [], batch.column(2)
+        at = points.offsets.to_numpy()
+        flat = np.stack([points.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1).astype("<f8")
+        for shape, a, b in zip(batch.column(1).to_pylist(), at, at[1:]):
+            own = flat[a:b]
+            lines = b"" if shape == 1 else np.concatenate([own.min(0), own.max(0)]).tobytes() + struct.pack("<3i", 1, len(own), 0)
+            out.append(struct.pack("<i", shape) + lines + own.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["seq", "body"])
 
 
@@ -283,21 +289,23 @@ def shapefiles(features: DataFrame, **how) -> DataFrame:
     return out.unionByName(shapefile(features, "lines", **how)).unionByName(shapefile(features, "points", **how))
 
 
-def archive(parts: DataFrame) -> DataFrame:
-    """(archive): one zip file of the parts' files, in one task; for drawings of at most MOST_ARCHIVE bytes, else an error."""
-
-    def pack(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("file", "ascending"), ("part", "ascending"), ("seq", "ascending")])
-        files: dict[str, list[bytes]] = {}
-        for name, data in zip(rows["file"].to_pylist(), rows["bytes"].to_pylist()):
-            files.setdefault(name, []).append(data)
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, pieces in files.items():
-                z.writestr(zipfile.ZipInfo(name), b"".join(pieces), zipfile.ZIP_DEFLATED)
-        return pa.table({"archive": pa.array([out.getvalue()], pa.binary())})
-
-    size = parts.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    if size > MOST_ARCHIVE:
-        raise ValueError(f"{size} bytes are too many for an archive in one row; write the files instead")
-    return parts.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(pack, "archive binary")
+#: The order of the files in an archive, and what is said about them.
+MEMBERS = [f"{kind}.{end}" for kind in SHAPE_TYPE for end in ("shp", "shx", "dbf", "prj")] + ["README_GIS.txt"]
+README = """Shapefile Package
+Generated at: {now}
+CRS: {crs}
+
+Layers Included:
+- polygons.shp (.shx, .dbf, .prj): Closed building footprints, parcels, vegetation, water bodies
+- lines.shp (.shx, .dbf, .prj): Roads, centerlines, walls, boundary lines
+- points.shp (.shx, .dbf, .prj): Point features, columns, poles, trees
+
+Compatible with: QGIS 3.x, ArcGIS Pro, Civil 3D Map, Global Mapper."""
+
+
+def shapefile_archive(features: DataFrame, *, now: datetime | None = None, **how) -> DataFrame:
+    """(member, seq, bytes) of a zip archive of the shapefiles and a file that tells what they are."""
+    at = (now or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+    said = README.format(now=at, crs="WGS 84 (EPSG:4326)" if how.get("affine") else "Local Metric Grid (Meters)")
+    about = features.sparkSession.range(1).select(F.lit(MEMBERS[-1]).alias("file"), F.lit(HEAD).alias("part"), F.lit(0).cast("long").alias("seq"), F.encode(F.lit(said), "UTF-8").alias("bytes"))
+    return archive(shapefiles(features, **how).unionByName(about), order=MEMBERS)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rastervec.functions import geometry as G
 from rastervec.functions.numeric import points_fixed, to_fixed, truthy_or
+from rastervec.operators.components import settled
 from rastervec.operators.features import boxed, safe_layer_name
 
 
@@ -89,14 +94,28 @@ def extents(features: DataFrame, *, height: float = 0.0, scale: float = 1.0, inv
 def numbered(rows: DataFrame, *, key: str = "seq", total: Column | None = None) -> DataFrame:
     """Adds _k, the number of a row from 1 on in the order of ``key``, and _before, the sum of ``total`` (rows) over all rows before it.
 
-    Ranges of the key are summed first, then rows are numbered within, so no task sees all rows; the window over ranges has a row for each."""
-    rows = rows.withColumn("_size", F.lit(1).cast("long") if total is None else total.cast("long")).repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(key)
-    rows = rows.withColumn("_k", F.row_number().over(own)).withColumn("_before", F.coalesce(F.sum("_size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    Rows are put into ranges of the key and written once, with their range and their place in it, so all that follows reads the same ranges, whatever adaptive execution makes of a plan.
+    Ranges are then summed, and the sums, a row for each range, are broadcast: no task sees all rows, and rows are shuffled once."""
+    rows = rows.withColumn("_size", F.lit(1).cast("long") if total is None else total.cast("long")).repartitionByRange(key).sortWithinPartitions(key)
+    if total is not None:
+        rows = rows.mapInArrow(_running, T.StructType([*rows.schema, T.StructField("_run", T.LongType())]))
+    rows = settled(rows.withColumn("_at", F.monotonically_increasing_id()))  # the partition, and the place in it in the lower 33 bits
+    part, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
-    sums = sums.select("_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(a) for c, a in (("_n", "_base"), ("_sum", "_start"))))
-    return rows.join(sums, "_part").withColumns({"_k": F.col("_k") + F.col("_base"), "_before": F.col("_before") + F.col("_start")}).drop("_part", "_base", "_start", "_size")
+    sums = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
+    sums = settled(sums.select("_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(a) for c, a in (("_n", "_base"), ("_sum", "_start")))))
+    rows = rows.withColumns({"_part": part, "_k": own + 1, "_before": own if total is None else F.col("_run")}).join(F.broadcast(sums), "_part")
+    return rows.withColumns({"_k": F.col("_k") + F.col("_base"), "_before": F.col("_before") + F.col("_start")}).drop("_part", "_at", "_run", "_base", "_start", "_size")
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the sum of _size over the rows before, in the order in which a partition's rows come."""
+    so_far = 0
+    for batch in batches:
+        sizes = batch.column(batch.schema.get_field_index("_size")).to_numpy()
+        upto = so_far + np.cumsum(sizes)
+        so_far = int(upto[-1]) if len(upto) else so_far
+        yield batch.append_column("_run", pa.array(upto - sizes))
 
 
 def pair(code: int, value) -> Column:

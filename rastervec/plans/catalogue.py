@@ -371,26 +371,34 @@ def line_intersection(spark, sf):
     return rows.select("id", "i", F.round("q.x", 2).alias("x"), F.round("q.y", 2).alias("y"))
 
 
+def _vertices(rows: DataFrame, points) -> DataFrame:
+    """(id, i, x, y) of all points."""
+    return rows.select("id", F.posexplode(points).alias("i", "p")).select("id", "i", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
+_POINTS = "SELECT id, (i - 1)::INT AS i, round(k[i].x, 4) AS x, round(k[i].y, 4) AS y FROM (SELECT id, k, unnest(range(1, len(k) + 1)) AS i FROM (SELECT id, {k} AS k FROM ft))"
+
+
 @query(f"""WITH RECURSIVE {_PG.removeprefix('WITH ')}, cuts AS (SELECT id, p, 1::BIGINT AS lo, len(p)::BIGINT AS hi FROM pg
   UNION ALL SELECT id, p, unnest([lo, mid]) AS lo, unnest([mid, hi]) AS hi FROM (SELECT id, p, lo, hi, lo + list_position(d, list_max(d)) AS mid, list_max(d) AS most
     FROM (SELECT id, p, lo, hi, list_transform(range(lo + 1, hi), lambda i: {_segd('p[i]', 'p[lo]', 'p[hi]')}) AS d FROM cuts WHERE hi > lo + 1)) WHERE most > 40)
-SELECT id, (count(*) + 1)::INT AS n FROM (SELECT id, lo FROM cuts GROUP BY id, lo) GROUP BY id""")
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY m) - 1)::INT AS i, round(p[m].x, 4) AS x, round(p[m].y, 4) AS y FROM (SELECT DISTINCT id, lo AS m FROM cuts UNION SELECT id, len(p) FROM pg) JOIN pg USING (id)""")
 def rdp_simplify(spark, sf):
-    return A.polygons(spark, sf).select("id", F.size(simplified(F.col("points"), 40.0)).alias("n"))
-
-
-@query(f"{_FT} SELECT id, len(list_reduce(list_transform(p, lambda q: [q]), lambda k, q: CASE WHEN sqrt((q[1].x - k[-1].x)**2 + (q[1].y - k[-1].y)**2) >= 1 THEN list_concat(k, q) ELSE k END))::INT AS n FROM ft")
-def dedup_vertices(spark, sf):
-    return A.features(spark, sf).select("id", F.size(G.deduplicated(F.col("points"))).alias("n"))
+    return _vertices(A.polygons(spark, sf), simplified(F.col("points"), 40.0))
 
 
 _SLIM = "CASE WHEN len({p}) <= 2 THEN {p} ELSE list_append(list_reduce(list_prepend([{p}[1]], list_transform(range(2, len({p})), lambda i: [{p}[i], {p}[i + 1]])), lambda k, e: CASE WHEN " + _segd("e[1]", "k[-1]", "e[2]") + " > 1.2::DOUBLE THEN list_append(k, e[1]) ELSE k END), {p}[-1]) END"
 _THIN = "list_reduce(list_transform(p, lambda q: [q]), lambda k, q: CASE WHEN sqrt((q[1].x - k[-1].x)**2 + (q[1].y - k[-1].y)**2) >= 1 THEN list_concat(k, q) ELSE k END)"
 
 
-@query(f"{_FT} SELECT id, len({_SLIM.format(p='p')})::INT AS n FROM ft")
+@query(f"{_FT} {_POINTS.format(k=_THIN)}")
+def dedup_vertices(spark, sf):
+    return _vertices(A.features(spark, sf), G.deduplicated(F.col("points")))
+
+
+@query(f"{_FT} {_POINTS.format(k=_SLIM.format(p='p'))}")
 def merge_collinear(spark, sf):
-    return A.features(spark, sf).select("id", F.size(G.without_collinear(F.col("points"))).alias("n"))
+    return _vertices(A.features(spark, sf), G.without_collinear(F.col("points")))
 
 
 _INSIDE = "len(list_filter(range(1, len(p) + 1), lambda i: (p[i].y > {y}) != (p[i % len(p) + 1].y > {y}) AND {x} < (p[i % len(p) + 1].x - p[i].x) * ({y} - p[i].y) / (p[i % len(p) + 1].y - p[i].y) + p[i].x)) % 2 = 1"
@@ -593,9 +601,13 @@ def close_polygon(spark, sf):
     return A.features(spark, sf).select("id", (F.col("is_closed") | (F.size("points") >= 3)).alias("is_closed"))
 
 
-@query(f"{_FT} SELECT id, round({_AREA} * 0.0025::DOUBLE, 1) AS square_metres, (floor(confidence + 0.5::DOUBLE))::BIGINT AS confidence FROM ft")
+_LONG = "coalesce(list_sum(list_transform(range(1, len(p)), lambda i: sqrt((p[i].x - p[i + 1].x)**2 + (p[i].y - p[i + 1].y)**2))), 0) + CASE WHEN closed AND len(p) > 2 THEN sqrt((p[1].x - p[-1].x)**2 + (p[1].y - p[-1].y)**2) ELSE 0 END"
+
+
+@query(f"{_FT} SELECT id, round({_AREA} * 0.0025::DOUBLE, 1) AS square_metres, round(({_LONG}) * 0.05::DOUBLE, 1) AS metres, len(p)::INT AS vertices, (floor(confidence + 0.5::DOUBLE))::BIGINT AS confidence FROM ft")
 def display_metrics(spark, sf):
-    return A.features(spark, sf).select("id", F.round(G.area(F.col("points")) * 0.0025, 1).alias("square_metres"), F.floor(F.col("confidence") + 0.5).alias("confidence"))
+    shown = F.round(G.area(F.col("points")) * 0.0025, 1).alias("square_metres"), F.round(G.length(F.col("points"), F.col("is_closed")) * 0.05, 1).alias("metres")
+    return A.features(spark, sf).select("id", *shown, F.size("points").alias("vertices"), F.floor(F.col("confidence") + 0.5).alias("confidence"))
 
 
 @query(f"{_FT}, v AS (SELECT id, i::INT AS i, p[i].y AS y FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM ft)) SELECT id, i, {_FIX.format(v='y')} AS y FROM v")
@@ -615,16 +627,15 @@ def _moves(spark, sf):
     return A.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).cast("double").alias("dx"), F.lit(-2.5).alias("dy"))
 
 
-@query(f"{_FT}, s AS (SELECT id, p, CASE WHEN id % 3 = 0 THEN (o_custkey % 10)::DOUBLE ELSE 0 END AS dx, CASE WHEN id % 3 = 0 THEN -2.5::DOUBLE ELSE 0 END AS dy FROM ft JOIN orders ON o_orderkey = id) SELECT id, round(list_sum(list_transform(p, lambda q: q.x + dx)), 6) AS x, round(list_sum(list_transform(p, lambda q: q.y + dy)), 6) AS y FROM s")
+@query(f"{_FT}, s AS (SELECT id, p, CASE WHEN id % 3 = 0 THEN (o_custkey % 10)::DOUBLE ELSE 0 END AS dx, CASE WHEN id % 3 = 0 THEN -2.5::DOUBLE ELSE 0 END AS dy FROM ft JOIN orders ON o_orderkey = id) SELECT id, (i - 1)::INT AS i, round(p[i].x + dx, 4) AS x, round(p[i].y + dy, 4) AS y FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM s)")
 def move_feature(spark, sf):
-    total = lambda c: F.round(F.aggregate(F.transform("points", lambda p: p[c]), F.lit(0.0), lambda a, v: a + v), 6).alias(c)
-    return E.moved(A.features(spark, sf), _moves(spark, sf)).select("id", total("x"), total("y"))
+    return _vertices(E.moved(A.features(spark, sf), _moves(spark, sf)), F.col("points"))
 
 
-@query(f"{_FT} SELECT id, round(CASE WHEN id % 3 = 0 AND len(p) >= 2 THEN floor((o_custkey % 97 / 7) * 10 + 0.5::DOUBLE) / 10 ELSE p[2].x END, 4) AS x FROM ft JOIN orders ON o_orderkey = id WHERE len(p) >= 2")
+@query(f"{_FT} SELECT id, (i - 1)::INT AS i, round(CASE WHEN id % 3 = 0 AND i = 2 THEN floor((o_custkey % 97 / 7) * 10 + 0.5::DOUBLE) / 10 ELSE p[i].x END, 4) AS x, round(CASE WHEN id % 3 = 0 AND i = 2 THEN 1 ELSE p[i].y END, 4) AS y FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM ft JOIN orders ON o_orderkey = id WHERE len(p) >= 2)")
 def drag_vertex(spark, sf):
     drags = A.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("vertex"), (F.col("o_custkey") % 97 / 7).alias("x"), F.lit(1.0).alias("y"))
-    return E.dragged(A.features(spark, sf).where(F.size("points") >= 2), drags).select("id", F.round(F.get("points", F.lit(1))["x"], 4).alias("x"))
+    return _vertices(E.dragged(A.features(spark, sf).where(F.size("points") >= 2), drags), F.col("points"))
 
 
 @query(f"{_FT} SELECT id, {_fix('sqrt((p[1].x - p[-1].x)**2 + (p[1].y - p[-1].y)**2)', 1)} || ' px' AS pixels, {_fix('sqrt((p[1].x - p[-1].x)**2 + (p[1].y - p[-1].y)**2) * 0.05::DOUBLE', 2)} || ' m' AS metres FROM ft")
@@ -685,9 +696,11 @@ def scene_analysis(spark, sf):
     return report.select("image_id", "kind", "confidence", "metres_per_pixel", F.round("mean_saturation", 6).alias("mean_saturation"), F.round("density", 6).alias("density"))
 
 
-@query(f"{_PX} SELECT x, y, r, g, b FROM px")
+@query(f"""{_PX}, z AS (SELECT w, h, 64 AS nw, floor(h / w * 64 + 0.5::DOUBLE)::INT AS nh FROM (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM px)),
+i AS (SELECT k AS nx, floor((k + 0.5::DOUBLE) * w / nw)::INT AS x FROM z, range(64) t(k)), j AS (SELECT ny, floor((ny + 0.5::DOUBLE) * h / nh)::INT AS y FROM (SELECT h, nh, unnest(range(nh)) AS ny FROM z))
+SELECT nx::INT AS x, ny::INT AS y, r, g, b FROM px JOIN i USING (x) JOIN j USING (y)""")
 def analysis_sample(spark, sf):
-    return K.sampled(A.pixels(spark, sf)).select("x", "y", "r", "g", "b")
+    return K.sampled(A.pixels(spark, sf), width=64).select("x", "y", "r", "g", "b")
 
 
 # ---- whole documents ----
@@ -698,9 +711,14 @@ def drawing_extents(spark, sf):
     return X.extents(A.features(spark, sf), height=1000.0, invert_y=True)
 
 
-@query(f"{_FT} SELECT count(DISTINCT layer)::BIGINT + (SELECT count(*) FROM ly WHERE name NOT IN (SELECT layer FROM ft)) AS n FROM ft")
+_RECORDS = """every AS (SELECT name, aci, lineweight, linetype, row_number() OVER () AS d, 0 AS met FROM ly UNION ALL SELECT layer, 7, 0.25::DOUBLE, 'CONTINUOUS', 1000000, min(seq) FROM ft WHERE layer NOT IN (SELECT name FROM ly) GROUP BY layer),
+placed AS (SELECT *, row_number() OVER (ORDER BY d, met, name) AS k FROM every)"""
+_RECORD = lambda first: _codes((0, "'LAYER'"), (5, f"printf('%X', {first - 1} + k)"), (330, "'24'"), (100, "'AcDbSymbolTableRecord'"), (100, "'AcDbLayerTableRecord'"), (2, "name"), (70, "'0'"), (62, "aci"), (6, "linetype"), (370, "floor(lineweight * 100 + 0.5::DOUBLE)::INT"))
+
+
+@query(f"{_FT}, {_RECORDS} SELECT count(*)::BIGINT AS n, string_agg({_RECORD(0x32)}, '' ORDER BY k) AS records FROM placed")
 def drawing_layers(spark, sf):
-    return D.layer_records(A.features(spark, sf), layers(spark), owner="24", first_handle=0x32).select("n")
+    return D.layer_records(A.features(spark, sf), layers(spark), owner="24", first_handle=0x32).withColumnRenamed("_layers", "records")
 
 
 @query()
@@ -714,17 +732,17 @@ def document_geojson(spark, sf):
     return D.geojson_document(A.features(spark, sf))
 
 
-_LAYERS = f"(VALUES {', '.join(f"('{n}', '{c}', {w}::DOUBLE)" for n, c, _, w, _ in LAYERS)}) ly(name, color, lineweight)"
+_LAYERS = f"(VALUES {', '.join(f"({k}, '{n}', '{c}', {w}::DOUBLE)" for k, (n, c, _, w, _) in enumerate(LAYERS, 1))}) ly(k, name, color, lineweight)"
 
 
-@query(f"""SELECT 0 AS part, 0::BIGINT AS seq, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<kml xmlns="http://www.opengis.net/kml/2.2">' || chr(10) || '<Document><name>plan</name>' || chr(10) || string_agg(style, chr(10) ORDER BY style) AS text
-  FROM (SELECT '<Style id="style_' || name || '"><LineStyle><color>ff' || bgr || '</color><width>' || greatest(1, floor(lineweight * 5 + 0.5::DOUBLE)::INT) || '</width></LineStyle><PolyStyle><color>66' || bgr || '</color></PolyStyle></Style>' AS style FROM (SELECT *, color[6:7] || color[4:5] || color[2:3] AS bgr FROM {_LAYERS}))
+@query(f"""SELECT 0 AS part, 0::BIGINT AS seq, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<kml xmlns="http://www.opengis.net/kml/2.2">' || chr(10) || '<Document><name>plan</name>' || chr(10) || string_agg(style, chr(10) ORDER BY k) AS text
+  FROM (SELECT k, '<Style id="style_' || name || '"><LineStyle><color>ff' || bgr || '</color><width>' || greatest(1, floor(lineweight * 5 + 0.5::DOUBLE)::INT) || '</width></LineStyle><PolyStyle><color>66' || bgr || '</color></PolyStyle></Style>' AS style FROM (SELECT *, color[6:7] || color[4:5] || color[2:3] AS bgr FROM {_LAYERS}))
 UNION ALL SELECT 2, 0, '</Document>' || chr(10) || '</kml>' UNION ALL SELECT 1, seq, kml FROM ({ORACLES['export_kml']})""")
 def document_kml(spark, sf):
     return D.kml_document(A.features(spark, sf), layers(spark))
 
 
-@query(f"""WITH parts AS ({ORACLES['export_svg']}), ranks AS (SELECT name AS layer, dense_rank() OVER (ORDER BY name) AS r FROM {_LAYERS}), used AS (SELECT DISTINCT layer, r FROM parts JOIN ranks USING (layer))
+@query(f"""WITH parts AS ({ORACLES['export_svg']}), ranks AS (SELECT name AS layer, k AS r FROM {_LAYERS}), used AS (SELECT DISTINCT layer, r FROM parts JOIN ranks USING (layer))
 SELECT 0 AS part, 0::BIGINT AS seq, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<svg xmlns="http://www.w3.org/2000/svg" version="1.1" width="1000" height="800" viewBox="0 0 1000 800">' || chr(10) || '<rect width="100%" height="100%" fill="#0F172A"/>' AS text
 UNION ALL SELECT (3 * r + 1)::INT, 0, '<g id="layer_' || layer || '">' FROM used UNION ALL SELECT (3 * r + 2)::INT, seq, svg FROM parts JOIN ranks USING (layer) UNION ALL SELECT (3 * r + 3)::INT, 0, '</g>' FROM used UNION ALL SELECT 2147483647, 0, '</svg>'""")
 def document_svg(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 POINT = "struct<x:double,y:double>"
 FEATURE = f"image_id string, seq long, id string, layer string, geometry_type string, is_closed boolean, points array<{POINT}>, center {POINT}, radius double, start_angle double, end_angle double, text string, text_height double, confidence double, classification string, source string, area double, length double, attributes map<string,string>"
-LAYER = "name string, color string, aci int, lineweight double, linetype string, visible boolean, locked boolean"
+LAYER = "name string, color string, aci int, lineweight double, linetype string, visible boolean, locked boolean, order int"
 
 #: The layers of a drawing with colour, colour index, line weight and line type.
 LAYERS = [
@@ -36,7 +36,7 @@ LAYERS = [
 
 def layers(spark: SparkSession) -> DataFrame:
     """The layer dimension; 19 rows, so a broadcast of it is bounded."""
-    return spark.createDataFrame([(*row, True, False) for row in LAYERS], LAYER)
+    return spark.createDataFrame([(*row, True, False, k) for k, row in enumerate(LAYERS)], LAYER)
 
 
 @dataclass(frozen=True)

@@ -1,5 +1,6 @@
 """Whole documents: drawings by their codes, shapefiles byte by byte, the others by a parser of their format."""
 
+import hashlib
 import io
 import json
 import struct
@@ -13,6 +14,7 @@ from test_operators import feature
 
 from rastervec.functions.numeric import fixed_text, fixed_texts
 from rastervec.operators import documents as D
+from rastervec.operators import export as X
 from rastervec.operators import features as O
 from rastervec.schema import FEATURE, layers
 
@@ -104,11 +106,66 @@ def test_shapefiles(drawing):
     assert D.shapefile(drawing.where("false"), "lines").count() == 0
 
 
-def test_archive_holds_the_files(drawing):
-    parts = D.shapefiles(drawing)
-    with zipfile.ZipFile(io.BytesIO(bytes(D.archive(parts).first()["archive"]))) as z:
-        assert z.testzip() is None and len(z.namelist()) == 12
-        assert struct.unpack_from(">i", z.read("lines.shp"))[0] == 9994
+def unzipped(rows):
+    data = b"".join(bytes(r["bytes"]) for r in rows.orderBy("member", "seq").collect())
+    return zipfile.ZipFile(io.BytesIO(data))
+
+
+def test_archive_holds_the_files(spark, drawing):
+    files = {}
+    for r in D.shapefiles(drawing, today=date(2024, 3, 9)).orderBy("file", "part", "seq").collect():
+        files[r["file"]] = files.get(r["file"], b"") + bytes(r["bytes"])
+    with unzipped(D.shapefile_archive(drawing, today=date(2024, 3, 9))) as z:
+        assert z.testzip() is None and z.namelist() == D.MEMBERS
+        assert {n: z.read(n) for n in z.namelist()[:-1]} == files and b"Local Metric Grid" in z.read("README_GIS.txt")
+    with unzipped(D.shapefile_archive(drawing.where("is_closed"), affine=[1.0, 0.0, 5.0, 0.0, -1.0, 7.0])) as z:
+        assert b"EPSG:4326" in z.read("README_GIS.txt") and "lines.shp" not in z.namelist()
+
+
+def test_archive_is_packed_in_parts_by_many_tasks(spark, monkeypatch):
+    from rastervec.operators import archive as R
+
+    monkeypatch.setattr(R, "PART", 1 << 12)
+    rows = spark.range(60_000).select(F.concat(F.lit("f"), F.col("id") % 3).alias("file"), F.lit(1).alias("part"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("bytes"))
+    rows = rows.unionByName(spark.createDataFrame([("empty", 0, 0, None), ("f1", 2, 0, None)], rows.schema)).repartition(7)
+    with unzipped(D.archive(rows, order=["f2"])) as z:
+        assert z.testzip() is None and z.namelist() == ["f2", "empty", "f0", "f1"] and z.read("empty") == b""
+        for k in range(3):
+            assert z.read(f"f{k}") == b"".join(hashlib.sha256(str(i).encode()).hexdigest().encode() for i in range(k, 60_000, 3))
+    with unzipped(D.archive(rows.where("false"))) as z:
+        assert z.namelist() == []
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_and_offsets_of_many_rows(spark, adaptive):
+    """All columns are read, with several ranges: handles rise with seq without a gap, offsets are running lengths."""
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 120_000
+        at = lambda i: F.array(*(F.struct((F.col("id") * k).cast("double").alias("x"), F.lit(1.0 * k).alias("y")) for k in range(i)))
+        rows = spark.range(n).select(F.col("id").cast("string").alias("id"), (F.col("id") * 7919 % n).alias("seq"), F.lit("L").alias("layer"), F.lit(False).alias("is_closed"), F.lit("LWPOLYLINE").alias("geometry_type"), F.when(F.col("id") % 2 == 0, at(2)).otherwise(at(5)).alias("points")).repartition(9)
+        found = X.dxf_entities(rows).select("seq", F.regexp_extract("entity", "^0\r\n[A-Z]+\r\n5\r\n([0-9A-F]+)", 1).alias("h"), F.md5("entity")).collect()
+        assert [int(r["h"], 16) - 0x28 for r in sorted(found, key=lambda r: r["seq"])] == list(range(n))
+        parts = D.shapefile(rows, "lines").where("part = 1 and file <> 'lines.dbf'").select("file", "seq", F.length("bytes").alias("n"), F.substring("bytes", 1, 4).alias("first")).collect()
+        shp, shx = ([r for r in sorted(parts, key=lambda r: r["seq"]) if r["file"] == f"lines.{e}"] for e in ("shp", "shx"))
+        assert [struct.unpack(">i", r["first"])[0] for r in shp] == list(range(1, n + 1))
+        offset = 100
+        for a, b in zip(shp, shx, strict=True):
+            assert 2 * struct.unpack(">i", b["first"])[0] == offset
+            offset += a["n"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_layers_stand_in_their_order(spark, drawing):
+    names = [r["name"] for r in layers(spark).orderBy("order").collect()]
+    text = joined(D.dxf_document(drawing, layers(spark)), "")
+    assert [record.split("\r\n")[0] for record in text.split("AcDbLayerTableRecord\r\n2\r\n")[2:]][:19] == names
+    styles = joined(D.kml_document(drawing, layers(spark)))
+    assert sorted(names, key=lambda n: styles.index(f'"style_{n}"')) == names
+    every = spark.createDataFrame([(str(i), i, n, False, "LINE", [(0.0, 0.0), (1.0, 1.0)]) for i, n in enumerate(reversed(names))], "id string, seq long, layer string, is_closed boolean, geometry_type string, points array<struct<x:double,y:double>>")
+    svg = joined(D.svg_document(every, layers(spark), width=9, height=9))
+    assert sorted(names, key=lambda n: svg.index(f'"layer_{n}"')) == names
 
 
 def test_geojson_document(drawing):
