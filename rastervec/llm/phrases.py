@@ -20,7 +20,7 @@ _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 #: Bytes of the texts of a shard (a longer text is one alone), positions of a block of a bitmap, and ANDs that are done at once.
-SHARD_BYTES, BLOCK, AT_ONCE = 3 << 20, 16, 1 << 18
+SHARD_BYTES, BLOCK, AT_ONCE = 2 << 20, 16, 1 << 17
 #: Bits of the filter of frequent pairs (8 MB at every size of input): it lets all of them pass, and of the others fewer as long as it is not full.
 FILTER_BITS, FILTER_PART = 1 << 26, 1 << 15
 
@@ -141,13 +141,15 @@ def _filter(pairs: DataFrame, bits: int) -> np.ndarray:
 
 
 def _counted(docs: DataFrame, emit: Callable[[Shard], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """(lang, phrase, n): what ``emit`` gives for each shard of ``docs`` (text, lang), summed."""
+    """(lang, phrase, n): what ``emit`` gives for each shard of ``docs`` (text, lang), summed.
+
+    A shard has summed its own rows; most are the only ones of their phrase in a task, so they are summed again only after they have met."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SHARD_BYTES):
             yield from emit(Shard(texts_of(part, "text"), texts_of(part, "lang")))
 
-    return mapped(docs, rows, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return mapped(docs, rows, "lang string, phrase string, n long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", most_words: int = 3, least: int = 10, filter_bits: int = FILTER_BITS) -> DataFrame:
