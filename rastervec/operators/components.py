@@ -1,6 +1,6 @@
-"""Iterative operators on the relation of foreground pixels (image_id, x, y): components, chamfer distances, thinning.
+"""Operators on the relation of foreground pixels (image_id, x, y) whose reach has no bound: components, chamfer distances, thinning.
 
-Every round is written to the checkpoint folder, so a lost executor costs one round and plans stay short.
+Tiles do what can be done within them; every exchange between tiles is written to the checkpoint folder, so a lost executor costs one round and plans stay short.
 """
 
 from __future__ import annotations
@@ -8,9 +8,13 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastervec.operators import tiles as T
+
 AROUND = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
 
 
@@ -29,21 +33,43 @@ def _neighbours(offsets) -> F.Column:
     return F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(i).alias("k")) for i, (dx, dy) in enumerate(offsets))))
 
 
-def components(mask: DataFrame, *, diagonal: bool = True) -> DataFrame:
-    """(image_id, x, y, label) of all foreground pixels; label is the least y * 2^32 + x of the component.
+#: Rows of a table that is broadcast at most; a larger one is joined by a shuffle.
+MOST_BROADCAST = 1 << 19
 
-    Runs of a row are merged first; touching runs are then joined by alternating large and small stars, which takes a logarithmic number of rounds."""
-    from pyspark.sql import Window
 
-    row = Window.partitionBy("image_id", "y").orderBy("x")
-    runs = mask.select("image_id", "x", "y").distinct().withColumn("_run", F.col("x") - F.row_number().over(row))
-    pixels = settled(runs.withColumn("run", F.shiftleft(F.col("y").cast("long"), 32) + F.min("x").over(Window.partitionBy("image_id", "y", "_run"))).drop("_run"))
-    reach = [(d, 1) for d in ((-1, 0, 1) if diagonal else (0,))]
-    above = pixels.select("image_id", F.col("run").alias("v"), _neighbours(reach).alias("n")).select("image_id", "v", "n.x", "n.y")
-    links = pixels.join(above, ["image_id", "x", "y"]).select("image_id", F.col("run").alias("u"), "v").distinct()
-    roots = stars(links)
-    named = pixels.join(roots, (pixels["image_id"] == roots["r_image"]) & (pixels["run"] == roots["node"]), "left")
-    return named.select("image_id", "x", "y", F.coalesce("root", "run").alias("label"))
+def small(table: DataFrame) -> DataFrame:
+    """A stored table for the small side of a join: broadcast behind a count of its rows."""
+    return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
+
+
+def components(mask: DataFrame, *, diagonal: bool = True, size: int = T.SIZE) -> DataFrame:
+    """(image_id, x, y, label) of all foreground pixels; label is the least y * 2^32 + x of the component.
+
+    Components are found within tiles by merging the runs of neighbouring rows. Pixels on a tile's border then meet those across it, and alternating large and small
+    stars join the labels that touch, in a logarithmic number of rounds: what is shuffled there grows with the borders, not with the pixels."""
+    image = mask.schema["image_id"].dataType.simpleString()
+    rows = mask.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), T.tile_of(F.col("x"), size).alias("_tx"), T.tile_of(F.col("y"), size).alias("_ty"))
+
+    def label(table: pa.Table) -> pa.Table:
+        x0, y0 = table["_tx"][0].as_py() * size, table["_ty"][0].as_py() * size
+        inside = np.zeros((size, size), bool)
+        inside[table["y"].to_numpy() - y0, table["x"].to_numpy() - x0] = True
+        row, first, last, root = T.labelled_runs(inside, diagonal)
+        many = last - first + 1
+        x = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many) + x0
+        names = ((row[root].astype(np.int64) + y0) << 32) + first[root] + x0
+        return pa.table({"image_id": pa.repeat(table["image_id"][0], len(x)), "x": pa.array(x.astype(np.int32)), "y": pa.array(np.repeat(row + y0, many).astype(np.int32)), "label": pa.array(np.repeat(names, many))})
+
+    named = settled(rows.groupBy("image_id", "_tx", "_ty").applyInArrow(label, f"image_id {image}, x int, y int, label long"))
+    border = named.where(F.pmod("x", F.lit(size)).isin(0, size - 1) | F.pmod("y", F.lit(size)).isin(0, size - 1))
+    side = range(-1, 2) if diagonal else (0,)
+    none = F.array().cast("array<struct<dx:int,dy:int>>")
+    steps = lambda c, offsets: F.when(F.pmod(c, F.lit(size)) == size - 1, F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets))).otherwise(none)
+    over = F.concat(steps("x", [(1, d) for d in side]), steps("y", [(d, 1) for d in side]))
+    asks = border.select("image_id", "x", "y", F.col("label").alias("v"), F.explode(over).alias("d")).select("image_id", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "v")
+    roots = settled(stars(border.join(asks, ["image_id", "x", "y"]).select("image_id", F.col("label").alias("u"), "v").distinct()))
+    found = named.join(small(roots), (named["image_id"] == roots["r_image"]) & (named["label"] == roots["node"]), "left")
+    return found.select("image_id", "x", "y", F.coalesce("root", "label").alias("label"))
 
 
 def stars(links: DataFrame) -> DataFrame:
@@ -73,8 +99,6 @@ def summarised(labelled: DataFrame, *, least: Column | int = 1, most: int | None
     """Per component: n pixels and bounds; of at least ``least`` pixels, and the first ``most`` of an image in raster order of their first pixel; with ``number`` also k, from 1 on.
 
     With the ``sizes`` of the images, components are found from inner pixels: one on the border alone is none, and the first inner pixel sets the order."""
-    from pyspark.sql import Window
-
     rows, inner = labelled, F.lit(True)
     if sizes is not None:
         rows, inner = labelled.join(sizes, "image_id"), (F.col("x") > 0) & (F.col("y") > 0) & (F.col("x") < F.col("_w")) & (F.col("y") < F.col("_h"))
@@ -86,41 +110,48 @@ def summarised(labelled: DataFrame, *, least: Column | int = 1, most: int | None
     return out.drop("_first") if number else out.drop("_first", "k")
 
 
-def chamfer(mask: DataFrame, *, straight: float = 1.0, diagonal: float = 1.414) -> DataFrame:
+def chamfer(mask: DataFrame, *, straight: float = 1.0, diagonal: float = 1.414, columns: int = 64) -> DataFrame:
     """(image_id, x, y, d): steps of 1 and 1.414 from each foreground pixel to the next background pixel.
 
-    Only the front moves: in each round the pixels whose distance fell offer theirs to their neighbours, until none falls."""
-    fore = settled(mask.select("image_id", "x", "y").distinct())
-    cost = F.element_at(F.array(*(F.lit(diagonal if dx and dy else straight) for dx, dy in AROUND)), F.col("n.k") + 1)
-    rim = fore.select("image_id", _neighbours(AROUND).alias("n"), "x", "y").select("image_id", F.col("n.x").alias("x"), F.col("n.y").alias("y"), F.col("x").alias("fx"), F.col("y").alias("fy"), cost.alias("c"))
-    outside = rim.join(fore, ["image_id", "x", "y"], "left_anti")
-    state = settled(fore.join(outside.groupBy("image_id", F.col("fx").alias("x"), F.col("fy").alias("y")).agg(F.min("c").alias("d")), ["image_id", "x", "y"], "left").withColumn("fresh", F.col("d").isNotNull()))
-    while state.where("fresh").limit(1).count():
-        offers = state.where("fresh").select("image_id", "d", _neighbours(AROUND).alias("n")).select("image_id", F.col("n.x").alias("x"), F.col("n.y").alias("y"), (F.col("d") + cost).alias("o"))
-        best = offers.groupBy("image_id", "x", "y").agg(F.min("o").alias("o"))
-        state = settled(state.join(best, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.least("d", "o").alias("d"), (F.col("o").isNotNull() & (F.col("d").isNull() | (F.col("o") < F.col("d") - 1e-9))).alias("fresh")))
-    return state.select("image_id", "x", "y", F.col("d").cast("float").alias("d"))
+    Of the background pixels of a row the next one is nearest, from whatever row one looks. So distances within rows are found first, from the ends of runs, and then, in bands of
+    ``columns`` columns, the least of what the rows above and below offer. Two shuffles, however far the distances; a task holds a row's runs, then a band of columns."""
+    image = mask.schema["image_id"].dataType.simpleString()
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    runs = mask.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct().withColumn("_run", F.col("x") - F.row_number().over(row))
+    run = Window.partitionBy("image_id", "y", "_run")
+    beside = F.least(F.col("x") - F.min("x").over(run), F.max("x").over(run) - F.col("x")) + 1
+    rows = runs.select("image_id", "x", "y", beside.cast("int").alias("beside"), T.tile_of(F.col("x"), columns).alias("_tx"))
+
+    def work(table: pa.Table) -> pa.Table:
+        x, y = table["x"].to_numpy(), table["y"].to_numpy()
+        x0, y0 = int(x.min()), int(y.min()) - 1
+        near = np.zeros((int(y.max()) - y0 + 2, int(x.max()) - x0 + 1))
+        near[y - y0, x - x0] = table["beside"].to_numpy()
+        best, k = near * straight, 0
+        while (k := k + 1) * straight < best.max():
+            for a, b in ((np.s_[k:], np.s_[:-k]), (np.s_[:-k], np.s_[k:])):
+                short, long = np.minimum(near[b], k), np.maximum(near[b], k)
+                best[a] = np.minimum(best[a], diagonal * short + straight * (long - short))
+        return pa.table({"image_id": table["image_id"], "x": table["x"], "y": table["y"], "d": pa.array(best[y - y0, x - x0].astype(np.float32))})
+
+    return rows.groupBy("image_id", "_tx").applyInArrow(work, f"image_id {image}, x int, y int, d float")
+
+
+#: Iterations of thinning between two exchanges of margins.
+THIN_AT_ONCE = 8
 
 
-def thinned(mask: DataFrame, *, width: int, height: int, most: int = 60) -> DataFrame:
+def thinned(mask: DataFrame, *, width: int, height: int, most: int = 60, size: int = T.SIZE) -> DataFrame:
     """The skeleton by Zhang and Suen's two sub-iterations on inner pixels, at most ``most`` times.
 
-    A foreground pixel sends itself to its neighbours; what a pixel receives is its neighbourhood as bits. One shuffle for each sub-iteration."""
-    ring = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]  # p2 to p9, clockwise from above
-    fore = settled(mask.select("image_id", "x", "y").distinct())
-    bit = lambda k: F.col("bits").bitwiseAND(1 << k) > 0
-    for _ in range(most):
-        before = fore.count()
-        for first in (True, False):
-            sent = fore.select("image_id", _neighbours([(-dx, -dy) for dx, dy in ring]).alias("n")).select("image_id", "n.*")
-            got = sent.select("image_id", "x", "y", F.shiftleft(F.lit(1), 0).alias("one"), "k").groupBy("image_id", "x", "y").agg(F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("bits"))
-            rows = fore.join(got, ["image_id", "x", "y"], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
-            turns = sum(((~bit(k)) & bit((k + 1) % 8)).cast("int") for k in range(8))
-            p2, p4, p6, p8 = bit(0), bit(2), bit(4), bit(6)
-            gone = (p2 & p4 & p6) | (p4 & p6 & p8) if first else (p2 & p4 & p8) | (p2 & p6 & p8)
-            inner = (F.col("x") > 0) & (F.col("y") > 0) & (F.col("x") < width - 1) & (F.col("y") < height - 1)
-            drop = inner & F.bit_count("bits").between(2, 6) & (turns == 1) & ~gone
-            fore = settled(rows.where(~drop).select("image_id", "x", "y"))
-        if fore.count() == before:
+    An iteration looks two pixels far, so tiles with a margin do several before they exchange what is left; that goes on until nothing changes."""
+    fore = settled(mask.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct())
+    left = fore.count()
+    for done in range(0, most, THIN_AT_ONCE):
+        times = min(THIN_AT_ONCE, most - done)
+        kernel = lambda present, _, x0, y0, n=times: (T.thinning(present, x0, y0, width=width, height=height, times=n), {})
+        fore = settled(T.on_tiles(fore, {}, kernel, margin=2 * times, size=size))
+        before, left = left, fore.count()
+        if left == before:
             break
     return fore

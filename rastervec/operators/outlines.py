@@ -1,63 +1,63 @@
 """Outlines and centre lines of components, as ordered points.
 
-An outline is a walk: a pixel, with the direction in which it was left behind, has one successor. All successors are found at once,
-and the walk from each component's first pixel is then unrolled by jumps of doubling length: twelve rounds of joins for 3000 steps,
-for all components of all images together.
+Walks depend on all steps before, so a component is walked in one task, and components are spread over tasks. What a task holds is a component as runs, or its skeleton; a walk has 3000 steps at most.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastervec.operators.components import settled
-
 #: Directions clockwise from above, and the order in which a centre line looks for its next pixel.
 CLOCKWISE = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]
 FORWARD = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
 MOST_STEPS = 3000
 
 
-def _moves(offsets) -> F.Column:
-    return F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(k).alias("k")) for k, (dx, dy) in enumerate(offsets))))
-
-
-def _rim(labelled: DataFrame) -> DataFrame:
-    """Pixels with a neighbour outside their component, and which of the eight neighbours are inside, as bits; lone pixels have no bit."""
-    told = labelled.select("image_id", "label", _moves([(-dx, -dy) for dx, dy in CLOCKWISE]).alias("n")).select("image_id", "label", "n.*")
-    bits = told.groupBy("image_id", "label", "x", "y").agg(F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("bits"))
-    return labelled.select("image_id", "label", "x", "y").join(bits, ["image_id", "label", "x", "y"], "left").withColumn("bits", F.coalesce("bits", F.lit(0))).where("bits < 255")
+def _traced(row: np.ndarray, first: np.ndarray, last: np.ndarray, width: int | None, most_steps: int, every: int) -> list[tuple[int, int]]:
+    """The walk around one component, given as runs. With ``width`` places are y * width + x, as in an image's buffer: what is left of a row is the end of the one above."""
+    pitch = width if width is not None else int(last.max()) + 3
+    inside = {i for y, a, b in zip(row.tolist(), first.tolist(), last.tolist()) for i in range(y * pitch + a, y * pitch + b + 1)}
+    k = int(np.lexsort((first, row))[0])
+    start = at = (int(first[k]), int(row[k]))
+    path, back = [start], 6
+    for step in range(1, most_steps + 1):
+        for d in (back + 1, back + 2, back + 3, back + 4, back + 5, back + 6, back + 7, back + 8):
+            dx, dy = CLOCKWISE[d % 8]
+            if (at[1] + dy) * pitch + at[0] + dx in inside:
+                at, back = (at[0] + dx, at[1] + dy), (d + 4) % 8
+                break
+        else:
+            break
+        if at == start:
+            break
+        if step % every == 0:
+            path.append(at)
+    return path
 
 
-def outlines(labelled: DataFrame, *, most_steps: int = MOST_STEPS, every: int = 2) -> DataFrame:
+def outlines(labelled: DataFrame, *, most_steps: int = MOST_STEPS, every: int = 2, widths: DataFrame | None = None) -> DataFrame:
     """(image_id, label, points) from (image_id, label, x, y): each component's boundary, clockwise from its first pixel in raster order.
 
-    Every second step gives a point; the walk ends when it comes back to its first pixel, which isn't repeated, or after ``most_steps``.
-    A component of one pixel has one point. An empty relation gives no row; a row of an outline holds at most most_steps / every + 1 points.
-    """
-    key = ["image_id", "label"]
-    rim = settled(_rim(labelled))
-    first = rim.groupBy(*key).agg(F.min(F.struct("y", "x")).alias("f")).select(*key, F.col("f.x").alias("fx"), F.col("f.y").alias("fy"))
-    turn = lambda k: F.struct(F.lit(CLOCKWISE[k][0]).alias("dx"), F.lit(CLOCKWISE[k][1]).alias("dy"), F.lit((k + 4) % 8).alias("b"))
-    step = lambda back: F.coalesce(*(F.when(F.col("bits").bitwiseAND(1 << k) > 0, turn(k)) for k in ((back + 1 + i) % 8 for i in range(8))))
-    states = rim.select(*key, "x", "y", F.explode(F.array(*(F.struct(F.lit(b).alias("b"), step(b).alias("t")) for b in range(8)))).alias("s"))
-    at = lambda x, y, b: (F.shiftleft(y.cast("long"), 32) + F.shiftleft(x.cast("long"), 3) + b).alias
-    nx, ny = F.col("x") + F.col("s.t.dx"), F.col("y") + F.col("s.t.dy")
-    jumps = states.where("s.t is not null").join(first, key).where((nx != F.col("fx")) | (ny != F.col("fy")))
-    jumps = settled(jumps.select(*key, at(F.col("x"), F.col("y"), F.col("s.b"))("here"), at(nx, ny, F.col("s.t.b"))("there")))
-    walk, n = settled(first.select(*key, at(F.col("fx"), F.col("fy"), F.lit(6))("here"), F.lit(0).alias("pos"))), 1
-    while n <= most_steps:
-        on = walk.join(jumps, [*key, "here"]).select(*key, F.col("there").alias("here"), (F.col("pos") + n).alias("pos")).where(F.col("pos") <= most_steps)
-        grown = settled(walk.unionByName(on))
-        if not grown.where(F.col("pos") >= n).limit(1).count():
-            break
-        walk, n = grown, 2 * n
-        second = jumps.select(*key, F.col("here").alias("there"), F.col("there").alias("_t"))
-        jumps = settled(jumps.join(second, [*key, "there"]).select(*key, "here", F.col("_t").alias("there")))
-    point = F.struct("pos", F.shiftright(F.col("here").bitwiseAND((1 << 32) - 1), 3).cast("double").alias("x"), F.shiftright("here", 32).cast("double").alias("y"))
-    rows = walk.where(F.col("pos") % every == 0).groupBy(*key).agg(F.sort_array(F.collect_list(point)).alias("p"))
-    return rows.select(*key, F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    Every second step gives a point; the walk ends when it comes back to its first pixel, which isn't repeated, or after ``most_steps``. A component of one pixel has one point. An empty relation gives no row.
+    With ``widths`` (image_id, width) the walk looks for neighbours by their place in the image's buffer: a component on both sides of an image is left at one and entered again at the other, a row off.
+    A component comes to its task as the runs of its rows."""
+    image, name = (labelled.schema[c].dataType.simpleString() for c in ("image_id", "label"))
+    row = Window.partitionBy("image_id", "label", "y").orderBy("x")
+    runs = labelled.select("image_id", "label", "x", "y").distinct().withColumn("_run", F.col("x") - F.row_number().over(row))
+    runs = runs.groupBy("image_id", "label", "y", "_run").agg(F.min("x").alias("first"), F.max("x").alias("last")).drop("_run")
+    runs = runs.withColumn("width", F.lit(None).cast("int")) if widths is None else runs.join(widths.select("image_id", F.col("width").cast("int").alias("width")), "image_id", "left")
+
+    def walk(table: pa.Table) -> pa.Table:
+        width = table["width"][0].as_py()
+        path = _traced(*(table[c].to_numpy() for c in ("y", "first", "last")), width, most_steps, every)
+        points = [[{"x": float(x), "y": float(y)} for x, y in path]]
+        return pa.table({"image_id": table["image_id"][:1], "label": table["label"][:1], "points": pa.array(points, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))})
+
+    return runs.groupBy("image_id", "label").applyInArrow(walk, f"image_id {image}, label {name}, points array<struct<x:double,y:double>>")
 
 
 def _walked(rows: pd.DataFrame) -> list[dict[str, float]]:

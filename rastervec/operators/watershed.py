@@ -1,12 +1,13 @@
-"""Marker-controlled watershed as rounds of joins.
+"""Marker-controlled watershed.
 
-Peaks of the distance map are markers. The flood leaves them level by level; a pixel's place in the queue depends on places alone, not on labels.
-So places are found first, a round for each level. Then every pixel points to the first of its neighbours that was there before it,
-and pointers are followed, twice as far in each round, to the marker whose label they carry.
+Peaks of the distance map are markers; a queue floods the foreground from them. What the queue does in one component of the foreground does not depend on the
+others, so components are flooded by many tasks at once, and what a task holds is bounded by a component.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,37 +36,46 @@ def markers(plane: DataFrame, *, ratio: float = 0.35, least: float = 3.0) -> Dat
     return spread.join(plane, PIXEL).join(limit, "image_id").where(F.col("d") >= F.col("_limit")).select(*PIXEL, "label")
 
 
+def _flood(x: np.ndarray, y: np.ndarray, cost: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Labels after the flood of one component: markers (label > 0) flood what has a cost; 0 is what they don't reach."""
+    x0, y0, w = int(x.min()) - 1, int(y.min()) - 1, int(x.max() - x.min()) + 3
+    at = ((y - y0) * w + x - x0).tolist()
+    area = w * (int(y.max()) - y0 + 2)
+    of, price = [None] * area, [0.0] * area  # None: not foreground, 0: free, -1: in the queue
+    for i, c, n in zip(at, cost.tolist(), label.tolist()):
+        of[i], price[i] = n, c
+    sides, around = [dy * w + dx for dx, dy in SIDES], [dy * w + dx for dx, dy in AROUND]
+    queue = []
+    for i in sorted(i for i, n in zip(at, label.tolist()) if n > 0):
+        for step in sides:
+            if of[i + step] == 0:
+                of[i + step] = -1
+                queue.append(i + step)
+    queue.sort(key=price.__getitem__)  # ties stay in the order in which they were met
+    for i in queue:  # grows while it is read
+        of[i] = next(n for step in around if (n := of[i + step]) is not None and n > 0)
+        for step in sides:
+            if of[i + step] == 0:
+                of[i + step] = -1
+                queue.append(i + step)
+    return np.array([of[i] for i in at], np.int32)
+
+
 def flooded(fore: DataFrame, marked: DataFrame) -> DataFrame:
     """(image_id, x, y, label): markers and what they flood of the foreground (image_id, x, y, cost).
 
-    The queue starts with the markers' side neighbours by rising cost, ties in the order in which they were met; from then on first come, first served.
-    Foreground that no marker reaches gets no row."""
-    marked = settled(marked)
-    left = settled(fore.join(marked, PIXEL, "left_anti"))
-    place = F.row_number().over(Window.partitionBy("image_id").orderBy("_by"))
-    met = marked.select("image_id", F.struct("y", "x").alias("_from"), _moves(SIDES).alias("n")).select("image_id", "n.x", "n.y", F.struct("_from", "n.k").alias("_first"))
-    front = left.join(met.groupBy(*PIXEL).agg(F.min("_first").alias("_first")), PIXEL).withColumn("_by", F.struct("cost", "_first"))
-    front, level, queue = settled(front.select(*PIXEL, F.lit(0).alias("level"), place.alias("pos"))), 0, None
-    while front.limit(1).count():
-        queue, level = front if queue is None else queue.unionByName(front), level + 1
-        left = settled(left.join(front, PIXEL, "left_anti"))
-        met = front.select("image_id", "pos", _moves(SIDES).alias("n")).select("image_id", "n.x", "n.y", F.struct("pos", "n.k").alias("_first"))
-        front = left.join(met.groupBy(*PIXEL).agg(F.min("_first").alias("_by")), PIXEL)
-        front = settled(front.select(*PIXEL, F.lit(level).alias("level"), place.alias("pos")))
-        if level % 32 == 0:
-            queue = settled(queue)
-    if queue is None:
-        return marked
-    ident = (F.shiftleft(F.col("y").cast("long"), 32) + F.col("x")).alias("id")
-    placed = settled(queue.select(*PIXEL, "level", "pos", F.lit(None).cast("int").alias("label")).unionByName(marked.select(*PIXEL, F.lit(-1).alias("level"), F.lit(0).alias("pos"), "label")))
-    before = placed.select(*PIXEL, F.struct("level", "pos").alias("_earlier"), ident.alias("to"))
-    asks = placed.where("level >= 0").select("image_id", ident, F.struct("level", "pos").alias("_own"), _moves(AROUND).alias("n")).select("image_id", "id", "_own", "n.*")
-    points = asks.join(before, PIXEL).where("_earlier < _own").groupBy("image_id", "id").agg(F.min_by("to", "k").alias("to"))
-    state = settled(points.withColumn("label", F.lit(None).cast("int")).unionByName(placed.where("level < 0").select("image_id", ident, F.lit(None).cast("long").alias("to"), "label")))
-    while state.where("label is null").limit(1).count():
-        ahead = state.select("image_id", F.col("id").alias("to"), F.col("to").alias("_to"), F.col("label").alias("_label"))
-        state = settled(state.join(ahead, ["image_id", "to"], "left").select("image_id", "id", F.coalesce("_to", "to").alias("to"), F.coalesce("label", "_label").alias("label")))
-    return state.select("image_id", F.col("id").bitwiseAND((1 << 32) - 1).cast("int").alias("x"), F.shiftright("id", 32).cast("int").alias("y"), "label")
+    The queue starts with the markers' side neighbours by rising cost, ties in the order in which they were met; from then on first come, first served. Pixels only ever ask
+    their neighbours, so components of the foreground are flooded each by itself, in a task of their own; foreground that no marker reaches gets no row."""
+    image = fore.schema["image_id"].dataType.simpleString()
+    every = settled(fore.select(*PIXEL, F.col("cost").cast("double").alias("cost")).join(marked.select(*PIXEL, "label"), PIXEL, "full").select(*PIXEL, F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("label", F.lit(0)).cast("int").alias("label")))
+    parts = C.components(every).withColumnRenamed("label", "part")
+    reached = every.join(parts, PIXEL)
+
+    def flood(table: pa.Table) -> pa.Table:
+        label = _flood(*(table[c].to_numpy() for c in ("x", "y", "cost", "label")))
+        return pa.table({"image_id": table["image_id"], "x": table["x"], "y": table["y"], "label": pa.array(label)}).filter(pa.array(label > 0))
+
+    return reached.groupBy("image_id", "part").applyInArrow(flood, f"image_id {image}, x int, y int, label int")
 
 
 def instances(mask: DataFrame, pixels: DataFrame, *, ratio: float = 0.35, least_peak: float = 3.2) -> DataFrame:
