@@ -4,9 +4,8 @@ A lexical transducer turns words into symbols: insult (with a weight), threat, t
 Insults are learned: words and beginnings of words that labelled toxic texts have and others don't, as few as explain the toxic texts, weighted
 by their log odds. Four small machines - negation with a scope of three words, reported speech and quotes, targets, threats - run
 over the symbols; their composition is one table from (state, symbol) to (state, output). The output says how
-an insult or threat stands in its clause: plain, aimed at someone, denied, reported, or as a threat against someone. Each output has a fixed weight, so a
-threat or an aimed insult always counts for more than a plain one, and a reported or denied one for less; labels can't turn that round. What all clauses weigh together, and what the heaviest weighs,
-are made a probability by logistic regression on the labelled texts, with weights that are not negative.
+an insult or threat stands in its clause: plain, aimed at someone, denied, reported, or as a threat against someone, and has a fixed weight. What all clauses of a text weigh,
+what that is for a hundred of its words, and the share of its clauses that match are made a probability by logistic regression on the labelled texts, with weights that are not negative.
 """
 
 from __future__ import annotations
@@ -106,13 +105,18 @@ class Lexicon(dict):
         return entry
 
 
-N_FEATURES = 2
+N_FEATURES = 3
+#: Words and weight of the penalty that keep short texts and rare matches from standing out.
+LEAST_WORDS, RIDGE = 20, 0.2
 AFTER, OUTPUT = compose()
 
 
 def clauses(text: str, lexicon: Lexicon) -> list[list[tuple[int, float]]]:
     """The matches (output, weight) of each clause of a whole text that has any."""
-    entries = list(map(lexicon.__getitem__, TOKENS.findall(text.lower())))
+    return _matches(list(map(lexicon.__getitem__, TOKENS.findall(text.lower()))))
+
+
+def _matches(entries: list[tuple[int, float]]) -> list[list[tuple[int, float]]]:
     if not any(s in (INSULT, THREAT) for s, _ in set(entries)):
         return []
     out: list[list[tuple[int, float]]] = []
@@ -129,9 +133,20 @@ def clauses(text: str, lexicon: Lexicon) -> list[list[tuple[int, float]]]:
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """log(1 + weight) of all clauses together and of the heaviest one."""
-    weights = [sum(w for _, w in clause) for clause in clauses(text, lexicon)]
-    return [math.log1p(sum(weights)), math.log1p(max(weights, default=0.0))]
+    """log(1 + weight) of all clauses together, the same for a hundred words (a text counts as LEAST_WORDS at least), and the share of clauses that match."""
+    entries = list(map(lexicon.__getitem__, TOKENS.findall(text.lower())))
+    found = _matches(entries)
+    if not found:
+        return [0.0] * N_FEATURES
+    weight = sum(w for clause in found for _, w in clause)
+    words = n = 0
+    within = False
+    for symbol, _ in entries:
+        if symbol == END:
+            n, within = n + within, False
+        else:
+            words, within = words + (symbol != QUOTE), True
+    return [math.log1p(weight), math.log1p(100 * weight / max(LEAST_WORDS, words)), len(found) / (n + within)]
 
 
 def _words(text: str) -> set[str]:
@@ -235,7 +250,7 @@ class Model:
         self.insults, self.weights = insults, weights
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> np.ndarray:
+def regression(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 40) -> np.ndarray:
     """Weights of a logistic regression by Newton's method, the last of 1; a column whose weight would be negative gets none."""
     used = list(range(x.shape[1]))
     while True:
@@ -283,8 +298,8 @@ def fit(rows: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str | Column] = ("doc_id",), threshold: float = 0.7) -> DataFrame:
     """The columns ``keep`` with score and predicted (1 from ``threshold`` on) of every whole text.
 
-    A null text is empty and has no clause. Rows are scored one by one: ties, repeated rows and extra columns don't matter. A model that had no toxic
-    or no other texts to learn from gives 0.
+    A null text is empty and has no clause. Rows are scored one by one: ties, repeated rows and extra columns don't matter, an empty table gives none, a very long text
+    is read token by token to its end. A model that had no toxic or no other texts to learn from gives 0.
     """
     rows = _matched(docs.select(*keep, F.coalesce(ident(text), F.lit("")).alias("text")), model.insults)
     if model.weights is None:
