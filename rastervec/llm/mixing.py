@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rastervec.llm.common import ident
+from rastervec.llm.common import ident, sized, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Weight at the start and at the end of training, as multiples of the mean; repeated over the sources like the weights.
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     Sources are ordered by code point, null last, for their weights. taken: words of the document in the mix; the
     stream stops in the middle of a document where the target does. copies: occurrences of which at least half is taken.
     position: time of the first occurrence, null if there is none. Null and empty texts have size 0 and are never
-    taken; repeated rows are documents of their own, and equal rows may change places. An empty table gives no rows.
+    taken; very long ones are counted as a whole; repeated rows are documents of their own, and equal rows may change places. An empty table gives no rows.
     """
     keep = [doc_id] if keep is None else keep
     out = _placed(docs, doc_id=doc_id, text=text, source=source, keep=keep, weights=weights, schedule=schedule, most=most)
@@ -107,11 +107,14 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, schedule: tuple = SCHEDULE, most: int = MOST_PASSES) -> DataFrame:
     """The documents in training order with their own columns only: each as often as the mix takes it, none that it doesn't, and every occurrence at its own time.
 
-    Nulls, empty texts, repeated rows and empty tables are as for mix(); extra columns are carried along, whatever their names.
+    Documents are numbered and written once; places are found on a few numbers for each, without the texts, which then join them and are sorted. Nulls, empty and very long texts, repeated rows and empty tables are as for mix(); extra columns are carried along, whatever their names.
     """
     names = docs.columns
-    whole = docs.select(F.struct(*(ident(c).alias(f"c{i}") for i, c in enumerate(names))).alias("_row"), *(ident(c).alias(a) for c, a in ((doc_id, "_doc"), (text, "_text"), (source, "_from"))))
-    rows = _placed(whole, doc_id="_doc", text="_text", source="_from", keep=["_row"], weights=weights, schedule=schedule, most=most).where("copies > 0")
-    rows = rows.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("_kept", position_of(F.col("_repeat")).alias("_position"), F.col("_hash").alias("_tie"))
-    rows = rows.repartitionByRange("_position", "_tie").sortWithinPartitions("_position", "_tie")
-    return rows.select(*(F.col(f"_kept._row.c{i}").alias(c) for i, c in enumerate(names)))
+    rows = stored(docs.select(F.struct(*(ident(c).alias(f"c{i}") for i, c in enumerate(names))).alias("_row"), F.monotonically_increasing_id().alias("_at")), "rows")
+    part = lambda c: F.col(f"_row.c{names.index(c)}")
+    slim = rows.select(part(doc_id).alias("_doc"), part(text).alias("_text"), part(source).alias("_from"), "_at")
+    slim = _placed(slim, doc_id="_doc", text="_text", source="_from", keep=["_at"], weights=weights, schedule=schedule, most=most).where("copies > 0")
+    slim = stored(slim.select("_kept._at", "copies", "size", "source_size", "_start", "_demand", "_w0", "_w1", "_hash"), "placed")
+    taken = rows.select("_at", "_row").join(sized(slim), "_at").withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    taken = taken.select("_row", position_of(F.col("_repeat")).alias("_position"), F.col("_hash").alias("_tie")).repartitionByRange("_position", "_tie").sortWithinPartitions("_position", "_tie")
+    return taken.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)))

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -31,6 +32,7 @@ SHINGLE, DISTANCE, HEAVY = 3, 2, 64
 #: sets (one in so many) that tells which hashes are common. The last two change the order of hashes only, not what is found.
 RUN, COMMON, BLOCK, MOST_LATE, TELLING = 5, 64, 512, 1 << 20, 4
 #: Bits that fingerprints (64 and 128 of them) of sets with a resemblance of 0.8 may differ in; they do in 10 and 19 (deviation 3 and 4). Smaller sets than SMALL aren't judged by theirs.
+#: A link of a resemblance near 0.8 may be lost to these bounds about once in some millions; ``exact`` leaves them out.
 NEAR_64, NEAR_128, SMALL = 24, 42, 64
 _CUT = 1 << 16
 
@@ -118,7 +120,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id of all that can be reached over links.
 
     Null and empty texts have fingerprint zero and are linked like any other. Null ids count for no component_id (null if a component
-    has no other); rows with the same id keep a row each. An empty table gives no rows; extra columns are not read.
+    has no other); rows with the same id keep a row each. Very long texts are hashed in slices. An empty table gives no rows; extra columns are not read.
     """
     rows = stored(fingerprints(docs, text=text, keep=[ident(doc_id).alias("doc_id")]), "rows")
     out = rows.join(classes(rows), "fp")
@@ -179,12 +181,12 @@ _CLOSE = "5 * n_a >= 4 * n_b AND 5 * n_b >= 4 * n_a"
 _ALIKE = f"(least(n_a, n_b) < {SMALL} OR bit_count(fp_a ^ fp_b) <= {NEAR_64})"
 
 
-def _resembling(pairs: DataFrame, entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _resembling(pairs: DataFrame, entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame], exact: bool) -> DataFrame:
     """The different pairs (a, b) whose sets resemble: first by complete distances of their fingerprints, then by whole sets."""
     own = lambda side, rows, *more: rows.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *more)))
     known = stored(pairs.select("a", "b").distinct(), "pairs")
     near = f"least(n_a, n_b) < {SMALL} OR bit_count(fp_a ^ fp_b) + bit_count(fq_a ^ fq_b) <= {NEAR_128}"
-    likely = stored(known.join(own("a", entries, "fp", "fq"), "a").join(own("b", entries, "fp", "fq"), "b").where(near).select("a", "b"), "likely")
+    likely = stored((known if exact else known.join(own("a", entries, "fp", "fq"), "a").join(own("b", entries, "fp", "fq"), "b").where(near)).select("a", "b"), "likely")
     named = stored(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
     sets = stored(sets_of(named), "sets")
     both = likely.join(own("a", sets, "set"), "a").join(own("b", sets, "set"), "b")
@@ -220,7 +222,7 @@ def _forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def _in_families(posts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], block: int) -> DataFrame:
     """(a, b): links within the families of ``posts`` (node, hash), which are joined by common hashes; all pairs of blocks of a family meet in a task."""
-    ties = posts.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("hash")).alias("b")).distinct()
+    ties = posts.join(posts.groupBy("hash").agg(F.min("node").alias("b")), "hash").select(F.col("node").alias("a"), "b").distinct()
     kin = components(ties).select("node", F.col("root").alias("family"))
     blocks = F.ceil(F.count("*").over(Window.partitionBy("family")) / block)
     named = stored(kin.select("node", "family", blocks.alias("_k"), F.pmod(F.xxhash64("node"), blocks).alias("_b")), "families")
@@ -236,7 +238,48 @@ def _in_families(posts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bl
     return stored(cells.groupBy("family", "i", "j").applyInArrow(joined, "a long, b long"), "kin")
 
 
-def resemblances(entries: DataFrame, sets_of: Callable[..., DataFrame], *, common: int = COMMON, block: int = BLOCK, most_late: int = MOST_LATE, telling: int = TELLING) -> DataFrame:
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows`` whose hash is in several, with their number as _of. Hashes are counted before they are shuffled, and the join splits a common one (adaptive execution)."""
+    return rows.join(rows.groupBy("hash").agg(F.count("*").alias("_of")).where("_of > 1"), "hash")
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours (kind 0) among rows (hash, node, n, fp) that come in order, and the first (1) and last row (2) of the partition, for its borders."""
+    part, last = TaskContext.get().partitionId(), None
+    names = [f"{c}_{s}" for s in "ab" for c in ("hash", "node", "n", "fp")]
+
+    def rows(kind: int, a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        k = np.full(len(a[0]), kind, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), part, np.int32)), *map(pa.array, (*a, *b))], names=["kind", "part", *names])
+
+    for batch in batches:
+        own = [batch.column(i).to_numpy().astype(np.int64) for i in range(4)]
+        if not len(own[0]):
+            continue
+        if last is None:
+            yield rows(1, [c[:1] for c in own], [c[:1] for c in own])
+            last = [c[:0] for c in own]
+        every = [np.concatenate([x, c]) for x, c in zip(last, own)]
+        same = np.flatnonzero(every[0][1:] == every[0][:-1])
+        yield rows(0, [c[same] for c in every], [c[same + 1] for c in every])
+        last = [c[-1:] for c in own]
+    if last is not None:
+        yield rows(2, last, last)
+
+
+def _neighbours(posts: DataFrame) -> DataFrame:
+    """(node_a, n_a, fp_a, node_b, n_b, fp_b): neighbours in the list of sets with a hash, by size. All lists are one range-sorted table, so a long list lies in many
+    partitions; the rows at their borders, two for each partition, meet in one window."""
+    kinds = ", ".join(f"{c}_{s} long" for s in "ab" for c in ("hash", "node", "n", "fp"))
+    order = posts.select("hash", "node", F.col("n").cast("long").alias("n"), "fp").repartitionByRange("hash", "n", "node").sortWithinPartitions("hash", "n", "node")
+    found = stored(mapped(order, _beside, f"kind int, part int, {kinds}"), "neighbours")
+    at = Window.orderBy("part", "kind")
+    border = found.where("kind > 0").select(*(F.lag(f"{c}_a").over(at).alias(f"{c}_a") for c in ("hash", "node", "n", "fp")), *(f"{c}_b" for c in ("hash", "node", "n", "fp")), "kind").where("kind = 1 AND hash_a = hash_b")
+    columns = [f"{c}_{s}" for s in "ab" for c in ("node", "n", "fp")]
+    return found.where("kind = 0").select(columns).union(border.select(columns))
+
+
+def resemblances(entries: DataFrame, sets_of: Callable[..., DataFrame], *, common: int = COMMON, block: int = BLOCK, most_late: int = MOST_LATE, telling: int = TELLING, exact: bool = False) -> DataFrame:
     """(a, b): links between different sets of a resemblance of 0.8 at least, enough for the components of all such pairs.
 
     entries: node, n, set (the prefix), fp and fq of each set; sets_of: the same with whole sets for a stored table of nodes. Two sets of that resemblance share a hash of both
@@ -246,11 +289,11 @@ def resemblances(entries: DataFrame, sets_of: Callable[..., DataFrame], *, commo
     are compared block by block.
     """
     listed = entries.where("n > 0").select("node", "n", "fp", F.explode("set").alias("hash"))
-    shared = lambda rows: stored(rows.withColumn("_of", F.count("*").over(Window.partitionBy("hash"))).where("_of > 1"), "shared")
+    shared = lambda rows: stored(_counted(rows), "shared")
     posts = shared(listed)
-    order = Window.partitionBy("hash").orderBy("n", "node")
-    beside = posts.select(*(F.lag(c).over(order).alias(a) for c, a in (("node", "a"), ("n", "n_a"), ("fp", "fp_a"))), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("fp").alias("fp_b"))
-    found = _resembling(beside.where(f"a IS NOT NULL AND {_CLOSE} AND {_ALIKE}"), entries, sets_of)
+    beside = _neighbours(posts).withColumnsRenamed({"node_a": "a", "node_b": "b"})
+    alike = "true" if exact else _ALIKE
+    found = _resembling(beside.where(f"{_CLOSE} AND {alike}"), entries, sets_of, exact)
     roots = stored(components(found), "roots")
 
     def rooted(rows: DataFrame) -> DataFrame:
@@ -274,15 +317,15 @@ def resemblances(entries: DataFrame, sets_of: Callable[..., DataFrame], *, commo
         met = rooted(shared(listed.join(sized(anew), "node", "left_anti").unionByName(again)))
         found = found.union(_in_families(met.where(F.col("_of") > common), sets_of, block))
     side = lambda s: met.where(F.col("_of") <= common).select("hash", *(F.col(c).alias(a) for c, a in (("node", s), ("n", f"n_{s}"), ("root", f"root_{s}"), ("fp", f"fp_{s}"))))
-    across = side("a").join(side("b"), "hash").where(f"a < b AND root_a <> root_b AND {_CLOSE} AND {_ALIKE}")
-    return found.union(_resembling(across, entries, sets_of))
+    across = side("a").join(side("b"), "hash").where(f"a < b AND root_a <> root_b AND {_CLOSE} AND {alike}")
+    return found.union(_resembling(across, entries, sets_of, exact))
 
 
-def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """The documents with their own columns only, one of each component of documents whose sets of runs of five words have a Jaccard index of 0.8 at least.
 
     It is the row with the least id, of rows with the same id any one; a null id comes last. Texts without words (null, empty) are copies of each other; a text of fewer than five words is
-    one run; case is folded as for fingerprints. Repeated rows leave one. An empty table gives no rows. Extra columns are carried along, whatever their names.
+    one run; case is folded as for fingerprints. A very long text is one set of all its runs. Repeated rows leave one. An empty table gives no rows. Extra columns are carried along, whatever their names.
     """
     names = docs.columns
     rows = docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*(ident(c).alias(f"c{i}") for i, c in enumerate(names))).alias("_row"), ident(doc_id).alias("_id"), ident(text).alias("_text"))
@@ -296,7 +339,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         at = stored(slim.join(sized(nodes), "node", "left_semi").select(F.col("_best._at").alias("_at")), "at")
         return _with_sets(rows.select("_at", F.col(f"_row.c{place}").alias("_text")).join(sized(at), "_at", "left_semi").select("_text"), prefix=late is not None, late=late)
 
-    roots = stored(components(resemblances(entries, sets_of)), "roots")
+    roots = stored(components(resemblances(entries, sets_of, exact=exact)), "roots")
     discard(entries)
     first = stored(slim.join(sized(roots), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("_best").alias("_best")).select("_best._at"), "first")
     kept = stored(rows.join(sized(first), "_at", "left_semi").select(F.col("_row")), "kept")

@@ -143,7 +143,7 @@ def judge(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
     """The columns ``keep`` (doc_id alone unless given) with the measures of the whole text, base_failed and kept.
 
     A null text is an empty one: no words, so it fails the base. Rows are judged one by one: repeated rows and extra columns
-    don't matter, an empty table gives an empty result. kept is false if the base fails, else unless a rule of the cascade rejects.
+    don't matter, very long texts are measured whole, an empty table gives an empty result. kept is false if the base fails, else unless a rule of the cascade rejects.
     """
     rules = RULES if rules is None else rules
     sequence = order(estimate(docs, text=text, rules=rules)) if sequence is None else sequence

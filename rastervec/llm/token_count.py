@@ -125,7 +125,7 @@ def encoder(model_file: str) -> Encoder:
 def count_tokens(docs: DataFrame, model_file: str, *, text: str = "text", keep: list[str] | None = None, limit: int = 4096) -> DataFrame:
     """The columns ``keep`` (doc_id alone unless given) with n_bytes, n_tokens and over_limit of every whole text.
 
-    A null text is empty: no bytes, no tokens. Rows are counted one by one, so repeated rows, ties and extra columns don't matter.
+    A null text is empty: no bytes, no tokens. Rows are counted one by one, so repeated rows, ties and extra columns don't matter; an empty table gives none.
     model_file is a path that every executor has.
     """
     rows = docs.select(*(ident(c) for c in (["doc_id"] if keep is None else keep)), ident(text).alias("_text"))

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against a plain version on its own input, and on odd tables."""
 
+import random
 import hashlib
 import zlib
 
@@ -12,7 +13,7 @@ from test_corpus_operators import plain_words
 from test_text_operators import plain_resembling
 from tokenizers import Tokenizer
 
-from rastervec.llm import mixing, quality_rules
+from rastervec.llm import mixing, near_dedup, quality_rules
 from rastervec.llm.common import stored, table, written_order
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +119,41 @@ def test_stages_on_odd_tables(spark, odd):
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and rows.count() > 0
+
+
+def test_near_copies_with_a_run_in_all_sets(spark):
+    """One passage in every text, groups of near copies, many ranges: the same documents stay as by comparing all pairs, with and without the bounds of fingerprints."""
+    rng = random.Random(11)
+    passage = " ".join(f"common{i}" for i in range(12))
+    texts = []
+    for _ in range(60):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(80)]
+        texts.append(" ".join([passage, *own]))
+        for _ in range(rng.choice([0, 0, 3])):
+            near = list(own)
+            near[rng.randrange(80)] = "changed"
+            texts.append(" ".join([passage, *near]))
+    texts += [passage] * 40 + [passage + f" end{i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = [set(near_dedup.resemblance_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    want = sorted(set(root))
+    for exact in (False, True):
+        assert sorted(r["doc_id"] for r in near_dedup.one_of_each(docs, exact=exact).collect()) == want
+
+
+def test_neighbours_cross_the_borders_of_ranges(spark):
+    rows = [(h, k, k % 7, k * 3) for h, many in ((5, 4000), (6, 1), (7, 2)) for k in range(many)]
+    posts = spark.createDataFrame(rows, "hash long, node long, n int, fp long").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["node_a"], r["node_b"]) for r in near_dedup._neighbours(posts).where("n_a >= 0").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted((r for r in rows), key=lambda r: (r[0], r[2], r[1]))
+    assert got == {(a[1], b[1]) for a, b in zip(order, order[1:]) if a[0] == b[0]}
