@@ -87,27 +87,52 @@ def boxed(features: DataFrame) -> DataFrame:
     return features.withColumn("_box", box)
 
 
-#: Picks that are broadcast at most; more are joined by a shuffle on the cells.
-MOST_PICKS = 100_000
+#: Levels of the grid, each with cells twice as wide as the one before; parts that a segment is cut into; picks that are broadcast at most.
+LEVELS, PARTS, MOST_PICKS = 24, 4, 20_000
+
+
+def _cells(box: Column, cell: float) -> Column:
+    """(level, cx, cy) of the cells that a box touches, on the level whose cells are as large as the box: four at most."""
+    wide = F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]) / cell
+    level = F.when(wide <= 1, 0).otherwise(F.least(F.lit(LEVELS), F.ceil(F.log2(wide)))).cast("int")
+    size = F.pow(F.lit(2.0), level) * cell
+    along = lambda lo, hi: F.sequence(F.floor(lo / size), F.floor(hi / size))
+    return F.flatten(F.transform(along(box["min_x"], box["max_x"]), lambda x: F.transform(along(box["min_y"], box["max_y"]), lambda y: F.struct(level.alias("level"), x.alias("cx"), y.alias("cy")))))
+
+
+def _widened(box: Column, by: float) -> Column:
+    return F.struct(*((box[c] + (by if c.startswith("max") else -by)).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))
+
+
+def _within(box: Column) -> Column:
+    return F.col("x").between(box["min_x"], box["max_x"]) & F.col("y").between(box["min_y"], box["max_y"])
 
 
 def picked(features: DataFrame, points: DataFrame, *, tolerance: float, cell: float, interior: bool = True) -> DataFrame:
     """(pick, id): for each of (pick, x, y) the feature with the greatest seq that holds it or has a segment within the tolerance.
 
-    A circle holds what is not farther from its centre than its radius and the tolerance; without ``interior`` circles are not picked. Features and points meet on a grid:
-    a feature is sent to the cells that its bounds, widened by the tolerance, touch, and must then have the point within these bounds before its vertices are looked at."""
-    at = lambda c, d=0.0: F.floor((c + d) / cell)
-    f = boxed(features)
-    cells = lambda lo, hi: F.explode(F.sequence(at(F.col(f"_box.{lo}"), -tolerance), at(F.col(f"_box.{hi}"), tolerance)))
-    f = f.withColumn("_cx", cells("min_x", "max_x")).withColumn("_cy", cells("min_y", "max_y")).withColumnsRenamed({"_cx": "_fx", "_cy": "_fy"})
-    q = points.withColumns({"_cx": at(F.col("x")), "_cy": at(F.col("y"))})
-    q = F.broadcast(q) if q.limit(MOST_PICKS + 1).count() <= MOST_PICKS else q
-    here, circle = G.point(F.col("x"), F.col("y")), _is_circle(features)
-    within = F.col("x").between(F.col("_box.min_x") - tolerance, F.col("_box.max_x") + tolerance) & F.col("y").between(F.col("_box.min_y") - tolerance, F.col("_box.max_y") + tolerance)
-    inside = F.col("is_closed") & (F.size("points") >= 3) & G.contains(F.col("points"), here) if interior else F.lit(False)
-    round_ = G.distance(here, F.col("center")) <= F.col("radius") + tolerance if interior and {"center", "radius"} <= {*features.columns} else F.lit(False)
-    hit = f.join(q, (F.col("_fx") == F.col("_cx")) & (F.col("_fy") == F.col("_cy")))
-    return hit.where(F.when(~within, False).when(circle, round_).otherwise(inside | G.near(F.col("points"), here, tolerance))).groupBy("pick").agg(F.max_by("id", "seq").alias("id"))
+    A circle holds what is not farther from its centre than its radius and the tolerance; without ``interior`` circles are not picked. Features and points meet on grids of LEVELS widths:
+    a segment is cut into PARTS, and the box of each, widened by the tolerance, is sent to the few cells it touches on the level of its own size, so a segment has at most
+    4 * PARTS copies however long it is; a closed outline or circle goes the same way by its box. A point looks on all levels, must lie in the box, and only then is measured."""
+    q = points.select("pick", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"))
+    size = F.pow(F.lit(2.0), F.col("level")) * cell
+    q = q.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+    q = F.broadcast(q) if points.limit(MOST_PICKS + 1).count() <= MOST_PICKS else q
+    here, on = G.point(F.col("x"), F.col("y")), ["level", "cx", "cy"]
+    met = lambda rows, box: rows.withColumn("_box", box).select("*", F.inline(_cells(F.col("_box"), cell))).join(q, on).where(_within(F.col("_box")))
+    circle = _is_circle(features)
+    at = lambda e, k: G.point(e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * k / PARTS, e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * k / PARTS)
+    parts = lambda e: F.transform(F.array(*map(F.lit, range(PARTS))), lambda k: F.struct(e["a"].alias("a"), e["b"].alias("b"), _widened(G.bounds(F.array(at(e, k), at(e, k + 1))), tolerance + 1e-6).alias("box")))
+    lines = features.where(~F.coalesce(circle, F.lit(False))).select("id", "seq", F.inline(F.flatten(F.transform(G.edges(F.col("points"), False), parts))))
+    hits = met(lines, F.col("box")).where(G.segment_distance(here, F.col("a"), F.col("b")) <= tolerance).select("pick", "id", "seq")
+    if interior:
+        shut = boxed(features).where("_box.min_x is not null").withColumn("_round", circle)
+        shut = shut.where(F.col("_round") | (F.col("is_closed") & (F.size("points") >= 3)))
+        held = G.contains(F.col("points"), here)
+        if {"center", "radius"} <= {*features.columns}:
+            held = F.when(F.col("_round"), G.distance(here, F.col("center")) <= F.col("radius") + tolerance).otherwise(held)
+        hits = hits.unionByName(met(shut, _widened(F.col("_box"), tolerance)).where(held).select("pick", "id", "seq"))
+    return hits.groupBy("pick").agg(F.max_by("id", "seq").alias("id"))
 
 
 def circle_fit(points: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from rastervec.functions import regularise as R
 from rastervec.functions import spectral
 from rastervec.functions.numeric import to_fixed
 from rastervec.functions.simplify import simplified
+from rastervec.operators import checksums as Q
 from rastervec.operators import components as C
 from rastervec.operators import documents as D
 from rastervec.operators import editing as E
@@ -158,6 +159,19 @@ def sauvola(spark, sf):
     return P.sauvola(_gray(spark, sf), radius=14, k=0.22).select("x", "y", "bit")
 
 
+_FOLD = "list_reduce(list_prepend(2166136261, list({v} ORDER BY y, x)), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+
+
+@query(f"""{_PX}, {_box(14)}, bits AS (SELECT x, y, (gray < m * (1 + 0.22::DOUBLE * (sqrt(greatest(0, q::DOUBLE / n::DOUBLE - m * m)) / 128 - 1)))::BIGINT AS bit FROM (SELECT *, s::DOUBLE / n::DOUBLE AS m FROM boxes)),
+bytes AS (SELECT y, x * 4 + c AS x, v FROM (SELECT x, y, unnest([0, 1, 2, 3]) AS c, unnest([r, g, b, 255])::BIGINT AS v FROM px))
+SELECT (SELECT count(*) FROM px) AS n, (SELECT {_FOLD.format(v='v')}::BIGINT FROM bytes) AS colours, (SELECT sum(bit)::BIGINT FROM bits) AS foreground, (SELECT {_FOLD.format(v='bit')}::BIGINT FROM bits) AS bits""")
+def filter_checksums(spark, sf):
+    colours = Q.checksums(A.pixels(spark, sf).withColumn("a", F.lit(255)), "r", "g", "b", "a").withColumnRenamed("checksum", "colours")
+    bits = P.sauvola(_gray(spark, sf), radius=14, k=0.22)
+    found = Q.checksums(bits, "bit").select("image_id", F.col("checksum").alias("bits")).join(bits.groupBy("image_id").agg(F.sum("bit").alias("foreground")), "image_id")
+    return colours.join(found, "image_id").select("n", "colours", "foreground", "bits")
+
+
 _MASK = "mask AS (SELECT x, y, (gray >= 128)::INT AS bit FROM gp)"
 
 
