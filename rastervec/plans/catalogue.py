@@ -20,6 +20,7 @@ from rastervec.operators import export as X
 from rastervec.operators import features as O
 from rastervec.operators import outlines as L
 from rastervec.operators import pixels as P
+from rastervec.operators import vectorise as V
 from rastervec.operators import watershed as W
 from rastervec.operators import workflow as K
 from rastervec.schema import LAYERS, layers
@@ -387,16 +388,16 @@ def line_intersection(spark, sf):
 
 def _vertices(rows: DataFrame, points) -> DataFrame:
     """(id, i, x, y) of all points."""
-    return rows.select("id", F.posexplode(points).alias("i", "p")).select("id", "i", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+    return rows.select("id", F.posexplode(points).alias("i", "p")).select("id", "i", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
-_POINTS = "SELECT id, (i - 1)::INT AS i, round(k[i].x, 4) AS x, round(k[i].y, 4) AS y FROM (SELECT id, k, unnest(range(1, len(k) + 1)) AS i FROM (SELECT id, {k} AS k FROM ft))"
+_POINTS = ", ks AS MATERIALIZED (SELECT id, {k} AS k FROM ft) SELECT id, (i - 1)::INT AS i, round(q.x, 6) AS x, round(q.y, 6) AS y FROM (SELECT id, generate_subscripts(k, 1) AS i, unnest(k) AS q FROM ks)"
 
 
 @query(f"""WITH RECURSIVE {_PG.removeprefix('WITH ')}, cuts AS (SELECT id, p, 1::BIGINT AS lo, len(p)::BIGINT AS hi FROM pg
   UNION ALL SELECT id, p, unnest([lo, mid]) AS lo, unnest([mid, hi]) AS hi FROM (SELECT id, p, lo, hi, lo + list_position(d, list_max(d)) AS mid, list_max(d) AS most
     FROM (SELECT id, p, lo, hi, list_transform(range(lo + 1, hi), lambda i: {_segd('p[i]', 'p[lo]', 'p[hi]')}) AS d FROM cuts WHERE hi > lo + 1)) WHERE most > 40)
-SELECT id, (row_number() OVER (PARTITION BY id ORDER BY m) - 1)::INT AS i, round(p[m].x, 4) AS x, round(p[m].y, 4) AS y FROM (SELECT DISTINCT id, lo AS m FROM cuts UNION SELECT id, len(p) FROM pg) JOIN pg USING (id)""")
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY m) - 1)::INT AS i, round(p[m].x, 6) AS x, round(p[m].y, 6) AS y FROM (SELECT DISTINCT id, lo AS m FROM cuts UNION SELECT id, len(p) FROM pg) JOIN pg USING (id)""")
 def rdp_simplify(spark, sf):
     return _vertices(A.polygons(spark, sf), simplified(F.col("points"), 40.0))
 
@@ -405,12 +406,12 @@ _SLIM = "CASE WHEN len({p}) <= 2 THEN {p} ELSE list_append(list_reduce(list_prep
 _THIN = "list_reduce(list_transform(p, lambda q: [q]), lambda k, q: CASE WHEN sqrt((q[1].x - k[-1].x)**2 + (q[1].y - k[-1].y)**2) >= 1 THEN list_concat(k, q) ELSE k END)"
 
 
-@query(f"{_FT} {_POINTS.format(k=_THIN)}")
+@query(f"{_FT}{_POINTS.format(k=_THIN)}")
 def dedup_vertices(spark, sf):
     return _vertices(A.features(spark, sf), G.deduplicated(F.col("points")))
 
 
-@query(f"{_FT} {_POINTS.format(k=_SLIM.format(p='p'))}")
+@query(f"{_FT}{_POINTS.format(k=_SLIM.format(p='p'))}")
 def merge_collinear(spark, sf):
     return _vertices(A.features(spark, sf), G.without_collinear(F.col("points")))
 
@@ -641,12 +642,12 @@ def _moves(spark, sf):
     return A.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).cast("double").alias("dx"), F.lit(-2.5).alias("dy"))
 
 
-@query(f"{_FT}, s AS (SELECT id, p, CASE WHEN id % 3 = 0 THEN (o_custkey % 10)::DOUBLE ELSE 0 END AS dx, CASE WHEN id % 3 = 0 THEN -2.5::DOUBLE ELSE 0 END AS dy FROM ft JOIN orders ON o_orderkey = id) SELECT id, (i - 1)::INT AS i, round(p[i].x + dx, 4) AS x, round(p[i].y + dy, 4) AS y FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM s)")
+@query(f"{_FT}, s AS (SELECT id, p, CASE WHEN id % 3 = 0 THEN (o_custkey % 10)::DOUBLE ELSE 0 END AS dx, CASE WHEN id % 3 = 0 THEN -2.5::DOUBLE ELSE 0 END AS dy FROM ft JOIN orders ON o_orderkey = id) SELECT id, (i - 1)::INT AS i, round(p[i].x + dx, 6) AS x, round(p[i].y + dy, 6) AS y FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM s)")
 def move_feature(spark, sf):
     return _vertices(E.moved(A.features(spark, sf), _moves(spark, sf)), F.col("points"))
 
 
-@query(f"{_FT} SELECT id, (i - 1)::INT AS i, round(CASE WHEN id % 3 = 0 AND i = 2 THEN floor((o_custkey % 97 / 7) * 10 + 0.5::DOUBLE) / 10 ELSE p[i].x END, 4) AS x, round(CASE WHEN id % 3 = 0 AND i = 2 THEN 1 ELSE p[i].y END, 4) AS y FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM ft JOIN orders ON o_orderkey = id WHERE len(p) >= 2)")
+@query(f"{_FT} SELECT id, (i - 1)::INT AS i, round(CASE WHEN id % 3 = 0 AND i = 2 THEN floor((o_custkey % 97 / 7) * 10 + 0.5::DOUBLE) / 10 ELSE p[i].x END, 6) AS x, round(CASE WHEN id % 3 = 0 AND i = 2 THEN 1 ELSE p[i].y END, 6) AS y FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM ft JOIN orders ON o_orderkey = id WHERE len(p) >= 2)")
 def drag_vertex(spark, sf):
     drags = A.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("vertex"), (F.col("o_custkey") % 97 / 7).alias("x"), F.lit(1.0).alias("y"))
     return _vertices(E.dragged(A.features(spark, sf).where(F.size("points") >= 2), drags), F.col("points"))
@@ -704,6 +705,18 @@ def scene_floor_plan(spark, sf):
     return rows.select(F.upper(F.concat(*(F.lpad(F.hex(c), 2, "0") for c in "rgb"))).alias("colour")).groupBy("colour").agg(F.count("*").alias("n"))
 
 
+@query()
+def aerial_features(spark, sf):
+    found = V.aerial(A.pixels(spark, sf))
+    return found.select("seq", "id", "layer", "geometry_type", "is_closed", "points", "area", "length")
+
+
+@query()
+def drawing_features(spark, sf):
+    found = V.drawing(A.pixels(spark, sf))
+    return found.select("seq", "id", "layer", "geometry_type", "is_closed", "points", "area", "length")
+
+
 @query()
 def scene_analysis(spark, sf):
     report = P.image_analysis(K.sampled(S.scenes(spark)))
@@ -735,7 +748,40 @@ def drawing_layers(spark, sf):
     return D.layer_records(A.features(spark, sf), layers(spark), owner="24", first_handle=0x32).withColumnRenamed("_layers", "records")
 
 
-@query()
+def _said(text: str) -> str:
+    """SQL for codes with fixed values: `code value|code value`."""
+    lines = "~".join(f"{code}~{value}" for code, _, value in (pair.partition(" ") for pair in text.split("|")))
+    return f"replace('{lines}~', '~', {_LF})"
+
+
+_OF = "100 AcDbSymbolTableRecord|100 AcDb"
+_HANDLE = lambda n: (5, f"printf('%X', {n} + n)")
+#: What stands before the entities, by the format; n is the number of layers.
+_HEAD = [
+    _said("0 SECTION|2 HEADER|9 $ACADVER|1 AC1027|9 $ACADMAINTVER|70 105|9 $DWGCODEPAGE|3 ANSI_1252|9 $INSBASE|10 0|20 0|30 0|9 $EXTMIN"),
+    _codes((10, _fix("min_x", 4)), (20, _fix("min_y", 4))), _said("30 0|9 $EXTMAX"), _codes((10, _fix("max_x", 4)), (20, _fix("max_y", 4))),
+    _said("30 0|9 $LIMMIN|10 0|20 0|9 $LIMMAX"), _codes((10, _fix("max_x", 4)), (20, _fix("max_y", 4))),
+    _said("9 $INSUNITS|70 6|9 $MEASUREMENT|70 1|9 $LUNITS|70 2|9 $LUPREC|70 4|9 $AUNITS|70 0|9 $AUPREC|70 2|9 $HANDSEED|5 FFFF|0 ENDSEC|0 SECTION|2 CLASSES|0 ENDSEC|0 SECTION|2 TABLES"),
+    _said(f"0 TABLE|2 VPORT|5 28|100 AcDbSymbolTable|70 1|0 VPORT|5 29|330 28|{_OF}ViewportTableRecord|2 *ACTIVE|70 0|10 0|20 0|11 1|21 1"),
+    _codes((12, _fix("(min_x + max_x) / 2", 4)), (22, _fix("(min_y + max_y) / 2", 4)), (40, _fix("greatest(10, max_y - min_y)", 4))), _said("41 1.4|0 ENDTAB|0 TABLE|2 LTYPE|5 25|100 AcDbSymbolTable|70 7"),
+    _said(f"0 LTYPE|5 2A|330 25|{_OF}LinetypeTableRecord|2 ByBlock|70 0|3 |72 65|73 0|40 0|0 LTYPE|5 2B|330 25|{_OF}LinetypeTableRecord|2 ByLayer|70 0|3 |72 65|73 0|40 0"),
+    _said(f"0 LTYPE|5 2C|330 25|{_OF}LinetypeTableRecord|2 CONTINUOUS|70 0|3 Solid line|72 65|73 0|40 0"),
+    _said(f"0 LTYPE|5 2D|330 25|{_OF}LinetypeTableRecord|2 CENTER|70 0|3 Center ____ _ ____ _ ____|72 65|73 4|40 31.75|49 19.05|49 -6.35|49 0|49 -6.35"),
+    _said(f"0 LTYPE|5 2E|330 25|{_OF}LinetypeTableRecord|2 DASHED|70 0|3 Dashed __ __ __ __|72 65|73 2|40 19.05|49 12.7|49 -6.35"),
+    _said(f"0 LTYPE|5 2F|330 25|{_OF}LinetypeTableRecord|2 PHANTOM|70 0|3 Phantom ____ _ _ ____ _ _|72 65|73 6|40 38.1|49 19.05|49 -6.35|49 6.35|49 -6.35|49 6.35|49 -6.35"),
+    _said(f"0 LTYPE|5 30|330 25|{_OF}LinetypeTableRecord|2 DOT|70 0|3 Dot . . . . .|72 65|73 2|40 6.35|49 0|49 -6.35|0 ENDTAB|0 TABLE|2 LAYER|5 24|100 AcDbSymbolTable"),
+    _codes((70, "n + 1")), _said(f"0 LAYER|5 31|330 24|{_OF}LayerTableRecord|2 0|70 0|62 7|6 CONTINUOUS|370 -3"), "records", _said("0 ENDTAB|0 TABLE|2 STYLE|5 26|100 AcDbSymbolTable|70 1|0 STYLE"),
+    _codes(_HANDLE(50)), _said(f"330 26|{_OF}TextStyleTableRecord|2 STANDARD|70 0|40 0|41 1|50 0|71 0|42 2.5|3 txt|4 |0 ENDTAB|0 TABLE|2 APPID|5 27|100 AcDbSymbolTable|70 1|0 APPID"),
+    _codes(_HANDLE(51)), _said(f"330 27|{_OF}RegAppTableRecord|2 ACAD|70 0|0 ENDTAB|0 TABLE|2 BLOCK_RECORD|5 21|100 AcDbSymbolTable|70 2"),
+    _said(f"0 BLOCK_RECORD|5 22|330 21|{_OF}BlockTableRecord|2 *MODEL_SPACE|0 BLOCK_RECORD|5 23|330 21|{_OF}BlockTableRecord|2 *PAPER_SPACE|0 ENDTAB|0 ENDSEC|0 SECTION|2 BLOCKS|0 BLOCK"),
+    _codes(_HANDLE(52)), _said("330 22|100 AcDbEntity|8 0|100 AcDbBlockBegin|2 *MODEL_SPACE|70 0|10 0|20 0|30 0|3 *MODEL_SPACE|1 |0 ENDBLK"), _codes(_HANDLE(53)), _said("330 22|100 AcDbEntity|8 0|100 AcDbBlockEnd|0 BLOCK"),
+    _codes(_HANDLE(54)), _said("330 23|100 AcDbEntity|8 0|100 AcDbBlockBegin|2 *PAPER_SPACE|70 0|10 0|20 0|30 0|3 *PAPER_SPACE|1 |0 ENDBLK"), _codes(_HANDLE(55)), _said("330 23|100 AcDbEntity|8 0|100 AcDbBlockEnd|0 ENDSEC|0 SECTION|2 ENTITIES"),
+]
+
+
+@query(f"""WITH layer_table AS ({ORACLES['drawing_layers']}), extent AS ({ORACLES['drawing_extents']}), entities AS ({ORACLES['export_dxf_entities'].replace("printf('%X', 39 + k)", "printf('%X', 55 + k + (SELECT n FROM layer_table))")})
+SELECT 0 AS part, 0::BIGINT AS seq, array_to_string([{', '.join(_HEAD)}], '') AS text FROM layer_table, extent UNION ALL SELECT 1, seq, entity FROM entities
+UNION ALL SELECT 2, 0, {_said('0 ENDSEC|0 SECTION|2 OBJECTS|0 DICTIONARY')} || {_codes((5, "printf('%X', 56 + n + (SELECT count(*) FROM entities))"))} || {_said('330 0|100 AcDbDictionary|281 1|0 ENDSEC|0 EOF')} FROM layer_table""")
 def document_dxf(spark, sf):
     return D.dxf_document(A.features(spark, sf), layers(spark), unit="m")
 
