@@ -6,10 +6,14 @@ image, never an image. Squares are separable into the two.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastervec.functions import spectral
+from rastervec.operators import tiles as T
 
 
 def along_x():
@@ -150,27 +154,30 @@ def peaks(plane: DataFrame, value: str, *, ratio: float = 0.35, least: float = 3
     return rows.join(size, "image_id").where(grid & (F.col(value) >= F.greatest(F.lit(least), F.col("_max") * ratio)) & (F.col("_m") <= F.col(value))).drop("_m", "_max", "_w", "_h")
 
 
+#: NumPy types of the columns that go along with a tile.
+NUMPY = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64"}
+
+
 def bilateral(pixels: DataFrame, *, radius: int = 2, sigma: float = 25.0) -> DataFrame:
-    """Smoothed r, g, b: weights fall with distance and with difference of luminance; the square is cut at the borders.
-
-    Rows of pixels become arrays along x, those become arrays along y; the weighted mean is a fold over at most (2 radius + 1)^2 entries."""
-    n = 2 * radius + 1
-    own = pixels.withColumn("_p", F.struct("r", "g", "b", spectral.luminance().alias("lum")))
-    strip = F.array(*(F.lag("_p", -d).over(along_x()) if d else F.col("_p") for d in range(-radius, radius + 1)))
-    own = own.withColumn("_strip", strip)
-    block = F.array(*(F.lag("_strip", -d).over(along_y()) if d else F.col("_strip") for d in range(-radius, radius + 1)))
-    own = own.withColumn("_near", F.flatten(F.transform(block, lambda s: F.coalesce(s, F.array(*([F.lit(None).cast("struct<r:int,g:int,b:int,lum:double>")] * n))))))
-    import math
-
-    space = F.array(*(F.lit(math.exp(-(dx * dx + dy * dy) / (2 * radius * radius))) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)))
-
-    def step(acc, e):
-        d = e["p"]["lum"] - F.col("_p.lum")
-        w = e["w"] * F.exp(-(d * d) / (2 * sigma * sigma))
-        new = F.struct(*((acc[c] + w * e["p"][c]).alias(c) for c in "rgb"), (acc["w"] + w).alias("w"))
-        return F.when(e["p"].isNull(), acc).otherwise(new)
-
-    start = F.struct(*(F.lit(0.0).alias(c) for c in "rgbw"))
-    pairs = F.arrays_zip(F.col("_near").alias("p"), space.alias("w"))
-    out = own.withColumn("_m", F.aggregate(pairs, start, step))
-    return out.select(*(c for c in pixels.columns if c not in "rgb"), *(F.floor(F.col(f"_m.{c}") / F.col("_m.w") + 0.5).cast("int").alias(c) for c in "rgb"))
+    """Smoothed r, g, b: weights fall with distance and with difference of luminance; the square is cut at the borders. Other columns are numbers and stay.
+
+    On tiles with a margin: each of the (2 radius + 1)^2 shifts is one step over whole arrays."""
+    others = {f.name: f.dataType.simpleString() for f in pixels.schema if f.name not in ("image_id", "x", "y", "r", "g", "b")}
+    steps = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
+
+    def smooth(present: np.ndarray, planes: dict[str, np.ndarray], x0: int, y0: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        colours = {c: planes[c].astype(np.float64) for c in "rgb"}
+        light = colours["r"] * 0.299 + colours["g"] * 0.587 + colours["b"] * 0.114
+        sums, weights = {c: np.zeros(light.shape) for c in "rgb"}, np.zeros(light.shape)
+        for dx, dy in steps:
+            at = lambda plane, dx=dx, dy=dy: np.roll(plane, (-dy, -dx), (0, 1))  # what comes round lies in the margin
+            w = at(present) * math.exp(-(dx * dx + dy * dy) / (2 * radius * radius)) * np.exp(-((at(light) - light) ** 2) / (2 * sigma * sigma))
+            weights += w
+            for c in "rgb":
+                sums[c] += w * at(colours[c])
+        out = {c: np.floor(sums[c] / np.where(present, weights, 1) + 0.5).astype(np.int32) for c in "rgb"}
+        return present, out | {c: planes[c] for c in others}
+
+    kinds = {"r": "int32", "g": "int32", "b": "int32"} | {c: NUMPY[t] for c, t in others.items()}
+    out = T.on_tiles(pixels, kinds, smooth, ", ".join(["r int", "g int", "b int", *(f"{c} {t}" for c, t in others.items())]), margin=radius)
+    return out.select(*pixels.columns)
