@@ -60,7 +60,7 @@ def components(mask: DataFrame, *, diagonal: bool = True, size: int = T.SIZE) ->
         names = ((row[root].astype(np.int64) + y0) << 32) + first[root] + x0
         return pa.table({"image_id": pa.repeat(table["image_id"][0], len(x)), "x": pa.array(x.astype(np.int32)), "y": pa.array(np.repeat(row + y0, many).astype(np.int32)), "label": pa.array(np.repeat(names, many))})
 
-    named = settled(rows.groupBy("image_id", "_tx", "_ty").applyInArrow(label, f"image_id {image}, x int, y int, label long"))
+    named = settled(T.spread(rows, "image_id", "_tx", "_ty").groupBy("image_id", "_tx", "_ty").applyInArrow(label, f"image_id {image}, x int, y int, label long"))
     border = named.where(F.pmod("x", F.lit(size)).isin(0, size - 1) | F.pmod("y", F.lit(size)).isin(0, size - 1))
     side = range(-1, 2) if diagonal else (0,)
     none = F.array().cast("array<struct<dx:int,dy:int>>")
@@ -134,7 +134,7 @@ def chamfer(mask: DataFrame, *, straight: float = 1.0, diagonal: float = 1.414,
                 best[a] = np.minimum(best[a], diagonal * short + straight * (long - short))
         return pa.table({"image_id": table["image_id"], "x": table["x"], "y": table["y"], "d": pa.array(best[y - y0, x - x0].astype(np.float32))})
 
-    return rows.groupBy("image_id", "_tx").applyInArrow(work, f"image_id {image}, x int, y int, d float")
+    return T.spread(rows, "image_id", "_tx").groupBy("image_id", "_tx").applyInArrow(work, f"image_id {image}, x int, y int, d float")
 
 
 #: Iterations of thinning between two exchanges of margins.

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastervec.operators import tiles as T
+
 #: Directions clockwise from above, and the order in which a centre line looks for its next pixel.
 CLOCKWISE = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]
 FORWARD = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
@@ -57,7 +59,7 @@ def outlines(labelled: DataFrame, *, most_steps: int = MOST_STEPS, every: int =
         points = [[{"x": float(x), "y": float(y)} for x, y in path]]
         return pa.table({"image_id": table["image_id"][:1], "label": table["label"][:1], "points": pa.array(points, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))})
 
-    return runs.groupBy("image_id", "label").applyInArrow(walk, f"image_id {image}, label {name}, points array<struct<x:double,y:double>>")
+    return T.spread(runs, "image_id", "label").groupBy("image_id", "label").applyInArrow(walk, f"image_id {image}, label {name}, points array<struct<x:double,y:double>>")
 
 
 def _walked(rows: pd.DataFrame) -> list[dict[str, float]]:
@@ -84,4 +86,4 @@ def centrelines(skeleton: DataFrame) -> DataFrame:
         path = _walked(rows)
         return rows[["image_id", "label"]].head(1).assign(points=[path]) if len(path) > 1 else rows[["image_id", "label"]].head(0).assign(points=pd.Series(dtype=object))
 
-    return skeleton.select("image_id", "label", "x", "y").groupBy("image_id", "label").applyInPandas(walk, f"image_id {kinds['image_id']}, label {kinds['label']}, points array<struct<x:double,y:double>>")
+    return T.spread(skeleton.select("image_id", "label", "x", "y"), "image_id", "label").groupBy("image_id", "label").applyInPandas(walk, f"image_id {kinds['image_id']}, label {kinds['label']}, points array<struct<x:double,y:double>>")

@@ -22,6 +22,11 @@ def tile_of(c: Column, size: int) -> Column:
     return F.floor(c / size).cast("int")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by their keys in as many partitions as a shuffle has. The number is fixed, so adaptive execution, which goes by bytes, does not put little data with much work into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def on_tiles(rows: DataFrame, planes: dict[str, str], kernel: Kernel, returned: str = "", *, margin: int, size: int = SIZE) -> DataFrame:
     """(image_id, x, y and ``returned`` columns) of the cells that the kernel keeps, from rows (image_id, x, y and ``planes``: column and NumPy type).
 
@@ -46,7 +51,7 @@ def on_tiles(rows: DataFrame, planes: dict[str, str], kernel: Kernel, returned:
         columns = {"image_id": pa.repeat(table["image_id"][0], len(x)), "x": pa.array((x + x0 + margin).astype(np.int32)), "y": pa.array((y + y0 + margin).astype(np.int32))}
         return pa.table(columns | {name: pa.array(out[name][own][y, x]) for name in names})
 
-    return sent.groupBy("image_id", "_tx", "_ty").applyInArrow(work, f"image_id {image}, x int, y int" + (f", {returned}" if returned else ""))
+    return spread(sent, "image_id", "_tx", "_ty").groupBy("image_id", "_tx", "_ty").applyInArrow(work, f"image_id {image}, x int, y int" + (f", {returned}" if returned else ""))
 
 
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rastervec.operators import components as C
 from rastervec.operators import pixels as P
+from rastervec.operators import tiles as T
 from rastervec.operators.components import settled
 
 SIDES = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -75,7 +76,7 @@ def flooded(fore: DataFrame, marked: DataFrame) -> DataFrame:
         label = _flood(*(table[c].to_numpy() for c in ("x", "y", "cost", "label")))
         return pa.table({"image_id": table["image_id"], "x": table["x"], "y": table["y"], "label": pa.array(label)}).filter(pa.array(label > 0))
 
-    return reached.groupBy("image_id", "part").applyInArrow(flood, f"image_id {image}, x int, y int, label int")
+    return T.spread(reached, "image_id", "part").groupBy("image_id", "part").applyInArrow(flood, f"image_id {image}, x int, y int, label int")
 
 
 def instances(mask: DataFrame, pixels: DataFrame, *, ratio: float = 0.35, least_peak: float = 3.2) -> DataFrame:
