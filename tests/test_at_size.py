@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from rastervec.functions import geometry as G
 from rastervec.functions import regularise as R
 
 
@@ -24,3 +25,12 @@ def test_oriented_box_takes_time_by_vertices(spark):
     assert [got[k] for k in range(1, 6)] == [None] * 5 and len(got[0]) == 4
     far = max(range(4), key=lambda i: got[0][i]["x"] + got[0][i]["y"])
     assert abs(got[0][far]["x"] - wide[2500][0]) < 0.011 and abs(got[0][far]["y"] - wide[2500][1]) < 0.011
+
+
+def test_areas_on_a_half_are_summed_like_the_sql(spark):
+    points = [(q, e / 1000) for q, e in ((27.0, 65833.06), (35.0, 94352.21), (5.0, 36958.27), (33.0, 84280.4), (31.0, 16210.46), (25.0, 6318.04))]  # order 56338 of sf0.1
+    got = rings(spark, [points]).select(F.floor(G.area(F.col("points")) + 0.5).alias("a"), G.area(F.col("points")).alias("b")).first()
+    total = 0.0
+    for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
+        total += ax * by - bx * ay
+    assert got["b"] == abs(total) / 2 and got["a"] == 273  # 272 before, when the products were added one by one
