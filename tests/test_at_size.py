@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rastervec.functions import geometry as G
 from rastervec.functions import regularise as R
+from rastervec.operators import features as O
 
 
 def rings(spark, shapes):
@@ -34,3 +35,16 @@ def test_areas_on_a_half_are_summed_like_the_sql(spark):
     for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
         total += ax * by - bx * ay
     assert got["b"] == abs(total) / 2 and got["a"] == 273  # 272 before, when the products were added one by one
+
+
+def test_picks_of_one_place_are_looked_up_once(spark):
+    rows = spark.range(5000).select("id", F.col("id").alias("seq"), F.lit(True).alias("is_closed"), F.array(*(G.point(F.lit(x), F.lit(y) + F.col("id") / 1e5) for x, y in ((0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)))).alias("points"))
+    picks = spark.range(100_000).select(F.col("id").alias("pick"), (F.col("id") % 2 * 4.0 + 0.25).alias("x"), F.when(F.col("id") % 5 == 0, 70.0).otherwise(4.0).alias("y"))
+    began = time.perf_counter()
+    got = O.picked(rows, picks, tolerance=0.5, cell=5.0).groupBy("id").count().collect()
+    assert time.perf_counter() - began < 40  # each pick met each feature: 500 million pairs
+    assert [tuple(r) for r in got] == [(4999, 80_000)]
+    assert [tuple(r) for r in O.picked(rows, picks, tolerance=0.5, cell=5.0, interior=False).groupBy("id").count().collect()] == [(4999, 40_000)]
+    again = spark.createDataFrame([(1, 4.0, 4.0), (1, 70.0, 70.0), (2, 70.0, 70.0), (3, None, 4.0)], "pick int, x double, y double")
+    assert [tuple(r) for r in O.picked(rows, again, tolerance=0.5, cell=5.0).collect()] == [(1, 4999)]
+    assert O.picked(rows, again.where("false"), tolerance=0.5, cell=5.0).count() == 0
