@@ -3,10 +3,12 @@
 import math
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rastervec.functions import geometry as G
 from rastervec.functions import regularise as R
+from rastervec.operators import checksums as Q
 from rastervec.operators import features as O
 
 
@@ -39,7 +41,7 @@ def test_areas_on_a_half_are_summed_like_the_sql(spark):
 
 def test_picks_of_one_place_are_looked_up_once(spark):
     rows = spark.range(5000).select("id", F.col("id").alias("seq"), F.lit(True).alias("is_closed"), F.array(*(G.point(F.lit(x), F.lit(y) + F.col("id") / 1e5) for x, y in ((0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)))).alias("points"))
-    picks = spark.range(100_000).select(F.col("id").alias("pick"), (F.col("id") % 2 * 4.0 + 0.25).alias("x"), F.when(F.col("id") % 5 == 0, 70.0).otherwise(4.0).alias("y"))
+    picks = spark.range(100_000).select(F.col("id").alias("pick"), (F.col("id") % 2 * 4.5 + 4.25).alias("x"), F.when(F.col("id") % 5 == 0, 70.0).otherwise(4.0).alias("y"))
     began = time.perf_counter()
     got = O.picked(rows, picks, tolerance=0.5, cell=5.0).groupBy("id").count().collect()
     assert time.perf_counter() - began < 40  # each pick met each feature: 500 million pairs
@@ -48,3 +50,19 @@ def test_picks_of_one_place_are_looked_up_once(spark):
     again = spark.createDataFrame([(1, 4.0, 4.0), (1, 70.0, 70.0), (2, 70.0, 70.0), (3, None, 4.0)], "pick int, x double, y double")
     assert [tuple(r) for r in O.picked(rows, again, tolerance=0.5, cell=5.0).collect()] == [(1, 4999)]
     assert O.picked(rows, again.where("false"), tolerance=0.5, cell=5.0).count() == 0
+
+
+def test_an_image_is_folded_by_many_tasks(spark):
+    data = np.random.default_rng(5).integers(0, 256, 5000).astype(np.uint8)
+    for n in (0, 1, 511, 512, 5000):
+        assert [int(v) for v in Q.effect(data[:n])[[0, 7, 255]]] == [Q.folded(data[:n].tobytes(), s) for s in (0, 7, 255)]
+    rows = spark.range(60_000).select(F.lit(None).cast("string").alias("image_id"), (F.col("id") % 40).alias("x"), F.floor(F.col("id") / 40 - 500).alias("y"), F.pmod(F.xxhash64("id"), F.lit(256)).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 250).alias("w"))
+    rows = rows.unionByName(rows.withColumn("image_id", F.lit("b")).where("y < 70")).repartition(5, "x")
+    plain = {}
+    for name, kept in ((None, "true"), ("b", "y < 70")):
+        own = rows.where(F.col("image_id").eqNullSafe(name)).where(kept).orderBy("y", "x").select("v", F.coalesce("w", F.lit(0)).alias("w")).collect()
+        plain[name] = (len(own), Q.folded(bytes(v for r in own for v in r)))
+    got = Q.checksums(rows, "v", "w")
+    assert {r["image_id"]: (r["n"], r["checksum"]) for r in got.collect()} == plain
+    held = rows.where("image_id is null").groupBy(F.floor(F.col("y") / Q.ROWS)).count()
+    assert held.count() > 8 and held.agg(F.max("count")).first()[0] == 40 * Q.ROWS  # what a task has to sort together; all of an image before
