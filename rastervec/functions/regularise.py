@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -16,6 +15,10 @@ from rastervec.functions.simplify import rdp
 from rastervec.schema import POINT
 
 
+#: Outlines whose points are Python's own numbers at once.
+SLICE = 256
+
+
 def _boxes(at: np.ndarray, x: np.ndarray, y: np.ndarray, filled: float) -> tuple[np.ndarray, np.ndarray]:
     """Of outlines between the offsets ``at``: which fill enough of their box, and the corners (outline, corner, axis) of all. Sums go along the vertices, in their order."""
     n, rows = np.diff(at), len(at) - 1
@@ -116,11 +119,25 @@ def right_angled(points: list[tuple[float, float]], tolerance: float, snap: floa
     return kept if len(kept) >= 3 else ring
 
 
+def squared_rings(v: pa.Array, degrees: float, snap: float) -> pa.Array:
+    """right_angled() of arrays of points, a slice at a time; null stays null."""
+    (at, x, y), out, n = _flat(v), [np.zeros((0, 2))], np.zeros(len(v), np.int64)
+    for lo in range(0, len(v), SLICE):
+        hi, own = min(lo + SLICE, len(v)), []
+        flat = list(zip(x[at[lo] : at[hi]].tolist(), y[at[lo] : at[hi]].tolist()))
+        for k in range(lo, hi):
+            ring = right_angled(flat[at[k] - at[lo] : at[k + 1] - at[lo]], math.radians(degrees), snap)
+            n[k] = len(ring)
+            own += ring
+        out.append(np.array(own, np.float64).reshape(-1, 2))
+    return _rings(np.concatenate([[0], np.cumsum(n)]), np.concatenate(out), v.is_null().to_numpy(zero_copy_only=False))
+
+
 def orthogonalised(points: Column, *, degrees: float = 20.0, snap: float = 4.0) -> Column:
     """The oriented box where it fits, else right-angled; outlines of under three points stay. Null stays null."""
 
-    @F.pandas_udf(f"array<{POINT}>")
-    def squared(v: pd.Series) -> pd.Series:
-        return v.map(lambda ps: None if ps is None else [{"x": x, "y": y} for x, y in right_angled([(p["x"], p["y"]) for p in ps], math.radians(degrees), snap)])
+    @F.arrow_udf(f"array<{POINT}>")
+    def squared(v: pa.Array) -> pa.Array:
+        return squared_rings(v, degrees, snap)
 
     return F.when(F.size(points) < 3, points).otherwise(F.coalesce(oriented_box(points), squared(points)))

@@ -4,6 +4,7 @@ import math
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rastervec.functions import geometry as G
@@ -66,3 +67,19 @@ def test_an_image_is_folded_by_many_tasks(spark):
     assert {r["image_id"]: (r["n"], r["checksum"]) for r in got.collect()} == plain
     held = rows.where("image_id is null").groupBy(F.floor(F.col("y") / Q.ROWS)).count()
     assert held.count() > 8 and held.agg(F.max("count")).first()[0] == 40 * Q.ROWS  # what a task has to sort together; all of an image before
+
+
+def test_right_angled_outlines_hold_a_slice_at_once():
+    import tracemalloc
+
+    shapes = [[(float((37 * k + 11 * i * i) % 97), float((53 * k + 29 * i) % 89)) for i in range(32)] for k in range(4096)]
+    most = {}
+    for n in (512, 4096):
+        v = pa.array([[{"x": x, "y": y} for x, y in z] for z in shapes[:n]], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        tracemalloc.start()
+        out = R.squared_rings(v, 12.0, 5.0)
+        most[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert out[7].as_py() == [{"x": x, "y": y} for x, y in R.right_angled(shapes[7], math.radians(12), 5.0)] and len(out) == 4096
+    assert R.squared_rings(pa.array([None, [], [{"x": 1.0, "y": 2.0}]], v.type), 12.0, 5.0).to_pylist() == [None, [], [{"x": 1.0, "y": 2.0}]]
+    assert most[4096] < 4 * most[512]  # all outlines of a batch were points of Python's own at once, twice: in and out
