@@ -11,6 +11,7 @@ from rastervec.functions import geometry as G
 from rastervec.functions import regularise as R
 from rastervec.operators import checksums as Q
 from rastervec.operators import features as O
+from rastervec.operators import watershed as W
 
 
 def rings(spark, shapes):
@@ -83,3 +84,19 @@ def test_right_angled_outlines_hold_a_slice_at_once():
     assert out[7].as_py() == [{"x": x, "y": y} for x, y in R.right_angled(shapes[7], math.radians(12), 5.0)] and len(out) == 4096
     assert R.squared_rings(pa.array([None, [], [{"x": 1.0, "y": 2.0}]], v.type), 12.0, 5.0).to_pylist() == [None, [], [{"x": 1.0, "y": 2.0}]]
     assert most[4096] < 4 * most[512]  # all outlines of a batch were points of Python's own at once, twice: in and out
+
+
+def test_a_flood_holds_numbers_and_not_rows(spark):
+    import tracemalloc
+
+    y, x = (a.ravel().astype(np.int32) for a in np.mgrid[0:600, 0:100])
+    cost, label = ((37 * x + 11 * y) % 251).astype(np.float64), np.where((x % 50 == 7) & (y % 100 == 3), 2 + x + y, 0).astype(np.int32)
+    tracemalloc.start()
+    got = W._flood(x, y, cost, label)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got > 0).all() and most < 70 * len(x)  # lists of Python's own numbers took over twice as much
+    rows = spark.createDataFrame([(0, int(a), int(b), float(c)) for a, b, c in zip(x, y, cost)], "image_id int, x int, y int, cost double")
+    marked = spark.createDataFrame([(0, int(a), int(b), int(n)) for a, b, n in zip(x, y, label) if n], "image_id int, x int, y int, label int")
+    out = W.flooded(rows, marked)
+    assert {(r["x"], r["y"]): r["label"] for r in out.collect()} == dict(zip(zip(x.tolist(), y.tolist()), got.tolist()))
