@@ -19,6 +19,7 @@ from rastervec.functions import geometry as G
 from rastervec.functions.numeric import to_fixed
 from rastervec.operators import export as X
 from rastervec.operators.archive import archive
+from rastervec.operators.components import settled
 from rastervec.operators.features import layer_registry, safe_layer_name
 
 HEAD, BODY, TAIL = 0, 1, 2
@@ -249,12 +250,12 @@ def shapefile(features: DataFrame, kind: str, *, height: float = 1000.0, metres_
     own = features.where(F.col("geometry_type").isin("POINT", "CIRCLE")) if kind == "points" else X.export_set(features).where(F.col("shape") == kind)
     chosen = F.array(X.first_point(features)) if kind == "points" else F.col("points")
     at = F.transform(chosen, lambda p: G.affine(p, affine) if affine else G.point(p["x"] * metres_per_pixel, (height - p["y"]) * metres_per_pixel))
-    rows = own.withColumn("_at", at)
+    rows = own.withColumn("_at", at).withColumn("seq", F.col("seq").cast("long"))
     if kind == "polygons":
         first, last = F.get("_at", F.lit(0)), F.element_at("_at", -1)
-        rows = rows.withColumn("_at", G.clockwise(F.when((first["x"] != last["x"]) | (first["y"] != last["y"]), F.concat("_at", F.array(first))).otherwise(F.col("_at"))))
-    rows = rows.withColumn("seq", F.col("seq").cast("long"))
-    bodies = rows.select("seq", F.lit(shape).alias("shape"), "_at").mapInArrow(_bodies, "seq long, body binary")
+        shut = rows.withColumn("_at", F.when((first["x"] != last["x"]) | (first["y"] != last["y"]), F.concat("_at", F.array(first))).otherwise(F.col("_at")))
+        shut = shut.withColumn("_at", G.clockwise(F.col("_at")))
+    bodies = (shut if kind == "polygons" else rows).select("seq", F.lit(shape).alias("shape"), "_at").mapInArrow(_bodies, "seq long, body binary")
     bodies = X.numbered(bodies, total=F.length("body") + 8)
     box = rows.select(G.bounds(F.col("_at")).alias("b")).agg(F.count("*").alias("n"), F.min("b.min_x").alias("x0"), F.min("b.min_y").alias("y0"), F.max("b.max_x").alias("x1"), F.max("b.max_y").alias("y1"))
     total = box.join(F.broadcast(bodies.agg(F.sum(F.length("body") + 8).alias("size")))).where("n > 0")  # one row on either side
@@ -284,7 +285,8 @@ def shapefile(features: DataFrame, kind: str, *, height: float = 1000.0, metres_
 
 
 def shapefiles(features: DataFrame, **how) -> DataFrame:
-    """The parts of all files: polygons, lines and points."""
+    """The parts of all files: polygons, lines and points. The features are worked out and written once; ranges, bodies, bounds and records of all kinds read them from there."""
+    features = settled(features)
     out = shapefile(features, "polygons", **how)
     return out.unionByName(shapefile(features, "lines", **how)).unionByName(shapefile(features, "points", **how))
 

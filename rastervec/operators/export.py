@@ -153,7 +153,7 @@ def dxf_entities(features: DataFrame, *, height: float = 1000.0, scale: float =
 def dbf_records(features: DataFrame) -> DataFrame:
     """(seq, record): 91 characters - deletion mark, id, layer, class, confidence, area and length in fixed widths; beyond ASCII: an underscore."""
     text = lambda c, n: F.rpad(F.substring(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[^\x20-\x7E]", "_"), 1, n), n, " ")
-    number = lambda c, n: F.lpad(F.substring(to_fixed(F.coalesce(F.col(c), F.lit(0.0)) if c in features.columns else F.lit(0.0), 2), 1, n), n, " ")
+    number = lambda c, n: F.lpad(F.substring(to_fixed(F.coalesce(F.col(c), F.lit(0.0)), 2) if c in features.columns else F.lit("0.00"), 1, n), n, " ")
     kind = F.col("classification") if "classification" in features.columns else F.lit("")
     return features.select("seq", F.concat(F.lit(" "), text(F.col("id"), 16), text(F.col("layer"), 20), text(kind, 24), number("confidence", 6), number("area", 12), number("length", 12)).alias("record"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rastervec.functions import geometry as G
 from rastervec.functions import regularise as R
 from rastervec.operators import checksums as Q
+from rastervec.operators import documents as D
 from rastervec.operators import features as O
 from rastervec.operators import watershed as W
 
@@ -100,3 +101,20 @@ def test_a_flood_holds_numbers_and_not_rows(spark):
     marked = spark.createDataFrame([(0, int(a), int(b), int(n)) for a, b, n in zip(x, y, label) if n], "image_id int, x int, y int, label int")
     out = W.flooded(rows, marked)
     assert {(r["x"], r["y"]): r["label"] for r in out.collect()} == dict(zip(zip(x.tolist(), y.tolist()), got.tolist()))
+
+
+def test_shapefiles_work_features_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    corner = lambda x, y: G.point(F.lit(x) + F.col("id"), F.lit(y))
+    ring = F.array(corner(0.0, 0.0), corner(4.0, 0.0), corner(4.0, 3.0))
+    kind = F.when(F.col("id") % 3 == 0, "POINT").otherwise("LWPOLYLINE")
+    rows = spark.range(300).select("id", F.col("id").alias("seq"), F.lit("ROADS").alias("layer"), (F.col("id") % 3 == 1).alias("is_closed"), kind.alias("geometry_type"), F.lit(80.0).alias("confidence"), F.when(F.col("id") % 3 == 0, F.slice(ring, 1, 1)).otherwise(ring).alias("points"))
+    parts = D.shapefiles(rows.mapInArrow(counted, rows.schema)).groupBy("file").count().collect()
+    assert {r["file"]: r["count"] for r in parts} == {f"{k}.{e}": n for k in ("polygons", "lines", "points") for e, n in (("shp", 101), ("shx", 101), ("dbf", 102), ("prj", 1))}
+    assert 300 <= seen.value <= 600  # each kind's ranges, bodies, bounds and records worked them out before
