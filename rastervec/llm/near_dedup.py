@@ -9,8 +9,10 @@ Those entries, and all that probe such a bucket, meet otherwise: each names the
 fingerprints are at most two bits apart exactly if they name a common word, so linking each to the least of a word's namers
 loses no link and adds none between components.
 
-one_of_each() asks for a similarity of texts, 0.8 of their runs of five words. Such fingerprints are up to twenty bits apart, and balls of that size
-hold most of a segment's table: there candidates come from shared rare runs instead, fingerprints of 128 bits thin them out, and whole sets decide.
+one_of_each() asks for a similarity of texts, 0.8 of their runs of five words. Such fingerprints of 64 bits are up to twenty bits apart, and balls of that size
+hold most of a segment's table. So sets have fingerprints of 1024 bits, cut into segments of two bits more than the number of sets takes: those that share a whole
+segment are candidates, complete distances thin them out, and whole sets decide. What this links is one component. An exact check by shared rare runs
+between the components follows, since two sets at 0.8 may share no segment.
 """
 
 from __future__ import annotations
@@ -31,10 +33,14 @@ SHINGLE, DISTANCE, HEAVY = 3, 2, 64
 #: Of one_of_each(): words of a run, beyond how many sets a hash comes last, sets of a block, how many common hashes are told apart at most, and the share of
 #: sets (one in so many) that tells which hashes are common. The last two change the order of hashes only, not what is found.
 RUN, COMMON, BLOCK, MOST_LATE, TELLING = 5, 64, 512, 1 << 20, 4
-#: Bits that fingerprints (64 and 128 of them) of sets with a resemblance of 0.8 may differ in; they do in 10 and 19 (deviation 3 and 4). Smaller sets than SMALL aren't judged by theirs.
+#: Longs of a set's fingerprint, and how many sets of a bucket of its segments are compared in all pairs: chance rarely brings more together, and groups of near copies must not give the square of their size.
+WORDS, FEW = 16, 4
+#: Bits that fingerprints (64, 128 and all 1024 of them) of sets with a resemblance of 0.8 may differ in; they do in 10, 19 and 155 (deviation 3, 4 and 12). Smaller sets than SMALL aren't judged by theirs.
 #: A link of a resemblance near 0.8 may be lost to these bounds about once in some millions; ``exact`` leaves them out.
-NEAR_64, NEAR_128, SMALL = 24, 42, 64
+NEAR_64, NEAR_128, NEAR_ALL, SMALL = 24, 42, 240, 64
 _CUT = 1 << 16
+#: Odd factors that mix a hash anew for each long of a fingerprint but the first.
+_FACTORS = np.array([0xD6E8FEB86659FD93 * pow(0x9E3779B97F4A7C15, k, 1 << 64) % (1 << 64) for k in range(WORDS - 1)], np.uint64)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -141,12 +147,15 @@ def resemblance_set(text: str) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def set_fingerprints(runs: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit SimHashes of a set of hashes, signed."""
-    h = runs.view(np.uint64)
-    mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    both = (np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for x in (h, mixed ^ (mixed >> np.uint64(29))))
-    return tuple(int(np.packbits(2 * ones > len(runs), bitorder="little").view("<i8")[0]) for ones in both)
+def set_fingerprints(runs: np.ndarray, longs: int = WORDS) -> np.ndarray:
+    """The SimHash of a set of hashes: signed longs, each from hashes mixed anew, in slices whose sums fit a byte."""
+    h, ones = runs.view(np.uint64), np.zeros(64 * longs, np.int64)
+    for lo in range(0, len(h), 255):
+        part = h[lo : lo + 255, None]
+        mixed = (part ^ (part >> np.uint64(31))) * _FACTORS[: longs - 1]
+        every = np.concatenate([part, mixed ^ (mixed >> np.uint64(29))], axis=1)
+        ones += np.unpackbits(every.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<i8")
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -160,17 +169,24 @@ def _prefix(runs: np.ndarray, late: np.ndarray) -> np.ndarray:
 
 
 def _with_sets(rows: DataFrame, *, prefix: bool, late: np.ndarray | None = None) -> DataFrame:
-    """``rows`` with ``_text`` replaced by node (a hash of the whole set), n (its size), set (with ``prefix`` only what _prefix() takes of it), fp and fq (its fingerprints)."""
-    schema = rows.drop("_text").schema.add("node", "long").add("n", "long").add("set", ArrayType(LongType())).add("fp", "long").add("fq", "long")
+    """``rows`` with ``_text`` replaced by node (a hash of the whole set), n (its size) and set; with ``prefix`` this is only what _prefix() takes of it, and fp its fingerprint's first long; without ``late`` there are also fq, the second, and wide, all of it."""
+    schema = rows.drop("_text").schema.add("node", "long").add("n", "long").add("set", ArrayType(LongType()))
+    if prefix:
+        schema = schema.add("fp", "long")
+    if prefix and late is None:
+        schema = schema.add("fq", "long").add("wide", ArrayType(LongType()))
     shared = rows.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if late is None else late)
+    longs = WORDS if late is None else 1
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4 << 20):
+        for batch in slices(batches, "_text", 1 << 20):
             sets = [resemblance_set(t) for t in texts_of(batch, "_text").to_pylist()]
             nodes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64))
-            some = [_prefix(s, shared.value) for s in sets] if prefix else sets
-            prints = [set_fingerprints(s) for s in sets]
-            own = [nodes, pa.array([len(s) for s in sets], pa.int64()), _lists(some), *(pa.array([x[k] for x in prints], pa.int64()) for k in (0, 1))]
+            own = [nodes, pa.array([len(s) for s in sets], pa.int64()), _lists([_prefix(s, shared.value) for s in sets] if prefix else sets)]
+            if prefix:
+                prints = [set_fingerprints(s, longs) for s in sets]
+                own += [pa.array([x[k] for x in prints], pa.int64()) for k in range(min(2, longs))]
+                own += [_lists(prints)] if longs > 1 else []
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, *own], names=schema.names)
 
     return mapped(rows, described, schema)
@@ -181,12 +197,22 @@ _CLOSE = "5 * n_a >= 4 * n_b AND 5 * n_b >= 4 * n_a"
 _ALIKE = f"(least(n_a, n_b) < {SMALL} OR bit_count(fp_a ^ fp_b) <= {NEAR_64})"
 
 
-def _resembling(pairs: DataFrame, entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame], exact: bool) -> DataFrame:
-    """The different pairs (a, b) whose sets resemble: first by complete distances of their fingerprints, then by whole sets."""
+#: Complete distances, of whole fingerprints and of their first two longs, the bound, and the columns they take.
+_WHOLE = " + ".join(f"bit_count(wide_a[{k}] ^ wide_b[{k}])" for k in range(WORDS)), NEAR_ALL, ("wide",)
+_TWO = "bit_count(fp_a ^ fp_b) + bit_count(fq_a ^ fq_b)", NEAR_128, ("fp", "fq")
+
+
+def _resembling(pairs: DataFrame, entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame], exact: bool, *, distance: tuple[str, int, tuple[str, ...]] = _TWO, roots: DataFrame | None = None) -> DataFrame:
+    """The different pairs (a, b) whose sets resemble: first by complete distances of their fingerprints, then by whole sets. With ``roots``, only pairs between these components."""
     own = lambda side, rows, *more: rows.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *more)))
     known = stored(pairs.select("a", "b").distinct(), "pairs")
-    near = f"least(n_a, n_b) < {SMALL} OR bit_count(fp_a ^ fp_b) + bit_count(fq_a ^ fq_b) <= {NEAR_128}"
-    likely = stored((known if exact else known.join(own("a", entries, "fp", "fq"), "a").join(own("b", entries, "fp", "fq"), "b").where(near)).select("a", "b"), "likely")
+    apart = known
+    if roots is not None:
+        root = lambda side: sized(roots).select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        apart = known.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    bits, most, columns = distance
+    near = f"least(n_a, n_b) < {SMALL} OR {bits} <= {most}"
+    likely = stored((apart if exact else apart.join(own("a", entries, *columns), "a").join(own("b", entries, *columns), "b").where(near)).select("a", "b"), "likely")
     named = stored(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
     sets = stored(sets_of(named), "sets")
     both = likely.join(own("a", sets, "set"), "a").join(own("b", sets, "set"), "b")
@@ -279,21 +305,55 @@ def _neighbours(posts: DataFrame) -> DataFrame:
     return found.where("kind = 0").select(columns).union(border.select(columns))
 
 
+def _segments(size: int) -> list[str]:
+    """SQL for the whole segments of ``size`` bits (32 at most) of a fingerprint ``wide``, each with its place in the upper half of a long."""
+    out = []
+    for k in range(64 * WORDS // size):
+        word, bit = divmod(k * size, 64)
+        above = f" | shiftleft(wide[{word + 1}], {64 - bit})" if bit + size > 64 else ""
+        out.append(f"{k << 32}L | ((shiftrightunsigned(wide[{word}], {bit}){above}) & {(1 << size) - 1}L)")
+    return out
+
+
+def by_segments(entries: DataFrame, sets_of: Callable[..., DataFrame], *, size: int | None = None, heavy: int = FEW, exact: bool = False) -> DataFrame:
+    """(a, b): links between different sets of a resemblance of 0.8 at least whose fingerprints share a whole segment (multi-index hashing); all within 1024 // ``size`` - 1 bits do.
+
+    A segment has two bits more than the number of sets takes, so that a bucket of its table holds a fraction of a set by chance, however many sets there are. Of a bucket
+    with more than ``heavy`` sets, neighbours by size are compared, which links groups of near copies; what else it may hold is left to the exact check.
+    """
+    size = size or min(32, max(16, entries.count().bit_length() + 2))
+    posts = entries.where("n > 0").select("node", "n", "fp", F.explode(F.expr(f"array({', '.join(_segments(size))})")).alias("hash"))
+    posts = stored(_counted(posts), "segments")
+    alike = f"{_CLOSE} AND {'true' if exact else _ALIKE}"
+    side = lambda s: posts.where(F.col("_of") <= heavy).select("hash", *(F.col(c).alias(a) for c, a in (("node", s), ("n", f"n_{s}"), ("fp", f"fp_{s}"))))
+    pairs = side("a").join(side("b"), "hash").where(f"a < b AND {alike}").select("a", "b")
+    full = posts.where(F.col("_of") > heavy)
+    if not full.isEmpty():
+        beside = _neighbours(full).withColumnsRenamed({"node_a": "a", "node_b": "b"}).where(alike)
+        pairs = pairs.union(beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    out = _resembling(pairs, entries, sets_of, exact, distance=_WHOLE)
+    discard(posts)
+    return out
+
+
 def resemblances(entries: DataFrame, sets_of: Callable[..., DataFrame], *, common: int = COMMON, block: int = BLOCK, most_late: int = MOST_LATE, telling: int = TELLING, exact: bool = False) -> DataFrame:
     """(a, b): links between different sets of a resemblance of 0.8 at least, enough for the components of all such pairs.
 
-    entries: node, n, set (the prefix), fp and fq of each set; sets_of: the same with whole sets for a stored table of nodes. Two sets of that resemblance share a hash of both
-    prefixes, in whatever order all sets are sorted. Neighbours in a list of the sets with a hash are compared first, so that groups of near copies are
-    components, and only pairs between components are compared then. Where over ``common`` sets of several components share a hash, the hashes that many of
+    entries: node, n, set (the prefix), wide, fp and fq of each set; sets_of: node, n and whole sets for a stored table of nodes. Segments of the fingerprints link first. The exact check
+    that follows is between their components: two sets of that resemblance share a hash of both prefixes, in whatever order all sets are sorted. Neighbours in a list of
+    the sets with a hash are compared first, so that groups of near copies are components, and only pairs between components are compared then. Where over ``common`` sets of several components share a hash, the hashes that many of
     these sets hold come last in the order (the ``most_late`` most common ones, as one in ``telling`` of the sets shows): prefixes are taken anew. What still crowds then are texts made of such hashes, whole families; they
     are compared block by block.
     """
+    hashed = by_segments(entries, sets_of, exact=exact)
+    linked = stored(components(hashed), "roots")
+    discard(hashed)
     listed = entries.where("n > 0").select("node", "n", "fp", F.explode("set").alias("hash"))
     shared = lambda rows: stored(_counted(rows), "shared")
     posts = shared(listed)
     beside = _neighbours(posts).withColumnsRenamed({"node_a": "a", "node_b": "b"})
     alike = "true" if exact else _ALIKE
-    found = _resembling(beside.where(f"{_CLOSE} AND {alike}"), entries, sets_of, exact)
+    found = linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_resembling(beside.where(f"{_CLOSE} AND {alike}"), entries, sets_of, exact, roots=linked))
     roots = stored(components(found), "roots")
 
     def rooted(rows: DataFrame) -> DataFrame:
@@ -312,9 +372,12 @@ def resemblances(entries: DataFrame, sets_of: Callable[..., DataFrame], *, commo
         held = sets_of(some).select(F.explode("set").alias("hash")).groupBy("hash").count().where(F.col("count") > common / telling / 3)  # few that over ``common`` sets hold are missed
         late = stored(held.orderBy(F.desc("count"), "hash").limit(most_late).select("hash"), "late")  # a bounded number; any order of the hashes gives the same links
         anew = stored(listed.join(sized(late), "hash", "left_semi").select("node").distinct(), "anew")
-        again = sets_of(anew, late=np.sort(late.toPandas()["hash"].to_numpy(np.int64))).select("node", "n", "fp", F.explode("set").alias("hash"))
         discard(met)
-        met = rooted(shared(listed.join(sized(anew), "node", "left_anti").unionByName(again)))
+        again = stored(sets_of(anew, late=np.sort(late.toPandas()["hash"].to_numpy(np.int64))), "again")  # read twice below, so written once
+        posts = shared(listed.join(sized(anew), "node", "left_anti").unionByName(again.select("node", "n", "fp", F.explode("set").alias("hash"))))
+        discard(again)
+        met = rooted(posts)
+        discard(posts)
         found = found.union(_in_families(met.where(F.col("_of") > common), sets_of, block))
     side = lambda s: met.where(F.col("_of") <= common).select("hash", *(F.col(c).alias(a) for c, a in (("node", s), ("n", f"n_{s}"), ("root", f"root_{s}"), ("fp", f"fp_{s}"))))
     across = side("a").join(side("b"), "hash").where(f"a < b AND root_a <> root_b AND {_CLOSE} AND {alike}")
@@ -332,7 +395,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows = stored(_with_sets(rows, prefix=True), "rows")
     slim = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_at")).alias("_best")), "best")
     first_of = stored(slim.select(F.col("_best._at").alias("_at")), "first-of")
-    entries = stored(rows.select("_at", "node", "n", "set", "fp", "fq").join(sized(first_of), "_at", "left_semi").drop("_at"), "entries")
+    entries = stored(rows.select("_at", "node", "n", "set", "fp", "fq", "wide").join(sized(first_of), "_at", "left_semi").drop("_at"), "entries")
     place = names.index(text)
 
     def sets_of(nodes: DataFrame, late: np.ndarray | None = None) -> DataFrame:

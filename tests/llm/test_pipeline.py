@@ -157,3 +157,43 @@ def test_neighbours_cross_the_borders_of_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     order = sorted((r for r in rows), key=lambda r: (r[0], r[2], r[1]))
     assert got == {(a[1], b[1]) for a, b in zip(order, order[1:]) if a[0] == b[0]}
+
+
+def plain_bits(runs):
+    """A set's fingerprint as a text of bits, a hash and a bit at a time."""
+    low, longs = (1 << 64) - 1, []
+    for k in range(near_dedup.WORDS):
+        mixed = runs
+        if k:
+            mixed = [((h ^ (h >> 31)) * 0xD6E8FEB86659FD93 * 0x9E3779B97F4A7C15 ** (k - 1)) & low for h in runs]
+            mixed = [h ^ (h >> 29) for h in mixed]
+        longs += ["1" if 2 * sum(h >> bit & 1 for h in mixed) > len(runs) else "0" for bit in range(64)]
+    return "".join(longs)
+
+
+def test_segments_of_fingerprints_link_near_copies(spark):
+    """Pairs that share a whole segment are those of a plain version, also where a segment crosses longs or a bucket is heavy; they are linked even if no run is there to share."""
+    rng = random.Random(5)
+    texts = []
+    for many in [90, 110, 70, 320]:
+        own = [f"w{rng.randint(0, 10**9)}" for _ in range(many)]
+        for k in range(6):
+            near = list(own)
+            for _ in range(k * many // 250):
+                near[rng.randrange(many)] = f"w{rng.randint(0, 10**9)}"
+            texts.append(" ".join(near) + f" end{k}")
+    docs = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(3)
+    entries = stored(near_dedup._with_sets(docs, prefix=True), "entries")
+    sets_of = lambda nodes, late=None: near_dedup._with_sets(docs, prefix=late is not None, late=late).join(nodes, "node", "left_semi")
+    sets = {r["node"]: {h & ((1 << 64) - 1) for h in r["set"]} for r in sets_of(entries.select("node")).collect()}
+    bits = {node: plain_bits(sorted(runs)) for node, runs in sets.items()}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for size in (16, 20, 23, 32):
+        shared = lambda a, b: any(bits[a][k : k + size] == bits[b][k : k + size] for k in range(0, 1024 - size + 1, size))  # noqa: E731, B023
+        want = {p for p in near if shared(*p)}
+        assert 20 < len(want)
+        assert {tuple(r) for r in near_dedup.by_segments(entries, sets_of, size=size, heavy=64).collect()} == want
+    full = {tuple(r) for r in near_dedup.by_segments(entries, sets_of, size=16, heavy=0).collect()}
+    assert full and full <= set(near)
+    alone = near_dedup.resemblances(entries.withColumn("set", F.expr("CAST(array() AS array<bigint>)")), sets_of)
+    assert near_dedup.components(alone).where("node <> root").count() == len(texts) - 4
