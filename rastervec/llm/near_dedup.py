@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from rastervec.llm.common import discard, ident, mapped, sized, slices, stored, texts_of
+from rastervec.llm.common import SMALL_BATCH, discard, ident, mapped, sized, slices, stored, texts_of
 
 SHINGLE, DISTANCE, HEAVY = 3, 2, 64
 #: Of one_of_each(): words of a run, beyond how many sets a hash comes last, sets of a block, how many common hashes are told apart at most, and the share of
@@ -189,7 +189,7 @@ def _with_sets(rows: DataFrame, *, prefix: bool, late: np.ndarray | None = None)
                 own += [_lists(prints)] if longs > 1 else []
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_text"]).columns, *own], names=schema.names)
 
-    return mapped(rows, described, schema)
+    return mapped(rows, described, schema, SMALL_BATCH)
 
 
 #: What pairs of sets must have to be compared further: like sizes, and fingerprints that are not far apart.
@@ -298,7 +298,7 @@ def _neighbours(posts: DataFrame) -> DataFrame:
     partitions; the rows at their borders, two for each partition, meet in one window."""
     kinds = ", ".join(f"{c}_{s} long" for s in "ab" for c in ("hash", "node", "n", "fp"))
     order = posts.select("hash", "node", F.col("n").cast("long").alias("n"), "fp").repartitionByRange("hash", "n", "node").sortWithinPartitions("hash", "n", "node")
-    found = stored(mapped(order, _beside, f"kind int, part int, {kinds}"), "neighbours")
+    found = stored(mapped(order, _beside, f"kind int, part int, {kinds}", SMALL_BATCH), "neighbours")
     at = Window.orderBy("part", "kind")
     border = found.where("kind > 0").select(*(F.lag(f"{c}_a").over(at).alias(f"{c}_a") for c in ("hash", "node", "n", "fp")), *(f"{c}_b" for c in ("hash", "node", "n", "fp")), "kind").where("kind = 1 AND hash_a = hash_b")
     columns = [f"{c}_{s}" for s in "ab" for c in ("node", "n", "fp")]
@@ -391,20 +391,21 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     one run; case is folded as for fingerprints. A very long text is one set of all its runs. Repeated rows leave one. An empty table gives no rows. Extra columns are carried along, whatever their names.
     """
     names = docs.columns
-    rows = docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*(ident(c).alias(f"c{i}") for i, c in enumerate(names))).alias("_row"), ident(doc_id).alias("_id"), ident(text).alias("_text"))
-    rows = stored(_with_sets(rows, prefix=True), "rows")
+    place = names.index(text)
+    base = stored(docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*(ident(c).alias(f"c{i}") for i, c in enumerate(names))).alias("_row"), ident(doc_id).alias("_id")), "base")
+    rows = stored(_with_sets(base.select("_at", "_id", F.col(f"_row.c{place}").alias("_text")), prefix=True), "rows")  # texts don't come back from Python
     slim = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_at")).alias("_best")), "best")
     first_of = stored(slim.select(F.col("_best._at").alias("_at")), "first-of")
     entries = stored(rows.select("_at", "node", "n", "set", "fp", "fq", "wide").join(sized(first_of), "_at", "left_semi").drop("_at"), "entries")
-    place = names.index(text)
+    discard(rows, first_of)
 
     def sets_of(nodes: DataFrame, late: np.ndarray | None = None) -> DataFrame:
         at = stored(slim.join(sized(nodes), "node", "left_semi").select(F.col("_best._at").alias("_at")), "at")
-        return _with_sets(rows.select("_at", F.col(f"_row.c{place}").alias("_text")).join(sized(at), "_at", "left_semi").select("_text"), prefix=late is not None, late=late)
+        return _with_sets(base.select("_at", F.col(f"_row.c{place}").alias("_text")).join(sized(at), "_at", "left_semi").select("_text"), prefix=late is not None, late=late)
 
     roots = stored(components(resemblances(entries, sets_of, exact=exact)), "roots")
     discard(entries)
     first = stored(slim.join(sized(roots), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("_best").alias("_best")).select("_best._at"), "first")
-    kept = stored(rows.join(sized(first), "_at", "left_semi").select(F.col("_row")), "kept")
-    discard(rows, slim, first_of, roots, first)
+    kept = stored(base.join(sized(first), "_at", "left_semi").select(F.col("_row")), "kept")
+    discard(base, slim, roots, first)
     return kept.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)))

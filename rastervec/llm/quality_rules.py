@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 if TYPE_CHECKING:
     import pandas as pd  # not in the workers
 
-from rastervec.llm.common import ident, mapped, slices, texts_of
+from rastervec.llm.common import SMALL_BATCH, ident, mapped, slices, texts_of
 
 SAMPLE_DOCS = 2000
 WINDOW = 8
@@ -172,12 +172,13 @@ def good_documents(docs: DataFrame, *, text: str = "text", rules: dict | None =
     names, rules = docs.columns, RULES if rules is None else rules
     sequence = order(estimate(docs, text=text, rules=rules)) if sequence is None else sequence
     cascade = [rules[name] for name in sequence]
-    rows = docs.select(F.struct(*(ident(c).alias(f"c{i}") for i, c in enumerate(names))).alias("_row"), ident(text).alias("_text"))
-    schema = rows.drop("_text").schema
+    rows = docs.select(F.struct(*(ident(c).alias(f"c{i}") for i, c in enumerate(names))).alias("_row"))
+    schema, place = rows.schema, names.index(text)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4 << 20):
+        texts = (batch.append_column("_text", batch.column(0).field(place)) for batch in batches)  # a text goes to Python once
+        for batch in slices(texts, "_text", SMALL_BATCH):
             kept = [t.n_words >= 20 and not any(rule(t) for rule in cascade) and not t.base_failed() for t in map(Text, texts_of(batch, "_text").to_pylist())]
             yield batch.drop_columns(["_text"]).filter(pa.array(kept, pa.bool_()))
 
-    return mapped(rows, passed, schema).select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)))
+    return mapped(rows, passed, schema, SMALL_BATCH).select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)))

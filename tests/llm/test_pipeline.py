@@ -197,3 +197,41 @@ def test_segments_of_fingerprints_link_near_copies(spark):
     assert full and full <= set(near)
     alone = near_dedup.resemblances(entries.withColumn("set", F.expr("CAST(array() AS array<bigint>)")), sets_of)
     assert near_dedup.components(alone).where("node <> root").count() == len(texts) - 4
+
+
+def test_batches_to_python_stay_small(spark, monkeypatch, tmp_path):
+    """An executor holds what goes to Python several times outside its heap: a batch is of about a megabyte, a text goes once a pass, and near_dedup's don't come back."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(1500)) for _ in range(400)]
+    docs = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "large")
+    total = sum(map(len, texts))
+
+    def watched(module, real):
+        def mapped(rows, function, schema, *rest):
+            to = tmp_path / f"{module.__name__}-{len(list(tmp_path.iterdir()))}"
+            to.touch()
+
+            def counted(batches, at):
+                for batch in batches:
+                    with to.open("a") as file:
+                        print(at, batch.nbytes, file=file)
+                    yield batch
+
+            return real(rows, lambda batches: counted(function(counted(batches, "in")), "out"), schema, *rest)
+
+        monkeypatch.setattr(module, "mapped", mapped)
+
+    for module in (quality_rules, near_dedup):
+        watched(module, module.mapped)
+    rules = {name: rule for name, rule in quality_rules.RULES.items()}
+    assert quality_rules.good_documents(docs, rules=rules, sequence=list(rules)).where("length(text) > 0").count() <= 400
+    assert near_dedup.one_of_each(docs).count() == 400
+    seen = {}
+    for file in sorted(tmp_path.iterdir()):
+        part = [line.split() for line in file.read_text().splitlines()]
+        seen[file.name] = [[int(n) for at, n in part if at == way] for way in ("in", "out")]
+    assert all(n < 3 << 19 for into, _ in seen.values() for n in into)
+    first = {name.partition("-")[0]: (into, out) for name, (into, out) in reversed(seen.items()) if into}
+    quality, near = first["rastervec.llm.quality_rules"], first["rastervec.llm.near_dedup"]
+    assert total <= sum(quality[0]) < 1.2 * total and total <= sum(near[0]) < 1.2 * total
+    assert sum(near[1]) < total
